@@ -127,7 +127,7 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian 32-bit integers."""
-        if self._cut and "<|" in text:
+        if self._cut and any(s in text for s in self.special):
             parts = self._cut.split(text)
         else:
             parts = [text]
