@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, url_filter
+from . import bpe, packing, sharding, substring, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op5_sharding": sharding.op5_sharding,
     "op7_bpe": bpe.op7_bpe,
+    "op8_substring_dedup": substring.op8_substring_dedup,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
+    "op8_substring_dedup": substring.ORACLE_SQL,
 }
