@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, sharding, substring, url_filter
+from . import bpe, dart_minhash, packing, sharding, substring, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_packing": packing.op9_packing,
+    "op10_minhash_dedup": dart_minhash.op10_minhash_dedup,
 }
 
 ORACLES = {
