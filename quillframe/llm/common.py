@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +63,22 @@ def gapless_rank(df: DataFrame, counted: DataFrame, keys: Sequence[str], bucket:
         .withColumn(out, (F.col("_first") + F.row_number().over(inside) - 1).cast("long"))
         .drop("_bucket", "_first")
     )
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector takes part: not null or empty, no null or non-finite component, not all zeros. Never null itself."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an Arrow list column of equal lengths as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def splitmix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of integers (the finalizer of SplitMix64)."""
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, table
+from .common import drop_scratch, materialize, splitmix, table
 from .components import connected_components
-from .substring import _mixed, window_hashes, word_bounds, word_hashes
+from .substring import window_hashes, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands of ROWS coordinates: a pair at similarity 0.8 misses all bands with probability (1 - 0.8^4)^20 = 3e-5.
@@ -75,13 +75,13 @@ def darts(units: np.ndarray, region: int, coordinates: int) -> tuple[np.ndarray,
     low, wide = 0.0, 2.0**FINEST
     for k in range(region):
         low, wide = low + wide, min(WIDEST, low + wide)
-    seed = _mixed(units + np.uint64(0xA24BAED4963EE407 + region * 0x9FB21C651E98DF25 & (1 << 64) - 1))
+    seed = splitmix(units + np.uint64(0xA24BAED4963EE407 + region * 0x9FB21C651E98DF25 & (1 << 64) - 1))
     count = _poisson(_uniform(seed), wide)
     index = np.repeat(np.arange(len(units)), count)
     nth = np.arange(len(index)) - np.repeat(np.cumsum(count) - count, count)
-    name = _mixed(seed[index] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
-    rank = low + wide * _uniform(_mixed(name + np.uint64(1)))
-    coordinate = (_mixed(name + np.uint64(2)) % np.uint64(coordinates)).astype(np.int64)
+    name = splitmix(seed[index] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    rank = low + wide * _uniform(splitmix(name + np.uint64(1)))
+    coordinate = (splitmix(name + np.uint64(2)) % np.uint64(coordinates)).astype(np.int64)
     return index, coordinate, rank, name
 
 
@@ -96,7 +96,7 @@ def signatures(elements: list[tuple[np.ndarray, np.ndarray]], coordinates: int =
     weights = np.concatenate([w for _, w in elements])
     owner = np.repeat(np.arange(len(elements)), sizes)
     layer = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
-    units = _mixed(np.repeat(hashes, weights) + (layer.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8CB92BA72F3D8DD7))
+    units = splitmix(np.repeat(hashes, weights) + (layer.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8CB92BA72F3D8DD7))
     best_rank = np.full(out.shape, np.inf)
     open_sets = sizes > 0
     region = 0
@@ -123,7 +123,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     parts = signature.reshape(len(signature), bands, rows)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(rows):
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
+        key = splitmix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return key
 
 

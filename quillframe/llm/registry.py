@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, dart_minhash, packing, sharding, substring, url_filter
+from . import bpe, cap_filters, dart_minhash, packing, sharding, substring, url_filter
 
 QUERIES = {
+    "op1_cap_filters": cap_filters.op1_cap_filters,
     "op2_url_filter": url_filter.op2_url_filter,
     "op5_sharding": sharding.op5_sharding,
     "op7_bpe": bpe.op7_bpe,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_cap_filters": cap_filters.ORACLE_SQL,
     "op2_url_filter": url_filter.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
     "op8_substring_dedup": substring.ORACLE_SQL,

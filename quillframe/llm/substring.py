@@ -21,16 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, splitmix, table
 
 WIDTH = 13
 #: Words of a chunk that a worker holds at once (a longer document is a chunk of its own), and the least number of buckets.
 CHUNK_WORDS, LEAST_BUCKETS = 1_000_000, 32
 #: Bytes hashed at once: about 30 bytes of memory for each.
 BLOCK = 1 << 21
-#: Fixed values of the hash: odd multipliers for bytes and words, and those of the finalizer.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: Fixed values of the hash: odd multipliers for bytes, words and word lengths.
+BYTE_BASE, WORD_BASE, LENGTH_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x94D049BB133111EB
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -46,12 +45,6 @@ _BYTE_INVERSE = _powers(pow(BYTE_BASE, -1, 1 << 64), BLOCK + 1)
 _WORD_POWERS = _powers(WORD_BASE, 64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_1)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_2)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last byte of every word of UTF-8 bytes; white space is 0x20 and 0x09 to 0x0D."""
     inside = np.zeros(len(data) + 2, np.int8)
@@ -74,7 +67,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _BYTE_POWERS[: len(part)], out=sums[1:])
             s, e = starts[at:to] - base, ends[at:to] - base
-            out[at:to] = _mixed((sums[e] - sums[s]) * _BYTE_INVERSE[s] + (e - s).astype(np.uint64) * np.uint64(MIX_2))
+            out[at:to] = splitmix((sums[e] - sums[s]) * _BYTE_INVERSE[s] + (e - s).astype(np.uint64) * np.uint64(LENGTH_BASE))
         at = to
     return out
 
@@ -87,7 +80,7 @@ def window_hashes(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for k in range(width):
         out += words[k : k + n] * _WORD_POWERS[k]
-    return _mixed(out)
+    return splitmix(out)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
