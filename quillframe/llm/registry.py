@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, cap_filters, dart_minhash, packing, sharding, substring, url_filter
+from . import ann, bpe, cap_filters, dart_minhash, langid, packing, sharding, substring, toxicity, url_filter
 
 QUERIES = {
     "op1_cap_filters": cap_filters.op1_cap_filters,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_langid": langid.op3_langid,
+    "op4_posting_lists": ann.op4_posting_lists,
     "op5_sharding": sharding.op5_sharding,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_bpe": bpe.op7_bpe,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_packing": packing.op9_packing,
@@ -17,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_cap_filters": cap_filters.ORACLE_SQL,
     "op2_url_filter": url_filter.ORACLE_SQL,
+    "op4_posting_lists": ann.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
     "op8_substring_dedup": substring.ORACLE_SQL,
 }
