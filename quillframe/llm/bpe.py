@@ -39,6 +39,23 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def latin_pattern(pattern: str) -> str:
+    r"""The same pattern for texts without characters above U+00FF, in the syntax of ``re``: \p{L}, \p{N}, \s and \S spelled out."""
+    members = {name: "".join(re.escape(chr(c)) for c in range(256) if regex.match(name, chr(c))) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside = [], False
+    for part in re.split(r"(\\p\{[LN]\}|\\[sS]|[\[\]])", pattern):
+        if part in "[]":
+            inside = part == "[" if part else inside
+            out.append(part)
+        elif part == r"\S":
+            out.append(f"[^{members[chr(92) + 's']}]")
+        elif part in members:
+            out.append(members[part] if inside else f"[{members[part]}]")
+        else:
+            out.append(part)
+    return "".join(out)
+
+
 def merge(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply the merges (pair -> rank, id) to a list of ids, lowest rank first and leftmost first among equals."""
     n = len(symbols)
@@ -74,7 +91,8 @@ def merge(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) ->
 class Bpe:
     """A tokenizer read from a ``tokenizers`` JSON file of one of two kinds: byte-level, or words with an end mark."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, library: bool = False) -> None:
+        """``library``: pieces that aren't in the table go to the ``tokenizers`` library together (only for words with an end mark)."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -92,6 +110,7 @@ class Bpe:
         kinds = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         pattern = next((x["pattern"]["Regex"] for x in kinds if x["type"] == "Split"), BYTE_LEVEL_PATTERN)
         self._pieces = regex.compile(pattern).findall
+        self._latin_pieces = re.compile(latin_pattern(pattern)).findall
         self._symbols = byte_symbols()
         back = {c: b for b, c in enumerate(self._symbols)}
         size = 1 + max([*self.vocab.values(), *self.special.values()])
@@ -103,6 +122,12 @@ class Bpe:
             self._bytes[i] = s.encode()
         self._table: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._library = None
+        if library and self.suffix:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(path)
+            self._ends = {i for s, i in self.vocab.items() if s.endswith(self.suffix)}
 
     def normalize(self, text: str) -> str:
         if self.composed and not text.isascii():
@@ -111,6 +136,21 @@ class Bpe:
             text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
         return text
 
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a normalized text that are merged on their own."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._pieces(text)
+        return self._latin_pieces(text)
+
+    def _keep(self, piece: str, ids: bytes) -> bytes:
+        if len(piece) <= TABLE_PIECE:
+            if len(self._table) >= TABLE_ENTRIES:
+                self._old, self._table = self._table, {}
+            self._table[piece] = ids
+        return ids
+
     def _piece(self, piece: str) -> bytes:
         """The ids of one piece as little-endian 32-bit integers."""
         ids = self._table.get(piece) or self._old.get(piece)
@@ -119,11 +159,21 @@ class Bpe:
             symbols[-1] += self.suffix
             merged = merge([self.vocab[s] for s in symbols], self.pairs)
             ids = pack(f"<{len(merged)}I", *merged)
-        if len(piece) <= TABLE_PIECE:
-            if len(self._table) >= TABLE_ENTRIES:
-                self._old, self._table = self._table, {}
-            self._table[piece] = ids
-        return ids
+        return self._keep(piece, ids)
+
+    def _from_library(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of new pieces: blanks part them, and each ends at its first id with the end mark."""
+        new = list(dict.fromkeys(p for p in pieces if p not in self._old))
+        found, ids = {p: self._old[p] for p in pieces if p in self._old}, []
+        at = iter(new)
+        for i in self._library.encode(" ".join(new), add_special_tokens=False).ids if new else ():
+            ids.append(i)
+            if i in self._ends:
+                found[next(at)] = pack(f"<{len(ids)}I", *ids)
+                ids = []
+        for piece, value in found.items():
+            self._keep(piece, value)
+        return found
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian 32-bit integers."""
@@ -136,10 +186,14 @@ class Bpe:
             if k % 2:
                 out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                pieces = self._pieces(self.normalize(part))
+                pieces = self.pieces(self.normalize(part))
                 ids = list(map(self._table.get, pieces))
                 if None in ids:
-                    ids = [x if x is not None else self._piece(p) for x, p in zip(ids, pieces, strict=True)]
+                    if self._library:
+                        found = self._from_library([p for x, p in zip(ids, pieces, strict=True) if x is None])
+                        ids = [x or found[p] for x, p in zip(ids, pieces, strict=True)]
+                    else:
+                        ids = [x or self._piece(p) for x, p in zip(ids, pieces, strict=True)]
                 out += ids
         return b"".join(out)
 
@@ -150,9 +204,9 @@ class Bpe:
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> Bpe:
+def load(path: str, library: bool = False) -> Bpe:
     """One tokenizer for each worker process and file."""
-    return Bpe(path)
+    return Bpe(path, library)
 
 
 def digest_rows(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:

@@ -95,7 +95,7 @@ def cut_pieces(docs: DataFrame, key: str, path: str, window: int = WINDOW, end:
     """(key, start, length, ids_crc32, doc_tokens): every document's ids with the end id, in whole windows and a remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, mark = bpe.load(path), end.to_bytes(4, "little")
+        tokenizer, mark = bpe.load(path, library=True), end.to_bytes(4, "little")
         for whole in batches:
             for at in range(0, whole.num_rows, bpe.BATCH_ROWS):
                 batch, rows = whole.slice(at, bpe.BATCH_ROWS), []
