@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.search_text import fold_texts
+from . import validate
 
 # Sources from the strongest on, labels of outcomes, and titles that say nothing.
 SOURCE_PRIORITY = ["review_queue", "validated_json", "parsed_json"]
@@ -67,17 +68,27 @@ def attach(records: DataFrame, side: DataFrame, number: str = "case_number") ->
     return records.join(side.withColumnRenamed(number, "_n"), F.col("document.case_number") == F.col("_n"), "left").drop("_n")
 
 
+#: The facts an owner may correct, by group.
+FACTS = {"case_number": "document", "document_type": "document", "decision_date": "document", "applicants": "parties", "judges": "adjudicators", "clerks": "adjudicators", "dictum": "outcome"}
+
+
 def apply_corrections(records: DataFrame) -> DataFrame:
-    """Records (document, parties, outcome, legal_basis) with ``edits``: seven facts replaced, and summary and decision type that follow from them."""
-    e = F.col("edits")
-    given = F.when(e["applicants"].isNotNull(), F.transform(e["applicants"], lambda n: F.struct(n.alias("name"), F.lit("applicant").alias("role"), F.lit(None).cast("string").alias("description"))))
-    document = F.col("document")
-    for field in ("case_number", "document_type", "decision_date", "title"):
-        document = document.withField(field, F.coalesce(e[field], F.col(f"document.{field}")))
-    dictum = F.coalesce(e["dictum"], F.col("outcome.dictum"))
-    outcome = F.col("outcome").withField("dictum", dictum).withField("summary", F.when(e["dictum"].isNotNull(), F.get(dictum, F.lit(0))).otherwise(F.col("outcome.summary"))).withField("decision_type", F.coalesce(e["document_type"], F.col("outcome.decision_type")))
-    law = F.when(e["law"].isNotNull(), F.array(e["law"])).otherwise(F.col("legal_basis.object_of_review"))
-    return records.withColumns({"parties": F.col("parties").withField("applicants", F.coalesce(given, F.col("parties.applicants"))), "outcome": outcome, "legal_basis": F.col("legal_basis").withField("object_of_review", law), "document": document}).drop("edits")
+    """Records with ``edits`` (a struct of the facts; applicants as names) and ``edited`` (the facts that it sets, null values included).
+
+    Edited facts replace the record's; the summary follows an edited dictum and the decision type an edited document type. Checks are
+    computed again for edited records (their schema errors stay), the parser's block never.
+    """
+    edited = F.coalesce("edited", F.array().cast("array<string>"))
+    applicants = F.transform(F.col("edits.applicants"), lambda n: F.struct(n.alias("name"), F.lit("applicant").alias("role"), F.lit(None).cast("string").alias("description")))
+    value = {f: applicants if f == "applicants" else F.col(f"edits.{f}") for f in FACTS}
+    groups = {g: F.col(g) for g in dict.fromkeys(FACTS.values())}
+    for fact, group in FACTS.items():
+        groups[group] = groups[group].withField(fact, F.when(F.array_contains(edited, fact), value[fact]).otherwise(F.col(f"{group}.{fact}")))
+    outcome = groups["outcome"].withField("summary", F.when(F.array_contains(edited, "dictum"), F.get(value["dictum"], F.lit(0))).otherwise(F.col("outcome.summary")))
+    groups["outcome"] = outcome.withField("decision_type", F.when(F.array_contains(edited, "document_type"), value["document_type"]).otherwise(F.col("outcome.decision_type")))
+    kept = records.withColumn("_before", F.col("validation")).withColumn("_touched", F.size(edited) > 0).withColumns(groups).drop("edits", "edited")
+    checked = validate.with_validation(kept, F.coalesce("_before.schema_errors", F.array().cast("array<string>")))
+    return checked.withColumn("validation", F.when(F.col("_touched"), F.col("validation")).otherwise(F.col("_before"))).drop("_before", "_touched")
 
 
 def summarize(records: DataFrame, english: DataFrame | None = None) -> DataFrame:

@@ -91,14 +91,15 @@ def order_of(name: str, position: Column, status_order: Sequence[str] = STATUS_O
     status = F.array_position(F.array(*map(F.lit, status_order)), F.col("status"))
     status = F.when(status.isNull() | (status == 0), len(status_order) + 1).otherwise(status)
     dated = F.coalesce(F.col("decision_date"), F.lit("")) == ""
+    number = F.lower(F.coalesce("case_number", "case_id", F.lit("")))
     orders = {
         "relevance": [F.desc("relevance"), F.coalesce("decision_date", F.lit("")).desc(), position],
         "newest": [dated, F.when(~dated, F.col("decision_date")).desc(), F.when(~dated, F.col("case_number")).desc(), position],
         "oldest": [dated, F.when(~dated, F.col("decision_date")).asc(), F.when(~dated, F.col("case_number")).asc(), position],
-        "case_number": [F.coalesce("case_number", F.lit("")), position],
-        "document_type": [labels if labels is not None else F.coalesce("document_type", F.lit("")), F.coalesce("case_number", F.lit("")), position],
-        "status": [status, F.coalesce("case_number", F.lit("")), position],
-        "review_priority": [F.col("needs_manual_review").desc(), F.size("review_flags").desc(), status, F.coalesce("case_number", F.lit("")), position],
+        "case_number": [number, position],
+        "document_type": [labels if labels is not None else F.coalesce("document_type", F.lit("")), number, position],
+        "status": [status, number, position],
+        "review_priority": [F.col("needs_manual_review").desc(), F.size("review_flags").desc(), status, number, position],
     }
     return orders.get(name, orders["review_priority"])
 
