@@ -5,9 +5,9 @@ or more. For a signature, every unit of an element's weight throws hashed darts:
 and each coordinate keeps its earliest dart. Darts come from regions of dyadic ranks, so documents of any size share
 them, and a document only opens as many regions as it takes to hit all coordinates.
 
-Equal texts are one class from the start. Signatures of distinct texts are joined by bands: each text is compared with the smallest
-of its bucket first; texts of one bucket that are still in different components are then compared with each other, so a group of
-copies costs links in proportion to its size, and no pair that meets in a bucket is lost. All links are verified exactly.
+Equal texts are one class from the start. Signatures of distinct texts are joined by bands: the texts of a bucket are compared with
+one of them, then with others as long as components stay apart, and what is left is compared in full. So a group of copies costs
+links in proportion to its size, and no pair that meets in a bucket is lost. All links are verified exactly.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, splitmix, table
+from .common import drop_scratch, materialize, partitions, splitmix, table
 from .components import connected_components
 from .substring import window_hashes, word_bounds, word_hashes
 
@@ -28,6 +28,12 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: The finest region holds ranks below 2^FINEST; further ones double in width up to WIDEST.
 FINEST, WIDEST = -8, 256.0
+#: Rounds of comparing buckets with one of their texts before whatever is left is compared.
+PIVOTS = 3
+#: Texts and bytes of a block, and shingles counted at once, when buckets are compared in blocks.
+BLOCK, BLOCK_BYTES, SLICE = 512, 8_000_000, 8192
+#: Pairs left for each bucket entry up to which they are compared one by one.
+PAIRS_PER_ENTRY = 1
 #: Characters of text taken at once for signatures.
 CHUNK = 1 << 22
 
@@ -188,24 +194,110 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     shared = materialize(buckets.join(least, "key").select("key", "a", F.col("id").alias("b")))
     drop_scratch(buckets)
     texts = materialize(plain.join(shared.select(F.col("b").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    first = materialize(verified(shared.where("a <> b").select("a", "b").distinct(), texts, threshold, width))
-    found = materialize(connected_components(first))
-    second = materialize(verified(_unsettled(shared, found), texts, threshold, width))
-    if not second.isEmpty():
-        found = materialize(connected_components(first.union(second)))
+    found = _settled(shared, texts, threshold, width)
     for done in (shared, texts):
         drop_scratch(done)
     root = classes.join(found.withColumnRenamed("component_id", "_root"), "id", "left").select("digest", F.coalesce("_root", "id").alias("_root"))
     return keyed.join(root, "digest", "left").select(F.col("id").alias(key), F.coalesce("_root", "id").alias("component_id"))
 
 
-def _unsettled(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket and are in different components so far; buckets of one component give none."""
-    placed = shared.join(found.withColumnRenamed("id", "b"), "b", "left").select("key", F.col("b").alias("id"), F.coalesce("component_id", "b").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(mixed, "key", "left_semi")
-    x, y = rest.select("key", F.col("id").alias("a"), F.col("part").alias("pa")), rest.select("key", F.col("id").alias("b"), F.col("part").alias("pb"))
-    return x.join(y, "key").where("a < b and pa <> pb").select("a", "b").distinct()
+def _settled(shared: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(id, component_id) of linked texts, from (key, a, b): text b of bucket ``key``, whose smallest text is a.
+
+    In PIVOTS rounds every bucket's texts are compared with one of them, at first the smallest and then one by chance, unless they are in
+    its component already. What then is left to compare across the components of a bucket is compared in full: pair by pair
+    if they are few for the number of bucket entries, and else in blocks, which give no row for a pair.
+    """
+    most, found = PAIRS_PER_ENTRY * shared.count(), None
+    pairs = shared.where("a <> b").select("a", "b")
+    for pivot in range(1, PIVOTS + 1):
+        found = _joined(found, materialize(verified(pairs.distinct(), texts, threshold, width)))
+        placed = shared.join(found.withColumnRenamed("id", "b"), "b", "left").select("key", F.col("b").alias("id"), F.coalesce("component_id", "b").alias("part"))
+        tally = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("open"))
+        mixed = materialize(tally.where("open > 0"))
+        left = mixed.agg(F.sum("open")).first()[0]
+        if not left:
+            return found
+        rest = materialize(placed.join(mixed.select("key"), "key", "left_semi"))
+        if left <= most:
+            break
+        chosen = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(pivot)).alias("h"), F.col("id").alias("a"), F.col("part").alias("pa"))).alias("p")).select("key", "p.a", "p.pa")
+        pairs = rest.join(chosen, "key").where("part <> pa").select("a", F.col("id").alias("b"))
+    if left <= most:
+        x, y = rest.toDF("key", "a", "pa"), rest.toDF("key", "b", "pb")
+        return _joined(found, materialize(verified(x.join(y, "key").where("a < b and pa <> pb").select("a", "b").distinct(), texts, threshold, width)))
+    return _joined(found, materialize(linked_in_blocks(rest, texts, threshold, width)))
+
+
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components so far with more links."""
+    if found is None:
+        return materialize(connected_components(links))
+    return materialize(connected_components(links.union(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))))
+
+
+def block_links(rows: list[tuple], threshold: float, width: int) -> list[tuple[int, int]]:
+    """Links that join the texts of (block, component, id, text) as all pairs of different components at the threshold or above would.
+
+    With two blocks only pairs across them count. Shared shingle units are counted by matrix products over slices of the vocabulary.
+    """
+    sets = [shingles(t, width) for *_, t in rows]
+    n, block, part = len(rows), np.asarray([r[0] for r in rows]), np.asarray([r[1] for r in rows])
+    units = [np.repeat(e, w) + np.concatenate([np.arange(k) for k in w] or [np.empty(0, int)]).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) for e, w in sets]
+    size = np.asarray([len(u) for u in units], np.float64)
+    owner = np.repeat(np.arange(n), size.astype(int))
+    _, column, times = np.unique(np.concatenate(units), return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    owner, column = owner[common], number[column[common]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    for lo in range(0, int((times > 1).sum()), SLICE):
+        begin, end = np.searchsorted(column, (lo, lo + SLICE))
+        present = np.zeros((n, SLICE), np.float32)
+        present[owner[begin:end], column[begin:end] - lo] = 1
+        shared += present @ present.T
+    near = shared / np.maximum(size[:, None] + size - shared, 1) >= threshold
+    near &= part[:, None] != part
+    if block.min() != block.max():
+        near &= block[:, None] != block
+    label, before = np.arange(n), None
+    while before is None or (label != before).any():
+        before = label
+        label = np.minimum(label, np.where(near, label, n).min(axis=1))
+        label = label[label]
+    ids = [r[2] for r in rows]
+    return [(ids[k], ids[i]) for i, k in enumerate(label) if i != k]
+
+
+def linked_in_blocks(rest: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(a, b) links across the components of each bucket of (key, id, part).
+
+    A bucket is cut into blocks of bounded size, and each two blocks (and each alone) meet in a cell, a task's unit of work.
+    """
+    sized = rest.join(texts.select("id", F.octet_length("text").alias("bytes")), "id")
+    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = rest.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("cell"), "block", "part", "id").join(texts, "id").select("cell", "block", "part", "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(rows: list[tuple]) -> pa.RecordBatch:
+            links = block_links(rows, threshold, width) if len({r[1] for r in rows}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        at, rows = None, []
+        for batch in batches:
+            for cell, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "block", "part", "id", "text")), strict=True):
+                if cell != at and rows:
+                    yield solve(rows)
+                    rows = []
+                at = cell
+                rows.append(tuple(row))
+        if rows:
+            yield solve(rows)
+
+    return cells.repartition(partitions(rest.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

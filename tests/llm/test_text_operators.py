@@ -224,7 +224,10 @@ def brute_classes(rows):
     return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("most", [1, 0])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(dart_minhash, "PAIRS_PER_ENTRY", most)
+    monkeypatch.setattr(dart_minhash, "BLOCK", 4)
     draw, rows = random.Random(8), []
     for base in range(6):
         words = prose(base, 150)
@@ -244,6 +247,32 @@ def test_near_duplicates_equal_brute_force(spark):
     assert dart_minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_block_links_join_what_all_pairs_would(monkeypatch):
+    monkeypatch.setattr(dart_minhash, "SLICE", 16)
+    draw, words, rows = random.Random(2), prose(1, 80), []
+    for i in range(60):
+        w = list(words)
+        for _ in range(draw.choice([1, 3, 5])):
+            w[draw.randrange(80)] = draw.choice(WORDS)
+        rows.append((i % 2, i, i, " ".join(w)))
+    root = list(range(60))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    def classes(pairs):
+        root[:] = range(60)
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(60)]
+
+    sets = [dart_minhash.shingles(r[3]) for r in rows]
+    for blocks in (1, 2):
+        used = [(0 if blocks == 1 else b, *rest) for b, *rest in rows]
+        want = [(i, j) for i in range(60) for j in range(i) if dart_minhash.similarity(sets[i], sets[j]) >= 0.8 and (blocks == 1 or i % 2 != j % 2)]
+        assert classes(dart_minhash.block_links(used, 0.8, 5)) == classes(want)
+
+
 # --- Language and toxicity
 
 
