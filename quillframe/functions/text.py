@@ -25,6 +25,11 @@ REPRESENTED = [r"\s+yang\s+dalam\s+hal\s+ini\b", r"\s+yang\s+diwakili\b", r"\s+s
 FIRST_YEAR, LAST_YEAR = 1900, 2100
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body and its lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nullif_empty(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -41,15 +46,14 @@ def strip(c: Column) -> Column:
 def lines(c: Column) -> Column:
     """The lines of a text; an ending line end starts no line, an empty text has none. Null is an empty text."""
     parts = F.split(F.coalesce(c, F.lit("")), LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def ordered_distinct(c: Column, key: Callable[[Column], Column] | None = None) -> Column:
     """The first of all elements with one key, in order."""
     if key is None:
         return F.array_distinct(c)
-    keys = F.transform(c, key)
-    return F.filter(c, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return let(c, lambda items: let(F.transform(items, key), lambda keys: F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def normalize_case_number(c: Column, pattern: str = CASE_NUMBER) -> Column:

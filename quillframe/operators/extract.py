@@ -55,10 +55,12 @@ def clean_name(c: Column) -> Column:
 
 def split_names(c: Column) -> Column:
     """Names of a list; an academic degree goes with the name before it, or nowhere."""
-    tokens = _present(F.transform(F.split(c, r"(?iU),|\bdan\b|/|\+|;"), T.strip))
-    starts = F.filter(F.transform(tokens, lambda x, i: F.when(~x.rlike(DEGREE), i + 1)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(tokens) + 1))
-    return F.zip_with(starts, F.slice(ends, F.lit(1), F.size(starts)), lambda a, b: F.array_join(F.slice(tokens, a, b - a), ", "))
+
+    def joined(tokens: Column) -> Column:
+        starts = F.filter(F.transform(tokens, lambda x, i: F.when(~x.rlike(DEGREE), i + 1)), lambda i: i.isNotNull())
+        return T.let(starts, lambda at: F.transform(at, lambda a, k: F.array_join(F.slice(tokens, a, F.coalesce(F.get(at, k + 1), F.size(tokens) + 1) - a), ", ")))
+
+    return T.let(_present(F.transform(F.split(c, r"(?iU),|\bdan\b|/|\+|;"), T.strip)), joined)
 
 
 def names_in_blocks(c: Column) -> Column:
@@ -72,42 +74,49 @@ def names_in_lists(found: Column, least: int = 1) -> Column:
 
 def opening_block(text: Column) -> Column:
     """The lines before the first heading of a ruling's body."""
-    rows = T.lines(text)
-    stops = F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(STOP_HEADING), i)), lambda i: i.isNotNull())
-    return F.array_join(F.when(F.size(stops) > 0, F.slice(rows, F.lit(1), F.array_min(stops))).otherwise(rows), "\n")
+    def before(rows: Column) -> Column:
+        stops = F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(STOP_HEADING), i)), lambda i: i.isNotNull())
+        return F.array_join(F.slice(rows, F.lit(1), F.coalesce(F.array_min(stops), F.size(rows))), "\n")
+
+    return T.let(T.lines(text), before)
 
 
 def blocks_around(text: Column, phrase: str, span: int = PHRASE_LINES) -> Column:
     """``span`` lines from each line that holds a phrase."""
-    rows = T.lines(text)
-    at = F.filter(F.transform(rows, lambda x, i: F.when(F.lower(x).contains(phrase), i + 1)), lambda i: i.isNotNull())
-    return F.transform(at, lambda i: F.array_join(F.slice(rows, i, span), "\n"))
+    def around(rows: Column) -> Column:
+        at = F.filter(F.transform(rows, lambda x, i: F.when(F.lower(x).contains(phrase), i + 1)), lambda i: i.isNotNull())
+        return F.transform(at, lambda i: F.array_join(F.slice(rows, i, span), "\n"))
+
+    return T.let(T.lines(text), around)
 
 
 def document_info(text: Column) -> Column:
-    rows = _present(F.transform(T.lines(text), T.normalize_whitespace))
-    head = F.array_join(F.slice(rows, 1, HEAD_LINES), "\n")
-    number = T.normalize_case_number(head)
-    date = decision_date(text)
-    return F.struct(
-        F.when(head.rlike(r"(?iU)\bketetapan\b"), "ketetapan").when(head.rlike(r"(?iU)\bputusan\b"), "putusan").alias("document_type"),
-        F.when(head.rlike(r"(?iU)\bpuu\b"), "PUU").alias("case_type"),
-        number.alias("case_number"),
-        F.filter(T.extract_case_numbers(head), lambda x: ~x.eqNullSafe(number)).alias("related_case_numbers"),
-        F.get(rows, F.lit(0)).alias("title"),
-        date["iso"].alias("decision_date"),
-        date["raw"].alias("decision_date_raw"),
-        F.lit(None).cast("string").alias("summary"),
-    )
+    def facts(rows: Column) -> Column:
+        return T.let(F.array_join(rows, "\n"), lambda head: T.let(T.normalize_case_number(head), lambda number: T.let(decision_date(text), lambda date: F.struct(
+            F.when(head.rlike(r"(?iU)\bketetapan\b"), "ketetapan").when(head.rlike(r"(?iU)\bputusan\b"), "putusan").alias("document_type"),
+            F.when(head.rlike(r"(?iU)\bpuu\b"), "PUU").alias("case_type"),
+            number.alias("case_number"),
+            F.filter(T.extract_case_numbers(head), lambda x: ~x.eqNullSafe(number)).alias("related_case_numbers"),
+            F.get(rows, F.lit(0)).alias("title"),
+            date["iso"].alias("decision_date"),
+            date["raw"].alias("decision_date_raw"),
+            F.lit(None).cast("string").alias("summary"),
+        ))))
+
+    return T.let(F.slice(_present(F.transform(T.lines(text), T.normalize_whitespace)), 1, HEAD_LINES), facts)
 
 
 def decision_date(text: Column) -> Column:
     """struct<raw, iso> of the date a ruling was pronounced: the first valid one soon after an anchor in its closing."""
     closing = F.regexp_extract(text, r"(?ismdU)\A.*^\s*(Demikian\s+(?:diputus\w*|ditetapkan)\b.*)\z", 1)
     fallback = F.array_join(F.filter(T.lines(text), lambda x: x.rlike(r"(?iU)^\s*(?:diucapkan|dibacakan|ditetapkan)\b")), "\n")
-    closing = T.normalize_whitespace(F.regexp_replace(F.when(closing != "", closing).otherwise(fallback), r"(?mdU)^\s*\d+\s*$", ""))
+    closing = T.normalize_whitespace(F.regexp_replace(T.let(closing, lambda c: F.when(c != "", c).otherwise(fallback)), r"(?mdU)^\s*\d+\s*$", ""))
+    return T.let(closing, _first_date)
+
+
+def _first_date(closing: Column) -> Column:
     spoken, decided = (_matches(closing, rf"(?iU)\b(?:{a})\b(?=(.{{0,{DATE_REACH}}}))", 1) for a in ("diucapkan|dibacakan", "ditetapkan"))
-    raw = F.transform(F.when(F.size(spoken) > 0, spoken).otherwise(decided), lambda w: F.regexp_extract(w, T.DATE, 0))
+    raw = T.let(spoken, lambda s: F.transform(F.when(F.size(s) > 0, s).otherwise(decided), lambda w: F.regexp_extract(w, T.DATE, 0)))
     dated = F.filter(F.transform(raw, lambda r: F.struct(r.alias("raw"), T.normalize_date(r).alias("iso"))), lambda d: d["iso"].isNotNull())
     return F.get(dated, F.lit(0))
 
@@ -174,16 +183,19 @@ def outcome(text: Column, document_type: Column) -> Column:
     body = F.regexp_extract(tail, rf"(?ismdU)\A(.*?)(?:^\s*{AFTER_OPERATIVE}|\z)", 1)
     rows = F.filter(F.transform(T.lines(body), T.normalize_whitespace), lambda x: (x != "") & ~x.rlike(r"(?iU)^(?:\d+|[-–—]+|Mengadili\s*:?|Menetapkan\s*:?)$"))
     number = r"(?U)^\d+[.)](?!\d)\s*"
-    kind = F.transform(rows, lambda x: F.when(x.rlike(r"(?iU)^(?:Dalam (?:Provisi|Pokok Permohonan|Eksepsi)|DALAM POKOK)"), "h").when(x.rlike(number), "n").otherwise("t"))
-    starts = F.filter(F.transform(kind, lambda k, i: F.when((k == "n") | (k == "h") | (i == 0), i + 1)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(rows) + 1))
 
-    def item(start: Column, end: Column) -> Column:
-        skip = F.when(kind[start - 1] == "h", 1).otherwise(0)
-        taken = F.slice(rows, start + skip, end - start - skip)
-        return F.regexp_replace(T.normalize_whitespace(F.array_join(F.transform(taken, lambda x: F.regexp_replace(x, number, "")), " ")), r"(?U)\s+([;,.])", "$1")
+    def grouped(rows: Column) -> Column:
+        kind = F.transform(rows, lambda x: F.when(x.rlike(r"(?iU)^(?:Dalam (?:Provisi|Pokok Permohonan|Eksepsi)|DALAM POKOK)"), "h").when(x.rlike(number), "n").otherwise("t"))
+        starts = F.filter(F.transform(kind, lambda k, i: F.when((k == "n") | (k == "h") | (i == 0), F.struct((i + 1).alias("at"), (k == "h").cast("int").alias("skip")))), lambda i: i.isNotNull())
+
+        def item(rows: Column, at: Column, s: Column, k: Column) -> Column:
+            first, end = s["at"] + s["skip"], F.coalesce(F.get(at, k + 1)["at"], F.size(rows) + 1)
+            taken = F.transform(F.slice(rows, first, end - first), lambda x: F.regexp_replace(x, number, ""))
+            return F.regexp_replace(T.normalize_whitespace(F.array_join(taken, " ")), r"(?U)\s+([;,.])", "$1")
+
+        return T.let(starts, lambda at: F.transform(at, lambda s, k: item(rows, at, s, k)))
 
-    items = _present(F.zip_with(starts, F.slice(ends, F.lit(1), F.size(starts)), item))
+    items = _present(T.let(rows, grouped))
     missing = F.concat(F.when(document_type == "ketetapan", "ketetapan").otherwise("amar putusan"), F.lit(" tidak terdeteksi secara eksplisit"))
     dictum = F.when(there[0] | there[1], items).otherwise(F.array(missing))
     return F.struct(document_type.alias("decision_type"), dictum.alias("dictum"), F.get(dictum, F.lit(0)).alias("summary"))

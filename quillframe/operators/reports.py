@@ -12,7 +12,8 @@ def counts(records: DataFrame, stage: str | None = None) -> DataFrame:
     """(stage, kind, value, n): statuses, types, flags and failed extractors of flat rows (status, document_type, review_flags, failed_extractors)."""
     empty = F.array().cast("array<string>")
     pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-    arrays = [F.transform(F.coalesce(F.col(c), empty), lambda x, k=k: pair(k, x)) for k, c in (("review_flag", "review_flags"), ("failed_extractor", "failed_extractors"))]
+    each = lambda kind: lambda x: pair(kind, x)
+    arrays = [F.transform(F.coalesce(F.col(c), empty), each(k)) for k, c in (("review_flag", "review_flags"), ("failed_extractor", "failed_extractors"))]
     rows = F.concat(
         F.array(pair("status", F.coalesce("status", F.lit(UNKNOWN))), pair("document_type", F.coalesce(F.when(F.col("document_type") != "", F.col("document_type")), F.lit(UNKNOWN))), pair("file_count", F.lit(""))),
         *arrays,

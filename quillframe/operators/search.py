@@ -127,7 +127,8 @@ def facets(df: DataFrame) -> DataFrame:
     unknown = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("unknown"))
     pair = lambda facet, value: F.struct(F.lit(facet).alias("facet"), value.alias("value"))
     single = [pair("status", unknown("status")), pair("document_type", unknown("document_type")), pair("total", F.lit("")), F.when(F.col("needs_manual_review"), pair("needs_review", F.lit(""))), F.when(F.coalesce(F.col("year"), F.lit("")) != "", pair("year", F.col("year")))]
-    many = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, f=f: pair(f, x)) for f, c in (("review_flag", "review_flags"), ("topic", "topics"))]
+    each = lambda facet: lambda x: pair(facet, x)
+    many = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), each(f)) for f, c in (("review_flag", "review_flags"), ("topic", "topics"))]
     rows = df.select(F.explode(F.filter(F.concat(F.array(*single), *many), lambda x: x.isNotNull())).alias("f"))
     return rows.groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("n"))
 

@@ -31,24 +31,29 @@ def split_sections(text: Column, is_heading: Callable[[Column], Column] = looks_
     Text before the first heading has the heading ``opening``. A title on line 1 is no heading. A heading with nothing below it
     gives no section; a text in which all have nothing gives one empty section, so every document has a section.
     """
-    rows = T.lines(text)
-    n = F.size(rows)
-    clean = F.transform(rows, T.normalize_whitespace)
-    heads = F.filter(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-        lambda i: is_heading(clean[i - 1]) & (clean[i - 1] != "") & ~((i == 1) & F.lower(clean[i - 1]).isin(titles)),
-    )
-    starts, ends = F.concat(F.array(F.lit(0)), heads), F.concat(heads, F.array(n + 1))
-
-    def section(start: Column, end: Column) -> Column:
-        heading = F.when(start == 0, F.lit(opening)).otherwise(clean[F.greatest(start - 1, F.lit(0))])
-        body = F.slice(rows, start + 1, end - start - 1)
-        return F.struct(heading.alias("heading"), T.slugify(heading).alias("slug"), T.strip(F.array_join(body, "\n")).alias("text"), (start + 1).alias("start_line"), F.greatest(end - 1, F.lit(1) - n).alias("end_line"))
-
-    every = F.zip_with(starts, ends, section)
-    full = F.filter(every, lambda s: s["end_line"] >= s["start_line"])
-    last = F.element_at(every, -1)
-    return F.when(F.size(full) > 0, full).otherwise(F.array(last))
+    def of_rows(rows: Column) -> Column:
+        return T.let(F.transform(rows, T.normalize_whitespace), lambda clean: T.let(F.concat(F.array(F.lit(0)), heads(clean)), lambda starts: chosen(rows, clean, starts)))
+
+    def heads(clean: Column) -> Column:
+        flagged = F.transform(clean, lambda x, i: F.when(is_heading(x) & (x != "") & ~((i == 0) & F.lower(x).isin(titles)), i + 1))
+        return F.filter(flagged, lambda i: i.isNotNull())
+
+    def chosen(rows: Column, clean: Column, starts: Column) -> Column:
+        n = F.size(rows)
+
+        def section(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), n + 1)
+            heading = F.when(start == 0, F.lit(opening)).otherwise(F.get(clean, start - 1))
+            body = F.array_join(F.slice(rows, start + 1, end - start - 1), "\n")
+            return F.struct(heading.alias("heading"), T.slugify(heading).alias("slug"), T.strip(body).alias("text"), (start + 1).alias("start_line"), F.greatest(end - 1, F.lit(1) - n).alias("end_line"))
+
+        def full(every: Column) -> Column:
+            kept = F.filter(every, lambda s: s["end_line"] >= s["start_line"])
+            return T.let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.slice(every, -1, 1)))
+
+        return T.let(F.transform(starts, section), full)
+
+    return T.let(T.lines(text), of_rows)
 
 
 def explode_sections(docs: DataFrame, key: str, text: str = "text", **how) -> DataFrame:
