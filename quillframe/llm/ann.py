@@ -26,9 +26,9 @@ TOP, QUERY_STEP = 20, 20
 LIST_SIZE, MAX_LISTS, CELL = 400, 2048, 4096
 #: Rows that the centroids are fitted on, at most (40 a list if that is less).
 SAMPLE_ROWS = 20_480
-#: Lists of a vector at most and how much farther than the nearest they may be; the same for a query.
+#: Lists of a vector at most and how much farther than the nearest they may be; the same for a query, which opens LEAST_PROBES anyway.
 REPLICAS, REPLICA_RATIO = 4, 1.10
-PROBES, PROBE_RATIO = 128, 1.12
+PROBES, PROBE_RATIO, LEAST_PROBES = 128, 1.12, 8
 #: Neighbours of a centroid in the graph.
 DEGREE = 24
 
@@ -262,7 +262,7 @@ def nearest(df: DataFrame, is_query: str, key: str = "vec_id", vector: str = "em
                 part = batch.slice(at, 256)
                 found, dist = graph.search(graph.lengthened(matrix(part.column("vec")), query=True), PROBES)
                 held = np.cumsum(size[full[found]], axis=1) - size[full[found]]
-                row, place = np.nonzero((dist <= dist[:, :1] * PROBE_RATIO + 1e-12) | (held <= REPLICAS * (top + 1)))
+                row, place = np.nonzero((dist <= dist[:, :1] * PROBE_RATIO + 1e-12) | (np.arange(found.shape[1]) < LEAST_PROBES) | (held <= REPLICAS * (top + 1)))
                 number = full[found[row, place]]
                 yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int64)), part.column("id").take(pa.array(row)), part.column("vec").take(pa.array(row))], ["list", "id", "vec"])
 

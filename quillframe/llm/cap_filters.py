@@ -170,11 +170,16 @@ def _meet(cells: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = matrix(batch.column("va")), matrix(batch.column("vb"))
-            x, y = x / np.abs(x).max(axis=1)[:, None], y / np.abs(y).max(axis=1)[:, None]
-            cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-            yield batch.select(["a", "b"]).filter(pa.array(cosine >= threshold))
+        for whole in batches:
+            lengths = whole.column("va").value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths):
+                yield linked(whole.filter(pa.array(lengths == dim)))
+
+    def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = matrix(batch.column("va")), matrix(batch.column("vb"))
+        x, y = x / np.abs(x).max(axis=1)[:, None], y / np.abs(y).max(axis=1)[:, None]
+        cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+        return batch.select(["a", "b"]).filter(pa.array(cosine >= threshold))
 
     return run
 

@@ -73,7 +73,8 @@ def usable(vector: Column) -> Column:
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of an Arrow list column of equal lengths as doubles."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
