@@ -295,7 +295,7 @@ def story_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chapter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("chapter"))
-    groups = entries.select("conv_id").distinct().crossJoin(spark.createDataFrame([("user",), ("assistant",), ("epilogue",)], "chapter string"))
+    groups = entries.select("conv_id").distinct().withColumn("chapter", F.explode(F.array(*map(F.lit, ["user", "assistant", "epilogue"]))))
     return stories.chapters(entries, groups, "conv_id")
 
 
