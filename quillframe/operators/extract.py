@@ -130,8 +130,8 @@ def parties(text: Column, sections: Column) -> Column:
         T.nullif_empty(F.regexp_extract(start, r"(?iU)permohonan bertanggal\s+.+?\s+dari\s+(.+?)(?=,?\s+yang\b)", 1)),
     )
     line = T.nullif_empty(F.regexp_extract(text, r"(?imdU)^\s*Pemohon\s*:\s*(.+)$", 1))
-    blocks = names_in_blocks(opening)
-    applicants = F.when(F.size(blocks) > 0, blocks).when(named.isNotNull(), F.transform(split_names(named), clean_name)).when(line.isNotNull(), F.array(clean_name(line))).otherwise(F.array().cast(NO_NAMES))
+    told = lambda n: F.when(n.isNotNull(), F.transform(split_names(n), clean_name)).otherwise(F.coalesce(F.array_compact(F.array(clean_name(line))), F.array().cast(NO_NAMES)))
+    applicants = T.let(names_in_blocks(opening), lambda names: F.when(F.size(names) > 0, names).otherwise(T.let(named, told)))
     body = F.concat(F.array_join(F.transform(sections, lambda s: s["text"]), "\n\n"), F.lit("\n"), F.array_join(F.transform(sections, lambda s: s["heading"]), "\n"))
     respondents = F.filter(F.array(*[F.when(body.rlike(rf"(?iU)\b{i}\b"), i) for i in INSTITUTIONS]), lambda x: x.isNotNull())
     experts, witnesses = (F.flatten(F.transform(blocks_around(text, phrase), names_in_blocks)) for phrase in ("keterangan ahli", "keterangan saksi"))
@@ -177,9 +177,22 @@ def proceedings(text: Column, sections: Column) -> Column:
 
 def outcome(text: Column, document_type: Column) -> Column:
     """struct<decision_type, dictum, summary> of the last operative part."""
-    marks = [rf"(?ismdU)\A.*^\s*{p}" for p in OPERATIVE]
-    there = [text.rlike(m) for m in marks]
-    tail = F.when(there[0], F.regexp_extract(text, marks[0] + r"(.*)\z", 1)).when(there[1], F.regexp_extract(text, marks[1] + r"(.*)\z", 1))
+    tail = F.coalesce(*[_after_last(text, mark) for mark in OPERATIVE])
+    return T.let(tail, lambda t: F.when(t.isNull(), _no_outcome(document_type)).otherwise(_outcome_of(t, document_type)))
+
+
+def _after_last(text: Column, mark: str) -> Column:
+    """What follows the last line start that matches a mark; null without one."""
+    cut = F.regexp_replace(text, rf"(?ismdU)\A.*^\s*{mark}", "\0")
+    return T.let(cut, lambda c: F.when(c.startswith("\0"), F.substring(c, F.lit(2), F.length(c))))
+
+
+def _no_outcome(document_type: Column) -> Column:
+    message = F.concat(F.when(document_type == "ketetapan", "ketetapan").otherwise("amar putusan"), F.lit(" tidak terdeteksi secara eksplisit"))
+    return F.struct(document_type.alias("decision_type"), F.array(message).alias("dictum"), message.alias("summary"))
+
+
+def _outcome_of(tail: Column, document_type: Column) -> Column:
     body = F.regexp_extract(tail, rf"(?ismdU)\A(.*?)(?:^\s*{AFTER_OPERATIVE}|\z)", 1)
     rows = F.filter(F.transform(T.lines(body), T.normalize_whitespace), lambda x: (x != "") & ~x.rlike(r"(?iU)^(?:\d+|[-–—]+|Mengadili\s*:?|Menetapkan\s*:?)$"))
     number = r"(?U)^\d+[.)](?!\d)\s*"
@@ -196,9 +209,7 @@ def outcome(text: Column, document_type: Column) -> Column:
         return T.let(starts, lambda at: F.transform(at, lambda s, k: item(rows, at, s, k)))
 
     items = _present(T.let(rows, grouped))
-    missing = F.concat(F.when(document_type == "ketetapan", "ketetapan").otherwise("amar putusan"), F.lit(" tidak terdeteksi secara eksplisit"))
-    dictum = F.when(there[0] | there[1], items).otherwise(F.array(missing))
-    return F.struct(document_type.alias("decision_type"), dictum.alias("dictum"), F.get(dictum, F.lit(0)).alias("summary"))
+    return T.let(items, lambda d: F.struct(document_type.alias("decision_type"), d.alias("dictum"), F.get(d, F.lit(0)).alias("summary")))
 
 
 def signature_names(text: Column) -> Column:
