@@ -220,6 +220,14 @@ def url_key(c: Column) -> Column:
     return F.concat(host, path, F.lit("?"), query)
 
 
+def urls_equivalent(a: Column, b: Column, mark: str = "download.putusan") -> Column:
+    """Whether two addresses lead to one file: equal keys, equal path and query, or one ``id`` on two pages that hold ``mark``."""
+    tail = lambda u: F.regexp_replace(url_key(u), r"^[^/?]*", "")
+    ident = lambda u: nullif_empty(F.regexp_extract(u, r"[?&]id=([^&#]*)", 1))
+    marked = lambda u: F.lower(F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", "")).contains(mark)
+    return (a == b) | (url_key(a) == url_key(b)) | (tail(a) == tail(b)) | F.coalesce((ident(a) == ident(b)) & marked(a) & marked(b), F.lit(False))
+
+
 def display_date(iso: Column) -> Column:
     """``d Month yyyy`` in Indonesian; other texts stay as they are."""
     day = F.try_to_date(iso, "yyyy-MM-dd")

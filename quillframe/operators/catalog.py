@@ -149,3 +149,19 @@ def translate(df: DataFrame, column: str, dictionary: DataFrame, out: str) -> Da
     """Exact translation by a dictionary (source, target); what it lacks stays as it is."""
     pairs = dictionary.select(F.col("source").alias("_from"), F.col("target").alias("_to")).dropDuplicates(["_from"])
     return df.join(pairs, F.col(column) == F.col("_from"), "left").withColumn(out, F.coalesce("_to", F.col(column))).drop("_from", "_to")
+
+
+#: Fragments of the interface that only differ in numbers, and their English.
+PHRASES = [
+    (r"Halaman (\d+)", "Page $1"), (r"PDF hlm\. (\d+)", "PDF p. $1"), (r"(\d+) hakim", "$1 judges"), (r"Jelajahi (\d+) topik", "Browse $1 topics"), (r"Jelajahi (\d+) perkara →", "Browse $1 cases →"),
+    (r"Bagian (\d+) dari (\d+)", "Part $1 of $2"), (r"Cerita (\d+) · (\d+) perkara", "Story $1 · $2 cases"), (r"Bab (\d+) · (\d+) perkara", "Chapter $1 · $2 cases"), (r"([\d–]+) dari (\d+) perkara", "$1 of $2 cases"),
+    (r"(\d+) perkara", "$1 cases"), (r"(\d+) topik", "$1 topics"),
+]
+
+
+def translate_phrases(c: Column, phrases: Sequence[tuple[str, str]] = PHRASES) -> Column:
+    """A whole text by the first phrase that matches it; others stay as they are."""
+    out = c
+    for pattern, english in reversed(phrases):
+        out = F.when(c.rlike(f"^(?:{pattern})$"), F.regexp_replace(c, f"^(?:{pattern})$", english)).otherwise(out)
+    return out

@@ -64,3 +64,21 @@ def explode_sections(docs: DataFrame, key: str, text: str = "text", **how) -> Da
 def number_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line_no, line), line_no from 1; a text without lines gives none."""
     return docs.select(key, F.posexplode(T.lines(F.col(text))).alias("n", "line")).select(key, (F.col("n") + 1).alias("line_no"), "line")
+
+
+# What a preview of a document's sections shows.
+PREVIEW_WORDS = ["putusan", "ketetapan", "duduk perkara", "pertimbangan", "amar", "konklusi", "petitum", "kewenangan", "kedudukan hukum", "pokok permohonan"]
+PREVIEW_CHARS, PREVIEW_SECTIONS, SHORT_HEADING, SHORT_HEADING_WORDS = 280, 18, 48, 6
+
+
+def preview(parts: Column) -> Column:
+    """array<struct<heading, excerpt>> of the first sections whose heading is short or telling."""
+
+    def telling(heading: Column) -> Column:
+        out = (F.length(heading) <= SHORT_HEADING) & (F.size(F.split(heading, " ")) <= SHORT_HEADING_WORDS)
+        for word in PREVIEW_WORDS:
+            out = out | F.lower(heading).contains(word)
+        return out
+
+    shown = F.slice(F.filter(parts, lambda s: (s["heading"] != "") & telling(s["heading"])), 1, PREVIEW_SECTIONS)
+    return F.transform(shown, lambda s: F.struct(s["heading"].alias("heading"), F.concat(F.substring(s["text"], 1, PREVIEW_CHARS), F.when(F.length(s["text"]) > PREVIEW_CHARS, "...").otherwise("")).alias("excerpt")))

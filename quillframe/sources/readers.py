@@ -42,12 +42,12 @@ def read_records(spark: SparkSession, path: str | Sequence[str], recursive: bool
 
 def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
     """(path, raw): whole JSON files as text, for checks that need to tell a missing key from a null."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """(file_name, path, text) of whole text or HTML files."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -82,12 +82,12 @@ def pdf_texts(files: DataFrame) -> DataFrame:
 
 def keyed_json(spark: SparkSession, path: str, value_schema: str, key: str = "case_number") -> DataFrame:
     """Rows of a JSON file that holds one object of key -> value."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     entries = raw.select(F.explode(F.from_json("value", f"map<string,struct<{value_schema}>>")).alias(key, "v"))
     return entries.select(key, "v.*")
 
 
 def listed_json(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
     """(file, idx, ...) of JSON files that hold a list of objects, in order."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return raw.select("file", F.posexplode(F.from_json("value", f"array<struct<{row_schema}>>")).alias("idx", "v")).select("file", "idx", "v.*")
