@@ -53,11 +53,10 @@ def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str], values
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_last")).select(*keys, *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
-def fill_download_url(records: DataFrame, manifests: DataFrame, hint: bool = False) -> DataFrame:
+def fill_download_url(records: DataFrame, manifests: DataFrame) -> DataFrame:
     """Records with ``source.download_url`` filled from manifests (file, idx, case_number, document_type, url) where it is missing; the last manifest wins."""
     named = manifests.select(T.normalize_case_number(F.col("case_number")).alias("_number"), F.coalesce("document_type", F.lit("putusan")).alias("_type"), "file", "idx", "url")
     last = last_wins(named, ["_number", "_type"], ["file", "idx"], ["url"])
-    last = F.broadcast(last) if hint else last
     same = T.normalize_case_number(F.col("document.case_number")).eqNullSafe(F.col("_number")) & F.col("document.document_type").eqNullSafe(F.col("_type"))
     url = F.coalesce(T.nullif_empty(F.col("source.download_url")), T.nullif_empty(F.col("url")))
     return records.join(last, same, "left").withColumn("source", F.col("source").withField("download_url", url)).drop("_number", "_type", "url")
