@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Sequence
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints/quillframe"
+#: Bytes of an Arrow batch of texts, unless one row has more.
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +35,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of a few megabytes, so that long ones don't meet in memory; a session setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def release_memory() -> None:
+    """Give what a worker has freed back to the system: workers live on from task to task, and large arrays leave holes."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the table that ``materialize`` wrote, once nothing reads it any more."""
     spark = df.sparkSession

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .toxicity import held_out
 
 #: Bytes of an n-gram and buckets for each length.
 ORDERS, BUCKETS = (1, 2, 3, 4), 2048
 #: Labelled rows that the classifiers are fitted on at most, and of one language at least if there are as many.
-SAMPLE_ROWS, LEAST_ROWS = 3000, 20
+SAMPLE_ROWS, LEAST_ROWS = 1500, 20
 #: Ridge penalty, bits of a random code for each doubling of the languages, score under which a decision is ambiguous.
 PENALTY, BITS_PER_DOUBLING, AMBIGUOUS = 1e-3, 10, 0.5
 NONE = "und"
@@ -124,6 +124,7 @@ def fit_rows(x: np.ndarray, language: list[str]) -> Model:
 
 def fit(docs: DataFrame) -> Model:
     """A model from (id, text, lang): rows with a null lang or text without a letter don't count; of each language, rows with small id hashes are taken."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -140,14 +141,13 @@ def fit(docs: DataFrame) -> Model:
 
     rows = drawn.select("id", "lang", "text").mapInArrow(run, "id long, lang string, body binary").collect()
     rows.sort(key=lambda r: (r["id"], r["lang"], bytes(r["body"])))
-    x = np.zeros((len(rows), len(ORDERS) * BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        x[i] = np.frombuffer(r["body"], "<f2")
+    x = np.stack([np.frombuffer(r["body"], "<f2") for r in rows]).astype(np.float32) if rows else np.zeros((0, len(ORDERS) * BUCKETS), np.float32)
     return fit_rows(x, [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Every row with ``lang_pred`` (``und`` for a null text or one without a letter), ``score`` and ``ambiguous``; input columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "ambiguous")
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, small_batches, table
 
 #: Bytes of an n-gram, buckets they are hashed to (as a power of two), blocks of partial counts.
 ORDERS, BITS, BLOCKS = (3, 4, 5, 6), 20, 64
 #: N-grams that stay, labelled rows of each class that the regression is fitted on at most, its penalty and steps.
-FEATURES, SAMPLE_ROWS, PENALTY, STEPS = 4000, 6000, 1e-3, 150
+FEATURES, SAMPLE_ROWS, PENALTY, STEPS = 4000, 4000, 1e-3, 150
 #: Rows of labels that are broadcast at most (about 16 bytes each); more are joined by shuffle.
 MAX_BROADCAST_LABELS = 2_000_000
 #: Folds of the held-out split.
@@ -130,6 +130,7 @@ def fit(labelled: DataFrame) -> Model:
 
     The counts are of all rows; the regression sees at most about SAMPLE_ROWS of each class, those with small hashes of their id.
     """
+    small_batches(labelled.sparkSession)
     found = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = found.get(0, 0), found.get(1, 0)
     if not all(sizes):
@@ -171,6 +172,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label
 
 def score_texts(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """Every row with a score from 0 to 1 for its text; a null text is an empty one. An input column of the name is replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out)
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
