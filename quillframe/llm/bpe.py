@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
 #: Entries of a worker's table of pieces; a full one becomes the old table, whose pieces return when met. Longer pieces are not kept.
 TABLE_ENTRIES, TABLE_PIECE = 350_000, 64
@@ -223,6 +223,7 @@ def digest_rows(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (array of int) to every row. A null text counts as empty; an input column ``ids`` is replaced."""
+    small_batches(docs.sparkSession)
     columns = [f for f in docs.schema.fields if f.name != "ids"]
     docs = docs.select(*[f.name for f in columns])
 
@@ -251,5 +252,6 @@ def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 yield digest_rows(whole.slice(at, BATCH_ROWS), path)
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, partitions, splitmix, table
+from .common import drop_scratch, materialize, partitions, release_memory, small_batches, splitmix, table
 from .components import connected_components
 from .substring import window_hashes, word_bounds, word_hashes
 
@@ -31,11 +31,11 @@ FINEST, WIDEST = -8, 256.0
 #: Rounds of comparing buckets with one of their texts before whatever is left is compared.
 PIVOTS = 3
 #: Texts and bytes of a block, and shingles counted at once, when buckets are compared in blocks.
-BLOCK, BLOCK_BYTES, SLICE = 512, 8_000_000, 8192
+BLOCK, BLOCK_BYTES, SLICE = 512, 4_000_000, 2048
 #: Pairs left for each bucket entry up to which they are compared one by one.
 PAIRS_PER_ENTRY = 1
 #: Characters of text taken at once for signatures.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +152,7 @@ def banded(texts: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int
                     offsets = np.arange(0, keys.size + 1, bands, dtype=np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at:to][full]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))], ["id", "keys"])
                 at = to
+        release_memory()
 
     return texts.mapInArrow(run, "id long, keys array<long>")
 
@@ -167,6 +168,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, w
                     last, first = x, shingles(s.as_py(), width)
                 keep.append(similarity(first, shingles(t.as_py(), width)) >= threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release_memory()
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -185,6 +187,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     Null texts and texts without words are in classes of their own, as are rows without a near copy. Repeated rows share a class.
     A null key gives a null class. Extra columns don't matter. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col(key).cast("long").alias("id"), F.md5(F.col(text).cast("binary")).alias("digest"))
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     classes = materialize(text_classes(docs, key, text))
@@ -296,6 +299,7 @@ def linked_in_blocks(rest: DataFrame, texts: DataFrame, threshold: float, width:
                 rows.append(tuple(row))
         if rows:
             yield solve(rows)
+        release_memory()
 
     return cells.repartition(partitions(rest.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 

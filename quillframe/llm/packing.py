@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import gapless_rank, materialize, table
+from .common import gapless_rank, materialize, small_batches, table
 
 WINDOW, END = 2048, 1
 #: Parts that the remainders of one length are numbered in; window x BUCKETS rows of 24 bytes are broadcast at most.
@@ -106,6 +106,7 @@ def cut_pieces(docs: DataFrame, key: str, path: str, window: int = WINDOW, end:
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], [key, "start", "length", "ids_crc32", "doc_tokens"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 

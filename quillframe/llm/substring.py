@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, splitmix, table
+from .common import partitions, release_memory, small_batches, splitmix, table
 
 WIDTH = 13
 #: Words of a chunk that a worker holds at once (a longer document is a chunk of its own), and the least number of buckets.
-CHUNK_WORDS, LEAST_BUCKETS = 1_000_000, 32
+CHUNK_WORDS, LEAST_BUCKETS = 1_000_000, 64
 #: Bytes hashed at once: about 30 bytes of memory for each.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 #: Fixed values of the hash: odd multipliers for bytes, words and word lengths.
 BYTE_BASE, WORD_BASE, LENGTH_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x94D049BB133111EB
 WHITE = np.zeros(256, bool)
@@ -171,6 +171,7 @@ def _send(width: int, buckets: int):
                 seven = high[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
                 rows.append((int(b[lo]), False, int(hi - lo), len(at).to_bytes(4, "little") + len(small).to_bytes(4, "little") + small + seven))
             yield emit(rows)
+        release_memory()
 
     return run
 
@@ -216,13 +217,16 @@ def _answer(buckets: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append((n, body.as_py()))
     if parts:
         yield from solve(parts)
+    release_memory()
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, bodies): for each document with repeated windows, packed runs of positions that hold one window of each repeated hash at least."""
-    buckets = max(LEAST_BUCKETS, partitions(docs.sparkSession))
+    small_batches(docs.sparkSession)
+    tasks = partitions(docs.sparkSession)
+    buckets = max(LEAST_BUCKETS, tasks)
     sent = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_send(width, buckets), _SENT)
-    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = sent.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_answer, "doc_id long, body binary").groupBy("doc_id").agg(F.collect_list("body").alias("bodies"))
 
 
