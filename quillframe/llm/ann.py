@@ -2,8 +2,9 @@
 
 Centroids come from a balanced k-means on a bounded sample; every vector of the table is then indexed. A vector joins
 the list of its nearest centroid and, near a boundary, those of others almost as near. Centroids are searched by an in-memory neighbour
-graph, and a query takes the lists whose centroids are within a ratio of the nearest one's distance. The largest inner
-product is found as the smallest distance after one more dimension makes all vectors equally long.
+graph, and a query takes the lists whose centroids are within a ratio of the nearest one's distance, and as many of the nearest lists
+anyway as a bounded set of trial queries needs to find its exact neighbours, so that recall doesn't fall as lists become many. The largest
+inner product is found as the smallest distance after one more dimension makes all vectors equally long.
 
 Long lists are cut into cells of bounded size; a query meets each cell of its lists, and keeps its best of each. Scores are sums in
 double precision over the original vectors, in order of dimension.
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import matrix, partitions, splitmix, table, usable
@@ -29,6 +30,8 @@ SAMPLE_ROWS = 20_480
 #: Lists of a vector at most and how much farther than the nearest they may be; the same for a query, which opens LEAST_PROBES anyway.
 REPLICAS, REPLICA_RATIO = 4, 1.10
 PROBES, PROBE_RATIO, LEAST_PROBES = 128, 1.12, 8
+#: Queries compared with all vectors at most, and the share of their exact neighbours that the lists opened anyway must hold.
+TRIALS, TARGET = 128, 0.98
 #: Neighbours of a centroid in the graph.
 DEGREE = 24
 
@@ -84,6 +87,14 @@ class Index:
             dist[rows, width:] = np.inf
             done[rows, width:] = True
 
+    def nearest(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search``; where a walk would see most centroids anyway, all are compared at once."""
+        if width * DEGREE < len(self.centroids):
+            return self.search(x, width)
+        square = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", self.centroids, self.centroids) - 2 * x @ self.centroids.T
+        found = np.argsort(square, axis=1, kind="stable")[:, :width]
+        return found, np.sqrt(np.maximum(0, np.take_along_axis(square, found, 1)))
+
     def lists(self, x: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: the lists within ``ratio`` of the nearest one's distance, ``most`` at most."""
         found, dist = self.search(x, most)
@@ -138,6 +149,50 @@ def fit(vectors: DataFrame) -> Index | None:
     return index
 
 
+def least_probes(vectors: DataFrame, is_query: str, index: Index, opened: Index, full: np.ndarray, top: int) -> int:
+    """How many of the nearest lists hold TARGET of the exact neighbours of trial queries, those of the smallest id hashes; lists ``full`` can be opened.
+
+    Every task keeps the best of its rows for each trial and tells only how near a neighbour's nearest list is.
+    """
+    if len(full) <= LEAST_PROBES:
+        return LEAST_PROBES
+    trials = vectors.where(is_query).orderBy(F.xxhash64("id", F.lit("trial")), "id").limit(TRIALS).toPandas()
+    if not len(trials):
+        return LEAST_PROBES
+    asking, q = trials["id"].to_numpy(), np.asarray(trials["vec"].tolist(), np.float64)
+    place = np.full((len(q), len(index.centroids)), len(full))
+    order = opened.nearest(opened.lengthened(q, query=True), len(full))[0]
+    np.put_along_axis(place, full[order], np.broadcast_to(np.arange(len(full)), order.shape), 1)
+    shared = vectors.sparkSession.sparkContext.broadcast((index, asking, q, place))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, asking, q, place = shared.value
+        ids, score, vec = np.empty((len(q), 0), np.int64), np.empty((len(q), 0)), np.empty((len(q), 0, q.shape[1]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                key, x = part.column("id").to_numpy(zero_copy_only=False), matrix(part.column("vec"))
+                new = np.where(asking[:, None] == key, -np.inf, q @ x.T)
+                mine = np.argsort(-new, axis=1, kind="stable")[:, :top]
+                ids, score = np.concatenate([ids, key[mine]], axis=1), np.concatenate([score, np.take_along_axis(new, mine, 1)], axis=1)
+                vec = np.concatenate([vec, x[mine]], axis=1)
+                keep = np.argsort(-score, axis=1, kind="stable")[:, :top]
+                ids, score, vec = np.take_along_axis(ids, keep, 1), np.take_along_axis(score, keep, 1), np.take_along_axis(vec, keep[:, :, None], 1)
+        if ids.size:
+            trial = np.repeat(np.arange(len(q)), ids.shape[1])
+            row, number = index.lists(index.lengthened(vec.reshape(-1, q.shape[1])), REPLICAS, REPLICA_RATIO)
+            rank = np.full(len(trial), len(index.centroids))
+            np.minimum.at(rank, row, place[trial[row], number])
+            fine = np.isfinite(score.reshape(-1))
+            yield pa.RecordBatch.from_arrays([pa.array(c[fine]) for c in (trial, ids.reshape(-1), score.reshape(-1), rank)], ["trial", "id", "score", "rank"])
+
+    best = Window.partitionBy("trial").orderBy(F.desc("score"), "id")
+    found = vectors.mapInArrow(run, "trial long, id long, score double, rank long").withColumn("n", F.row_number().over(best)).where(F.col("n") <= top)
+    ranks = np.sort([r["rank"] for r in found.select("rank").collect()])  # TRIALS * top numbers
+    shared.destroy()
+    return max(LEAST_PROBES, int(ranks[int(np.ceil(TARGET * len(ranks))) - 1]) + 1) if len(ranks) else LEAST_PROBES
+
+
 def _exact(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Inner products of paired rows, summed in order of dimension, so that equal vectors get equal scores."""
     out = np.zeros(len(q))
@@ -253,16 +308,20 @@ def nearest(df: DataFrame, is_query: str, key: str = "vec_id", vector: str = "em
     size = np.asarray([sizes.get(i, 0) for i in range(len(index.centroids))])
     full = np.flatnonzero(size)
     opened = Index(index.centroids[full], neighbour_graph(index.centroids[full]), index.longest)
+    least = least_probes(vectors, is_query, index, opened, full, top)
+    most = max(PROBES, least)
     probed, cells = spark.sparkContext.broadcast((opened, full, size)), -(-size // CELL)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, full, size = probed.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found, dist = graph.search(graph.lengthened(matrix(part.column("vec")), query=True), PROBES)
+            step = max(1, 256 * PROBES // most)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                found, dist = graph.nearest(graph.lengthened(matrix(part.column("vec")), query=True), most)
                 held = np.cumsum(size[full[found]], axis=1) - size[full[found]]
-                row, place = np.nonzero((dist <= dist[:, :1] * PROBE_RATIO + 1e-12) | (np.arange(found.shape[1]) < LEAST_PROBES) | (held <= REPLICAS * (top + 1)))
+                place = np.arange(found.shape[1])
+                row, place = np.nonzero((dist <= dist[:, :1] * PROBE_RATIO + 1e-12) & (place < PROBES) | (place < least) | (held <= REPLICAS * (top + 1)))
                 number = full[found[row, place]]
                 yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int64)), part.column("id").take(pa.array(row)), part.column("vec").take(pa.array(row))], ["list", "id", "vec"])
 

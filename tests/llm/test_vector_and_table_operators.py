@@ -128,6 +128,21 @@ def test_nearest_neighbours(spark, monkeypatch, size, recall):
     assert ann.nearest(spark.createDataFrame([(0, [1.0])], VECTORS), "id = 0").count() == 0
 
 
+def test_recall_holds_with_many_lists(spark, monkeypatch):
+    """Vectors without structure in hundreds of lists: a fixed number of opened lists finds too few of their neighbours."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 20)
+    draw = np.random.default_rng(7)
+    x = np.float32(draw.standard_normal((12_000, 32)) * 0.125)
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], VECTORS)
+    got = {}
+    for r in ann.nearest(df, "id % 60 = 0").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x[::60].astype(float) @ x.T.astype(float)
+    score[np.arange(len(score)), np.arange(0, len(x), 60)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(got[60 * i] & set(w)) / 20 for i, w in enumerate(want.tolist())]) >= 0.96
+
+
 def test_balanced_lists():
     draw = np.random.default_rng(5)
     x = np.concatenate([draw.standard_normal((3000, 8)) * 0.3, draw.standard_normal((300, 8)) * 3])
