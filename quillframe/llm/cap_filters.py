@@ -5,8 +5,9 @@ The directions form random product codes: the space is rotated and cut into bloc
 of one vector a block is a direction. A vector's filters are listed from the block products by pruned sums, without visiting the others.
 Vectors that share a filter and whose sign sketches are near are verified by cosine in double precision.
 
-The number of directions follows the number of vectors and the filters of each vector stay the same, so work grows in
-proportion, apart from the links themselves. Filters of many vectors are cut into cells of bounded size.
+The number of directions follows the number of vectors, and the filters of each vector in a code stay the same. The number of codes is
+fitted on random pairs at the threshold, for the length of the vectors and the size of the table, so that the share of missed pairs
+doesn't grow with the table. Filters of many vectors are cut into cells of bounded size.
 """
 
 from __future__ import annotations
@@ -23,10 +24,16 @@ from .common import drop_scratch, materialize, matrix, partitions, splitmix, tab
 from .components import connected_components
 
 THRESHOLD = 0.9
-#: Codes, mean number of filters of a random vector in each, directions of a code for each vector of the table.
+#: Codes at least, mean number of filters of a random vector in each, directions of a code for each vector of the table.
 CODES, PASSED, DIRECTIONS = 8, 16, 16
+#: Random pairs at the threshold that the number of codes is fitted on, the share of them that may meet in no filter, codes at most.
+TRIALS, MISSED, MOST_CODES = 4000, 0.002, 32
 #: Code vectors of a block at most; more directions take more blocks.
-BLOCK_SIZE = 4096
+BLOCK_SIZE = 16_384
+#: Vectors whose block products are held at a time.
+ROWS = 512
+#: The most frequent lengths of vectors that codes are fitted for, so many at most; others take MOST_CODES.
+FITTED = 8
 #: Bits of a sketch, and the differing bits allowed: vectors at cosine 0.9 differ in 18.4 +- 4, beyond 38 once in two million.
 SKETCH, DIFFER = 128, 38
 #: Vectors in a cell of a filter.
@@ -83,6 +90,35 @@ def cap_threshold(dim: int, vectors: int) -> float:
     return threshold
 
 
+def missed(dim: int, vectors: int, threshold: float, most: int) -> Iterator[float]:
+    """The share of random pairs at a cosine of ``threshold`` that share no filter in the first code, the first two and so on, ``most`` at most."""
+    draw = np.random.default_rng([dim, 2])
+    x, side = draw.standard_normal((2, TRIALS, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side -= np.einsum("ij,ij->i", side, x)[:, None] * x
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * side / np.linalg.norm(side, axis=1)[:, None]
+    cap = cap_threshold(dim, vectors)
+    for seed in range(most):
+        code, apart = product_code(dim, seed, vectors), np.ones(len(x), bool)
+        for at in range(0, len(x), ROWS):
+            px, py = block_products(x[at : at + ROWS], code), block_products(y[at : at + ROWS], code)
+            for i in range(len(px[0])):
+                apart[at + i] = not np.intersect1d(list_decode([p[i] for p in px], cap), list_decode([p[i] for p in py], cap), assume_unique=True).size
+        x, y = x[apart], y[apart]
+        yield len(x) / TRIALS
+
+
+@lru_cache(maxsize=32)
+def code_count(dim: int, vectors: int, threshold: float) -> int:
+    """The codes that leave at most MISSED of random pairs at the threshold without a common filter, between CODES and MOST_CODES."""
+    if dim < 2:
+        return CODES
+    for codes, share in enumerate(missed(dim, vectors, threshold, MOST_CODES), 1):
+        if share <= MISSED:
+            return max(CODES, codes)
+    return MOST_CODES
+
+
 @lru_cache(maxsize=32)
 def _sketch_planes(dim: int) -> np.ndarray:
     return np.random.default_rng([dim, 1 << 20]).standard_normal((dim, SKETCH))
@@ -93,29 +129,33 @@ def sketches(unit: np.ndarray) -> np.ndarray:
     return np.packbits(unit @ _sketch_planes(unit.shape[1]) >= 0, axis=1).view(np.int64)
 
 
-def postings(vectors: DataFrame, count: int) -> DataFrame:
-    """(filter, least, id, s1, s2) for every filter that a vector of (id, vec) passes; ``least`` is the smallest filter it passes in that code."""
+def postings(vectors: DataFrame, count: int, codes: dict[int, int]) -> DataFrame:
+    """(filter, least, id, s1, s2) for every filter that a vector of (id, vec) passes; ``least`` is the smallest filter it passes in that code.
+
+    ``codes`` holds the number of codes for each length of a vector; MOST_CODES where it has none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lengths = batch.column("id").to_numpy(zero_copy_only=False), batch.column("vec").value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(lengths):
-                mine = np.flatnonzero(lengths == dim)
-                x = matrix(batch.column("vec").take(pa.array(mine)))
-                x /= np.abs(x).max(axis=1)[:, None]
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                threshold, sketch = cap_threshold(int(dim), count), sketches(x)
-                for seed in range(CODES):
-                    products = block_products(x, product_code(int(dim), seed, count))
-                    found = [list_decode([p[i] for p in products], threshold) for i in range(len(x))]
-                    n = np.asarray([len(f) for f in found])
-                    if not n.sum():
-                        continue
-                    key = splitmix(np.concatenate(found).astype(np.uint64) * np.uint64(CODES) + np.uint64(seed) + splitmix(np.asarray([dim]))).view(np.int64)
-                    full = n > 0
-                    least = np.repeat(np.minimum.reduceat(key, (np.cumsum(n) - n)[full]), n[full])
-                    who = np.repeat(np.arange(len(x)), n)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, least, ids[mine][who], sketch[who, 0], sketch[who, 1])], ["filter", "least", "id", "s1", "s2"])
+                same = np.flatnonzero(lengths == dim)
+                for mine in np.split(same, range(ROWS, len(same), ROWS)):
+                    x = matrix(batch.column("vec").take(pa.array(mine)))
+                    x /= np.abs(x).max(axis=1)[:, None]
+                    x /= np.linalg.norm(x, axis=1)[:, None]
+                    threshold, sketch, most = cap_threshold(int(dim), count), sketches(x), codes.get(int(dim), MOST_CODES)
+                    for seed in range(most):
+                        products = block_products(x, product_code(int(dim), seed, count))
+                        found = [list_decode([p[i] for p in products], threshold) for i in range(len(x))]
+                        n = np.asarray([len(f) for f in found])
+                        if not n.sum():
+                            continue
+                        key = splitmix(np.concatenate(found).astype(np.uint64) * np.uint64(most) + np.uint64(seed) + splitmix(np.asarray([dim]))).view(np.int64)
+                        full = n > 0
+                        least = np.repeat(np.minimum.reduceat(key, (np.cumsum(n) - n)[full]), n[full])
+                        who = np.repeat(np.arange(len(x)), n)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, least, ids[mine][who], sketch[who, 0], sketch[who, 1])], ["filter", "least", "id", "s1", "s2"])
 
     return vectors.mapInArrow(run, "filter long, least long, id long, s1 long, s2 long")
 
@@ -186,8 +226,10 @@ def _verify(threshold: float):
 
 def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b), a < b: the linked pairs found among usable vectors of (id, vec) with distinct ids. Vectors of different lengths don't link."""
-    count = vectors.count()
-    posted = materialize(postings(vectors, count))
+    sizes = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a length
+    count = sum(sizes.values())
+    often = sorted(sizes, key=lambda d: (-sizes[d], d))[:FITTED]
+    posted = materialize(postings(vectors, count, {d: code_count(d, count, threshold) for d in often}))
     cells = in_cells(posted)
     dealt = cells.repartition(partitions(vectors.sparkSession), "cell").sortWithinPartitions("cell", "filter")
     pairs = dealt.mapInArrow(_meet, "a long, b long").distinct()

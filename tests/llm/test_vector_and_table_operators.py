@@ -82,6 +82,26 @@ def test_recall_at_the_threshold():
     assert met.mean() >= 0.985
 
 
+@pytest.mark.parametrize("count", [20_000, 1_040_000, 1_060_000, 5_000_000, 16_700_000, 16_800_000])
+def test_missed_pairs_do_not_grow_with_the_table(count):
+    """Sizes on both sides of where blocks became more (1,048,576) and now do (16,777,216), with other pairs than the codes are fitted on."""
+    draw, dim, pairs = np.random.default_rng(8), 64, 1500
+    x = draw.standard_normal((pairs, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = draw.standard_normal((pairs, dim))
+    side -= np.einsum("ij,ij->i", side, x)[:, None] * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * side / np.linalg.norm(side, axis=1)[:, None]
+    threshold, apart = cap_filters.cap_threshold(dim, count), np.arange(pairs)
+    for seed in range(cap_filters.code_count(dim, count, 0.9)):
+        code, left = cap_filters.product_code(dim, seed, count), []
+        for i in apart:
+            (px, py) = ([p[0] for p in cap_filters.block_products(v[i : i + 1], code)] for v in (x, y))
+            if not np.intersect1d(cap_filters.list_decode(px, threshold), cap_filters.list_decode(py, threshold)).size:
+                left.append(i)
+        apart = np.asarray(left, int)
+    assert len(apart) / pairs <= 0.005
+
+
 def test_components_of_paths_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200), (None, 3), (300, None)]
     out = {r.id: r.component_id for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
