@@ -66,9 +66,17 @@ def number_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.split(T.normalize_whitespace(F.col("text")), " "), 1, 50)
+    return _distinct_words(table(spark, sf_dir, "documents"), F.slice(F.split(T.normalize_whitespace(F.col("text")), " "), 1, 50))
+
+
+def ordered_distinct_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ordered_distinct``, whose SQL reads 50 words, over all words of every text."""
+    return _distinct_words(table(spark, sf_dir, "documents"), F.split(T.normalize_whitespace(F.col("text")), " "))
+
+
+def _distinct_words(docs: DataFrame, words: Column) -> DataFrame:
     distinct = T.ordered_distinct(words, F.lower)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(distinct, " ").alias("words"), F.size(distinct).cast("long").alias("n"))
+    return docs.select("doc_id", F.array_join(distinct, " ").alias("words"), F.size(distinct).cast("long").alias("n"))
 
 
 def outcome_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
