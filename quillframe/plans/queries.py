@@ -143,11 +143,20 @@ def search_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sort_newest_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dated = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", dated.alias("decision_date"), F.col("o_orderkey").cast("string").alias("case_number"), F.lit("x").alias("case_id"), F.lit("ok").alias("status"), F.lit(False).alias("needs_manual_review"), F.array().cast("array<string>").alias("review_flags"), F.lit("").alias("document_type"), F.lit(0).alias("relevance"))
+    rows = _dated_orders(spark, sf_dir)
     return search.page(rows, search.order_of("newest", F.col("o_orderkey")), 1, 100).select("o_orderkey", "decision_date")
 
 
+def sort_newest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``sort_newest_nulls_last``, whose SQL ends after 100 rows, for all orders: the undated ones come last."""
+    return _dated_orders(spark, sf_dir).orderBy(*search.order_of("newest", F.col("o_orderkey"))).select("o_orderkey", "decision_date")
+
+
+def _dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dated = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dated.alias("decision_date"), F.col("o_orderkey").cast("string").alias("case_number"), F.lit("x").alias("case_id"), F.lit("ok").alias("status"), F.lit(False).alias("needs_manual_review"), F.array().cast("array<string>").alias("review_flags"), F.lit("").alias("document_type"), F.lit(0).alias("relevance"))
+
+
 def page_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return search.page(rows, [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)

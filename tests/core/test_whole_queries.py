@@ -15,3 +15,11 @@ def test_distinct_words_of_whole_texts(spark, tmp_path):
             first.setdefault(word.lower(), word)
         assert got[i] == (" ".join(first.values()), len(first))
     assert got[3][1] == 3000
+
+
+def test_newest_orders_to_the_end(spark, tmp_path):
+    rows = [(i, "P" if i % 4 == 0 else "O", datetime.date(2020, 1, 1) + datetime.timedelta(i % 37)) for i in range(300)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    got = [(r.o_orderkey, r.decision_date) for r in registry.QUERIES["sort_newest_all"](spark, str(tmp_path)).collect()]
+    dated = sorted(((d.isoformat(), str(k), k) for k, s, d in rows if s != "P"), reverse=True)
+    assert got == [(k, d) for d, _, k in dated] + [(k, None) for k, s, _ in rows if s == "P"]
