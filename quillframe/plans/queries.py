@@ -231,7 +231,16 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 60).alias("t")))).alias("x"))
+    return _compact_turns(table(spark, sf_dir, "conversations"), F.substring("text", 1, 60))
+
+
+def display_compact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``display_compact``, whose SQL reads 60 characters of a turn, over whole turns."""
+    return _compact_turns(table(spark, sf_dir, "conversations"), F.col("text"))
+
+
+def _compact_turns(rows: DataFrame, text: Column) -> DataFrame:
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", text.alias("t")))).alias("x"))
     shown = validate.compact(F.transform("x", lambda x: x["t"]), 2, 50)
     return turns.select("conv_id", shown["hidden"].cast("long").alias("hidden"), F.size(shown["shown"]).cast("long").alias("n_shown"))
 

@@ -23,3 +23,14 @@ def test_newest_orders_to_the_end(spark, tmp_path):
     got = [(r.o_orderkey, r.decision_date) for r in registry.QUERIES["sort_newest_all"](spark, str(tmp_path)).collect()]
     dated = sorted(((d.isoformat(), str(k), k) for k, s, d in rows if s != "P"), reverse=True)
     assert got == [(k, d) for d, _, k in dated] + [(k, None) for k, s, _ in rows if s == "P"]
+
+
+def test_turns_are_compared_whole(spark, tmp_path):
+    texts = {1: ["p" * 70 + "a", "p" * 70 + "b", "short"], 2: ["a" + " " * 30 + "b" * 60, "c", "C", "", None, "d", "e"], 3: [""]}
+    rows = [(c, i, t) for c, turns in texts.items() for i, t in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.hidden, r.n_shown) for r in registry.QUERIES["display_compact_all"](spark, str(tmp_path)).collect()}
+    for conv, turns in texts.items():
+        distinct = {" ".join((t or "").split()).lower() for t in turns} - {""}
+        shown = min(2, sum(len(t) <= 50 for t in distinct))
+        assert got[conv] == (len(distinct) - shown, shown)
