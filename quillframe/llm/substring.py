@@ -1,31 +1,36 @@
-"""Substring dedup: Rabin-Karp hashes of every window of ``width`` words, counted in Spark.
+"""Substring dedup: Rabin-Karp hashes of every window of ``width`` words find candidates, digests of the words decide.
 
-Words become 64-bit polynomial hashes, and windows polynomial hashes of their words. Each worker takes some thousand
-documents at a time: of windows that meet more than once there, only the one of the smallest document goes on, so a
-passage in a third of all documents costs one entry for each such chunk. Entries go to buckets by hash as packed arrays
-(about 9 bytes a window). A bucket finds the smallest document of every hash and answers with the windows of all others.
-Answers meet their documents again, and the repeated windows merge into maximal intervals to remove.
+Words become 64-bit polynomial hashes, and windows rolling polynomial hashes of their words. Two rounds:
 
-Hashes have 64 bits, of which 56 and the bucket are kept: two different windows among n collide with a probability
-of about n^2 / 2^62, for 10^8 windows under 1 %.
+1. Each worker takes some thousand documents at a time and sends every hash it has once, as BYTES bytes of it in packed arrays by
+   hash bucket. A bucket answers with the windows whose hash came more than once; windows that meet inside a worker's chunk are answered
+   there. This is a filter: it may name windows that are not repeated, and names all that are.
+2. Of the named windows only, a 128-bit BLAKE2 digest of the words themselves is sent, in the same way. Of the windows of one digest those
+   in other documents than the smallest are repeated. So a collision of window hashes removes nothing.
+
+In both rounds a passage in a third of all documents costs one entry for each chunk of documents. The repeated windows of a document
+merge into maximal intervals to remove. The number of buckets follows the bytes of text, so a bucket's size doesn't.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import partitions, release_memory, small_batches, splitmix, table
 
 WIDTH = 13
-#: Words of a chunk that a worker holds at once (a longer document is a chunk of its own), and the least number of buckets.
-CHUNK_WORDS, LEAST_BUCKETS = 1_000_000, 64
+#: Words of a chunk that a worker holds at once (a longer document is a chunk of its own), bytes of text of a bucket, and the least number of buckets.
+CHUNK_WORDS, BUCKET_BYTES, LEAST_BUCKETS = 1_000_000, 16_000_000, 64
+#: Bytes of a window's hash that are sent beside its bucket: of n windows in a bucket, n / 2^40 are named without need.
+BYTES = 5
 #: Bytes hashed at once: about 30 bytes of memory for each.
 BLOCK = 1 << 18
 #: Fixed values of the hash: odd multipliers for bytes, words and word lengths.
@@ -42,7 +47,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _BYTE_POWERS = _powers(BYTE_BASE, BLOCK + 1)
 _BYTE_INVERSE = _powers(pow(BYTE_BASE, -1, 1 << 64), BLOCK + 1)
-_WORD_POWERS = _powers(WORD_BASE, 64)
+_WORD_POWERS = _powers(WORD_BASE, BLOCK + 1)
+_WORD_INVERSE = _powers(pow(WORD_BASE, -1, 1 << 64), BLOCK + 1)
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,76 +79,126 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def window_hashes(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """The hash of every window of ``width`` words, at its first word."""
+    """The hash of every window of ``width`` words, at its first word: what rolls from window to window is a prefix sum, block by block."""
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out += words[k : k + n] * _WORD_POWERS[k]
+    out, step = np.empty(n, np.uint64), BLOCK - width + 1
+    for at in range(0, n, step):
+        part = words[at : at + step + width - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _WORD_POWERS[: len(part)], out=sums[1:])
+        out[at : at + step] = (sums[width:] - sums[:-width]) * _WORD_INVERSE[: len(part) - width + 1]
     return splitmix(out)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            ids.append(key)
-            texts.append(raw)
-            size += len(raw)
-            if size > 6 * CHUNK_WORDS:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _runs(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct positions as (first, count) of runs of neighbours."""
-    cut = np.flatnonzero(np.diff(positions) != 1) + 1
-    first = np.concatenate([[0], cut])
-    return positions[first], np.diff(np.concatenate([first, [len(positions)]]))
-
-
-def _answers(doc: np.ndarray, position: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(doc_id, packed runs of positions) for each document."""
-    order = np.lexsort((position, doc))
-    doc, position = doc[order], position[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(doc)]]), strict=True):
-        first, count = _runs(position[lo:hi])
-        yield int(doc[lo]), first.astype("<u4").tobytes() + count.astype("<u4").tobytes()
+def _raw(text: pa.Scalar) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stable sorting order of the keys and where in it each distinct key begins."""
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    return order, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows of (.., bytes) in chunks of about CHUNK_WORDS words."""
+    chunk, size = [], 0
+    for row in rows:
+        chunk.append(row)
+        size += len(row[-1])
+        if size > 6 * CHUNK_WORDS:
+            yield chunk
+            chunk, size = [], 0
+    if chunk:
+        yield chunk
 
 
-def _not_least(order: np.ndarray, begin: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of entries sorted by ``order`` into groups: those whose document isn't the smallest of its group."""
-    d = doc[order]
-    least = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.concatenate([begin, [len(d)]])))
-    return order[d > least]
+def _packed(positions: np.ndarray) -> bytes:
+    """Sorted positions as runs of neighbours: first places, then lengths."""
+    cut = np.flatnonzero(np.diff(positions) > 1) + 1
+    first = np.concatenate([[0], cut])
+    return positions[first].astype("<u4").tobytes() + np.diff(np.concatenate([first, [len(positions)]])).astype("<u4").tobytes()
 
 
-_SENT = "bucket int, answer boolean, doc_id long, body binary"
+def marked(bodies: list[bytes], size: int) -> np.ndarray:
+    """Which of ``size`` places the packed positions name; what lies behind the end is not there."""
+    hit = np.zeros(size, bool)
+    for body in bodies:
+        first, count = np.frombuffer(body, "<u4").astype(np.int64).reshape(2, -1)
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        hit[at[at < size]] = True
+    return hit
+
+
+def _answers(doc: np.ndarray, which: np.ndarray, position: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(doc_id, which, packed positions) for each text; ``which`` tells the texts of one doc_id apart."""
+    order = np.lexsort((position, which, doc))
+    doc, which, position = doc[order], which[order], position[order]
+    cuts = np.flatnonzero((np.diff(doc) != 0) | (which[1:] != which[:-1])) + 1
+    for lo, hi in zip(np.concatenate([[0], cuts]).astype(int), np.concatenate([cuts, [len(doc)]]).astype(int), strict=True):
+        if lo < hi:
+            yield int(doc[lo]), int(which[lo]), _packed(np.unique(position[lo:hi]))
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable sorting order of the keys (the first counts most), where in it each distinct key begins, and how often each comes."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        s = key[order]
+        new[1:] |= s[1:] != s[:-1]
+    begin = np.flatnonzero(new)
+    return order, begin, np.diff(np.concatenate([begin, [len(order)]]))
+
+
+_SENT = "bucket int, answer boolean, doc_id long, which long, body binary"
+_ANSWERS = "doc_id long, which long, body binary"
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"bucket": pa.int32(), "answer": pa.bool_(), "doc_id": pa.int64(), "which": pa.int64(), "body": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[n]) for i, n in enumerate(names)], names)
+
+
+def _pack(bucket: np.ndarray, key: np.ndarray, doc: np.ndarray, which: np.ndarray, position: np.ndarray) -> Iterator[tuple]:
+    """Rows of _SENT with the entries of each bucket: ``key`` is a row of bytes for each; entries come by document."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    bucket, key, doc, which, position = (x[order] for x in (bucket, key, doc, which, position))
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        new = np.concatenate([[True], (doc[lo + 1 : hi] != doc[lo : hi - 1]) | (which[lo + 1 : hi] != which[lo : hi - 1])])
+        at = np.flatnonzero(new)
+        count = np.diff(np.concatenate([at, [hi - lo]])).astype("<u4")
+        step = np.diff(position[lo:hi].astype(np.int64), prepend=0)
+        step[at] = position[lo:hi][at]
+        texts = np.diff(doc[lo:hi][at], prepend=0).astype("<i8").tobytes() + which[lo:hi][at].astype("<i8").tobytes()
+        small = zlib.compress(texts + count.tobytes() + step.astype("<i8").astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+        yield int(bucket[lo]), False, int(hi - lo), 0, len(at).to_bytes(4, "little") + len(small).to_bytes(4, "little") + small + key[lo:hi].tobytes()
+
+
+def _open(n: int, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The (key, doc_id, which, position) entries of one packed row of n entries."""
+    texts, size = int.from_bytes(body[:4], "little"), int.from_bytes(body[4:8], "little")
+    small = zlib.decompress(body[8 : 8 + size])
+    doc, which = np.cumsum(np.frombuffer(small, "<i8", texts)), np.frombuffer(small, "<i8", texts, 8 * texts)
+    count = np.frombuffer(small, "<u4", texts, 16 * texts)
+    step = np.ascontiguousarray(np.frombuffer(small, np.uint8, 4 * n, 20 * texts).reshape(4, n).T).view("<i4")[:, 0].astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
+    sums = np.cumsum(step)
+    position = sums - np.repeat(sums[at] - step[at], count)
+    return np.frombuffer(body, np.uint8, offset=8 + size).reshape(n, -1), np.repeat(doc, count), np.repeat(which, count), position
 
 
-def _send(width: int, buckets: int):
-    """For each chunk: its entries by bucket, and answers to windows that a smaller document of the chunk also has."""
+def _send_hashes(width: int, buckets: int):
+    """First round, over (id, which, text): each distinct hash of a chunk once, and answers to windows that two documents of the chunk have."""
 
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "answer", "doc_id", "body"])
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                if key is not None:
+                    yield key, _raw(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _chunks(batches):
+        for chunk in _chunks(texts(batches)):
             hashes, docs, places = [], [], []
-            for key, raw in sorted((k, raw) for k, raw in zip(ids, texts, strict=True) if k is not None):
+            for key, raw in chunk:
                 data = np.frombuffer(raw, np.uint8)
                 found = window_hashes(word_hashes(data, *word_bounds(data)), width)
                 if len(found):
@@ -152,121 +208,144 @@ def _send(width: int, buckets: int):
             if not hashes:
                 continue
             h, d, p = map(np.concatenate, (hashes, docs, places))
-            order, begin = _groups(h)  # stable: a group's first entry is of its smallest document
-            other = _not_least(order, begin, d)
-            rows = [(int(doc % buckets), True, doc, body) for doc, body in _answers(d[other], p[other])] if len(other) else []
+            order, begin, n = _groups(h)
+            s = d[order]
+            mixed = np.repeat(np.minimum.reduceat(s, begin) != np.maximum.reduceat(s, begin), n)
+            known = order[mixed]
+            rows = [(int(doc % buckets), True, doc, 0, body) for doc, _, body in _answers(d[known], np.zeros(len(known), np.int64), p[known])]
             first = np.sort(order[begin])
-            first = first[np.argsort((h[first] % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")]
             h, d, p = h[first], d[first], p[first]
-            b = (h % np.uint64(buckets)).astype(np.int64)
-            high = h // np.uint64(buckets)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]])
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                new = np.concatenate([[True], d[lo + 1 : hi] != d[lo : hi - 1]])
-                at = np.flatnonzero(new)
-                key, count = d[lo:hi][at], np.diff(np.concatenate([at, [hi - lo]])).astype("<u4")
-                step = np.diff(p[lo:hi].astype(np.int64), prepend=0)
-                step[at] = p[lo:hi][at]
-                small = zlib.compress(np.diff(key, prepend=0).astype("<i8").tobytes() + count.tobytes() + step.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-                seven = high[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-                rows.append((int(b[lo]), False, int(hi - lo), len(at).to_bytes(4, "little") + len(small).to_bytes(4, "little") + small + seven))
-            yield emit(rows)
+            key = (h // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
+            rows += _pack((h % np.uint64(buckets)).astype(np.int64), key, d, np.zeros(len(d), np.int64), p)
+            yield _batch(rows, ["bucket", "answer", "doc_id", "which", "body"])
         release_memory()
 
     return run
 
 
-def _open(n: int, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The (hash, document, position) entries of one packed row of n entries."""
-    keys, size = int.from_bytes(body[:4], "little"), int.from_bytes(body[4:8], "little")
-    small = zlib.decompress(body[8 : 8 + size])
-    doc = np.cumsum(np.frombuffer(small, "<i8", keys))
-    count = np.frombuffer(small, "<u4", keys, 8 * keys)
-    step = np.ascontiguousarray(np.frombuffer(small, np.uint8, 4 * n, 12 * keys).reshape(4, n).T).view("<u4")[:, 0].astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
-    sums = np.cumsum(step)
-    position = sums - np.repeat(sums[at] - step[at], count)
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :7] = np.frombuffer(body, np.uint8, 7 * n, 8 + size).reshape(n, 7)
-    return wide.view("<u8")[:, 0], np.repeat(doc, count), position
+def _send_digests(width: int, buckets: int):
+    """Second round, over (id, which, text, bodies): the digests of the named windows of each chunk's smallest document, and answers to its others."""
 
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for key, which, bodies, text in zip(batch.column("id").to_pylist(), batch.column("which").to_pylist(), batch.column("bodies"), batch.column("text"), strict=True):
+                if key is not None and bodies.is_valid:
+                    yield key, which, bodies.as_py(), _raw(text)
 
-def _answer(buckets: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each bucket (rows come sorted by it): the windows that a smaller document also has."""
-
-    def solve(parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        h, d, p = map(np.concatenate, zip(*(_open(*x) for x in parts), strict=True))
-        other = _not_least(*_groups(h), d)
-        if len(other):
-            rows = list(_answers(d[other], p[other]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "body"])
-
-    parts, at = [], None
-    for batch in buckets:
-        kept = batch.column("answer").to_pylist()
-        if any(kept):
-            through = batch.filter(batch.column("answer"))
-            yield pa.RecordBatch.from_arrays([through.column("doc_id"), through.column("body")], ["doc_id", "body"])
-        for bucket, answer, n, body in zip(batch.column("bucket").to_pylist(), kept, batch.column("doc_id").to_pylist(), batch.column("body"), strict=True):
-            if answer:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(texts(batches)):
+            digests, docs, whiches, places = [], [], [], []
+            for key, which, bodies, raw in chunk:
+                at = np.flatnonzero(named_windows(raw, bodies, width))
+                if not len(at):
+                    continue
+                words = raw.split()
+                clean = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                digests += [hashlib.blake2b(clean[s:e], digest_size=16).digest() for s, e in zip(starts[at].tolist(), ends[at + width - 1].tolist(), strict=True)]
+                docs.append(np.full(len(at), key, np.int64))
+                whiches.append(np.full(len(at), which, np.int64))
+                places.append(at)
+            if not docs:
                 continue
-            if bucket != at and parts:
-                yield from solve(parts)
-                parts = []
-            at = bucket
-            parts.append((n, body.as_py()))
-    if parts:
-        yield from solve(parts)
-    release_memory()
+            key = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+            d, w, p = map(np.concatenate, (docs, whiches, places))
+            order, other = _later(key, d)
+            rows = [(int(doc % buckets), True, doc, which, body) for doc, which, body in _answers(d[order[other]], w[order[other]], p[order[other]])]
+            least = np.sort(order[~other])
+            rows += _pack((key[least].view("<u8")[:, 0] % np.uint64(buckets)).astype(np.int64), key[least], d[least], w[least], p[least])
+            yield _batch(rows, ["bucket", "answer", "doc_id", "which", "body"])
+        release_memory()
+
+    return run
 
 
-def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc_id, bodies): for each document with repeated windows, packed runs of positions that hold one window of each repeated hash at least."""
-    small_batches(docs.sparkSession)
-    tasks = partitions(docs.sparkSession)
-    buckets = max(LEAST_BUCKETS, tasks)
-    sent = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_send(width, buckets), _SENT)
-    dealt = sent.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_answer, "doc_id long, body binary").groupBy("doc_id").agg(F.collect_list("body").alias("bodies"))
+def _later(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sorting order of entries by key, and which entries in it have a smaller document beside them."""
+    halves = np.ascontiguousarray(key).view("<u8")
+    order, begin, n = _groups(halves[:, 0], halves[:, 1])
+    s = doc[order]
+    return order, s > np.repeat(np.minimum.reduceat(s, begin), n) if len(s) else np.empty(0, bool)
 
 
-def removed_words(raw: bytes, bodies: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bounds of a text and, for each word, whether a repeated window covers it.
+def _met(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """First round: the entries whose hash comes more than once."""
+    wide = np.zeros((len(key), 8), np.uint8)
+    wide[:, : key.shape[1]] = key
+    order, _, n = _groups(wide.view("<u8")[:, 0])
+    return order[np.repeat(n > 1, n)]
 
-    A window that comes several times in one document was sent once; its other places are found here by their hash.
-    """
+
+def _after_the_least(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Second round: the entries of a digest that a smaller document has, too."""
+    order, other = _later(key, doc)
+    return order[other]
+
+
+def _answer(choose: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """For each bucket (rows come sorted by it): the windows that ``choose`` takes from its entries."""
+
+    def solve(parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        key, doc, which, position = map(np.concatenate, zip(*(_open(*x) for x in parts), strict=True))
+        taken = choose(key, doc)
+        if len(taken):
+            yield _batch(list(_answers(doc[taken], which[taken], position[taken])), ["doc_id", "which", "body"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, at = [], None
+        for batch in batches:
+            kept = batch.column("answer").to_pylist()
+            if any(kept):
+                yield batch.filter(batch.column("answer")).select(["doc_id", "which", "body"])
+            for bucket, answer, n, body in zip(batch.column("bucket").to_pylist(), kept, batch.column("doc_id").to_pylist(), batch.column("body"), strict=True):
+                if answer:
+                    continue
+                if bucket != at and parts:
+                    yield from solve(parts)
+                    parts = []
+                at = bucket
+                parts.append((n, body.as_py()))
+        if parts:
+            yield from solve(parts)
+        release_memory()
+
+    return run
+
+
+def named_windows(raw: bytes, bodies: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """Which windows of a text the first round names: a window that comes several times in it was sent once, its other places have its hash."""
     data = np.frombuffer(raw, np.uint8)
-    starts, ends = word_bounds(data)
-    hit = np.zeros(max(0, len(starts) - width + 1), bool)
-    for body in bodies:
-        first, count = np.frombuffer(body, "<u4").astype(np.int64).reshape(2, -1)
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        hit[at[at < len(hit)]] = True
-    found = window_hashes(word_hashes(data, starts, ends), width)
-    if not hit.all():
-        hit |= np.isin(found, found[hit])
+    found = window_hashes(word_hashes(data, *word_bounds(data)), width)
+    hit = marked(bodies, len(found))
+    return hit if hit.all() else np.isin(found, found[hit])
+
+
+def _covered(raw: bytes, bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the words of a text, and whether a repeated window covers each."""
+    starts, _ = word_bounds(np.frombuffer(raw, np.uint8))
+    at = np.flatnonzero(marked(bodies, max(0, len(starts) - width + 1)))
     change = np.zeros(len(starts) + 1, np.int32)
-    at = np.flatnonzero(hit)
     np.add.at(change, at, 1)
     np.subtract.at(change, at + width, 1)
-    return starts, ends, np.cumsum(change)[:-1] > 0
+    return starts, np.cumsum(change)[:-1] > 0
 
 
-def kept_words(raw: bytes, bodies: list[bytes] | None, width: int = WIDTH) -> tuple[int, int, bytes]:
+def kept_words(raw: bytes, bodies: list[bytes], width: int = WIDTH) -> tuple[int, int, bytes]:
     """Number of words, of removed words, and the kept words joined by one blank."""
     words = raw.split()  # of bytes: the same six white-space bytes
     if not bodies:
         return len(words), 0, b" ".join(words)
-    *_, gone = removed_words(raw, bodies, width)
+    _, gone = _covered(raw, bodies, width)
     kept = [words[i] for i in np.flatnonzero(~gone)]
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def cut_text(raw: bytes, bodies: list[bytes] | None, width: int = WIDTH) -> bytes:
+def cut_text(raw: bytes, bodies: list[bytes], width: int = WIDTH) -> bytes:
     """The text without its removed words; each maximal interval goes with the white space after it."""
     if not bodies:
         return raw
-    starts, _, gone = removed_words(raw, bodies, width)
+    starts, gone = _covered(raw, bodies, width)
     edges = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
     out, at = [], 0
     for lo, hi in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
@@ -275,32 +354,59 @@ def cut_text(raw: bytes, bodies: list[bytes] | None, width: int = WIDTH) -> byte
     return b"".join([*out, raw[at:]])
 
 
-def _with_answers(docs: DataFrame, key: str, width: int) -> DataFrame:
-    answers = repeated_windows(docs, key, "text", width).withColumnRenamed("doc_id", "_doc")
-    return docs.join(answers, docs[key].cast("long") == answers["_doc"], "left").drop("_doc")
+def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(id, which, text, rest, repeats): every row, its other columns as one struct, and packed positions of its repeated windows.
+
+    ``repeats`` holds (which, body) of all texts that share the row's id, or is null; ``which`` tells whose they are.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("which"), F.col(text).alias("text"), F.struct(*others).alias("rest"))
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    tasks = partitions(spark)
+    buckets = max(LEAST_BUCKETS, tasks, -(-size // BUCKET_BYTES))
+    dealt = max(tasks, buckets // 4)
+
+    def answered(sent: DataFrame, choose: Callable) -> DataFrame:
+        return sent.repartition(dealt, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(choose), _ANSWERS)
+
+    named = answered(rows.select("id", "text").mapInArrow(_send_hashes(width, buckets), _SENT), _met)
+    named = named.groupBy(F.col("doc_id").alias("named_id")).agg(F.collect_list("body").alias("bodies"))
+    # Both joins take the same exchange of the texts: a left join, and all columns.
+    asked = rows.join(named, F.col("id") == F.col("named_id"), "left").mapInArrow(_send_digests(width, buckets), _SENT)
+    found = answered(asked, _after_the_least).groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_list(F.struct("which", "body")).alias("repeats"))
+    return rows.join(found, F.col("id") == F.col("found_id"), "left").select("id", "which", "text", "rest", "repeats")
+
+
+def _own(which: int, repeats: list[dict] | None) -> list[bytes]:
+    return [r["body"] for r in repeats or () if r["which"] == which]
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, key: str = "doc_id") -> DataFrame:
-    """The same rows with repeated passages cut out of ``text``, and ``n_chars`` (if there) set to what is left.
+    """The same rows and columns with repeated passages cut out of ``text``, and ``n_chars`` (if there) set to what is left.
 
-    Of documents that share a window of ``width`` words, the one of the smallest key keeps it; a window repeated only
-    inside one document stays. Null and short texts, and rows without a key, stay as they are.
+    Of documents that share a window of ``width`` words, the one of the smallest key keeps it; a window repeated only inside one document,
+    or only in rows of one key, stays. Rows of one key are judged each by its own text. Null and short texts, and rows without a key,
+    stay as they are. Other columns stay, whatever their names. An empty table gives an empty one.
     """
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = {f.name: f for f in docs.schema.fields}
+    kinds = [T.StructField("text", fields["text"].dataType), T.StructField("n", T.LongType()), T.StructField("rest", T.StructType([f for f in docs.schema.fields if f.name != "text"]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = []
-            for text, bodies in zip(batch.column("text"), batch.column("bodies").to_pylist(), strict=True):
-                raw = text.as_py()
-                new.append(raw if raw is None or not bodies else cut_text(raw.encode("utf-8", "surrogatepass"), bodies, width).decode("utf-8", "surrogatepass"))
-            changed = {"text": pa.array(new, batch.column("text").type)}
-            if "n_chars" in names:
-                changed["n_chars"] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(batch.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays([changed.get(n, batch.column(n)) for n in names], names)
+            for text, which, repeats in zip(batch.column("text"), batch.column("which").to_pylist(), batch.column("repeats").to_pylist(), strict=True):
+                bodies = _own(which, repeats)
+                new.append(cut_text(_raw(text), bodies, width).decode("utf-8", "surrogatepass") if bodies else text.as_py())
+            texts = pa.array(new, batch.column("text").type)
+            yield pa.RecordBatch.from_arrays([texts, pa.array([None if t is None else len(t) for t in new], pa.int64()), batch.column("rest")], ["text", "n", "rest"])
 
-    return _with_answers(docs, key, width).mapInArrow(run, fields)
+    cut = repeated_windows(docs, key, "text", width).mapInArrow(run, T.StructType(kinds))
+    given = {"text": F.col("text")}
+    if "n_chars" in fields:
+        given["n_chars"] = F.col("n").cast(fields["n_chars"].dataType)
+    return cut.select(*[given.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,11 +414,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kept_words((t.as_py() or "").encode("utf-8", "surrogatepass"), b) for t, b in zip(batch.column("text"), batch.column("bodies").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            rows = [kept_words(_raw(t), _own(w, r)) for t, w, r in zip(batch.column("text"), batch.column("which").to_pylist(), batch.column("repeats").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("rest").field("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _with_answers(docs, "doc_id", WIDTH).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return repeated_windows(docs).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE_SQL = rf"""

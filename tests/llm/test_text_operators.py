@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillframe.llm import bpe, dart_minhash, langid, packing, substring, toxicity
@@ -149,30 +150,79 @@ def brute_removed(rows, width):
     return words, out
 
 
-@pytest.mark.parametrize("chunk", [40, 1_000_000])
-def test_substring_dedup_equals_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(substring, "CHUNK_WORDS", chunk)
+def by_hand(rows, width, buckets):
+    """Both rounds of substring dedup in this process: {(id, which): bodies} for rows of (id, which, text)."""
+
+    def table(rows, names):
+        return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([(n, {"id": pa.int64(), "which": pa.int64(), "text": pa.string(), "bodies": pa.list_(pa.binary())}[n]) for n in names]))
+
+    def dealt(send, batch, choose):
+        sent = pa.Table.from_batches(list(send(iter([batch]))) or [substring._batch([], ["bucket", "answer", "doc_id", "which", "body"])])
+        return [r for b in substring._answer(choose)(iter(sent.sort_by("bucket").combine_chunks().to_batches())) for r in b.to_pylist()]
+
+    named = {}
+    for r in dealt(substring._send_hashes(width, buckets), table([(k, t) for k, _, t in rows], ["id", "text"]), substring._met):
+        named.setdefault(r["doc_id"], []).append(r["body"])
+    asked = table([(k, w, t, named.get(k)) for k, w, t in rows], ["id", "which", "text", "bodies"])
+    out = {}
+    for r in dealt(substring._send_digests(width, buckets), asked, substring._after_the_least):
+        out.setdefault((r["doc_id"], r["which"]), []).append(r["body"])
+    return out, named
+
+
+def hard_rows():
     shared, hot = prose(5, 40), prose(6, 20)
     rows = [(i, " ".join(prose(10 + i, 30) + (hot if i % 3 else []) + prose(90 + i, 5) + (shared[i % 20 :] if i % 4 == 0 else []))) for i in range(40)]
-    rows += [(100, " ".join(hot * 6)), (101, rows[7][1]), (102, None), (103, ""), (104, "\t\n "), (105, " ".join(prose(7, 12))), (106, " ".join(prose(7, 12))), (107, "x" * 10_000 + " " + " ".join(hot))]
+    return rows + [(100, " ".join(hot * 6)), (101, rows[7][1]), (102, None), (103, ""), (104, "\t\n "), (105, " ".join(prose(7, 12))), (106, "\n".join(prose(7, 12))), (107, "x" * 10_000 + " " + "\t ".join(hot))]
+
+
+@pytest.mark.parametrize("chunk,bits,sent", [(40, 64, 5), (1_000_000, 64, 5), (40, 64, 1), (40, 6, 5), (1_000_000, 6, 5)])
+def test_substring_rounds_equal_brute_force_whatever_collides(monkeypatch, chunk, bits, sent):
+    """Chunks of few words, hashes of which one byte is sent, and window hashes of 6 bits: all windows are named, none is removed without need."""
+    whole = substring.window_hashes
+    monkeypatch.setattr(substring, "CHUNK_WORDS", chunk)
+    monkeypatch.setattr(substring, "BYTES", sent)
+    monkeypatch.setattr(substring, "window_hashes", lambda words, width=13: whole(words, width) & np.uint64((1 << bits) - 1))
+    rows = hard_rows()
     words, kept = brute_removed(rows, 13)
-    df = docs_of(spark, rows)
-    found = {r.doc_id: r.bodies for r in substring.repeated_windows(df).collect()}
+    found, named = by_hand([(k, -k, t) for k, t in rows], 13, 3)
     for key, text in rows:
-        n, gone, left = substring.kept_words((text or "").encode(), found.get(key))
+        n, gone, left = substring.kept_words((text or "").encode(), found.get((key, -key), []))
         assert (n, gone, left) == (len(words[key]), len(words[key]) - len(kept[key]), b" ".join(kept[key]))
-    cut = {r.doc_id: r.text for r in substring.dedup_substrings(df).collect()}
-    assert all((cut[k] or "").encode().split() == kept[k] for k in kept)
+    if bits == 6:
+        assert len(named) == sum(len(w) >= 13 for w in words.values())
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    rows = hard_rows()
+    words, kept = brute_removed(rows, 13)
+    schema = "doc_id long, text string, bodies int, _doc string, id int, which string, rest int, repeats int, named_id int, found_id int, n int, n_chars int, bucket int, body string"
+    df = docs_of(spark, [(k, t, 1, "d", 2, "w", 3, 4, 5, 6, 7, None if t is None else len(t), 8, "b") for k, t in rows] * 2, schema)
+    out = substring.dedup_substrings(df).collect()
+    assert len(out) == 2 * len(rows) and out[0].__fields__ == df.columns
+    for r in out:
+        assert (r.text or "").encode().split() == kept[r.doc_id] and r.n_chars == (None if r.text is None else len(r.text))
+        assert (r.bodies, r._doc, r.id, r.which, r.rest, r.repeats, r.named_id, r.found_id, r.n, r.bucket, r.body) == (1, "d", 2, "w", 3, 4, 5, 6, 7, 8, "b")
+    cut = {r.doc_id: r.text for r in out}
     assert cut[102] is None and cut[0] == rows[0][1]
 
 
-def test_substring_dedup_edges(spark):
-    df = docs_of(spark, [(None, " ".join(prose(1, 20)), 1), (1, " ".join(prose(1, 20)), 2), (1, " ".join(prose(1, 20)), 2)], "doc_id long, text string, bodies int")
-    out = substring.dedup_substrings(df.drop("bodies")).collect()
-    assert len(out) == 3 and all(r.text == " ".join(prose(1, 20)) for r in out)
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    common, own = " ".join(prose(1, 25)), " ".join(prose(2, 50))
+    df = docs_of(spark, [(None, common), (None, common), (1, common), (1, common), (2, own), (2, common), (2, own + " " + common), (3, "a " + own)])
+    out = sorted(((r.doc_id or 0, r.text) for r in substring.dedup_substrings(df).collect()), key=str)
+    assert out == sorted([(0, common), (0, common), (1, common), (1, common), (2, own), (2, ""), (2, own + " "), (3, "a ")], key=str)
     assert substring.dedup_substrings(docs_of(spark, [])).count() == 0
 
 
+def test_rolling_window_hashes(monkeypatch):
+    words = np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64)
+    whole = substring.window_hashes(words, 7)
+    monkeypatch.setattr(substring, "BLOCK", 16)
+    assert (substring.window_hashes(words, 7) == whole).all() and len(whole) == 494
+    assert (substring.window_hashes(words[100:107], 7) == whole[100]).all() and len(substring.window_hashes(words[:6], 7)) == 0
+
+
 def test_words_longer_than_a_block(monkeypatch):
     monkeypatch.setattr(substring, "BLOCK", 8)
     data = np.frombuffer(b"aaaaaaaaaaaaaaaaaaaaaaaa bb cc aaaaaaaaaaaaaaaaaaaaaaaa bb", np.uint8)
