@@ -5,14 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a local session names no shared folder, as in tests.
 LOCAL_SCRATCH = "/tmp/checkpoints/quillframe"
 #: Bytes of an Arrow batch of texts, unless one row has more.
 BATCH_BYTES = "8m"
@@ -23,8 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """The folder that driver and executors share; only a local session may do without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or LOCAL_SCRATCH
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -36,8 +39,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python workers in batches of a few megabytes, so that long ones don't meet in memory; a session setting."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Hand texts to Python workers in batches of a few megabytes, so that long ones don't meet in memory.
+
+    Plans read this session setting when they run, so it can't be put back; a value that the session has already stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def release_memory() -> None:
@@ -57,6 +65,24 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def boxed(df: DataFrame, *columns: Column) -> DataFrame:
+    """The given columns beside one struct, ``row``, of all of the table's: whatever these are named, nothing clashes."""
+    return df.select(*columns, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unboxed(df: DataFrame, names: Sequence[str], *columns: Column) -> DataFrame:
+    """The struct's fields of these names as columns again, then the given columns."""
+    return df.select(*[F.col("row")[c].alias(c) for c in names], *columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -69,18 +95,29 @@ def gapless_rank(df: DataFrame, counted: DataFrame, keys: Sequence[str], bucket:
     as ``keys`` and ``bucket`` need. The table of first numbers has at most keys x ``buckets`` rows, which the
     caller must keep small enough to broadcast.
     """
-    tally = counted.select(*keys, bucket.alias("_bucket")).groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = tally.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    part, n, least = (private(df, x) for x in ("_bucket", "_n", "_first"))
+    tally = counted.select(*keys, bucket.alias(part)).groupBy(*keys, part).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    first = tally.select(*keys, part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(least))
+    inside = Window.partitionBy(*keys, part).orderBy(*order)
     return (
-        df.withColumn("_bucket", bucket)
-        .join(F.broadcast(first), [*keys, "_bucket"])
-        .withColumn(out, (F.col("_first") + F.row_number().over(inside) - 1).cast("long"))
-        .drop("_bucket", "_first")
+        df.withColumn(part, bucket)
+        .join(F.broadcast(first), [*keys, part])
+        .withColumn(out, (F.col(least) + F.row_number().over(inside) - 1).cast("long"))
+        .drop(part, least)
     )
 
 
+def draw_rows(rows: DataFrame, group: str, sizes: Mapping, each: int) -> DataFrame:
+    """Distinct (id, text, group) rows: of a group of ``sizes`` rows about ``each``, those with the smallest 64-bit hashes; all of a smaller group.
+
+    The bound on the hash has 64 bits, too, so groups of any size give their share. Repeated rows count once, so they don't fill a sample.
+    """
+    bounds = [x for k, n in sizes.items() for x in (F.lit(k), F.lit((1 << 63) - 1 if n <= each else each * (1 << 64) // n - (1 << 63)).cast("long"))]
+    drawn = rows.where(F.xxhash64("id", "text") <= F.create_map(*bounds)[F.col(group)])
+    return drawn.select("id", "text", group).distinct()
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null or empty, no null or non-finite component, not all zeros. Never null itself."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

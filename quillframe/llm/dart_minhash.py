@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, partitions, release_memory, small_batches, splitmix, table
+from .common import boxed, drop_scratch, materialize, partitions, release_memory, small_batches, splitmix, table, unboxed
 from .components import connected_components
 from .substring import window_hashes, word_bounds, word_hashes
 
@@ -34,6 +34,8 @@ PIVOTS = 3
 BLOCK, BLOCK_BYTES, SLICE = 512, 4_000_000, 2048
 #: Pairs left for each bucket entry up to which they are compared one by one.
 PAIRS_PER_ENTRY = 1
+#: Parts that the rows of a bucket of many blocks are dealt in.
+SALTS = 32
 #: Characters of text taken at once for signatures.
 CHUNK = 1 << 21
 
@@ -175,23 +177,38 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, w
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def digested(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(id, digest, ...) of every row."""
+    return docs.select(F.col(key).cast("long").alias("id"), F.md5(F.col(text).cast("binary")).alias("digest"), *more)
+
+
 def text_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, digest): the smallest id of each distinct text; null texts and those without words are left out."""
+    """(id, digest): the smallest id of each distinct text; null texts and those without words are left out, as are rows without a key."""
     has_words = F.col(text).rlike(r"[^\x20\x09-\x0D]")
-    return docs.where(has_words & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.md5(F.col(text).cast("binary")).alias("digest")).groupBy("digest").agg(F.min("id").alias("id"))
+    return digested(docs.where(has_words & F.col(key).isNotNull()), key, text).groupBy("digest").agg(F.min("id").alias("id"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, component_id): the class of every row, named by its smallest id; ids should be unique.
+def rooted(docs: DataFrame, key: str, text: str, threshold: float, width: int, bands: int, rows: int) -> DataFrame:
+    """(digest, id, component_id, first): each distinct text with words, its smallest id, that of its class, and whether it comes first in it.
 
-    Null texts and texts without words are in classes of their own, as are rows without a near copy. Repeated rows share a class.
-    A null key gives a null class. Extra columns don't matter. An empty table gives an empty one.
+    A text is named by its smallest id. Of texts with one smallest id, that of the smallest digest has the name and the others get negative
+    numbers from their digests.
     """
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.col(key).cast("long").alias("id"), F.md5(F.col(text).cast("binary")).alias("digest"))
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    plain = digested(docs, key, text, F.col(text).alias("text")).where("id is not null")
     classes = materialize(text_classes(docs, key, text))
-    signed = banded(plain.where("id is not null"), width, bands, rows).join(classes.select("id"), "id", "left_semi")
+    shared_ids = materialize(classes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("leader")).where("n > 1").select("id", "leader"))
+    clash = not shared_ids.isEmpty()
+    if clash:
+        other = F.lit(-(1 << 62)) - F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+        node = F.when(F.col("leader").isNull() | (F.col("leader") == F.col("digest")), F.col("id")).otherwise(other).alias("node")
+        named = materialize(classes.join(shared_ids, "id", "left").select("id", "digest", node))
+        plain = plain.join(named, ["id", "digest"], "left_semi").join(shared_ids, "id", "left").select(node.alias("id"), "text")
+        drop_scratch(classes)
+        classes = named
+    else:
+        classes, plain = classes.withColumn("node", F.col("id")), plain.select("id", "text")
+    signed = banded(plain, width, bands, rows).join(classes.select(F.col("node").alias("id")), "id", "left_semi")
     buckets = materialize(signed.select("id", F.explode(F.array_distinct("keys")).alias("key")))
     least = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
     shared = materialize(buckets.join(least, "key").select("key", "a", F.col("id").alias("b")))
@@ -200,8 +217,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     found = _settled(shared, texts, threshold, width)
     for done in (shared, texts):
         drop_scratch(done)
-    root = classes.join(found.withColumnRenamed("component_id", "_root"), "id", "left").select("digest", F.coalesce("_root", "id").alias("_root"))
-    return keyed.join(root, "digest", "left").select(F.col("id").alias(key), F.coalesce("_root", "id").alias("component_id"))
+    root = classes.join(found.select(F.col("id").alias("node"), F.col("component_id").alias("root")), "node", "left").select("digest", "id", "node", F.coalesce("root", "node").alias("root"))
+    if not clash:
+        drop_scratch(shared_ids)
+        return root.select("digest", "id", F.col("root").alias("component_id"), (F.col("root") == F.col("node")).alias("first"))
+    heads = root.groupBy("root").agg(F.min("id").alias("component_id"))
+    heads = heads.join(root.groupBy("root", "id").agg(F.min("digest").alias("head")).withColumnRenamed("id", "component_id"), ["root", "component_id"])
+    return root.join(heads, "root").select("digest", "id", "component_id", (F.col("digest") == F.col("head")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key, component_id): the class of every row, named by its smallest id.
+
+    Null texts and texts without words are in classes of their own, as are rows without a near copy. Repeated rows share a class; rows of
+    one key with different texts are classed each by its text. A null key gives a null class and joins no others. Extra columns don't
+    matter. An empty table gives an empty one.
+    """
+    root = rooted(docs, key, text, threshold, width, bands, rows).select("digest", "component_id")
+    found = digested(docs, key, text).join(root, "digest", "left")
+    return found.select(F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows, with all their columns, of the first text of each class (that of the smallest id, then digest); one of rows equal in key and text.
+
+    Null texts, texts without words and rows without a key are copies of nothing.
+    """
+    names = docs.columns
+    root = rooted(docs, key, text, threshold, width, bands, rows)
+    stays = (F.col("id") == F.col("component_id")) & F.col("first")
+    copies = digested(docs, key, text).join(root.select("digest", "component_id", "first"), "digest").where(F.col("id").isNotNull() & ~stays).select("id", "digest").distinct()
+    kept = boxed(docs, F.col(key).cast("long").alias("id"), F.md5(F.col(text).cast("binary")).alias("digest")).join(copies, ["id", "digest"], "left_anti")
+    return unboxed(kept.dropDuplicates(["id", "digest"]), names)
 
 
 def _settled(shared: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -211,32 +258,45 @@ def _settled(shared: DataFrame, texts: DataFrame, threshold: float, width: int)
     its component already. What then is left to compare across the components of a bucket is compared in full: pair by pair
     if they are few for the number of bucket entries, and else in blocks, which give no row for a pair.
     """
-    most, found = PAIRS_PER_ENTRY * shared.count(), None
+    most, found, rest = PAIRS_PER_ENTRY * shared.count(), None, None
     pairs = shared.where("a <> b").select("a", "b")
     for pivot in range(1, PIVOTS + 1):
-        found = _joined(found, materialize(verified(pairs.distinct(), texts, threshold, width)))
+        found = _joined(found, verified(pairs.distinct(), texts, threshold, width))
+        if rest is not None:
+            drop_scratch(rest)
         placed = shared.join(found.withColumnRenamed("id", "b"), "b", "left").select("key", F.col("b").alias("id"), F.coalesce("component_id", "b").alias("part"))
         tally = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("open"))
         mixed = materialize(tally.where("open > 0"))
         left = mixed.agg(F.sum("open")).first()[0]
         if not left:
+            drop_scratch(mixed)
             return found
         rest = materialize(placed.join(mixed.select("key"), "key", "left_semi"))
+        drop_scratch(mixed)
         if left <= most:
             break
         chosen = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(pivot)).alias("h"), F.col("id").alias("a"), F.col("part").alias("pa"))).alias("p")).select("key", "p.a", "p.pa")
         pairs = rest.join(chosen, "key").where("part <> pa").select("a", F.col("id").alias("b"))
     if left <= most:
         x, y = rest.toDF("key", "a", "pa"), rest.toDF("key", "b", "pb")
-        return _joined(found, materialize(verified(x.join(y, "key").where("a < b and pa <> pb").select("a", "b").distinct(), texts, threshold, width)))
-    return _joined(found, materialize(linked_in_blocks(rest, texts, threshold, width)))
+        links = verified(x.join(y, "key").where("a < b and pa <> pb").select("a", "b").distinct(), texts, threshold, width)
+    else:
+        links = linked_in_blocks(rest, texts, threshold, width)
+    out = _joined(found, links)
+    drop_scratch(rest)
+    return out
 
 
 def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The components so far with more links."""
-    if found is None:
-        return materialize(connected_components(links))
-    return materialize(connected_components(links.union(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))))
+    """The components so far with more links, as a table; the tables it was made from go."""
+    links = materialize(links)
+    known = links if found is None else links.union(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+    joined = connected_components(known)
+    out = materialize(joined)
+    for done in (links, joined, found):
+        if done is not None:
+            drop_scratch(done)
+    return out
 
 
 def block_links(rows: list[tuple], threshold: float, width: int) -> list[tuple[int, int]]:
@@ -281,7 +341,9 @@ def linked_in_blocks(rest: DataFrame, texts: DataFrame, threshold: float, width:
     """
     sized = rest.join(texts.select("id", F.octet_length("text").alias("bytes")), "id")
     blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = rest.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = blocks.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # hot keys meet by (key, salt)
+    dealt = rest.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS)).cast("int")).join(large, ["key", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.select(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")).alias("cell"), "block", "part", "id").join(texts, "id").select("cell", "block", "part", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

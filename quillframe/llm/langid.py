@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import draw_rows, small_batches, table
 from .toxicity import held_out
 
 #: Bytes of an n-gram and buckets for each length.
@@ -129,10 +130,7 @@ def fit(docs: DataFrame) -> Model:
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return fit_rows(np.zeros((0, len(ORDERS) * BUCKETS), np.float32), [])
-    each = max(LEAST_ROWS, SAMPLE_ROWS // len(sizes))
-    spark = docs.sparkSession
-    shares = F.broadcast(spark.createDataFrame([(k, int(min(1.0, each / n) * (1 << 20))) for k, n in sizes.items()], "lang string, share long"))
-    drawn = labelled.join(shares, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share"))
+    drawn = draw_rows(labelled, "lang", sizes, max(LEAST_ROWS, SAMPLE_ROWS // len(sizes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +158,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[1] < AMBIGUOUS for f in found], pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*names, "lang_pred", "score", "ambiguous"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

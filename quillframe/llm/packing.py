@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bpe
-from .common import gapless_rank, materialize, small_batches, table
+from .common import gapless_rank, materialize, private, small_batches, table
 
 WINDOW, END = 2048, 1
 #: Parts that the remainders of one length are numbered in; window x BUCKETS rows of 24 bytes are broadcast at most.
@@ -118,39 +119,41 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
-    order = [F.col(c) for c in pieces.columns]
+    rank, order = private(pieces, "_rank"), [F.col(f"`{c}`") for c in pieces.columns]
     bucket = F.pmod(F.xxhash64(*order), F.lit(BUCKETS))
-    ranked = gapless_rank(pieces, pieces, ["length"], bucket, order, BUCKETS, "_rank")
+    ranked = gapless_rank(pieces, pieces, ["length"], bucket, order, BUCKETS, rank)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = histogram.pop(window, 0)
     plan = plan_windows(histogram, window, first=whole)
     ranges = spark.sparkContext.broadcast({name: np.asarray(getattr(plan, name), np.int64) for name in ("length", "rank", "sequence", "each", "offset")})
     names = pieces.columns
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ranges.value
         order = np.lexsort((found["rank"], found["length"]))
         steps = {k: v[order] for k, v in found.items()}
         begin = np.searchsorted(steps["length"], np.arange(window + 2))
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False)
-            sequence, offset = rank.copy(), np.zeros_like(rank)
+            place = batch.column(rank).to_numpy(zero_copy_only=False)
+            sequence, offset = place.copy(), np.zeros_like(place)
             for x in np.unique(length[length < window]):
                 mine = np.flatnonzero(length == x)
                 lo, hi = begin[x], begin[x + 1]
-                at = lo + np.searchsorted(steps["rank"][lo:hi], rank[mine], side="right") - 1
-                inside = rank[mine] - steps["rank"][at]
+                at = lo + np.searchsorted(steps["rank"][lo:hi], place[mine], side="right") - 1
+                inside = place[mine] - steps["rank"][at]
                 sequence[mine] = steps["sequence"][at] + inside // steps["each"][at]
                 offset[mine] = steps["offset"][at] + inside % steps["each"][at] * x
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(placed, T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
-    """The pieces of all documents with their places. A null text is an empty one: its only id is the end id."""
+    """The pieces of all documents with their places. A null text is an empty one: its only id is the end id.
+
+    Repeated rows are packed each, a null key stays null, other columns don't matter, and an empty table gives an empty one.
+    """
     if path is None:
         import public_tokenizers
 

@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import partitions, small_batches, table
+from .common import draw_rows, partitions, small_batches, table
 
-#: Bytes of an n-gram, buckets they are hashed to (as a power of two), blocks of partial counts.
+#: Characters of an n-gram, buckets they are hashed to (as a power of two), blocks of partial counts.
 ORDERS, BITS, BLOCKS = (3, 4, 5, 6), 20, 64
 #: N-grams that stay, labelled rows of each class that the regression is fitted on at most, its penalty and steps.
 FEATURES, SAMPLE_ROWS, PENALTY, STEPS = 4000, 4000, 1e-3, 150
@@ -34,8 +35,8 @@ def held_out(key: Column) -> Column:
 
 
 def ngrams(text: str | None) -> np.ndarray:
-    """The hashed n-grams of a text in lower case with a blank at both ends, in order and with repeats."""
-    data = np.frombuffer(f" {(text or '').lower()} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    """The hashed character n-grams of a text in lower case with a blank at both ends, in order and with repeats."""
+    data = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     rolling, out = data, []
     for n in range(2, max(ORDERS) + 1):
         if len(data) < n:
@@ -91,6 +92,7 @@ def telling_ngrams(labelled: DataFrame, sizes: tuple[int, int]) -> tuple[np.ndar
             rate = (zero + one) / sum(sizes)
             spread = np.sqrt(np.maximum(rate * (1 - rate) * (1 / sizes[0] + 1 / sizes[1]), 1e-12))
             z = np.abs(one / sizes[1] - zero / sizes[0]) / spread
+            z[zero + one == 0] = -1  # n-grams that never come rank behind those whose rates are equal
             best = np.lexsort((np.arange(len(z)), -z))[:FEATURES]
             best = best[(zero + one)[best] > 0]
             number = block * len(z) + best
@@ -140,21 +142,20 @@ def fit(labelled: DataFrame) -> Model:
     place = np.full(1 << BITS, -1, np.int32)
     place[number] = np.arange(len(number))
     shared = labelled.sparkSession.sparkContext.broadcast(place)
-    shares = [min(1.0, SAMPLE_ROWS / n) for n in sizes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [np.unique(x[x >= 0]).astype("<i4").tobytes() for x in (shared.value[ngrams(t.as_py())] for t in batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(kept, pa.binary())], ["id", "label", "body"])
 
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.when(F.col("label") == 1, F.lit(int(shares[1] * (1 << 20)))).otherwise(F.lit(int(shares[0] * (1 << 20))))
-    rows = labelled.where(draw).mapInArrow(run, "id long, label int, body binary").collect()
+    drawn = draw_rows(labelled, "label", found, SAMPLE_ROWS).select("id", "text", "label")
+    rows = drawn.mapInArrow(run, "id long, label int, body binary").collect()
     rows.sort(key=lambda r: (r["id"], r["label"], bytes(r["body"])))
     lists = [np.frombuffer(r["body"], "<i4") for r in rows]
     label = np.asarray([r["label"] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
     feature = np.concatenate([np.empty(0, np.int32), *lists])
-    weight = np.where(label == 1, 1 / shares[1], 1 / shares[0])
+    weight = np.asarray(sizes)[label] / np.bincount(label, minlength=2)[label]
     w, b = logistic_regression(feature, row, ratio[feature], label, weight, len(number))
     weights = np.zeros(1 << BITS, np.float32)
     weights[number] = w * ratio
@@ -182,8 +183,7 @@ def score_texts(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
             scores = [shared.value.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, {out} double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import boxed, materialize, table, unboxed
 
-#: A block is 8 words of 64 bits, one bit set in each; at most MAX_BLOCKS x 64 bytes = 256 KB go with the plan.
-WORDS, MAX_BLOCKS, KEYS_PER_BLOCK = 8, 4096, 32
-#: Lists up to this many entries (about 10 MB) and shapes are broadcast; longer ones take the shuffled join.
-MAX_BROADCAST_ENTRIES, MAX_BROADCAST_SHAPES = 100_000, 16
+#: A block is 8 words of 64 bits, one bit set in each; a filter has a block for KEYS_PER_BLOCK entries, 16 bits for each,
+#: so that it passes under 1 % of foreign keys however long the list is.
+WORDS, KEYS_PER_BLOCK = 8, 32
+#: Lists up to this many entries (about 10 MB) and shapes are broadcast; longer ones take the shuffled join. A longer list's filter
+#: is a table, which is broadcast up to this many blocks (about 30 MB) and joined by shuffle beyond.
+MAX_BROADCAST_ENTRIES, MAX_BROADCAST_SHAPES, MAX_BROADCAST_BLOCKS = 100_000, 16, 250_000
 
 LISTED = T.StructType([T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
 #: The rules of the query.
@@ -64,69 +66,84 @@ def _bit(key: Column, word: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(1)), 6 * word).bitwiseAND(F.lit(63)).cast("int")
 
 
-def bloom_filter(rules: DataFrame, blocks: int) -> list[list[int]]:
-    """The words of each block; ``blocks`` x 64 bytes, however long the list is."""
-    words = [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("rule"), w))).alias(f"w{w}") for w in range(WORDS)]
-    filled = {r[0]: list(r[1:]) for r in rules.groupBy(_block(F.col("rule"), blocks).alias("block")).agg(*words).collect()}
-    return [filled.get(b, [0] * WORDS) for b in range(blocks)]
+def bloom_filter(rules: DataFrame, blocks: int) -> DataFrame:
+    """(block, words): the words of each block that a rule falls in, as a table."""
+    words = F.array(*[F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("rule"), w))) for w in range(WORDS)])
+    return rules.groupBy(_block(F.col("rule"), blocks).alias("block")).agg(words.alias("words"))
 
 
-def might_hold(key: Column, words: Column, blocks: int) -> Column:
-    """Whether the filter holds a key: true for every listed one, and for few others."""
-    block = F.element_at(words, (_block(key, blocks) + 1).cast("int"))
-    test = F.lit(True)
+def might_hold(key: Column, words: Column) -> Column:
+    """Whether a key's block, given its words (null for none), may hold it: true for every listed one, and for few others."""
+    test = words.isNotNull()
     for w in range(WORDS):
-        test = test & (F.call_function("shiftright", block[w], _bit(key, w)).bitwiseAND(F.lit(1)) == 1)
+        test = test & (F.call_function("shiftright", words[w], _bit(key, w)).bitwiseAND(F.lit(1)) == 1)
     return test
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", default: str = "allow", max_broadcast: int = MAX_BROADCAST_ENTRIES) -> DataFrame:
     """Add host, path, rule (null if none fits) and verdict (``default`` without a rule) to every row.
 
-    Input columns of these names are replaced; all others and repeated rows stay. A null URL has an empty host and
+    Input columns of these names are replaced; all others, whatever their names, and repeated rows stay. A null URL has an empty host and
     path, which no rule fits. An empty list gives every row the default; rules without a host are void.
     """
-    spark = pages.sparkSession
-    pages = pages.drop("rule", "verdict", "host", "path").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    names = [c for c in pages.columns if c.lower() not in ("rule", "verdict", "host", "path")]
+    rows = boxed(pages, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rules = canonical_list(listed)
     shapes = [(r["labels"], r["chars"], r["n"]) for r in rules.groupBy("labels", "chars").agg(F.count(F.lit(1)).alias("n")).orderBy("labels", "chars").collect()]
+    added = [F.col("host"), F.col("path"), F.col("rule"), F.coalesce("verdict", F.lit(default)).alias("verdict")]
     if not shapes:
-        return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return unboxed(rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")}), names, *added)
     entries = sum(n for *_, n in shapes)
-    blocks = min(MAX_BLOCKS, max(1, -(-entries // KEYS_PER_BLOCK)))
-    words = F.from_json(F.lit(str(bloom_filter(rules, blocks))), T.ArrayType(T.ArrayType(T.LongType())))
-    keys = [F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, chars)) for labels, chars, _ in shapes]
-    passed = [F.when((F.length("path") >= chars) & might_hold(key, words, blocks), key) for key, (_, chars, _) in zip(keys, shapes, strict=True)]
+    blocks = -(-entries // KEYS_PER_BLOCK)
+    keys = [F.when(F.length("path") >= chars, F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, chars))) for labels, chars, _ in shapes]
     if entries <= max_broadcast and len(shapes) <= MAX_BROADCAST_SHAPES:
-        return _broadcast_join(pages, rules, shapes, passed, default)
-    return _shuffled_join(spark, pages, rules, passed, default)
+        judged = _broadcast_join(rows, rules, shapes, keys, blocks)
+    else:
+        judged = _shuffled_join(rows, materialize(rules), keys, blocks)
+    return unboxed(judged, names, *added)
 
 
-def _broadcast_join(pages: DataFrame, rules: DataFrame, shapes: Sequence[tuple], passed: Sequence[Column], default: str) -> DataFrame:
-    """One broadcast hash join for each shape: no shuffle, and rows stay where they are."""
-    out = pages
-    for i, ((labels, chars, _), key) in enumerate(zip(shapes, passed, strict=True)):
-        side = rules.where((F.col("labels") == labels) & (F.col("chars") == chars)).select(F.col("rule").alias(f"_r{i}"), F.col("verdict").alias(f"_v{i}"))
-        out = out.withColumn(f"_k{i}", key).join(F.broadcast(side), F.col(f"_k{i}") == F.col(f"_r{i}"), "left").drop(f"_k{i}")
-    fits = F.array(*[F.struct(F.length(f"_r{i}").alias("n"), F.col(f"_r{i}").alias("rule"), F.col(f"_v{i}").alias("verdict")) for i in range(len(shapes))])
-    best = F.array_max(F.filter(fits, lambda x: x["rule"].isNotNull()))
-    return out.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_best", *[f"_{c}{i}" for i in range(len(shapes)) for c in "rv"])
+def _broadcast_join(rows: DataFrame, rules: DataFrame, shapes: Sequence[tuple], keys: Sequence[Column], blocks: int) -> DataFrame:
+    """The filter as a constant of the plan, then one broadcast hash join for each shape: no shuffle, and rows stay where they are."""
+    filled = {r["block"]: r["words"] for r in bloom_filter(rules, blocks).collect()}  # 64 bytes for 32 entries: 200 KB at most
+    words = F.from_json(F.lit(str([filled.get(b, [0] * WORDS) for b in range(blocks)])), T.ArrayType(T.ArrayType(T.LongType())))
+    out = rows
+    for i, ((labels, chars, _), key) in enumerate(zip(shapes, keys, strict=True)):
+        side = rules.where((F.col("labels") == labels) & (F.col("chars") == chars)).select(F.col("rule").alias(f"r{i}"), F.col("verdict").alias(f"v{i}"))
+        passed = F.when(might_hold(key, F.element_at(words, (_block(key, blocks) + 1).cast("int"))), key)
+        out = out.withColumn(f"k{i}", passed).join(F.broadcast(side), F.col(f"k{i}") == F.col(f"r{i}"), "left").drop(f"k{i}")
+    fits = F.array(*[F.struct(F.length(f"r{i}").alias("n"), F.col(f"r{i}").alias("rule"), F.col(f"v{i}").alias("verdict")) for i in range(len(shapes))])
+    return out.withColumn("best", F.array_max(F.filter(fits, lambda x: x["rule"].isNotNull()))).select("row", "host", "path", "best.rule", "best.verdict")
 
 
-def _shuffled_join(spark: SparkSession, pages: DataFrame, rules: DataFrame, passed: Sequence[Column], default: str) -> DataFrame:
-    """Only what the filter passes is joined with the list, once for each (host, path); AQE splits hot keys of the last join."""
-    hits = pages.withColumn("_keys", F.array_compact(F.array(*passed))).where(F.size("_keys") > 0)
-    distinct = hits.groupBy("host", "path").agg(F.first("_keys").alias("_keys")).select("host", "path", F.explode("_keys").alias("_key"))
-    found = distinct.join(rules.select(F.col("rule").alias("_key"), "verdict"), "_key")
-    best = found.groupBy("host", "path").agg(F.max(F.struct(F.length("_key").alias("n"), F.col("_key").alias("rule"), "verdict")).alias("_best"))
-    side = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("verdict"))
-    return pages.join(side, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+def passing(candidates: DataFrame, rules: DataFrame, blocks: int) -> DataFrame:
+    """The rows of (key, ...) whose key the filter, a table as long as the list demands, may hold."""
+    filled = bloom_filter(rules, blocks)
+    if blocks <= MAX_BROADCAST_BLOCKS:
+        filled = F.broadcast(filled)
+    met = candidates.withColumn("block", _block(F.col("key"), blocks)).join(filled, "block")
+    return met.where(might_hold(F.col("key"), F.col("words"))).drop("block", "words")
+
+
+def _shuffled_join(rows: DataFrame, rules: DataFrame, keys: Sequence[Column], blocks: int) -> DataFrame:
+    """Each distinct (host, path) meets the filter, and what this passes is joined with the list; AQE splits hot keys of the last join."""
+    distinct = rows.where("host <> ''").select("host", "path").distinct()
+    candidates = distinct.select("host", "path", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+    found = passing(candidates, rules, blocks).join(rules.select(F.col("rule").alias("key"), "verdict"), "key")
+    best = found.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), "verdict")).alias("best"))
+    side = best.select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", "best.verdict")
+    return rows.join(side, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select("row", "host", "path", "rule", "verdict")
+
+
+def inline_list(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """A short list as a table of literals."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for r, v in rules])))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, spark.createDataFrame(RULES, LISTED)).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, inline_list(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
 ORACLE_SQL = r"""

@@ -1,4 +1,6 @@
+import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -257,8 +259,21 @@ def test_signatures_do_not_depend_on_the_company():
     assert (together != 0).all()
 
 
+def word_shingles(text, width=5):
+    """A multiset of tuples of words, by plain splitting; a shorter text is one shingle."""
+    words = re.split(r"[\x20\x09-\x0D]+", text or "")
+    words = [w for w in words if w]
+    return Counter(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else Counter()
+
+
+def plain_similarity(a, b):
+    both = sum((a & b).values())
+    return both / ((sum(a.values()) + sum(b.values()) - both) or 1)
+
+
 def brute_classes(rows):
-    sets = [dart_minhash.shingles(t) for _, t in rows]
+    """Classes of near copies, from tuples of words, with no code of the operator."""
+    sets = [word_shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -268,7 +283,8 @@ def brute_classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if dart_minhash.similarity(sets[i], sets[j]) >= 0.8 and find(i) != find(j):
+            small, large = sorted((sum(sets[i].values()), sum(sets[j].values())))
+            if small >= 0.8 * large and plain_similarity(sets[i], sets[j]) >= 0.8 and find(i) != find(j):
                 a, b = find(i), find(j)
                 root[a if rows[b][0] < rows[a][0] else b] = b if rows[b][0] < rows[a][0] else a
     return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
@@ -297,6 +313,31 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, most):
     assert dart_minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copies_of_rows_that_share_an_id(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    a2, a, b = " ".join([*a[:59], "x"]), " ".join(a), " ".join(b)
+    rows = [(2, a), (2, b), (1, a2), (2, b), (3, b), (4, None), (4, None), (None, a), (None, a), (5, "a"), (5, None), (6, "z"), (6, "y"), (7, "y")]
+    schema = "doc_id long, text string, id int, digest string, row int, root int, node int, first int, component_id int, leader int"
+    df = docs_of(spark, [(*r, 1, "d", 2, 3, 4, 5, 6, 7) for r in rows], schema)
+    got = sorted(dart_minhash.near_duplicates(df).collect(), key=str)
+    want = [(2, 1), (2, 2), (1, 1), (2, 2), (3, 2), (4, 4), (4, 4), (None, None), (None, None), (5, 5), (5, 5), (6, 6), (6, 6), (7, 6)]
+    assert got == sorted(want, key=str) or sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    kept = dart_minhash.without_near_copies(df)
+    assert kept.columns == df.columns
+    left = sorted(map(tuple, kept.collect()), key=str)
+    assert left == sorted([(k, t, 1, "d", 2, 3, 4, 5, 6, 7) for k, t in [(2, b), (1, a2), (4, None), (None, a), (5, "a"), (5, None), (6, "z"), (6, "y")]], key=str)
+    assert dart_minhash.without_near_copies(df.limit(0)).count() == 0
+
+
+def test_near_copies_leave_little_behind(spark):
+    """Scratch tables that the result doesn't read are deleted."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    files = lambda: set(os.listdir(folder.removeprefix("file://")))
+    before = files()
+    out = dart_minhash.near_duplicates(docs_of(spark, [(i, " ".join(prose(i // 2, 30)) + f" {i}") for i in range(20)]))
+    assert len(files() - before) <= 2 and out.where("component_id = doc_id").count() == 10
+
+
 def test_block_links_join_what_all_pairs_would(monkeypatch):
     monkeypatch.setattr(dart_minhash, "SLICE", 16)
     draw, words, rows = random.Random(2), prose(1, 80), []
@@ -316,10 +357,10 @@ def test_block_links_join_what_all_pairs_would(monkeypatch):
             root[max(find(a), find(b))] = min(find(a), find(b))
         return [find(i) for i in range(60)]
 
-    sets = [dart_minhash.shingles(r[3]) for r in rows]
+    sets = [word_shingles(r[3]) for r in rows]
     for blocks in (1, 2):
         used = [(0 if blocks == 1 else b, *rest) for b, *rest in rows]
-        want = [(i, j) for i in range(60) for j in range(i) if dart_minhash.similarity(sets[i], sets[j]) >= 0.8 and (blocks == 1 or i % 2 != j % 2)]
+        want = [(i, j) for i in range(60) for j in range(i) if plain_similarity(sets[i], sets[j]) >= 0.8 and (blocks == 1 or i % 2 != j % 2)]
         assert classes(dart_minhash.block_links(used, 0.8, 5)) == classes(want)
 
 
@@ -376,5 +417,113 @@ def test_toxicity(spark):
 
 def test_ngrams_of_short_and_long_texts():
     assert len(toxicity.ngrams(None)) == 0 and len(toxicity.ngrams("a")) == 1
-    n = len(" éa ".encode())
+    n = len(" éa ")
     assert len(toxicity.ngrams("ÉA")) == sum(max(0, n - k + 1) for k in toxicity.ORDERS)
+    assert set(toxicity.ngrams("中文字")) < set(toxicity.ngrams("中文字 中文字"))
+
+
+def hashed(codes, orders, finish):
+    """(order, bucket) of every n-gram, by plain integers; n-grams of one order come together."""
+    out = []
+    for n in orders:
+        for i in range(len(codes) - n + 1):
+            h = codes[i]
+            for c in codes[i + 1 : i + n]:
+                h = (h * 0x01000193 + c) % 2**32
+            out.append((n, finish(h, n)))
+    return out
+
+
+def test_language_model_equals_a_plain_one():
+    """Dense vectors, a ridge solved anew for every left-out row, and losses added bit by bit."""
+    draw, alphabets = random.Random(3), {"aa": "abcdef", "bb": "defghi", "cc": "ghijkl"}
+    texts = [(lang, " ".join("".join(draw.choices(letters, k=4)) for _ in range(6))) for lang, letters in alphabets.items() for _ in range(9)]
+
+    def vector(text):
+        x, codes = np.zeros(4 * 2048), text.encode()
+        for n in langid.ORDERS:
+            found = Counter(b for _, b in hashed(codes, [n], lambda h, _: ((h ^ h >> 15) * 0x2C1B3C6D) % 2**32 >> 21))
+            for b, k in found.items():
+                x[(n - 1) * 2048 + b] = (k / sum(found.values())) ** 0.5
+        return x / np.linalg.norm(x)
+
+    x = np.stack([vector(t) for _, t in texts])
+    words = {"aa": [1, -1, 1], "bb": [-1, 1, 1], "cc": [-1, -1, -1]}
+    words = {lang: langid.codewords(3)[k].tolist() for k, lang in enumerate(words)}
+    y = np.asarray([words[lang] for lang, _ in texts], float)
+    bias, ridge = y.reshape(3, 9, 3).mean(axis=1).mean(axis=0), langid.PENALTY * len(x) / 10
+
+    def solved(rows, target):
+        return rows.T @ np.linalg.solve(rows @ rows.T + ridge * np.eye(len(rows)), target - bias)
+
+    left = np.stack([x[i] @ solved(np.delete(x, i, 0), np.delete(y, i, 0)) + bias for i in range(len(x))])
+    wrong = np.clip((left * y <= 0).mean(axis=0), 1e-3, 0.5)
+    trust = np.log((1 - wrong) / wrong) + 1e-6
+    trust *= 3 / trust.sum()
+
+    def losses(margins):
+        return np.asarray([sum(t * np.log1p(np.exp(-2 * m * w)) for m, w, t in zip(margins, word, trust, strict=True)) for word in words.values()])
+
+    def surprise(sharp):
+        return np.mean([np.log(sum(np.exp(-sharp * losses(m)))) + sharp * losses(m)[list(words).index(lang)] for m, (lang, _) in zip(left, texts, strict=True)])
+
+    sharp = min((0.25, 0.5, 1.0, 2.0, 4.0, 8.0), key=surprise)
+    model = langid.fit_rows(np.stack([langid.features(t) for _, t in texts]), [lang for lang, _ in texts])
+    assert model.sharpness == sharp
+    weights = solved(x, y)
+    tries = [t for _, t in texts[::4]] + ["abc ghi", "fff", "kla dea"]
+    for text, (lang, score) in zip(tries, model.predict(tries), strict=True):
+        loss = losses(vector(text) @ weights + bias)
+        share = np.exp(-sharp * loss) / np.exp(-sharp * loss).sum()
+        assert lang == list(words)[int(loss.argmin())] and abs(score - share.max()) < 1e-3
+
+
+def test_toxicity_model_equals_a_plain_one(spark, monkeypatch):
+    """Counts in dictionaries, all n-grams ranked at once, and a regression over a dense matrix by the same steps."""
+    draw = random.Random(5)
+    texts = [(i, " ".join(draw.choices(["lorem", "Ipsum", "dolor", "vorx", "sít"], weights=[5, 4, 4, 3 if i % 3 == 0 else 0.3, 2], k=7)), int(i % 3 == 0)) for i in range(45)]
+    grams = lambda t: set(hashed([ord(c) for c in f" {t.lower()} "], toxicity.ORDERS, lambda h, n: (((h + n * 0x9E3779B1) % 2**32 ^ (h + n * 0x9E3779B1) % 2**32 >> 15) * 0x2C1B3C6D) % 2**32 >> 12))
+    docs = [{b for _, b in grams(t)} for _, t, _ in texts]
+    label = np.asarray([y for *_, y in texts])
+    size = [int((label == k).sum()) for k in (0, 1)]
+    count = [Counter(b for d, y in zip(docs, label, strict=True) if y == k for b in d) for k in (0, 1)]
+
+    def spread(b):
+        rate = (count[0][b] + count[1][b]) / sum(size)
+        return abs(count[1][b] / size[1] - count[0][b] / size[0]) / max(rate * (1 - rate) * (1 / size[0] + 1 / size[1]), 1e-12) ** 0.5
+
+    kept = sorted(count[0] | count[1], key=lambda b: (-spread(b), b))[: toxicity.FEATURES]
+    ratio = np.asarray([np.log((count[1][b] + 1) / (sum(count[1].values()) + 2**20)) - np.log((count[0][b] + 1) / (sum(count[0].values()) + 2**20)) for b in kept])
+    x = np.asarray([[b in d for b in kept] for d in docs]) * ratio
+    weight, w, c = np.ones(len(x)) / len(x), np.zeros(len(kept)), 0.0
+    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    for step in range(1, toxicity.STEPS + 1):
+        off = (1 / (1 + np.exp(-(x @ w + c))) - label) * weight
+        slope = np.append(x.T @ off + toxicity.PENALTY * w, off.sum())
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        move = 0.05 * (m / (1 - 0.9**step)) / ((v / (1 - 0.99**step)) ** 0.5 + 1e-8)
+        w, c = w - move[:-1], c - move[-1]
+    model = toxicity.fit(spark.createDataFrame(texts, "id long, text string, label int").repartition(3))
+    tries = [t for _, t, _ in texts[:6]] + ["vorx", "", "lorem vorx sít"]
+    for text in tries:
+        found = {b for _, b in grams(text)}
+        assert abs(model.score(text) - 1 / (1 + np.exp(-sum(u * r for b, u, r in zip(kept, w, ratio, strict=True) if b in found) - c))) < 1e-4
+
+
+@pytest.mark.parametrize("rows,count,each", [(1000, 10**10, 5 * 10**6), (400_000, 10**10, 25 * 10**6), (400_000, 10**13, 10**10)])
+def test_samples_of_very_large_groups(spark, rows, count, each):
+    """With counts as of a very large table, a part of its rows gives its share of the sample; a small group comes whole."""
+    from quillframe.llm.common import draw_rows
+
+    df = spark.range(rows).selectExpr("id", "'t' || id as text", "if(id % 2 = 0, 'big', 'small') as lang")
+    drawn = draw_rows(df, "lang", {"big": count, "small": each}, each).groupBy("lang").count().collect()
+    found = {r["lang"]: r["count"] for r in drawn}
+    want = rows / 2 * each / count
+    assert found["small"] == rows / 2 and abs(found.get("big", 0) - want) <= 5 * want**0.5 + 1
+
+
+def test_a_row_repeated_very_often_is_drawn_once(spark):
+    from quillframe.llm.common import draw_rows
+
+    df = spark.range(20_000).selectExpr("1L as id", "'same' as text", "0 as label").union(spark.range(100).selectExpr("id + 5", "'t' || id", "0"))
+    assert draw_rows(df, "label", {0: 20_100}, 20_100).count() == 101

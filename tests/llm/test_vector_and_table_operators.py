@@ -185,9 +185,9 @@ def test_graph_search_finds_the_nearest_centroids():
 
 
 def test_sharding_is_stable_gapless_and_weighted(spark):
-    df = spark.createDataFrame([(i, 1) for i in range(3000)] + [(7, 1), (None, 2)], "id long, slot int")
+    df = spark.createDataFrame([(i, 1, "b", "f", "n") for i in range(3000)] + [(7, 1, "b", "f", "n"), (None, 2, "b", "f", "n")], "id long, slot int, _bucket string, _first string, _n string")
     out = sharding.shard_records(df, "id", [1.0, 1.0, 2.0], [1.0, 1.0, 2.0, 1.0], buckets=7).collect()
-    assert len(out) == 3002
+    assert len(out) == 3002 and all((r._bucket, r._first, r._n) == ("b", "f", "n") for r in out)
     for shard in range(3):
         slots = sorted(r.slot for r in out if r.shard == shard)
         assert slots == list(range(len(slots)))
@@ -219,14 +219,17 @@ def brute_rule(url, rules):
     return host, path, rule, verdict
 
 
+CLASHING = ["row", "best", "_best", "r0", "v0", "k0", "_r0", "_v0", "_k0", "h", "p", "_h", "_p", "key", "block", "words", "_keys", "n", "labels", "chars"]
+
+
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_url_rules(spark, most):
-    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS + URLS[:3])], "page_id long, url string, host string")
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS + URLS[:3])], "page_id long, url string, host string").selectExpr("*", *[f"'{c}' as {c}" for c in CLASHING])
     extra = [(f"h{i}.example/p{i % 5}/", "block") for i in range(300)]
     for rules in (url_filter.RULES, url_filter.RULES + extra):
         listed = spark.createDataFrame([*rules, rules[0], (None, "block"), ("/nohost/", "block")], url_filter.LISTED)
         out = url_filter.filter_urls(df, listed, max_broadcast=most).collect()
-        assert len(out) == len(URLS) + 3
+        assert len(out) == len(URLS) + 3 and all(r[c] == c for r in out for c in CLASHING)
         for r in out:
             assert (r.host, r.path, r.rule, r.verdict) == brute_rule(r.url, rules)
     none = url_filter.filter_urls(df, spark.createDataFrame([], url_filter.LISTED)).collect()
@@ -234,12 +237,13 @@ def test_url_rules(spark, most):
     assert url_filter.filter_urls(df.limit(0), listed).count() == 0
 
 
-def test_bloom_filter_holds_all_keys_and_few_others(spark):
+@pytest.mark.parametrize("entries,most", [(2000, 250_000), (2000, 0), (1_000_000, 250_000)])
+def test_bloom_filter_holds_all_keys_and_few_others(spark, monkeypatch, entries, most):
     from pyspark.sql import functions as F
 
-    rules = url_filter.canonical_list(spark.createDataFrame([(f"h{i}.example/", "block") for i in range(2000)], url_filter.LISTED))
-    blocks = 63
-    words = F.from_json(F.lit(str(url_filter.bloom_filter(rules, blocks))), "array<array<bigint>>")
-    keys = spark.range(4000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example/")).alias("k"), "id")
-    hits = {r.id for r in keys.where(url_filter.might_hold(F.col("k"), words, blocks)).collect()}
-    assert set(range(2000)) <= hits and len(hits) < 2200
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_BLOCKS", most)
+    name = lambda i: F.concat(F.lit("h"), i.cast("string"), F.lit(".example/"))
+    rules = url_filter.canonical_list(spark.range(entries).select(name(F.col("id")).alias("rule"), F.lit("block").alias("verdict")))
+    keys = spark.range(entries - 1000, entries + 20_000).select(name(F.col("id")).alias("key"), "id")
+    hits = {r.id for r in url_filter.passing(keys, rules, -(-entries // url_filter.KEYS_PER_BLOCK)).collect()}
+    assert set(range(entries - 1000, entries)) <= hits and len(hits) < 1000 + 200
