@@ -24,8 +24,9 @@ from .common import drop_scratch, materialize, matrix, partitions, splitmix, tab
 from .components import connected_components
 
 THRESHOLD = 0.9
-#: Codes at least, mean number of filters of a random vector in each, directions of a code for each vector of the table.
-CODES, PASSED, DIRECTIONS = 8, 16, 16
+#: Codes at least, mean number of filters of a random vector in each, vectors of the table for each direction of a code, directions at least.
+#: So a filter has about PASSED x SPACING vectors, which are cheap to compare, and a vector few filters, whose rows are not.
+CODES, PASSED, SPACING, LEAST_DIRECTIONS = 4, 4, 32, 256
 #: Random pairs at the threshold that the number of codes is fitted on, the share of them that may meet in no filter, codes at most.
 TRIALS, MISSED, MOST_CODES = 4000, 0.002, 32
 #: Code vectors of a block at most; more directions take more blocks.
@@ -43,7 +44,7 @@ CELL = 2048
 @lru_cache(maxsize=32)
 def product_code(dim: int, seed: int, vectors: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """(rotation, code vectors of each block as columns, first dimension of each block) for a table of so many vectors."""
-    wanted = max(DIRECTIONS * vectors, PASSED * PASSED * DIRECTIONS)
+    wanted = max(vectors / SPACING, LEAST_DIRECTIONS)
     blocks = min(dim, max(2, int(np.ceil(np.log(wanted) / np.log(BLOCK_SIZE)))))
     size = int(np.ceil(wanted ** (1 / blocks)))
     draw = np.random.default_rng([dim, seed])
@@ -160,11 +161,8 @@ def postings(vectors: DataFrame, count: int, codes: dict[int, int]) -> DataFrame
     return vectors.mapInArrow(run, "filter long, least long, id long, s1 long, s2 long")
 
 
-def in_cells(posted: DataFrame) -> DataFrame:
-    """(cell, part, ...): filters of one vector go; those of more than CELL are cut into parts, and each two parts meet in a cell."""
-    sizes = posted.groupBy("filter").agg(F.count(F.lit(1)).alias("n"))
-    heavy = sizes.where(F.col("n") > CELL).select("filter", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
-    heavy = materialize(heavy)
+def in_cells(posted: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(cell, part, ...): those of more than CELL vectors are cut into parts, and each two parts meet in a cell."""
     plain = posted.select(F.xxhash64("filter", F.lit(0), F.lit(0)).alias("cell"), F.lit(0).alias("part"), F.lit(-1).alias("other"), "filter", "least", "id", "s1", "s2")
     if heavy.isEmpty():
         return plain
@@ -225,18 +223,21 @@ def _verify(threshold: float):
 
 
 def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b), a < b: the linked pairs found among usable vectors of (id, vec) with distinct ids. Vectors of different lengths don't link."""
+    """(a, b), a < b: the linked pairs found among usable vectors of (id, vec) with distinct ids, a stored table. Vectors of different lengths don't link."""
     sizes = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a length
     count = sum(sizes.values())
     often = sorted(sizes, key=lambda d: (-sizes[d], d))[:FITTED]
     posted = materialize(postings(vectors, count, {d: code_count(d, count, threshold) for d in often}))
-    cells = in_cells(posted)
+    sizes = posted.groupBy("filter").agg(F.count(F.lit(1)).alias("n"))
+    heavy = materialize(sizes.where(F.col("n") > CELL).select("filter", F.ceil(F.col("n") / CELL).cast("int").alias("parts")))
+    cells = in_cells(posted, heavy)
     dealt = cells.repartition(partitions(vectors.sparkSession), "cell").sortWithinPartitions("cell", "filter")
     pairs = dealt.mapInArrow(_meet, "a long, b long").distinct()
     left, right = vectors.select(F.col("id").alias("a"), F.col("vec").alias("va")), vectors.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").where(F.size("va") == F.size("vb"))
     links = materialize(met.mapInArrow(_verify(threshold), "a long, b long"))
-    drop_scratch(posted)
+    for done in (posted, heavy):
+        drop_scratch(done)
     return links
 
 
@@ -244,15 +245,27 @@ def dedup_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embeddin
     """(key, n_links, component_id, kept) of every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows without a key. Repeated rows
-    of a key count as one vector and have the same result. Extra columns don't matter. An empty table gives an empty one.
+    of a key count as one vector, that of the smallest digest, and have the same result. Extra columns don't matter. An empty table gives an
+    empty one.
+
+    Equal vectors are linked without being compared: their smallest key stands for all, with their number (two 64-bit hashes tell vectors apart).
     """
     ids = df.select(F.col(key).cast("long").alias("id"))
-    vectors = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).where(usable(F.col("vec")) & F.col("id").isNotNull()).dropDuplicates(["id"])
-    links = near_links(vectors, threshold)
-    counts = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    known = counts.join(connected_components(links), "id")
-    return ids.join(known, "id", "left").select(
-        F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept")
+    digest = F.struct(F.xxhash64(F.col(vector)).alias("h"), F.xxhash64(F.lit(1), F.col(vector)).alias("g")).alias("digest")
+    vectors = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"), digest).where(usable(F.col("vec")) & F.col("id").isNotNull())
+    placed = vectors.groupBy("id").agg(F.min("digest").alias("digest"))
+    classes = materialize(placed.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("equal")))
+    heads = materialize(vectors.join(classes.select(F.col("node").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "vec"))
+    links = near_links(heads, threshold)
+    drop_scratch(heads)
+    other = classes.select(F.col("node").alias("b"), F.col("equal").alias("others"))
+    counts = links.union(links.select("b", "a")).join(other, "b").groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
+    components = connected_components(links).withColumnRenamed("id", "node")
+    known = counts.join(components, "node")
+    member = placed.join(classes, "digest").select("id", "node", "equal").join(known, "node", "left")
+    of_node = F.coalesce("component_id", "node", "id")
+    return ids.join(member, "id", "left").select(
+        F.col("id").alias(key), (F.coalesce(F.col("equal") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), of_node.alias("component_id"), F.col("id").eqNullSafe(of_node).alias("kept")
     )
 
 
