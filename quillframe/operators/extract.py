@@ -72,27 +72,27 @@ def names_in_lists(found: Column, least: int = 1) -> Column:
     return F.filter(F.transform(names, clean_name), lambda x: F.length(x) >= least)
 
 
-def opening_block(text: Column) -> Column:
+def opening_block(text: Column, lines: Column | None = None) -> Column:
     """The lines before the first heading of a ruling's body."""
     def before(rows: Column) -> Column:
         stops = F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(STOP_HEADING), i)), lambda i: i.isNotNull())
         return F.array_join(F.slice(rows, F.lit(1), F.coalesce(F.array_min(stops), F.size(rows))), "\n")
 
-    return T.let(T.lines(text), before)
+    return T.let(T.lines(text) if lines is None else lines, before)
 
 
-def blocks_around(text: Column, phrase: str, span: int = PHRASE_LINES) -> Column:
+def blocks_around(text: Column, phrase: str, span: int = PHRASE_LINES, lines: Column | None = None) -> Column:
     """``span`` lines from each line that holds a phrase."""
     def around(rows: Column) -> Column:
         at = F.filter(F.transform(rows, lambda x, i: F.when(F.lower(x).contains(phrase), i + 1)), lambda i: i.isNotNull())
         return F.transform(at, lambda i: F.array_join(F.slice(rows, i, span), "\n"))
 
-    return T.let(T.lines(text), around)
+    return T.let(T.lines(text) if lines is None else lines, around)
 
 
-def document_info(text: Column) -> Column:
+def document_info(text: Column, lines: Column | None = None) -> Column:
     def facts(rows: Column) -> Column:
-        return T.let(F.array_join(rows, "\n"), lambda head: T.let(T.normalize_case_number(head), lambda number: T.let(decision_date(text), lambda date: F.struct(
+        return T.let(F.array_join(rows, "\n"), lambda head: T.let(T.normalize_case_number(head), lambda number: T.let(decision_date(text, lines), lambda date: F.struct(
             F.when(head.rlike(r"(?iU)\bketetapan\b"), "ketetapan").when(head.rlike(r"(?iU)\bputusan\b"), "putusan").alias("document_type"),
             F.when(head.rlike(r"(?iU)\bpuu\b"), "PUU").alias("case_type"),
             number.alias("case_number"),
@@ -103,13 +103,14 @@ def document_info(text: Column) -> Column:
             F.lit(None).cast("string").alias("summary"),
         ))))
 
-    return T.let(F.slice(_present(F.transform(T.lines(text), T.normalize_whitespace)), 1, HEAD_LINES), facts)
+    rows = T.lines(text) if lines is None else lines
+    return T.let(F.transform(F.slice(F.filter(rows, lambda x: T.normalize_whitespace(x) != ""), 1, HEAD_LINES), T.normalize_whitespace), facts)
 
 
-def decision_date(text: Column) -> Column:
+def decision_date(text: Column, lines: Column | None = None) -> Column:
     """struct<raw, iso> of the date a ruling was pronounced: the first valid one soon after an anchor in its closing."""
     closing = F.regexp_extract(text, r"(?ismdU)\A.*^\s*(Demikian\s+(?:diputus\w*|ditetapkan)\b.*)\z", 1)
-    fallback = F.array_join(F.filter(T.lines(text), lambda x: x.rlike(r"(?iU)^\s*(?:diucapkan|dibacakan|ditetapkan)\b")), "\n")
+    fallback = F.array_join(F.filter(T.lines(text) if lines is None else lines, lambda x: x.rlike(r"(?iU)^\s*(?:diucapkan|dibacakan|ditetapkan)\b")), "\n")
     closing = T.normalize_whitespace(F.regexp_replace(T.let(closing, lambda c: F.when(c != "", c).otherwise(fallback)), r"(?mdU)^\s*\d+\s*$", ""))
     return T.let(closing, _first_date)
 
@@ -121,9 +122,9 @@ def _first_date(closing: Column) -> Column:
     return F.get(dated, F.lit(0))
 
 
-def parties(text: Column, sections: Column) -> Column:
+def parties(text: Column, sections: Column, lines: Column | None = None, opening: Column | None = None, body: Column | None = None) -> Column:
     """struct of six arrays of people (name, role); each name once, in order of appearance."""
-    opening = opening_block(text)
+    opening = opening_block(text, lines) if opening is None else opening
     start = T.normalize_whitespace(F.substring(text, 1, OPENING_CHARS))
     named = F.coalesce(
         T.nullif_empty(F.regexp_extract(start, r"(?iU)(?:atas nama|bernama)\s+(.+?)(?=\s*\(|\s*,?\s*yang\b)", 1)),
@@ -132,9 +133,9 @@ def parties(text: Column, sections: Column) -> Column:
     line = T.nullif_empty(F.regexp_extract(text, r"(?imdU)^\s*Pemohon\s*:\s*(.+)$", 1))
     told = lambda n: F.when(n.isNotNull(), F.transform(split_names(n), clean_name)).otherwise(F.coalesce(F.array_compact(F.array(clean_name(line))), F.array().cast(NO_NAMES)))
     applicants = T.let(names_in_blocks(opening), lambda names: F.when(F.size(names) > 0, names).otherwise(T.let(named, told)))
-    body = F.concat(F.array_join(F.transform(sections, lambda s: s["text"]), "\n\n"), F.lit("\n"), F.array_join(F.transform(sections, lambda s: s["heading"]), "\n"))
+    body = section_body(sections) if body is None else body
     respondents = F.filter(F.array(*[F.when(body.rlike(rf"(?iU)\b{i}\b"), i) for i in INSTITUTIONS]), lambda x: x.isNotNull())
-    experts, witnesses = (F.flatten(F.transform(blocks_around(text, phrase), names_in_blocks)) for phrase in ("keterangan ahli", "keterangan saksi"))
+    experts, witnesses = (F.flatten(F.transform(blocks_around(text, phrase, lines=lines), names_in_blocks)) for phrase in ("keterangan ahli", "keterangan saksi"))
     found = [applicants, names_in_lists(_matches(opening, COUNSEL, 1), 3), respondents, experts, witnesses, names_in_lists(_matches(opening, AMICUS, 1))]
     return F.struct(*[people(T.ordered_distinct(names, F.lower), role).alias(group) for names, (group, role) in zip(found, PERSON_GROUPS.items(), strict=True)])
 
@@ -143,12 +144,17 @@ def people(names: Column, role: str) -> Column:
     return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(role).alias("role"), F.lit(None).cast("string").alias("description")))
 
 
+def section_body(sections: Column) -> Column:
+    """The texts of all sections, then their headings."""
+    return F.concat(F.array_join(F.transform(sections, lambda s: s["text"]), "\n\n"), F.lit("\n"), F.array_join(F.transform(sections, lambda s: s["heading"]), "\n"))
+
+
 def _whole(text: Column, sections: Column, separator: str = "\n\n") -> Column:
     return F.concat(F.array_join(F.transform(sections, lambda s: s["text"]), separator), F.lit("\n"), text)
 
 
-def legal_basis(text: Column, sections: Column) -> Column:
-    whole = _whole(text, sections)
+def legal_basis(text: Column, sections: Column, whole: Column | None = None, numbers: Column | None = None) -> Column:
+    whole = _whole(text, sections) if whole is None else whole
     rows = F.filter(T.lines(whole), lambda x: F.lower(x).contains("pasal"))
     constitutional = F.filter(rows, lambda x: F.lower(x).rlike("uud|1945"))
     procedural = F.filter(rows, lambda x: ~F.lower(x).rlike("uud|1945") & F.lower(x).rlike("peraturan mahkamah|acara|registrasi|persidangan"))
@@ -158,7 +164,7 @@ def legal_basis(text: Column, sections: Column) -> Column:
     start = F.regexp_replace(T.normalize_whitespace(F.substring(text, 1, LAW_CHARS)), r"(?iU)Undang\s*-\s*Undang", "Undang-Undang")
     challenged = T.nullif_empty(F.regexp_extract(start, r"(?iU)Pengujian\s+(Undang-Undang\s+Nomor\s+.+?)\s+terhad\s*ap\s+Undang-Undang\s+Dasar", 1))
     evidence = F.transform(_matches(whole, r"(?iU)\b(?:bukti|alat bukti)\s*(?:p\s*-?\s*)?\d+[a-z]?\b"), lambda x: T.normalize_whitespace(F.upper(x)))
-    cited = F.transform(T.extract_case_numbers(whole), lambda x: F.concat(F.lit("REFERENSI:"), x))
+    cited = F.transform(T.extract_case_numbers(whole) if numbers is None else numbers, lambda x: F.concat(F.lit("REFERENSI:"), x))
     return F.struct(
         F.when(challenged.isNotNull(), F.array(challenged)).otherwise(objects).alias("object_of_review"),
         articles[0].alias("constitutional_articles"),
@@ -167,8 +173,8 @@ def legal_basis(text: Column, sections: Column) -> Column:
     )
 
 
-def proceedings(text: Column, sections: Column) -> Column:
-    whole = _whole(text, sections, "\n")
+def proceedings(text: Column, sections: Column, whole: Column | None = None) -> Column:
+    whole = _whole(text, sections, "\n") if whole is None else whole
     labels = F.filter(F.array(*[F.when(whole.rlike(f"(?iU){p}"), label) for p, label in HEARINGS]), lambda x: x.isNotNull())
     rows = F.transform(T.lines(whole), T.normalize_whitespace)
     held = F.filter(rows, lambda x: x.rlike(r"(?iU)\b(hearing|sidang|persidangan|pemeriksaan)\b") & ~F.lower(x).contains("perkara nomor") & (F.length(x) <= 60))
@@ -183,8 +189,8 @@ def outcome(text: Column, document_type: Column) -> Column:
 
 def _after_last(text: Column, mark: str) -> Column:
     """What follows the last line start that matches a mark; null without one."""
-    cut = F.regexp_replace(text, rf"(?ismdU)\A.*^\s*{mark}", "\0")
-    return T.let(cut, lambda c: F.when(c.startswith("\0"), F.substring(c, F.lit(2), F.length(c))))
+    start = rf"(?ismdU)\A.*^\s*{mark}"
+    return F.when(text.rlike(start), F.regexp_replace(text, start, ""))
 
 
 def _no_outcome(document_type: Column) -> Column:
@@ -228,33 +234,68 @@ def adjudicators(text: Column) -> Column:
     return F.struct(signature_names(F.regexp_extract(signed, rf"(?ismdU)\A(.*?)(?:{clerk}|\z)", 1)).alias("judges"), signature_names(F.regexp_extract(signed, rf"(?ismdU){clerk}(.*)\z", 1)).alias("clerks"))
 
 
-def relations(text: Column, sections: Column) -> Column:
-    numbers = T.extract_case_numbers(_whole(text, sections))
+def relations(text: Column, sections: Column, numbers: Column | None = None) -> Column:
+    numbers = T.extract_case_numbers(_whole(text, sections)) if numbers is None else numbers
     return F.struct(numbers.alias("joined_cases"), numbers.alias("referenced_cases"))
 
 
-#: Parts of a record by name: each gets the names of the columns with the text, the sections and the document's facts.
+#: Parts of a record by name: each gets the columns with the text, the sections and the document's facts. Those here also use the columns that
+#: ``parse_documents`` computes once for all of them.
 EXTRACTORS: dict[str, Callable[[Column, Column, Column], Column]] = {
-    "parties": lambda t, s, d: parties(t, s),
-    "legal_basis": lambda t, s, d: legal_basis(t, s),
-    "proceedings": lambda t, s, d: proceedings(t, s),
+    "parties": lambda t, s, d: parties(t, s, F.col("_lines"), F.col("_opening"), F.col("_body")),
+    "legal_basis": lambda t, s, d: legal_basis(t, s, F.col("_whole"), F.col("_numbers")),
+    "proceedings": lambda t, s, d: proceedings(t, s, F.col("_joined")),
     "outcome": lambda t, s, d: outcome(t, d["document_type"]),
     "adjudicators": lambda t, s, d: adjudicators(t),
-    "relations": lambda t, s, d: relations(t, s),
+    "relations": lambda t, s, d: relations(t, s, F.col("_numbers")),
 }
 
 
-def parse_documents(docs: DataFrame, text: str = "text", extractors: dict[str, Callable] = EXTRACTORS) -> DataFrame:
-    """One record for each row of (file_name, text[, pdf_path, page_count, engine]): source, facts, checks and status. A null text is an empty one."""
+def guarded(function: Callable, kind: str) -> Callable[[Column, Column, Column], Column]:
+    """An extractor from a Python function of (text, sections, document): where it raises, the part is null and the record tells its failure."""
+
+    @F.udf(returnType=f"struct<value: {kind}, error: string>")
+    def run(text: str, sections: list, document: dict) -> tuple:
+        try:
+            return function(text, sections, document), None
+        except Exception as failure:  # noqa: BLE001 - whatever the extractor raises goes to its row
+            return None, str(failure)
+
+    def extractor(text: Column, sections: Column, document: Column) -> Column:
+        return run(text, sections, document)
+
+    extractor.guarded = True
+    return extractor
+
+
+def parse_documents(docs: DataFrame, text: str = "text", extractors: dict[str, Callable] = EXTRACTORS, schema: str | None = None) -> DataFrame:
+    """One record for each row of (file_name, text[, pdf_path, page_count, engine]): source, facts, checks and status. A null text is an empty one.
+
+    With ``schema``, the text of a JSON Schema, records are checked against it as raw JSON. What a ``guarded`` extractor can't do fails no row but its
+    own: the part is null, and ``parser`` names it.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     have = set(docs.columns)
     source = F.struct(
         *[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(name) for c, name, kind in (("pdf_path", "pdf_path", "string"), ("file_name", "file_name", "string"), ("page_count", "page_count", "int"), ("engine", "text_extraction_engine", "string"), ("download_url", "download_url", "string"))]
     )
     out = docs.select(F.lit(SCHEMA_VERSION).alias("schema_version"), source.alias("source"), body.alias("_text"))
-    out = out.withColumns({"sections": split_sections(F.col("_text")), "document": document_info(F.col("_text"))})
-    out = out.withColumns({name: f(F.col("_text"), F.col("sections"), F.col("document")) for name, f in extractors.items()}).drop("_text")
-    return validate.with_parser(validate.with_validation(out))
+    out = out.withColumns({"_lines": T.lines(F.col("_text")), "sections": split_sections(F.col("_text"))})
+    t, s = F.col("_text"), F.col("sections")
+    out = out.withColumns({"document": document_info(t, F.col("_lines")), "_opening": opening_block(t, F.col("_lines")), "_body": section_body(s), "_whole": _whole(t, s), "_joined": _whole(t, s, "\n")})
+    out = out.withColumn("_numbers", T.extract_case_numbers(F.col("_whole")))
+    out = out.withColumns({name: f(t, s, F.col("document")) for name, f in extractors.items()}).drop("_text", "_lines", "_opening", "_body", "_whole", "_joined", "_numbers")
+    mine = [name for name, f in extractors.items() if getattr(f, "guarded", False)]
+    failed = F.filter(F.array(*[F.when(F.col(f"{n}.error").isNotNull(), F.struct(F.lit(n).alias("name"), F.col(f"{n}.error").alias("error"))) for n in mine]), lambda x: x.isNotNull()) if mine else None
+    if mine:
+        out = out.withColumn("_failed", failed).withColumns({n: F.col(f"{n}.value") for n in mine})
+        failed = F.col("_failed")
+    records = validate.with_parser(validate.with_validation(out), failed)
+    if schema is not None:
+        raw = F.to_json(F.struct(*[c for c in records.columns if c != "_failed"]), {"ignoreNullFields": "false"})
+        again = records.withColumn("_errors", validate.schema_errors(raw, schema)).drop("parser")
+        records = validate.with_parser(validate.with_validation(again, F.col("_errors")), failed).drop("_errors")
+    return records.drop("_failed")
 
 
 def manual_truth_template(records: DataFrame) -> DataFrame:
