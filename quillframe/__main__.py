@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import pathlib
 import sys
 
 from quillframe.plans import jobs, registry
@@ -16,22 +17,27 @@ def main(argv: list[str]) -> int:
         command = commands.add_parser(name)
         for place in places:
             command.add_argument(place)
+        if name in ("run", "parse", "check"):
+            command.add_argument("--schema", type=pathlib.Path, help="a JSON Schema that records must meet")
+        if name == "ingest":
+            command.add_argument("--force", action="store_true", help="take known contents again")
     args = parser.parse_args(argv)
     spark = local_session()
     read = spark.read.parquet
+    schema = args.schema.read_text(encoding="utf-8") if getattr(args, "schema", None) else None
     if args.command == "run":
-        jobs.run(spark, args.texts, args.out).show(200, truncate=False)
+        jobs.run(spark, args.texts, args.out, schema).show(200, truncate=False)
     elif args.command == "parse":
-        unfinished = jobs.parse(spark, args.texts, args.out)
+        unfinished = jobs.parse(spark, args.texts, args.out, schema)
         unfinished.show(200, truncate=False)
     elif args.command == "check":
-        jobs.check(spark, read(args.records), args.out).groupBy("route").count().show()
+        jobs.check(spark, read(args.records), args.out, schema).groupBy("route").count().show()
     elif args.command == "report":
         jobs.report(read(args.parsed), read(args.routed)).show(200, truncate=False)
     elif args.command == "scaffold":
         jobs.scaffold(read(args.routed), args.out)
     elif args.command == "ingest":
-        jobs.ingest(spark, args.inbox, args.out)
+        jobs.ingest(spark, args.inbox, args.out, args.force)
     else:
         registry.QUERIES[args.name](spark, args.tables).show(50, truncate=False)
     return 0

@@ -53,7 +53,14 @@ def ordered_distinct(c: Column, key: Callable[[Column], Column] | None = None) -
     """The first of all elements with one key, in order."""
     if key is None:
         return F.array_distinct(c)
-    return let(c, lambda items: let(F.transform(items, key), lambda keys: F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
+
+    def first_of_each(items: Column) -> Column:
+        """Sorted by (key, place), the first of each run of keys; then by place again: no element is compared with all."""
+        placed = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        firsts = let(placed, lambda s: F.filter(s, lambda x, j: (j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"])))
+        return F.transform(F.array_sort(F.transform(firsts, lambda x: x["i"])), lambda i: F.get(items, i))
+
+    return let(c, first_of_each)
 
 
 def normalize_case_number(c: Column, pattern: str = CASE_NUMBER) -> Column:

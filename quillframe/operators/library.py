@@ -6,9 +6,12 @@ compares revisions before it appends.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.readers import path_exists, remove_path
 from ..sources.sinks import latest
 
 
@@ -22,12 +25,20 @@ def current(log: DataFrame) -> DataFrame:
 
 
 def conflicts(changes: DataFrame, state: DataFrame) -> DataFrame:
-    """(id, reason) of changes (id, revision they are based on, case_number, document_type) that must not be saved."""
+    """(id, reason) of changes (id, revision they are based on, case_number, document_type) that must not be saved.
+
+    A change is stale if it is based on another revision than the state has, and a duplicate if another case, in the state or among the
+    changes, has its identity, or if its case is changed twice.
+    """
     s = state.select(F.col("id").alias("_id"), F.col("revision").alias("_revision"))
     stale = changes.join(s, F.col("id") == F.col("_id"), "left").where(F.coalesce("_revision", F.lit(0)) != F.col("revision")).select("id", F.lit("stale").alias("reason"))
     t = state.select(F.col("id").alias("_id"), F.col("case_number").alias("_number"), F.col("document_type").alias("_type"))
     taken = changes.join(t, (F.col("case_number") == F.col("_number")) & (F.col("document_type") == F.col("_type")) & (F.col("id") != F.col("_id"))).select("id", F.lit("duplicate").alias("reason")).distinct()
-    return stale.union(taken)
+    named = changes.where("case_number is not null and document_type is not null").groupBy("case_number", "document_type")
+    twins = named.agg(F.collect_set("id").alias("_ids"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.explode("_ids").alias("id"))
+    twice = changes.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id")
+    within = twins.union(twice).select("id", F.lit("duplicate").alias("reason"))
+    return stale.union(taken.union(within).distinct())
 
 
 def save(log: DataFrame, changes: DataFrame, path: str) -> None:
@@ -86,10 +97,134 @@ def new_entries(manifest: DataFrame, catalog: DataFrame) -> DataFrame:
     return manifest.join(catalog.select("case_number", "document_type").distinct(), ["case_number", "document_type"], "left_anti")
 
 
+def staged(uploads: DataFrame, catalog: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(drafts, errors) of uploads (draft_id, target_id, document_hash, case_number, document_type, record, created_at).
+
+    A draft knows its target, the revision it is based on, and the edits that the target has already. A target asked for must exist, and an
+    identity of several cases needs one. New targets are named by file and draft.
+    """
+    found = resolve_targets(uploads, catalog)
+    error = F.when(F.col("target_id").isNotNull() & ~F.col("target").eqNullSafe(F.col("target_id")), "unknown target").when(F.col("candidates") > 1, "several cases")
+    new = F.concat(F.lit("case-"), F.substring(F.sha2(F.concat_ws("/", "document_hash", "draft_id"), 256), 1, 32))
+    base = cases.select(F.col("id").alias("_id"), F.col("revision").alias("_revision"), F.col("edits").alias("_edits"))
+    found = found.withColumns({"error": error, "target": F.coalesce("target", new)}).join(base, F.col("target") == F.col("_id"), "left")
+    drafts = found.where("error is null").select(F.col("draft_id").alias("id"), "target", "record", F.col("_edits").alias("edits"), "document_hash", F.coalesce("_revision", F.lit(0)).cast("long").alias("base"), "created_at")
+    return drafts, found.where("error is not null").select("draft_id", "error")
+
+
+def published(drafts: DataFrame, fields: DataFrame) -> DataFrame:
+    """The changes that publishing makes of drafts and the owner's fields (draft_id, case_number, document_type, edits): a null ``edits`` keeps the draft's."""
+    given = fields.select("draft_id", F.replace("case_number", F.lit(" "), F.lit("")).alias("case_number"), "document_type", F.col("edits").alias("_edits"))
+    rows = drafts.join(given, drafts["id"] == given["draft_id"])
+    return rows.select(F.col("target").alias("id"), F.col("base").alias("revision"), "case_number", "document_type", "record", F.coalesce("_edits", "edits").alias("edits"), "document_hash", "draft_id")
+
+
+class Library:
+    """The owner's library in a folder: logs of cases, drafts and files, which only grow. A driver's transaction is one append to the log of cases.
+
+    What a failure leaves half done is harmless: a published draft is told by its id in the log of cases, whether or not it was taken off the log
+    of drafts, and files that nothing refers to are collected later.
+    """
+
+    CASES = "id string, revision long, case_number string, document_type string, record string, edits string, document_hash string, draft_id string, deleted boolean"
+    DRAFTS = "id string, revision long, target string, record string, edits string, document_hash string, base long, created_at timestamp, deleted boolean"
+    FILES = "hash string, revision long, filename string, content binary, deleted boolean"
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _log(self, name: str, schema: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        return self.spark.read.schema(schema).parquet(path) if path_exists(self.spark, path) else self.spark.createDataFrame([], schema)
+
+    def _append(self, rows: DataFrame, name: str, schema: str) -> None:
+        rows.select(*self._log(name, schema).columns).write.mode("append").parquet(f"{self.folder}/{name}")
+
+    def cases(self) -> DataFrame:
+        return current(self._log("cases", self.CASES))
+
+    def drafts(self) -> DataFrame:
+        done = self._log("cases", self.CASES).where("draft_id is not null").select(F.col("draft_id").alias("id")).distinct()
+        return current(self._log("drafts", self.DRAFTS)).join(done, "id", "left_anti")
+
+    def files(self) -> DataFrame:
+        return latest(self._log("files", self.FILES), ["hash"], "revision").where("not deleted")
+
+    def stage(self, uploads: DataFrame, catalog: DataFrame) -> DataFrame:
+        """Store new files and a draft for each upload (with ``filename`` and ``content``); returns the errors, with which nothing is stored."""
+        drafts, errors = staged(uploads, catalog, self.cases())
+        if errors.isEmpty():
+            every = uploads.select(F.col("document_hash").alias("hash"), "filename", "content").dropDuplicates(["hash"])
+            known = latest(self._log("files", self.FILES), ["hash"], "revision").select("hash", F.col("revision").alias("_r"), F.col("deleted").alias("_d"))
+            new = every.join(known, "hash", "left").where("_r is null or _d").withColumns({"revision": F.coalesce("_r", F.lit(0)) + 1, "deleted": F.lit(False)})
+            self._append(new, "files", self.FILES)
+            self._append(drafts.withColumns({"revision": F.lit(1).cast("long"), "deleted": F.lit(False)}), "drafts", self.DRAFTS)
+        return errors
+
+    def publish(self, fields: DataFrame) -> None:
+        """Drafts become cases, all or none, and are drafts no more."""
+        drafts = self.drafts()
+        absent = fields.join(drafts.select(F.col("id").alias("draft_id")), "draft_id", "left_anti").first()
+        if absent:
+            raise ConflictError(f"{absent['draft_id']}: no such draft")
+        self._save(published(drafts, fields))
+
+    def edit(self, changes: DataFrame) -> None:
+        """Save (id, revision, case_number, document_type, edits) of cases, all or none; record and file stay."""
+        kept = self.cases().select("id", "record", "document_hash")
+        self._save(changes.join(kept, "id", "left").withColumn("draft_id", F.lit(None).cast("string")))
+
+    def _save(self, changes: DataFrame) -> None:
+        wrong = conflicts(changes, self.cases()).first()
+        if wrong:
+            raise ConflictError(f"{wrong['id']}: {wrong['reason']}")
+        self._append(changes.withColumns({"revision": F.col("revision") + 1, "deleted": F.lit(False)}), "cases", self.CASES)
+
+    def discard(self, ids: DataFrame) -> None:
+        """Drafts (draft_id) go, and then the files that neither a draft nor a case refers to."""
+        gone = self.drafts().join(ids.select(F.col("draft_id").alias("id")), "id", "left_semi")
+        self._append(gone.withColumns({"revision": F.col("revision") + 1, "deleted": F.lit(True)}), "drafts", self.DRAFTS)
+        files = latest(self._log("files", self.FILES), ["hash"], "revision").where("not deleted")
+        orphans = orphan_files(files, self.drafts(), self.cases())
+        self._append(orphans.withColumns({"revision": F.col("revision") + 1, "deleted": F.lit(True), "content": F.lit(None).cast("binary")}), "files", self.FILES)
+
+
+def with_facts(records: DataFrame, facts: DataFrame, key: str = "file_name") -> DataFrame:
+    """Records (columns of structs) with curated facts over them: structs of the same names in ``facts``, whose non-null fields replace the record's."""
+    groups = [c for c in facts.columns if c != key]
+    named = facts.select(key, *[F.col(g).alias(f"_{g}") for g in groups])
+    rows = records.join(named, key, "left")
+    for g in groups:
+        over = facts.schema[g].dataType.names
+        rows = rows.withColumn(g, functools.reduce(lambda c, f, g=g: c.withField(f, F.coalesce(F.col(f"_{g}")[f], F.col(g)[f])), over, F.col(g)))
+    return rows.drop(*[f"_{g}" for g in groups])
+
+
+def import_all(good: DataFrame, bad: DataFrame, path: str) -> DataFrame:
+    """Write the accepted entries of a batch if none failed; else nothing, and a write that breaks off leaves no table. Returns the failures."""
+    if bad.isEmpty():
+        if path_exists(good.sparkSession, path):
+            raise ConflictError(f"{path}: exists")
+        try:
+            good.write.mode("error").parquet(path)
+        except Exception:
+            remove_path(good.sparkSession, path)
+            raise
+    return bad
+
+
+def import_counts(manifest: DataFrame, catalog: DataFrame, good: DataFrame | None = None, bad: DataFrame | None = None) -> DataFrame:
+    """One row (added, skipped, pending, failed); without results, a dry run, new entries are pending."""
+    new, every = new_entries(manifest, catalog).count(), manifest.count()
+    dry = good is None or bad is None
+    added, failed = (0, 0) if dry else (good.count(), bad.count())
+    return manifest.sparkSession.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in (("added", added), ("skipped", every - new), ("pending", new if dry else 0), ("failed", failed))])
+
+
 def import_batch(manifest: DataFrame, files: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, failures) of new entries: the file must be there with the checksum, and the text must name the case.
 
-    ``files`` has (file_name, hash), ``parsed`` (file_name, case_number). The caller overlays facts, checks and writes the accepted ones.
+    ``files`` has (file_name, hash), ``parsed`` (file_name, case_number). The caller overlays facts (``with_facts``), checks and writes (``import_all``).
     """
     f = files.select("file_name", F.col("hash").alias("_hash"))
     t = parsed.select("file_name", F.col("case_number").alias("_number"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.search_text import Query, matches_reference
@@ -136,13 +136,14 @@ def facets(df: DataFrame) -> DataFrame:
 def related(rows: DataFrame, key: str, topics: str, order: str, top: int = RELATED) -> DataFrame:
     """(key, rank, other, common): the newest ``top`` other rows that share a topic, with the shared topics in order.
 
-    The overlap is an equi-join on exploded topics. A topic that all rows share makes the join quadratic, as the result asks for.
+    A row's newest others are among the newest ``top`` + 1 of one of its topics, so only these meet the rows of a topic: the work grows with
+    rows x topics x ``top``, also for a topic that all rows share.
     """
-    from pyspark.sql import Window
-
-    x = rows.select(key, F.explode(F.array_distinct(topics)).alias("_topic"))
-    y = x.select(F.col(key).alias("other"), "_topic")
-    shared = x.join(y, "_topic").where(F.col(key) != F.col("other")).groupBy(key, "other").agg(F.array_join(F.array_sort(F.collect_list("_topic")), ", ").alias("common"))
-    dated = shared.join(rows.select(F.col(key).alias("other"), F.col(order).alias("_order")), "other")
-    w = Window.partitionBy(key).orderBy(F.coalesce("_order", F.lit("")).desc(), "other")
-    return dated.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(key, "rank", "other", "common")
+    newest = F.coalesce(F.col(order), F.lit(""))
+    x = rows.select(key, newest.alias("_order"), F.array_distinct(topics).alias("_topics")).withColumn("_topic", F.explode("_topics"))
+    first = x.withColumn("_n", F.row_number().over(Window.partitionBy("_topic").orderBy(F.desc("_order"), key))).where(F.col("_n") <= top + 1)
+    first = first.select("_topic", F.col(key).alias("other"), "_order", F.col("_topics").alias("_theirs"))
+    met = x.drop("_order").join(first, "_topic").where(F.col(key) != F.col("other"))
+    pairs = met.groupBy(key, "other").agg(F.first("_order").alias("_order"), F.array_join(F.array_sort(F.array_intersect(F.first("_topics"), F.first("_theirs"))), ", ").alias("common"))
+    w = Window.partitionBy(key).orderBy(F.desc("_order"), "other")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(key, "rank", "other", "common")

@@ -15,17 +15,23 @@ def flat(records: DataFrame) -> DataFrame:
     return records.select(F.col("source.file_name").alias("file_name"), "parser.status", "document.document_type", "validation.review_flags", "parser.failed_extractors", "validation.needs_manual_review")
 
 
-def parse(spark: SparkSession, path: str, out: str) -> DataFrame:
-    """Parse the texts of a folder into a table of records; returns the unfinished ones."""
+def parse(spark: SparkSession, path: str, out: str, schema: str | None = None) -> DataFrame:
+    """Parse the texts of a folder into a table of records, checked against a JSON Schema (its text) if one is given; returns the unfinished ones."""
     texts = readers.read_texts(spark, path).withColumnRenamed("path", "pdf_path")
-    records = extract.parse_documents(texts).withColumns({"case_id": F.regexp_replace("source.file_name", r"\.[^.]*$", ""), "path": F.col("source.pdf_path")})
+    records = extract.parse_documents(texts, schema=schema).withColumns({"case_id": F.regexp_replace("source.file_name", r"\.[^.]*$", ""), "path": F.col("source.pdf_path")})
     sinks.write_records(records, out)
     return reports.unfinished(flat(spark.read.parquet(out)))
 
 
-def check(spark: SparkSession, records: DataFrame, out: str) -> DataFrame:
-    """Check records again and route each to exactly one partition; the parser's block stays."""
-    sinks.write_routed(validate.route(validate.with_validation(records)), out)
+def check(spark: SparkSession, records: DataFrame, out: str, schema: str | None = None) -> DataFrame:
+    """Check records again and route each to exactly one partition; the parser's block stays, and without a schema its errors do."""
+    if schema is not None:
+        raw = F.to_json(F.struct(*[F.col(c) for c in records.columns if c not in ("case_id", "path")]), {"ignoreNullFields": "false"})
+        records = records.withColumn("_errors", validate.schema_errors(raw, schema))
+        records = validate.with_validation(records, F.col("_errors")).drop("_errors")
+    else:
+        records = validate.with_validation(records)
+    sinks.write_routed(validate.route(records), out)
     return spark.read.parquet(out)
 
 
@@ -39,16 +45,16 @@ def scaffold(routed: DataFrame, out: str) -> None:
     sinks.write_json_lines(extract.manual_truth_template(routed.where("route = 'review_queue'")), out)
 
 
-def run(spark: SparkSession, path: str, out: str) -> DataFrame:
+def run(spark: SparkSession, path: str, out: str, schema: str | None = None) -> DataFrame:
     """Parse, check, scaffold and report a folder under ``out``."""
-    parse(spark, path, f"{out}/parsed")
+    parse(spark, path, f"{out}/parsed", schema)
     parsed = spark.read.parquet(f"{out}/parsed")
     routed = check(spark, parsed, f"{out}/routed")
     scaffold(routed, f"{out}/manual_truth")
     return report(parsed, routed)
 
 
-def ingest(spark: SparkSession, box: str, out: str) -> None:
+def ingest(spark: SparkSession, box: str, out: str, force: bool = False) -> None:
     """Parse and check what is new in an inbox folder."""
 
     def process(files: DataFrame) -> DataFrame:
@@ -58,4 +64,4 @@ def ingest(spark: SparkSession, box: str, out: str) -> None:
         status = F.when(F.col("validation.needs_manual_review"), "review").otherwise("processed")
         return records.withColumn("path", F.col("source.pdf_path")).join(known, "path").withColumn("status", status)
 
-    inbox.ingest_inbox(spark, box, f"{out}/manifest", f"{out}/records", f"{out}/state", process).awaitTermination()
+    inbox.ingest_inbox(spark, box, f"{out}/manifest", f"{out}/records", f"{out}/state", process, force=force).awaitTermination()

@@ -36,10 +36,10 @@ d AS (SELECT doc_id, number, min(i) AS i FROM e GROUP BY 1, 2)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS pos, number FROM d"""
 
 ORACLES["ordered_distinct"] = f"""
-WITH w AS (SELECT doc_id, string_split({NORM.format('text')}, ' ')[1:50] AS a FROM documents),
+WITH w AS (SELECT doc_id, string_split({NORM.format('text')}, ' ') AS a FROM documents),
 e AS (SELECT doc_id, unnest(a) AS word, unnest(generate_series(1, len(a))) AS i FROM w),
 d AS (SELECT doc_id, arg_min(word, i) AS word, min(i) AS i FROM e GROUP BY doc_id, lower(word))
-SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words, count(*)::BIGINT AS n FROM d GROUP BY doc_id"""
+SELECT doc_id, md5(string_agg(word, ' ' ORDER BY i)) AS words_md5, count(*)::BIGINT AS n FROM d GROUP BY doc_id"""
 
 ORACLES["outcome_rules"] = """
 SELECT CASE event_type WHEN 'purchase' THEN 'granted_partly' WHEN 'click' THEN 'rejected' WHEN 'view' THEN 'inadmissible' WHEN 'signup' THEN 'withdrawn' ELSE 'unknown' END AS outcome_key, count(*)::BIGINT AS n FROM events GROUP BY 1"""
@@ -80,12 +80,12 @@ p AS (SELECT doc_id, label, t, greatest(strpos(lower(t), 'the') - 76, 0) AS a FR
 SELECT doc_id, label AS match_label, md5(CASE WHEN a > 0 THEN '…' ELSE '' END || substr(t, a + 1, 240) || CASE WHEN length(t) > a + 240 THEN '…' ELSE '' END) AS excerpt_md5 FROM p"""
 
 ORACLES["search_reference"] = """
-SELECT o_orderkey, (o_orderkey % 50) || '/PUU-' || ['XVIII', 'XIX', 'XX', 'XXI', 'XXII', 'XXIII'][o_orderkey % 6 + 1] || '/' || (2020 + o_orderkey % 6) AS case_number
-FROM orders WHERE o_orderkey % 50 = 7 AND o_orderkey % 6 = 3"""
+SELECT o_orderkey, (o_orderkey % 49 + 1) || '/PUU-' || ['XVIII', 'XIX', 'XX', 'XXI', 'XXII', 'XXIII'][o_orderkey % 6 + 1] || '/' || (2020 + o_orderkey % 6) AS case_number
+FROM orders WHERE o_orderkey % 49 = 6 AND o_orderkey % 6 = 3"""
 
 ORACLES["sort_newest_nulls_last"] = """
 WITH d AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS decision_date FROM orders)
-SELECT o_orderkey, decision_date FROM d ORDER BY decision_date IS NULL, decision_date DESC, CASE WHEN decision_date IS NOT NULL THEN o_orderkey::VARCHAR END DESC, o_orderkey LIMIT 100"""
+SELECT o_orderkey, decision_date FROM d ORDER BY decision_date IS NULL, decision_date DESC, CASE WHEN decision_date IS NOT NULL THEN o_orderkey::VARCHAR END DESC, o_orderkey"""
 
 ORACLES["page_20"] = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40"
 
@@ -96,7 +96,6 @@ flat AS (SELECT d.doc_id, d.lang AS document_type, CASE WHEN quality IS NULL THE
   FROM documents d LEFT JOIN labels l USING (doc_id)),
 f AS (SELECT *, len(review_flags) > 0 AS needs_manual_review FROM flat)"""
 
-ORACLES["review_flags"] = f"WITH {_FLAT} SELECT doc_id, array_to_string(review_flags, ',') AS flags, needs_manual_review FROM f"
 ORACLES["flag_counts"] = f"WITH {_FLAT}, e AS (SELECT doc_id, unnest(review_flags) AS flag FROM f) SELECT flag, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM e GROUP BY flag ORDER BY n DESC, first_doc"
 ORACLES["route_split"] = f"WITH {_FLAT} SELECT CASE WHEN needs_manual_review THEN 'review_queue' ELSE 'validated' END AS route, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS ids FROM f GROUP BY 1"
 
@@ -121,7 +120,7 @@ ORACLES["listed_files"] = f"WITH {_FLAT} SELECT 'needing_review' AS list, file_n
 ORACLES["run_counters"] = "SELECT (count(*) FILTER (quality = 1))::BIGINT AS processed, (count(*) FILTER (quality <> 1))::BIGINT AS review, 0::BIGINT AS failed, (count(*) FILTER (quality IS NULL))::BIGINT AS skipped FROM documents LEFT JOIN labels USING (doc_id)"
 
 ORACLES["display_compact"] = f"""
-WITH t AS (SELECT conv_id, turn, {NORM.format("substr(text, 1, 60)")} AS t FROM conversations),
+WITH t AS (SELECT conv_id, turn, {NORM.format("text")} AS t FROM conversations),
 d AS (SELECT conv_id, lower(t) AS k, arg_min(t, turn) AS t, min(turn) AS turn FROM t WHERE t <> '' GROUP BY 1, 2),
 g AS (SELECT conv_id, count(*) AS n, count(*) FILTER (length(t) <= 50) AS fine FROM d GROUP BY 1)
 SELECT c.conv_id, (coalesce(n, 0) - least(coalesce(fine, 0), 2))::BIGINT AS hidden, least(coalesce(fine, 0), 2)::BIGINT AS n_shown FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g USING (conv_id)"""
@@ -132,7 +131,8 @@ ORACLES["manifest_check"] = """
 WITH k AS (SELECT s_suppkey, s_suppkey - CASE WHEN s_suppkey % 10 = 0 THEN 1 ELSE 0 END AS number FROM supplier), c AS (SELECT number, count(*) AS n FROM k GROUP BY 1)
 SELECT s_suppkey, array_to_string(list_filter([CASE WHEN n > 1 THEN 'identity' END, CASE WHEN s_suppkey % 7 = 0 THEN 'url' END, CASE WHEN s_suppkey % 11 = 0 THEN 'file name' END, CASE WHEN s_suppkey % 13 = 0 THEN 'sha256' END], lambda x: x IS NOT NULL), ',') AS errors FROM k JOIN c USING (number)"""
 
-ORACLES["content_hash_dedupe"] = "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM documents GROUP BY 1"
+ORACLES["content_hash_dedupe"] = """
+SELECT sha256(text) AS hash, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM benchmark WHERE text IS NOT NULL) GROUP BY 1"""
 ORACLES["inbox_antijoin"] = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"
 
 ORACLES["source_priority"] = """
@@ -141,19 +141,16 @@ SELECT key, source, doc_id FROM r WHERE k = 1"""
 
 ORACLES["overlay_merge"] = """
 SELECT coalesce(b.doc_id, e.doc_id) AS doc_id, coalesce(CASE WHEN e.quality = 1 THEN 1 END, CASE WHEN b.doc_id IS NOT NULL THEN 0 END, -1)::BIGINT AS quality, coalesce(e.toxic, CASE WHEN b.doc_id IS NOT NULL THEN 0 END, -1)::BIGINT AS toxic,
-b.source, e.doc_id IS NOT NULL AS overlaid, b.doc_id IS NULL AS added FROM (SELECT * FROM documents WHERE doc_id % 3 <> 0) b FULL JOIN labels e ON b.doc_id = e.doc_id"""
+b.source, e.doc_id IS NOT NULL AS overlaid, b.doc_id IS NULL AS added FROM (SELECT doc_id * 2 AS doc_id, source FROM documents) b FULL JOIN labels e ON b.doc_id = e.doc_id"""
 
 ORACLES["last_wins_manifest"] = r"""
 WITH u AS (SELECT page_id, url, regexp_extract(url, '^([^/]*//[^/]*/[^/]*)', 1) AS p FROM pages),
 k AS (SELECT page_id, url, lower(regexp_extract(p, '^[A-Za-z]+://([^/?#]*)', 1)) || regexp_replace(regexp_extract(p, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') || '?' AS place FROM u)
 SELECT place, max(page_id) AS page_id, arg_max(url, page_id) AS url FROM k GROUP BY 1"""
 
-ORACLES["catalog_summary"] = r"""
-SELECT doc_id, CASE WHEN regexp_extract(text, '^([^.\n]{1,60})\.', 1) <> '' THEN regexp_extract(text, '^([^.\n]{1,60})\.', 1) ELSE 'Perkara ' || doc_id END AS title, coalesce(quality::VARCHAR, 'unknown') AS status, coalesce(toxic = 1, false) AS needs_manual_review
-FROM documents LEFT JOIN labels USING (doc_id)"""
 
 ORACLES["universal_semi_join"] = """
-SELECT DISTINCT conv_id FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations e WHERE e.conv_id = c.conv_id AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.conv_id * 7 + e.turn * 3 AND d.doc_id % 17 <> 0))"""
+SELECT DISTINCT conv_id FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations e WHERE e.conv_id = c.conv_id AND NOT EXISTS (SELECT 1 FROM labels d WHERE d.doc_id = e.conv_id * 7 + e.turn * 3))"""
 
 ORACLES["story_entries"] = """
 WITH s AS (SELECT doc_id % 300 AS case_number, arg_max(lang, doc_id) AS lang FROM documents GROUP BY 1)
@@ -170,7 +167,8 @@ ORACLES["vote_tally"] = "SELECT conv_id, CASE WHEN turn < 4 AND role IN ('user',
 ORACLES["orphan_gc"] = "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id * 2 = d.doc_id)"
 
 ORACLES["party_dedupe"] = """
-WITH n AS (SELECT c_nationkey, c_custkey, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' ' || (c_custkey % 3) AS name FROM customer), d AS (SELECT c_nationkey, name, min(c_custkey) AS k FROM n GROUP BY 1, 2)
+WITH n AS (SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) ELSE c_mktsegment END || ' ' || (c_custkey % 3) AS name FROM customer),
+d AS (SELECT c_nationkey, arg_min(name, c_custkey) AS name, min(c_custkey) AS k FROM n GROUP BY c_nationkey, lower(name))
 SELECT c_nationkey::BIGINT AS c_nationkey, string_agg(name, '; ' ORDER BY k) AS names FROM d GROUP BY 1"""
 
 ORACLES["revision_log"] = "SELECT user_id AS id, max(event_id) AS revision, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'signup'"
@@ -188,10 +186,11 @@ FROM part LEFT JOIN supplier a ON a.s_suppkey = p_partkey LEFT JOIN o ON o.n = '
 
 ORACLES["new_entries"] = "SELECT o_orderkey, o_orderstatus FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = o_orderkey AND l_linestatus = o_orderstatus)"
 
-ORACLES["import_batch"] = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'missing file' WHEN p_partkey % 7 = 0 THEN 'checksum' WHEN p_partkey % 11 = 0 THEN 'case number' ELSE '' END AS reason FROM part"
+ORACLES["import_batch"] = """
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 OR p_partkey // 2 NOT IN (SELECT c_custkey FROM customer) THEN 'missing file' WHEN p_partkey % 7 = 0 THEN 'checksum' WHEN p_partkey % 11 = 0 THEN 'case number' ELSE '' END AS reason FROM part"""
 
 ORACLES["archive_names"] = """
-WITH t AS (SELECT p_brand, count(*) AS n FROM part WHERE p_partkey % 9 = 0 GROUP BY 1),
+WITH t AS (SELECT 'Brand#' || c_nationkey AS p_brand, count(*) AS n FROM customer GROUP BY 1),
 k AS (SELECT p_partkey, p.p_brand, row_number() OVER (PARTITION BY p.p_brand ORDER BY p_partkey) + coalesce(n, 0) AS k FROM part p LEFT JOIN t ON t.p_brand = p.p_brand)
 SELECT p_partkey, CASE WHEN k = 1 THEN p_brand || '.pdf' ELSE p_brand || '__' || k || '.pdf' END AS archived_name FROM k"""
 
@@ -225,3 +224,56 @@ s AS (SELECT user_id, event_id, outcome, misses::BIGINT AS misses FROM m LEFT JO
 ORACLES["miss_run_scan"] = f"WITH {_SCAN} SELECT user_id, event_id, outcome, misses FROM s"
 ORACLES["scan_checkpoint"] = f"WITH {_SCAN} SELECT user_id, max(event_id) AS last_checked, max(event_id) + 1 AS next, arg_max(misses, event_id) AS consecutive_misses FROM s GROUP BY 1"
 ORACLES["inbox_stream_dedupe"] = "SELECT DISTINCT user_id, event_type FROM events"
+
+ORACLES["ingest_replay"] = """
+WITH d AS (SELECT sha256(coalesce(text, '')) AS hash, coalesce(text, '') AS text, lang FROM documents)
+SELECT hash, CASE WHEN bool_or(lang IN ('en', 'de')) THEN 'a' ELSE 'b' END AS batch, CASE WHEN max(length(text)) > 0 THEN 'processed' ELSE 'failed' END AS status, 1::BIGINT AS records FROM d GROUP BY 1"""
+
+ORACLES["save_conflicts_in_batch"] = """
+SELECT p_partkey AS id, 'duplicate' AS reason FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_size, p_type) AS n FROM part) WHERE n > 1"""
+
+ORACLES["publish_drafts"] = """
+WITH u AS (SELECT c_custkey AS n, s_suppkey AS s FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey),
+d AS (SELECT n, s, coalesce(s % 3, 0)::BIGINT AS revision, CASE WHEN s IS NOT NULL THEN 'case-' || s END AS target FROM u WHERE NOT (n % 7 = 0 AND s IS NULL)),
+f AS (SELECT *, 'Supplier#' || substr(n::VARCHAR, 1, 1) AS case_number, CASE WHEN starts_with(coalesce(target, sha256_case), 'case-1') THEN 'own' WHEN s IS NOT NULL THEN 'e' || s END AS edits
+  FROM (SELECT *, 'case-' || substr(sha256('h' || n || '/d' || n), 1, 32) AS sha256_case FROM d))
+SELECT 'd' || n AS draft_id, CASE WHEN revision + length(edits) > 0 THEN coalesce(target, sha256_case) END AS target, revision, case_number, edits, '' AS error FROM f
+UNION ALL SELECT 'd' || n, NULL, NULL, NULL, NULL, 'unknown target' FROM u WHERE n % 7 = 0 AND s IS NULL"""
+
+_VERDICTS = """
+v AS (SELECT s_suppkey, s_suppkey AS k, s_name, CASE s_suppkey % 8 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'Menolak ' || repeat('x', 160) WHEN 3 THEN 'MENGABULKAN ' || s_name WHEN 4 THEN 'MENGABULKAN ' || s_name WHEN 5 THEN 'MENGABULKAN ' || s_name ELSE s_name END AS summary FROM supplier),
+r AS (SELECT *, list_filter([
+  CASE WHEN k % 5 < 3 THEN 'too_few_sections_detected' END, CASE WHEN k % 9 = 0 THEN 'decision_date_missing' END, CASE WHEN k % 3 = 0 THEN 'judges_not_extracted' END, CASE WHEN k % 5 = 0 THEN 'applicants_missing' END, CASE WHEN k % 5 = 1 THEN 'applicant_count_high' END,
+  CASE WHEN k % 6 > 4 THEN 'respondent_count_high' END, CASE WHEN k % 11 > 8 THEN 'legal_counsel_count_high' END, CASE WHEN k % 7 > 5 THEN 'expert_count_high' END, CASE WHEN k % 7 > 5 THEN 'witness_count_high' END, CASE WHEN k % 5 > 3 THEN 'amicus_count_high' END,
+  CASE WHEN k % 5 > 1 AND k % 6 = 0 THEN 'applicants_contains_empty_name' WHEN k % 5 > 1 AND k % 6 = 1 THEN 'applicants_contains_very_long_name' WHEN k % 5 > 1 AND k % 6 = 2 THEN 'applicants_contains_suspicious_text' END,
+  CASE WHEN trim(coalesce(summary, '')) = '' THEN 'outcome_summary_missing' END, CASE WHEN k % 8 > 5 THEN 'outcome_summary_not_in_amar_style' END, CASE WHEN k % 3 = 1 AND k % 8 = 2 THEN 'outcome_summary_too_long' END,
+  CASE WHEN k % 4 = 0 THEN 'constitutional_articles_missing_for_putusan' END], lambda x: x IS NOT NULL) AS flags,
+  list_filter([CASE WHEN k % 13 = 0 THEN 'document.case_number is required by business rules' END, CASE WHEN k % 5 = 0 AND k % 11 = 0 AND k % 6 = 0 AND k % 7 = 0 THEN 'at least one party or participant should be detected' END,
+  CASE WHEN k % 3 = 0 THEN 'outcome.dictum should not be empty' END], lambda x: x IS NOT NULL) AS errors FROM v)"""
+ORACLES["review_flags"] = f"WITH {_VERDICTS} SELECT s_suppkey, array_to_string(flags, ',') AS flags, array_to_string(errors, ',') AS errors, len(flags) + len(errors) > 0 AS needs_manual_review FROM r"
+ORACLES["catalog_summary"] = f"""
+WITH {_VERDICTS}, l AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'UU 1' ELSE '' END AS law, CASE WHEN k % 13 > 0 THEN s_name ELSE '' END AS number FROM r)
+SELECT 'c' || k AS case_id, CASE WHEN k % 4 = 2 THEN 'Judul ' || number WHEN law <> '' THEN law ELSE 'Perkara ' || CASE WHEN number <> '' THEN number ELSE 'c' || k END END AS title, law, CASE WHEN k % 9 > 0 THEN '2020' ELSE '' END AS year,
+summary AS description, CASE WHEN len(flags) + len(errors) > 0 THEN 'partial' ELSE 'ok' END AS status, len(flags) + len(errors) > 0 AS needs_manual_review, CASE k % 5 WHEN 0 THEN 0 WHEN 1 THEN 16 ELSE 1 END::INTEGER AS applicant_count,
+CASE WHEN k % 8 = 2 THEN 'rejected' WHEN k % 8 IN (3, 4, 5) THEN 'granted' ELSE 'unknown' END AS outcome_key, 'c' || k || '.json' AS file_name FROM l"""
+
+ORACLES["ruling_facts"] = """
+WITH c AS (SELECT c_custkey AS k, c_name, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS segment, c_mktsegment, c_custkey % 20 + 2004 AS year FROM customer),
+x AS (SELECT *, (k % 200 + 1) || '/PUU-' || ['II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII', 'XIII', 'XIV', 'XV', 'XVI', 'XVII', 'XVIII', 'XIX', 'XX', 'XXI'][k % 20 + 1] || '/' || year AS number,
+  (k % 7 + 300) || '/PUU-XVII/2019' AS cited, CASE WHEN k % 2 = 0 THEN 'Menolak' ELSE 'Mengabulkan' END || ' permohonan ' || segment || ';' AS verdict FROM c)
+SELECT k AS c_custkey, 'putusan' AS document_type, 'PUU' AS case_type, number AS case_number, 'PUTUSAN' AS title, printf('%04d-%02d-%02d', year, k % 12 + 1, k % 28 + 1) AS decision_date,
+c_name || CASE WHEN k % 3 = 0 THEN '' ELSE '; Ibu ' || c_mktsegment END AS applicants, 'Budi ' || segment || ', S.H; Siti Aminah' AS counsels, 'DPR; Pemerintah' AS respondents,
+'Undang-Undang Nomor ' || (k % 30 + 1) || ' Tahun 2010 tentang Hal ' || (k % 30 + 1) AS objects, 'Pasal ' || (k % 5 + 20) || ' ayat (1)' AS constitutional, 'Pasal ' || (k % 30 + 1) AS procedural,
+'BUKTI P-' || (k % 30 + 1) || '; REFERENSI:' || number || '; REFERENSI:' || cited AS evidence, 'mendengar keterangan ahli; sidang pleno; Mendengar keterangan ahli dalam sidang pleno.' AS proceedings,
+verdict || '; Memerintahkan pemuatan putusan ini.' AS dictum, verdict AS summary, 'Andi Wijaya; Rina ' || CASE WHEN k % 4 = 0 THEN 'H' ELSE 'K' END || 'artono' AS judges, 'Dewi Lestari' AS clerks, number || '; ' || cited AS cases,
+8::BIGINT AS n_sections, 'ok' AS status, '' AS flags FROM x"""
+
+#: The entities that the pages hold; ``&amp`` may lack its end.
+_DECODED = "replace(replace(replace(replace(regexp_replace({}, '&amp;?', chr(1), 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), chr(1), '&')"
+ORACLES["html_strip"] = f"""
+WITH s AS (SELECT page_id, {_DECODED.format(_STRIP)} AS t FROM pages), l AS (SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|[\\n\\r]'), lambda x: {NORM.format('x')}), lambda x: x <> ''), chr(10)) AS text FROM s)
+SELECT page_id, length(text)::BIGINT AS chars, md5(text) AS text_md5 FROM l"""
+ORACLES["page_link_table"] = f"""
+WITH a AS ({ORACLES['html_links']}), d AS (SELECT page_id, pos, {NORM.format(_DECODED.format('title'))} AS title, regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || href AS url, href FROM a JOIN pages USING (page_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id, url, lower(title) ORDER BY pos) AS k FROM d WHERE title <> '')
+SELECT page_id, pos, title, url, 'other' AS category, ltrim(href, '/') AS file_name FROM f WHERE k = 1"""

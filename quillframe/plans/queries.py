@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from ..functions import search_text as S
 from ..functions import text as T
 from ..operators import catalog, extract, html, library, reports, search, sections, stories, validate
+from ..session import shared_folder
 from ..sources import sinks
 from ..streaming import inbox
 
@@ -66,17 +67,8 @@ def number_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distinct_words(table(spark, sf_dir, "documents"), F.slice(F.split(T.normalize_whitespace(F.col("text")), " "), 1, 50))
-
-
-def ordered_distinct_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``ordered_distinct``, whose SQL reads 50 words, over all words of every text."""
-    return _distinct_words(table(spark, sf_dir, "documents"), F.split(T.normalize_whitespace(F.col("text")), " "))
-
-
-def _distinct_words(docs: DataFrame, words: Column) -> DataFrame:
-    distinct = T.ordered_distinct(words, F.lower)
-    return docs.select("doc_id", F.array_join(distinct, " ").alias("words"), F.size(distinct).cast("long").alias("n"))
+    distinct = T.ordered_distinct(F.split(T.normalize_whitespace(F.col("text")), " "), F.lower)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(distinct, " ").cast("binary")).alias("words_md5"), F.size(distinct).cast("long").alias("n"))
 
 
 def outcome_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,18 +129,13 @@ def search_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = S.read_query("perkara nomor 0007/PUU-XXI/2023 kebebasan")
-    numbers = T.build_case_number(F.col("o_orderkey") % 50, F.lit("PUU"), F.lit(2020) + F.col("o_orderkey") % 6)
-    rows = table(spark, sf_dir, "orders").where((F.col("o_orderkey") % 50 > 0)).withColumn("case_number", numbers)
+    numbers = T.build_case_number(F.col("o_orderkey") % 49 + 1, F.lit("PUU"), F.lit(2020) + F.col("o_orderkey") % 6)
+    rows = table(spark, sf_dir, "orders").withColumn("case_number", numbers)
     return search.filter_rows(rows, S.Query(query.reference, ())).select("o_orderkey", "case_number")
 
 
 def sort_newest_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _dated_orders(spark, sf_dir)
-    return search.page(rows, search.order_of("newest", F.col("o_orderkey")), 1, 100).select("o_orderkey", "decision_date")
-
-
-def sort_newest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``sort_newest_nulls_last``, whose SQL ends after 100 rows, for all orders: the undated ones come last."""
+    """All orders, the newest first and the undated ones last."""
     return _dated_orders(spark, sf_dir).orderBy(*search.order_of("newest", F.col("o_orderkey"))).select("o_orderkey", "decision_date")
 
 
@@ -198,8 +185,30 @@ def _flag_rules() -> list[tuple[str, Column]]:
     return [("too_short", F.col("n_chars") < 300), ("too_long", F.col("n_chars") > 10000), ("no_label", F.col("quality").isNull()), ("toxic", F.col("toxic").eqNullSafe(1))]
 
 
+def _verdict_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as records whose parts are of all sizes: names of any length, some empty or suspicious, few or many sections, every kind of summary."""
+    k = F.col("s_suppkey")
+    person = lambda name: F.struct(name.alias("name"), F.lit("r").alias("role"))
+    people = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: person(F.concat(F.lit("P "), i.cast("string"))))
+    few = lambda n: F.when(n > 0, people(n)).otherwise(F.array().cast("array<struct<name:string,role:string>>"))
+    odd = F.when(k % 6 == 0, "").when(k % 6 == 1, F.repeat(F.lit("n"), 121)).when(k % 6 == 2, F.concat("s_name", F.lit(" ALAMAT: x"))).otherwise(F.col("s_name"))
+    summary = F.when(k % 8 == 0, F.lit(None)).when(k % 8 == 1, " ").when(k % 8 == 2, F.concat(F.lit("Menolak "), F.repeat(F.lit("x"), 160))).when(k % 8 < 6, F.concat(F.lit("MENGABULKAN "), "s_name")).otherwise(F.col("s_name"))
+    parties = F.struct(
+        F.when(k % 5 == 0, few(F.lit(0))).when(k % 5 == 1, people(F.lit(16))).otherwise(F.array(person(odd))).alias("applicants"), few(k % 11).alias("legal_counsels"), few(k % 6).alias("respondents"),
+        few(k % 7).alias("experts"), few(k % 7).alias("witnesses"), few(k % 5).alias("amicus_curiae"),
+    )
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", parties.alias("parties"), F.array_repeat(F.struct(F.lit("h").alias("heading")), (k % 5).cast("int")).alias("sections"),
+        F.struct(F.when(k % 9 > 0, "2020-01-01").alias("decision_date"), F.when(k % 2 == 0, "putusan").otherwise("ketetapan").alias("document_type"), F.when(k % 13 > 0, F.col("s_name")).otherwise("").alias("case_number")).alias("document"),
+        F.struct(F.array_repeat("s_name", (k % 3).cast("int")).alias("judges")).alias("adjudicators"), F.struct(summary.alias("summary"), F.array_repeat("s_name", (k % 3).cast("int")).alias("dictum")).alias("outcome"),
+        F.struct(F.array_repeat(F.lit("Pasal 1"), (k % 4).cast("int")).alias("constitutional_articles")).alias("legal_basis"),
+    )
+
+
 def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(spark, sf_dir).select("doc_id", F.array_join("review_flags", ",").alias("flags"), "needs_manual_review")
+    checked = validate.with_validation(_verdict_records(spark, sf_dir))
+    v = F.col("validation")
+    return checked.select("s_suppkey", F.array_join(v["review_flags"], ",").alias("flags"), F.array_join(v["business_rule_errors"], ",").alias("errors"), v["needs_manual_review"].alias("needs_manual_review"))
 
 
 def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,11 +240,6 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compact_turns(table(spark, sf_dir, "conversations"), F.substring("text", 1, 60))
-
-
-def display_compact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``display_compact``, whose SQL reads 60 characters of a turn, over whole turns."""
     return _compact_turns(table(spark, sf_dir, "conversations"), F.col("text"))
 
 
@@ -267,8 +271,22 @@ def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_hash_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("hash"), F.col("doc_id").alias("path"))
-    return files.groupBy("hash").agg(F.min("path").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    """Documents as files of an inbox whose manifest holds the passages of the benchmark."""
+    files = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("hash"), F.col("doc_id").alias("path"), "source")
+    manifest = table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("hash"))
+    return inbox.unseen(files, manifest).select("hash", F.col("path").alias("doc_id"), "source")
+
+
+def ingest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of documents, each tried again after what looks like a failure: what the tables of records and of the manifest then hold."""
+    folder = f"{shared_folder(spark)}/quillframe-ingest-{uuid.uuid4().hex}"
+    files = table(spark, sf_dir, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.col("doc_id").cast("string").alias("path"), "text", "lang")
+    finish = lambda rows: rows.withColumn("status", F.when(F.length("text") > 0, "processed").otherwise("failed"))
+    for name, batch in (("a", files.where("lang in ('en', 'de')")), ("a", files.where("lang in ('en', 'de')")), ("b", files), ("b", files)):
+        inbox.record_batch(batch, name, f"{folder}/manifest", f"{folder}/records", finish)
+    known = inbox.read_manifest(spark, f"{folder}/manifest").select("hash", "batch", "status")
+    records = spark.read.parquet(f"{folder}/records").groupBy("hash").agg(F.count(F.lit(1)).alias("records"))
+    return known.join(records, "hash").select("hash", "batch", "status", "records")
 
 
 def inbox_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +303,7 @@ def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"), "source")
+    base = table(spark, sf_dir, "documents").select((F.col("doc_id") * 2).alias("doc_id"), F.lit(0).alias("quality"), F.lit(0).alias("toxic"), "source")
     edits = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 1).alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     return catalog.overlay(base, edits, "doc_id", ["quality", "toxic"]).select("doc_id", F.coalesce(_long("quality"), F.lit(-1)).alias("quality"), F.coalesce(_long("toxic"), F.lit(-1)).alias("toxic"), "source", "overlaid", "added")
 
@@ -296,15 +314,21 @@ def last_wins_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows = docs.join(labels, "doc_id", "left")
-    title = T.nullif_empty(F.regexp_extract("text", r"^([^.\n]{1,60})\.", 1))
-    return rows.select("doc_id", F.coalesce(title, F.concat(F.lit("Perkara "), F.col("doc_id").cast("string"))).alias("title"), F.coalesce(F.col("quality").cast("string"), F.lit("unknown")).alias("status"), (F.col("toxic").eqNullSafe(1)).alias("needs_manual_review"))
+    """Flat search rows of the suppliers' records."""
+    k = F.col("s_suppkey")
+    title = F.when(k % 4 == 0, "Putusan").when(k % 4 == 1, "").when(k % 4 == 2, F.concat(F.lit("Judul "), F.col("document.case_number")))
+    group = F.lit(None).cast("array<struct<heading:string,text:string>>")
+    records = validate.with_parser(validate.with_validation(_verdict_records(spark, sf_dir))).select(
+        "s_suppkey", F.concat(F.lit("c"), k.cast("string")).alias("case_id"), F.lit("parsed_json").alias("route_source"), F.struct(F.lit(None).cast("string").alias("file_name")).alias("source"),
+        F.col("document").withField("title", title).withField("summary", F.lit(None).cast("string")).alias("document"),
+        F.col("legal_basis").withField("object_of_review", F.when(k % 3 == 0, F.array(F.lit("UU 1"))).otherwise(F.array().cast("array<string>"))).alias("legal_basis"), "outcome", "parser", "validation", "parties", group.alias("sections"),
+    )
+    return catalog.summarize(records).select("case_id", "title", "law", "year", "description", "status", "needs_manual_review", "applicant_count", "outcome_key", "file_name")
 
 
 def universal_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("slug"), (F.col("conv_id") * 7 + F.col("turn") * STORY_STEP).alias("case_number"))
-    cases = table(spark, sf_dir, "documents").where("doc_id % 17 <> 0").select(F.col("doc_id").alias("case_number"))
+    cases = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_number"))
     return stories.complete_stories(entries.select("slug").distinct(), entries, cases).select(F.col("slug").alias("conv_id"))
 
 
@@ -339,9 +363,12 @@ def orphan_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def party_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.concat(F.initcap("c_mktsegment"), F.lit(" "), (F.col("c_custkey") % 3).cast("string")).alias("name")))).alias("x"))
-    names = T.ordered_distinct(F.transform("x", lambda p: p["name"]), F.lower)
-    return people.select(_long("c_nationkey").alias("c_nationkey"), F.array_join(names, "; ").alias("names"))
+    """The names of a nation's customers, each once whatever its case, in the order they first come: only distinct names of a nation meet."""
+    name = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.initcap("c_mktsegment")).otherwise(F.col("c_mktsegment")), F.lit(" "), (F.col("c_custkey") % 3).cast("string"))
+    people = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", name.alias("name"))
+    first = people.groupBy("c_nationkey", F.lower("name").alias("_k")).agg(F.min("c_custkey").alias("at"), F.min_by("name", "c_custkey").alias("name"))
+    names = first.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("x"))
+    return names.select(_long("c_nationkey").alias("c_nationkey"), F.array_join(T.ordered_distinct(F.transform("x", lambda p: p["name"]), F.lower), "; ").alias("names"))
 
 
 def revision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,6 +382,29 @@ def save_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.conflicts(changes, state)
 
 
+def save_conflicts_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as new cases, saved in one batch: those of one brand, size and type would be one case."""
+    state = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(1).alias("revision"), F.col("s_name").alias("case_number"), F.lit("x").alias("document_type")).limit(0)
+    changes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("revision"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("case_number"), F.col("p_type").alias("document_type"))
+    return library.conflicts(changes, state)
+
+
+def publish_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of suppliers' cases and of new ones, with the owner's fields: what publishing changes, and which of it conflicts with the state."""
+    k = F.col("s_suppkey")
+    suppliers = table(spark, sf_dir, "supplier")
+    cases = suppliers.select(F.concat(F.lit("case-"), k.cast("string")).alias("id"), (k % 3).alias("revision"), F.col("s_name").alias("case_number"), F.lit("p").alias("document_type"), F.concat(F.lit("h"), k.cast("string")).alias("document_hash"), F.concat(F.lit("e"), k.cast("string")).alias("edits"))
+    known = cases.select(F.col("id").alias("case_id"), "document_hash", "case_number", "document_type", F.lit(None).cast("string").alias("raw_number"), F.lit(None).cast("string").alias("raw_type"))
+    n = F.col("c_custkey")
+    uploads = table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), n.cast("string")).alias("draft_id"), F.when(n % 7 == 0, F.concat(F.lit("case-"), n.cast("string"))).alias("target_id"), F.concat(F.lit("h"), n.cast("string")).alias("document_hash"), F.col("c_name").alias("case_number"), F.lit("p").alias("document_type"), F.lit("{}").alias("record"), F.lit(None).cast("timestamp").alias("created_at"))
+    drafts, errors = library.staged(uploads, known, cases)
+    fields = drafts.select(F.col("id").alias("draft_id"), F.concat(F.lit("Supplier #"), F.substring("document_hash", 2, 1)).alias("case_number"), F.lit("p").alias("document_type"), F.when(F.col("target").startswith("case-1"), "own").alias("edits"))
+    changes = library.published(drafts, fields)
+    made = changes.select("draft_id", F.when(F.col("revision") + F.length("edits") > 0, F.col("id")).alias("target"), _long("revision").alias("revision"), "case_number", "edits", F.lit("").alias("error"))
+    empty = F.lit(None).cast("string")
+    return made.union(errors.select("draft_id", empty, F.lit(None).cast("long"), empty, empty, "error"))
+
+
 def target_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("case-"), F.col("s_suppkey").cast("string")).alias("case_id"), F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("h"), F.col("s_suppkey").cast("string"))).alias("document_hash"), F.col("s_name").alias("case_number"), F.lit("p").alias("document_type"), F.concat(F.lit("old"), (F.col("s_suppkey") % 20).cast("string")).alias("raw_number"), F.lit("p").alias("raw_type"))
     k = F.col("p_partkey")
@@ -371,7 +421,8 @@ def new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     manifest = table(spark, sf_dir, "part").select("p_partkey", F.concat(k.cast("string"), F.lit(".pdf")).alias("file_name"), F.sha2(k.cast("string"), 256).alias("sha256"), F.col("p_name").alias("case_number"))
-    files = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.concat(k.cast("string"), F.lit(".pdf")).alias("file_name"), F.sha2(F.when(k % 7 == 0, "x").otherwise(k.cast("string")), 256).alias("hash"))
+    n = F.col("c_custkey") * 2
+    files = table(spark, sf_dir, "customer").select(F.concat(n.cast("string"), F.lit(".pdf")).alias("file_name"), F.sha2(F.when(n % 7 == 0, "x").otherwise(n.cast("string")), 256).alias("hash"))
     parsed = table(spark, sf_dir, "part").select(F.concat(k.cast("string"), F.lit(".pdf")).alias("file_name"), F.when(k % 11 == 0, "?").otherwise(F.col("p_name")).alias("case_number"))
     good, bad = library.import_batch(manifest, files, parsed)
     return good.select("p_partkey", F.lit("").alias("reason")).union(bad.select("p_partkey", "reason"))
@@ -379,7 +430,7 @@ def import_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "part").select(F.lit("processed").alias("target"), F.concat("p_brand", F.lit(".pdf")).alias("file_name"), F.col("p_partkey").alias("path"))
-    taken = table(spark, sf_dir, "part").where("p_partkey % 9 = 0").groupBy(F.lit("processed").alias("target"), F.concat("p_brand", F.lit(".pdf")).alias("file_name")).agg(F.count(F.lit(1)).alias("n"))
+    taken = table(spark, sf_dir, "customer").groupBy(F.lit("processed").alias("target"), F.concat(F.lit("Brand#"), F.col("c_nationkey").cast("string"), F.lit(".pdf")).alias("file_name")).agg(F.count(F.lit(1)).alias("n"))
     return sinks.archive_names(files, taken).select(F.col("path").alias("p_partkey"), "archived_name")
 
 
@@ -429,15 +480,74 @@ def scan_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inbox_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream, taken once to the end; the distinct (user, type) pairs are kept in stream state."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    name = f"{folder.rstrip('/')}/quillframe-stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{spark.sparkContext._jvm.System.nanoTime()}"
+    name = f"{shared_folder(spark)}/quillframe-stream-{uuid.uuid4().hex}"
     schema: StructType = table(spark, sf_dir, "events").schema
-    seen = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_type").dropDuplicates()
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    seen = inbox.dedupe_stream(events, ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
     query = seen.writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(seen.schema).parquet(f"{name}/out")
 
 
+#: A ruling as text; the fields in braces are filled from a customer's row.
+RULING = """PUTUSAN
+Nomor {number}
+MAHKAMAH KONSTITUSI REPUBLIK INDONESIA
+permohonan Pengujian Undang-Undang Nomor {law} Tahun 2010 tentang Hal {law} terhadap Undang-Undang Dasar 1945 yang diajukan oleh:
+1. Nama : {name}
+Pekerjaan : Swasta
+2. Nama : {second}
+Pekerjaan : Swasta
+dengan ini memberi kuasa kepada Budi {segment}, S.H., Siti Aminah;
+DUDUK PERKARA
+Menimbang bahwa Pemerintah dan DPR telah didengar. Bukti P-{law} dan bukti P-{law} diajukan.
+Menimbang Putusan Nomor {cited} dan Pasal {article} ayat (1) UUD 1945.
+Sesuai Pasal {law} Peraturan Mahkamah Konstitusi.
+Mendengar keterangan ahli dalam sidang pleno.
+AMAR PUTUSAN
+Mengadili:
+1. {verdict}
+permohonan {segment};
+2. Memerintahkan pemuatan putusan ini.
+Demikian diputus dalam rapat yang diucapkan pada hari Senin, tanggal {date}.
+KETUA,
+ttd.
+Andi Wijaya
+Rina {initial}artono
+PANITERA PENGGANTI,
+ttd.
+Dewi Lestari
+"""
+
+
+def _rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, months = F.col("c_custkey"), F.array(*[F.lit(m) for m in T.MONTHS])
+    year = k % 20 + 2004
+    values = {
+        "number": T.build_case_number(k % 200 + 1, F.lit("PUU"), year), "law": (k % 30 + 1).cast("string"), "name": F.col("c_name"), "second": F.when(k % 3 == 0, F.upper("c_name")).otherwise(F.concat(F.lit("Ibu "), "c_mktsegment")), "segment": F.initcap("c_mktsegment"),
+        "cited": T.build_case_number(k % 7 + 300, F.lit("PUU"), F.lit(2019)), "article": (k % 5 + 20).cast("string"), "verdict": F.when(k % 2 == 0, "Menolak").otherwise("Mengabulkan"), "initial": F.when(k % 4 == 0, "H").otherwise("K"),
+        "date": F.concat_ws(" ", (k % 28 + 1).cast("string"), F.get(months, (k % 12).cast("int")), year.cast("string")),
+    }
+    text = F.lit(RULING)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    return table(spark, sf_dir, "customer").select(k.cast("string").alias("file_name"), text.alias("text"))
+
+
+def ruling_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rulings written from customers' rows and read back by all extractors."""
+    names = lambda c: F.array_join(F.transform(F.col(c), lambda p: p["name"]), "; ")
+    joined = lambda c: F.array_join(c, "; ")
+    records = extract.parse_documents(_rulings(spark, sf_dir))
+    return records.select(
+        F.col("source.file_name").cast("long").alias("c_custkey"), "document.document_type", "document.case_type", "document.case_number", "document.title", "document.decision_date",
+        names("parties.applicants").alias("applicants"), names("parties.legal_counsels").alias("counsels"), names("parties.respondents").alias("respondents"), joined("legal_basis.object_of_review").alias("objects"),
+        joined("legal_basis.constitutional_articles").alias("constitutional"), joined("legal_basis.procedural_articles").alias("procedural"), joined("legal_basis.evidence").alias("evidence"), joined("proceedings").alias("proceedings"),
+        joined("outcome.dictum").alias("dictum"), F.col("outcome.summary").alias("summary"), joined("adjudicators.judges").alias("judges"), joined("adjudicators.clerks").alias("clerks"), joined("relations.referenced_cases").alias("cases"),
+        F.size("sections").cast("long").alias("n_sections"), "parser.status", joined("validation.review_flags").alias("flags"),
+    )
+
+
 def parse_rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document read as a ruling: the extractors run over whole texts, and the checks tell what they lack."""
     records = extract.parse_documents(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_name"), "text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import io
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a path with all below it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_records(spark: SparkSession, path: str | Sequence[str], recursive: bool = True) -> DataFrame:
     """Records of JSON files with ``case_id`` (the file's stem), ``file_name`` and ``path``. A missing folder gives an empty table; of a list, missing files are left out."""
     paths = [p for p in ([path] if isinstance(path, str) else path) if path_exists(spark, p)]
@@ -61,21 +69,34 @@ def split_uploads(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0).drop("content")
 
 
-def pdf_texts(files: DataFrame) -> DataFrame:
-    """(file_name, pdf_path, text, page_count, engine) of PDF files; pages are joined by an empty line. Needs ``pypdf`` on the workers."""
+def pdf_texts(files: DataFrame, most_pages: int = 500) -> DataFrame:
+    """(file_name, pdf_path, text, page_count, engine, error) of PDF files; pages are joined by an empty line.
+
+    Needs ``pypdf`` or ``PyPDF2`` on the workers; the first that reads a file gives its text. A file that neither reads, that is encrypted, has more than
+    ``most_pages`` pages or no text has a null text and an error, and fails nothing else.
+    """
     import pandas as pd
 
-    @F.pandas_udf("struct<text:string,page_count:int,engine:string>")
+    def one(content: bytes) -> tuple:
+        error = "no PDF library"
+        for engine in ("pypdf", "PyPDF2"):
+            try:
+                reader = importlib.import_module(engine).PdfReader(io.BytesIO(content))
+                if reader.is_encrypted:
+                    return None, None, engine, "encrypted"
+                if len(reader.pages) > most_pages:
+                    return None, len(reader.pages), engine, "too many pages"
+                text = "\n\n".join(page.extract_text() or "" for page in reader.pages)
+                return (text, len(reader.pages), engine, None) if text.strip() else (None, len(reader.pages), engine, "no text")
+            except ImportError:
+                continue
+            except Exception as failure:  # noqa: BLE001 - a broken file can raise anything
+                error = f"unreadable: {failure}"
+        return None, None, None, error
+
+    @F.pandas_udf("struct<text:string,page_count:int,engine:string,error:string>")
     def extract(contents: pd.Series) -> pd.DataFrame:
-        import io
-
-        from pypdf import PdfReader
-
-        rows = []
-        for content in contents:
-            pages = [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
-            rows.append(("\n\n".join(pages), len(pages), "pypdf"))
-        return pd.DataFrame(rows, columns=["text", "page_count", "engine"])
+        return pd.DataFrame([one(c) for c in contents], columns=["text", "page_count", "engine", "error"]).astype({"page_count": "Int32"})
 
     return files.select("file_name", F.col("path").alias("pdf_path"), extract("content").alias("p")).select("file_name", "pdf_path", "p.*")
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..sources.readers import path_exists
 
 MAX_CANDIDATES, MAX_MISSES = 50, 20
-MANIFEST = "hash string, source_path string, status string, updated_at timestamp"
+MANIFEST = "hash string, source_path string, status string, updated_at timestamp, batch string"
 
 
 def unseen(files: DataFrame, manifest: DataFrame, key: str = "hash", order: str = "path") -> DataFrame:
@@ -22,24 +22,36 @@ def unseen(files: DataFrame, manifest: DataFrame, key: str = "hash", order: str
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest; empty where there is none."""
-    return spark.read.schema(MANIFEST).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], MANIFEST)
+    """The manifest; empty where there is none. A file of it that can't be read counts as empty."""
+    reader = spark.read.schema(MANIFEST).option("ignoreCorruptFiles", True)
+    return reader.parquet(path) if path_exists(spark, path) else spark.createDataFrame([], MANIFEST)
 
 
-def ingest_inbox(spark: SparkSession, inbox: str, manifest: str, records: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], pattern: str = "*.txt") -> StreamingQuery:
+def record_batch(files: DataFrame, name: str, manifest: str, records: str, process: Callable[[DataFrame], DataFrame], force: bool = False) -> None:
+    """Process what is new in a batch of files (hash, path, text) and record it under the batch's name.
+
+    Records and manifest are partitions ``batch=name``, which a repeated batch replaces: whatever an earlier try left, it is there once. What other
+    batches have recorded isn't new, unless ``force`` is set.
+    """
+    spark = files.sparkSession
+    known = read_manifest(spark, manifest).where(F.coalesce(F.col("batch"), F.lit("")) != name)
+    done = process(unseen(files, known.limit(0) if force else known)).persist()
+    done.write.mode("overwrite").parquet(f"{records}/batch={name}")
+    log = done.select("hash", F.col("path").alias("source_path"), "status", F.current_timestamp().alias("updated_at"))
+    log.write.mode("overwrite").parquet(f"{manifest}/batch={name}")
+    done.unpersist()
+
+
+def ingest_inbox(spark: SparkSession, inbox: str, manifest: str, records: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], pattern: str = "*.txt", force: bool = False) -> StreamingQuery:
     """Take what is new in an inbox folder and stop: known contents are skipped, and every outcome is recorded, so failures aren't tried again.
 
     ``process`` maps (hash, path, text) to records with hash, ``status`` and whatever the record table holds. A batch that is repeated after a failure
-    is first compared with the manifest, so it adds nothing twice.
+    replaces what its first try left; batches are named by the stream's own id and their number, so another stream replaces nothing.
     """
 
-    def batch(files: DataFrame, _: int) -> None:
-        new = unseen(files, read_manifest(spark, manifest))
-        done = process(new).persist()
-        done.write.mode("append").parquet(records)
-        log = done.select("hash", F.col("path").alias("source_path"), "status", F.current_timestamp().alias("updated_at"))
-        log.write.mode("append").parquet(manifest)
-        done.unpersist()
+    def batch(files: DataFrame, number: int) -> None:
+        stream = files.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        record_batch(files, f"{stream}-{number}", manifest, records, process, force)
 
     source = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", pattern).load(inbox)
     files = source.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.sha2("value", 256).alias("hash"))
@@ -70,20 +82,21 @@ def checkpoint(scanned: DataFrame, keys: list[str], order: str) -> DataFrame:
     return scanned.groupBy(*keys).agg(F.max(order).alias("last_checked"), (F.max(order) + 1).alias("next"), F.max_by("misses", order).alias("consecutive_misses"))
 
 
-def scan_stream(results: DataFrame, key: str, max_misses: int = MAX_MISSES) -> DataFrame:
-    """The same scan over a stream of (key, sequence, outcome): state is the misses in a row and whether the scan has ended."""
+def scan_stream(results: DataFrame, key: str, max_misses: int = MAX_MISSES, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
+    """The same scan over a stream of (key, sequence, outcome): state is the misses in a row, how many were looked at, and whether the scan has ended."""
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        misses, ended = state.get if state.exists else (0, False)
+        misses, seen, ended = state.get if state.exists else (0, 0, False)
         looked = []
         for row in pd.concat(list(batches)).sort_values("sequence").itertuples(index=False):
             if ended:
                 break
             misses = misses + 1 if row.outcome == "miss" else 0 if row.outcome == "hit" else misses
-            ended = row.outcome == "stop" or misses >= max_misses
+            seen += 1
+            ended = row.outcome == "stop" or misses >= max_misses or seen >= max_candidates
             looked.append((group[0], row.sequence, row.outcome, misses))
-        state.update((misses, ended))
+        state.update((misses, seen, ended))
         yield pd.DataFrame(looked, columns=[key, "sequence", "outcome", "misses"])
 
     kind = results.schema[key].dataType.simpleString()
-    return results.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, sequence long, outcome string, misses long", "misses long, ended boolean", "append", "NoTimeout")
+    return results.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, sequence long, outcome string, misses long", "misses long, seen long, ended boolean", "append", "NoTimeout")
