@@ -251,6 +251,11 @@ EXTRACTORS: dict[str, Callable[[Column, Column, Column], Column]] = {
 }
 
 
+def _pinned(value: Column) -> Column:
+    """A struct as a value of ``let``: one that is only taken apart later would be merged into every use of its fields and computed for each."""
+    return T.let(F.lit(0), lambda _: value)
+
+
 def guarded(function: Callable, kind: str) -> Callable[[Column, Column, Column], Column]:
     """An extractor from a Python function of (text, sections, document): where it raises, the part is null and the record tells its failure."""
 
@@ -284,7 +289,8 @@ def parse_documents(docs: DataFrame, text: str = "text", extractors: dict[str, C
     t, s = F.col("_text"), F.col("sections")
     out = out.withColumns({"document": document_info(t, F.col("_lines")), "_opening": opening_block(t, F.col("_lines")), "_body": section_body(s), "_whole": _whole(t, s), "_joined": _whole(t, s, "\n")})
     out = out.withColumn("_numbers", T.extract_case_numbers(F.col("_whole")))
-    out = out.withColumns({name: f(t, s, F.col("document")) for name, f in extractors.items()}).drop("_text", "_lines", "_opening", "_body", "_whole", "_joined", "_numbers")
+    parts = {name: f(t, s, F.col("document")) for name, f in extractors.items()}
+    out = out.withColumns({n: c if getattr(extractors[n], "guarded", False) else _pinned(c) for n, c in parts.items()}).drop("_text", "_lines", "_opening", "_body", "_whole", "_joined", "_numbers")
     mine = [name for name, f in extractors.items() if getattr(f, "guarded", False)]
     failed = F.filter(F.array(*[F.when(F.col(f"{n}.error").isNotNull(), F.struct(F.lit(n).alias("name"), F.col(f"{n}.error").alias("error"))) for n in mine]), lambda x: x.isNotNull()) if mine else None
     if mine:
