@@ -5,7 +5,7 @@ Words become 64-bit polynomial hashes, and windows rolling polynomial hashes of
 1. Each worker takes some thousand documents at a time and sends every hash it has once, as BYTES bytes of it in packed arrays by
    hash bucket. A bucket answers with the windows whose hash came more than once; windows that meet inside a worker's chunk are answered
    there. This is a filter: it may name windows that are not repeated, and names all that are.
-2. Of the named windows only, a 128-bit BLAKE2 digest of the words themselves is sent, in the same way. Of the windows of one digest those
+2. Of the named windows only, a 96-bit BLAKE2 digest of the words themselves is sent, in the same way. Of the windows of one digest those
    in other documents than the smallest are repeated. So a collision of window hashes removes nothing.
 
 In both rounds a passage in a third of all documents costs one entry for each chunk of documents. The repeated windows of a document
@@ -29,8 +29,9 @@ from .common import partitions, release_memory, small_batches, splitmix, table
 WIDTH = 13
 #: Words of a chunk that a worker holds at once (a longer document is a chunk of its own), bytes of text of a bucket, and the least number of buckets.
 CHUNK_WORDS, BUCKET_BYTES, LEAST_BUCKETS = 1_000_000, 16_000_000, 64
-#: Bytes of a window's hash that are sent beside its bucket: of n windows in a bucket, n / 2^40 are named without need.
-BYTES = 5
+#: Bytes of a window's hash that are sent beside its bucket: of n windows in a bucket (2 million at any size of the table), n / 2^32 are named
+#: without need. Bytes of a digest: of 10^12 named windows no two different ones are expected to agree (10^24 / 2^97).
+BYTES, DIGEST = 4, 12
 #: Bytes hashed at once: about 30 bytes of memory for each.
 BLOCK = 1 << 18
 #: Fixed values of the hash: odd multipliers for bytes, words and word lengths.
@@ -137,14 +138,14 @@ def _answers(doc: np.ndarray, which: np.ndarray, position: np.ndarray) -> Iterat
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A stable sorting order of the keys (the first counts most), where in it each distinct key begins, and how often each comes."""
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for key in keys:
-        s = key[order]
-        new[1:] |= s[1:] != s[:-1]
-    begin = np.flatnonzero(new)
+    """A sorting order of the keys (the first counts most), where in it each distinct key begins, and how often each comes."""
+    order = np.argsort(keys[0])
+    s = keys[0][order]
+    same = s[1:] == s[:-1]
+    if any((k[order[1:]][same] != k[order[:-1]][same]).any() for k in keys[1:]):  # keys that agree in their first part only
+        order = np.lexsort(keys[::-1])
+        same = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), ~same]))
     return order, begin, np.diff(np.concatenate([begin, [len(order)]]))
 
 
@@ -187,7 +188,7 @@ def _open(n: int, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _send_hashes(width: int, buckets: int):
-    """First round, over (id, which, text): each distinct hash of a chunk once, and answers to windows that two documents of the chunk have."""
+    """First round, over (id, text): each distinct hash of a chunk once, and answers to all windows whose hash comes twice in the chunk."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -209,9 +210,7 @@ def _send_hashes(width: int, buckets: int):
                 continue
             h, d, p = map(np.concatenate, (hashes, docs, places))
             order, begin, n = _groups(h)
-            s = d[order]
-            mixed = np.repeat(np.minimum.reduceat(s, begin) != np.maximum.reduceat(s, begin), n)
-            known = order[mixed]
+            known = order[np.repeat(n > 1, n)]
             rows = [(int(doc % buckets), True, doc, 0, body) for doc, _, body in _answers(d[known], np.zeros(len(known), np.int64), p[known])]
             first = np.sort(order[begin])
             h, d, p = h[first], d[first], p[first]
@@ -236,35 +235,39 @@ def _send_digests(width: int, buckets: int):
         for chunk in _chunks(texts(batches)):
             digests, docs, whiches, places = [], [], [], []
             for key, which, bodies, raw in chunk:
-                at = np.flatnonzero(named_windows(raw, bodies, width))
+                words = raw.split()
+                at = np.flatnonzero(marked(bodies, max(0, len(words) - width + 1)))
                 if not len(at):
                     continue
-                words = raw.split()
                 clean = b" ".join(words)
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                 starts = np.concatenate([[0], ends[:-1] + 1])
-                digests += [hashlib.blake2b(clean[s:e], digest_size=16).digest() for s, e in zip(starts[at].tolist(), ends[at + width - 1].tolist(), strict=True)]
+                digests += [hashlib.blake2b(clean[s:e], digest_size=DIGEST).digest() for s, e in zip(starts[at].tolist(), ends[at + width - 1].tolist(), strict=True)]
                 docs.append(np.full(len(at), key, np.int64))
                 whiches.append(np.full(len(at), which, np.int64))
                 places.append(at)
             if not docs:
                 continue
-            key = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+            key = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, DIGEST)
             d, w, p = map(np.concatenate, (docs, whiches, places))
             order, other = _later(key, d)
             rows = [(int(doc % buckets), True, doc, which, body) for doc, which, body in _answers(d[order[other]], w[order[other]], p[order[other]])]
             least = np.sort(order[~other])
-            rows += _pack((key[least].view("<u8")[:, 0] % np.uint64(buckets)).astype(np.int64), key[least], d[least], w[least], p[least])
+            rows += _pack((_halves(key[least])[0] % np.uint64(buckets)).astype(np.int64), key[least], d[least], w[least], p[least])
             yield _batch(rows, ["bucket", "answer", "doc_id", "which", "body"])
         release_memory()
 
     return run
 
 
+def _halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first eight bytes of each digest and the rest, as integers."""
+    return np.ascontiguousarray(key[:, :8]).view("<u8")[:, 0], np.ascontiguousarray(key[:, 8:]).view("<u4")[:, 0]
+
+
 def _later(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A sorting order of entries by key, and which entries in it have a smaller document beside them."""
-    halves = np.ascontiguousarray(key).view("<u8")
-    order, begin, n = _groups(halves[:, 0], halves[:, 1])
+    order, begin, n = _groups(*_halves(key))
     s = doc[order]
     return order, s > np.repeat(np.minimum.reduceat(s, begin), n) if len(s) else np.empty(0, bool)
 
@@ -313,14 +316,6 @@ def _answer(choose: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     return run
 
 
-def named_windows(raw: bytes, bodies: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """Which windows of a text the first round names: a window that comes several times in it was sent once, its other places have its hash."""
-    data = np.frombuffer(raw, np.uint8)
-    found = window_hashes(word_hashes(data, *word_bounds(data)), width)
-    hit = marked(bodies, len(found))
-    return hit if hit.all() else np.isin(found, found[hit])
-
-
 def _covered(raw: bytes, bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """First bytes of the words of a text, and whether a repeated window covers each."""
     starts, _ = word_bounds(np.frombuffer(raw, np.uint8))
