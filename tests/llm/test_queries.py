@@ -152,6 +152,25 @@ def test_pipeline_equals_brute_force(spark, corpus):
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, after["packing"]))
 
 
+CLASHING = ["score", "_score", "lang_pred", "ambiguous", "row", "id", "digest", "component_id", "which", "rest", "repeats", "bodies", "_doc", "_rank", "sequence_id", "offset", "length", "start"]
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES], ids=lambda s: s[0])
+def test_stages_keep_columns_of_any_name(spark, corpus, stage):
+    """Nulls, empty texts, repeated rows and columns named like added or private ones, in every stage."""
+    pytest.importorskip("public_tokenizers")
+    folder, _ = corpus
+    table = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in CLASHING])
+    rows = table.union(table.where("doc_id in (7, 8)")).union(table.limit(1).selectExpr("null as doc_id", "null as text", *table.columns[2:]))
+    out = stage[1](spark, rows, folder)
+    if stage[0] == "packing":
+        assert out.where("doc_id = 7").select("start").distinct().count() * 2 == out.where("doc_id = 7").count()
+        return
+    assert out.columns == table.columns
+    found = out.where("doc_id is not null").collect()
+    assert len(found) > 100 and all(r[c] == f"{c}{r.doc_id}" for r in found for c in CLASHING)
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     write(tmp_path, "documents", [], DOCS)
