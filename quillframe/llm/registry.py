@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, cap_filters, collocations, dart_minhash, hard_negatives, langid, packing, sharding, substring, toxicity, url_filter
+from . import ann, bpe, cap_filters, collocations, dart_minhash, hard_negatives, langid, licenses, packing, sharding, substring, toxicity, url_filter
 
 QUERIES = {
     "op1_cap_filters": cap_filters.op1_cap_filters,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_minhash_dedup": dart_minhash.op10_minhash_dedup,
     "op11_collocations": collocations.op11_collocations,
+    "op12_license_scan": licenses.op12_license_scan,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
@@ -26,5 +27,6 @@ ORACLES = {
     "op5_sharding": sharding.ORACLE_SQL,
     "op8_substring_dedup": substring.ORACLE_SQL,
     "op11_collocations": collocations.ORACLE_SQL,
+    "op12_license_scan": licenses.ORACLE_SQL,
     "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
