@@ -1,6 +1,6 @@
 """Phrase collocations by suffix-sigma.
 
-Every word begins a suffix, which ends after ``max_words`` words or with its piece of text. A worker takes about a million words at a time, sorts
+Every word begins a suffix, which ends after ``max_words`` words or with its piece of text. A worker takes half a million words at a time, sorts
 their suffixes, adds up equal ones and sends them, packed, by language and first word. Whoever gets them sorts them in reverse
 lexicographic order and counts all their prefixes, that is all phrases, with one stack. Parts of a phrase are at least as frequent as the phrase,
 so they are joined to it from the same table of frequent phrases.
@@ -26,9 +26,9 @@ from .common import materialize, partitions, release_memory, small_batches, tabl
 
 MAX_WORDS, LEAST, TOP = 5, 100, 2000
 #: Words sorted at once: their numbers, doubled, fit in 21 bits.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Bytes of text of a range, ranges at most (beyond 1 TB of text ranges grow, and their tasks' memory with them), sampled suffixes for each.
-RANGE_BYTES, MAX_RANGES, SAMPLES = 16_000_000, 65_536, 24
+RANGE_BYTES, MAX_RANGES, SAMPLES = 8_000_000, 131_072, 24
 #: Bytes of a border's word; borders need not be words.
 BORDER_BYTES = 48
 #: What ends a piece, what parts words.
@@ -93,7 +93,7 @@ def place(border: Sequence[bytes], vocabulary: list[bytes], keys: list[np.ndarra
 
 def _columns(keys: list[np.ndarray], width: int) -> np.ndarray:
     """The words of suffixes as rows of a matrix with a row for each place: i + 1 for word i, 0 behind the end."""
-    return np.stack([(keys[k // 3] >> np.uint64(_BITS * (2 - k % 3)) & np.uint64((1 << _BITS) - 1)) // np.uint64(2) for k in range(width)]).astype(np.int64)
+    return np.stack([(keys[k // 3] >> np.uint64(_BITS * (2 - k % 3)) & np.uint64((1 << _BITS) - 1)) // np.uint64(2) for k in range(width)], dtype=np.int32, casting="unsafe")
 
 
 def _sent(borders: list[Border], width: int):
@@ -151,11 +151,11 @@ def _merged(rows: list[tuple[bytes, bytes, bytes]], width: int) -> tuple[list[by
     columns, counts = [], []
     for words, (_, codes, n) in zip(lists, rows, strict=True):
         n = np.frombuffer(n, "<u4").astype(np.int64)
-        named = np.fromiter([0, *map(number.__getitem__, words)], np.int64, len(words) + 1)
+        named = np.fromiter([0, *map(number.__getitem__, words)], np.int32, len(words) + 1)
         columns.append(named[np.frombuffer(codes, "<u2" if len(codes) == 2 * width * len(n) else "<u4").reshape(width, -1)])
         counts.append(n)
     c, n = np.concatenate(columns, axis=1), np.concatenate(counts)
-    keys = [c[k] << 32 | (c[k + 1] if k + 1 < width else 0) for k in range(0, width, 2)]
+    keys = [c[k].astype(np.int64) << 32 | (c[k + 1] if k + 1 < width else 0) for k in range(0, width, 2)]
     order = np.lexsort(keys[::-1])[::-1]
     keys = [k[order] for k in keys]
     begin = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
