@@ -17,10 +17,11 @@ def main(argv: list[str]) -> int:
         command = commands.add_parser(name)
         for place in places:
             command.add_argument(place)
-        if name in ("run", "parse", "check"):
+        if name in ("run", "parse", "check", "ingest"):
             command.add_argument("--schema", type=pathlib.Path, help="a JSON Schema that records must meet")
         if name == "ingest":
             command.add_argument("--force", action="store_true", help="take known contents again")
+            command.add_argument("--archive", action="store_true", help="move the files that were taken to OUT/archive")
     args = parser.parse_args(argv)
     spark = local_session()
     read = spark.read.parquet
@@ -37,7 +38,8 @@ def main(argv: list[str]) -> int:
     elif args.command == "scaffold":
         jobs.scaffold(read(args.routed), args.out)
     elif args.command == "ingest":
-        jobs.ingest(spark, args.inbox, args.out, args.force)
+        jobs.ingest(spark, args.inbox, args.out, args.force, schema, args.archive)
+        jobs.archived(spark, args.out).groupBy("status").count().show()
     else:
         registry.QUERIES[args.name](spark, args.tables).show(50, truncate=False)
     return 0

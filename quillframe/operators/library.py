@@ -1,16 +1,19 @@
 """The owner's library as an append-only revision log: staging, publishing, conflicts, orphans.
 
-A table of (id, revision, ...) rows is only ever appended to; the state is the latest row of each id. One driver writes at a time, and
-compares revisions before it appends.
+A table of (id, revision, ...) rows is only ever appended to; the state is the latest row of each id. Several drivers may write: each
+appends its rows first, which nobody sees, and then takes the next number of the list of commits, which only one can.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import names_in, put_new
 from ..sources.readers import path_exists, remove_path
 from ..sources.sinks import latest
 
@@ -120,73 +123,124 @@ def published(drafts: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 class Library:
-    """The owner's library in a folder: logs of cases, drafts and files, which only grow. A driver's transaction is one append to the log of cases.
+    """The owner's library in a folder: logs of cases, drafts and files, which only grow, and the contents of the files beside them.
 
-    What a failure leaves half done is harmless: a published draft is told by its id in the log of cases, whether or not it was taken off the log
-    of drafts, and files that nothing refers to are collected later.
+    A change is one commit: its rows are written as the folders ``batch=<id>`` of the logs, and count once the file ``commits/<version>`` names the batch.
+    That file is created for the version after the one that the change was checked against, and only where there is none. Of two drivers that
+    change the same state one gets the version; the other looks at the new state and checks again. Rows of a commit that broke off are never seen.
     """
 
     CASES = "id string, revision long, case_number string, document_type string, record string, edits string, document_hash string, draft_id string, deleted boolean"
     DRAFTS = "id string, revision long, target string, record string, edits string, document_hash string, base long, created_at timestamp, deleted boolean"
-    FILES = "hash string, revision long, filename string, content binary, deleted boolean"
+    FILES = "hash string, revision long, filename string, deleted boolean"
+    CONTENTS = "hash string, content binary"
+    #: How often a change is tried against a newer state before it gives up.
+    TRIES = 20
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _log(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        return self.spark.read.schema(schema).parquet(path) if path_exists(self.spark, path) else self.spark.createDataFrame([], schema)
-
-    def _append(self, rows: DataFrame, name: str, schema: str) -> None:
-        rows.select(*self._log(name, schema).columns).write.mode("append").parquet(f"{self.folder}/{name}")
-
-    def cases(self) -> DataFrame:
-        return current(self._log("cases", self.CASES))
+    def version(self) -> int:
+        """The number of the last commit; 0 before the first."""
+        return max((int(n) for n in names_in(self.spark, f"{self.folder}/commits") if n.isdigit()), default=0)
 
-    def drafts(self) -> DataFrame:
-        done = self._log("cases", self.CASES).where("draft_id is not null").select(F.col("draft_id").alias("id")).distinct()
-        return current(self._log("drafts", self.DRAFTS)).join(done, "id", "left_anti")
-
-    def files(self) -> DataFrame:
-        return latest(self._log("files", self.FILES), ["hash"], "revision").where("not deleted")
+    def _log(self, name: str, schema: str, version: int | None = None) -> DataFrame:
+        """The committed rows of a log, up to a version."""
+        path = f"{self.folder}/{name}"
+        if not path_exists(self.spark, path) or not path_exists(self.spark, f"{self.folder}/commits"):
+            return self.spark.createDataFrame([], schema)
+        commits = self.spark.read.text(f"{self.folder}/commits", wholetext=True).select(F.col("value").alias("batch"), F.col("_metadata.file_name").cast("long").alias("_version"))
+        if version is not None:
+            commits = commits.where(F.col("_version") <= version)
+        rows = self.spark.read.schema(f"{schema}, batch string").parquet(path)
+        return rows.join(commits.select("batch"), "batch", "left_semi").drop("batch")
+
+    def _commit(self, change: Callable[[int], dict[str, tuple[DataFrame, str]]]) -> None:
+        """Write what ``change`` makes of the state at a version, as the next version. ``change`` raises a ConflictError if it can't be made."""
+        for _ in range(self.TRIES):
+            version, batch = self.version(), uuid.uuid4().hex
+            for name, (rows, schema) in change(version).items():
+                columns = self.spark.createDataFrame([], schema).columns
+                rows.select(*columns).write.parquet(f"{self.folder}/{name}/batch={batch}")
+            if put_new(self.spark, f"{self.folder}/commits/{version + 1:010d}", batch):
+                return
+        raise ConflictError(f"{self.TRIES} other changes came first")
+
+    def cases(self, version: int | None = None) -> DataFrame:
+        return current(self._log("cases", self.CASES, version))
+
+    def drafts(self, version: int | None = None) -> DataFrame:
+        done = self._log("cases", self.CASES, version).where("draft_id is not null").select(F.col("draft_id").alias("id")).distinct()
+        return current(self._log("drafts", self.DRAFTS, version)).join(done, "id", "left_anti")
+
+    def files(self, version: int | None = None) -> DataFrame:
+        """(hash, revision, filename, deleted) of the files that are there; contents aren't read."""
+        return latest(self._log("files", self.FILES, version), ["hash"], "revision").where("not deleted")
+
+    def contents(self) -> DataFrame:
+        """(hash, content) of the files that are there."""
+        return self._log("contents", self.CONTENTS).dropDuplicates(["hash"]).join(self.files().select("hash"), "hash", "left_semi")
 
     def stage(self, uploads: DataFrame, catalog: DataFrame) -> DataFrame:
         """Store new files and a draft for each upload (with ``filename`` and ``content``); returns the errors, with which nothing is stored."""
-        drafts, errors = staged(uploads, catalog, self.cases())
-        if errors.isEmpty():
-            every = uploads.select(F.col("document_hash").alias("hash"), "filename", "content").dropDuplicates(["hash"])
-            known = latest(self._log("files", self.FILES), ["hash"], "revision").select("hash", F.col("revision").alias("_r"), F.col("deleted").alias("_d"))
+        wrong: list[DataFrame] = []
+
+        def change(version: int) -> dict[str, tuple[DataFrame, str]]:
+            drafts, errors = staged(uploads, catalog, self.cases(version))
+            wrong[:] = [errors]
+            if not errors.isEmpty():
+                raise ConflictError("uploads with errors")
+            every = uploads.groupBy(F.col("document_hash").alias("hash")).agg(F.min_by("filename", "draft_id").alias("filename"), F.min("draft_id").alias("draft_id"))
+            known = latest(self._log("files", self.FILES, version), ["hash"], "revision").select("hash", F.col("revision").alias("_r"), F.col("deleted").alias("_d"))
             new = every.join(known, "hash", "left").where("_r is null or _d").withColumns({"revision": F.coalesce("_r", F.lit(0)) + 1, "deleted": F.lit(False)})
-            self._append(new, "files", self.FILES)
-            self._append(drafts.withColumns({"revision": F.lit(1).cast("long"), "deleted": F.lit(False)}), "drafts", self.DRAFTS)
-        return errors
+            contents = uploads.join(new.select(F.col("hash").alias("document_hash"), "draft_id"), ["document_hash", "draft_id"], "left_semi").select(F.col("document_hash").alias("hash"), "content")
+            first = drafts.withColumns({"revision": F.lit(1).cast("long"), "deleted": F.lit(False)})
+            return {"contents": (contents, self.CONTENTS), "files": (new, self.FILES), "drafts": (first, self.DRAFTS)}
+
+        try:
+            self._commit(change)
+        except ConflictError:
+            if not wrong or wrong[0].isEmpty():
+                raise
+        return wrong[0]
 
     def publish(self, fields: DataFrame) -> None:
         """Drafts become cases, all or none, and are drafts no more."""
-        drafts = self.drafts()
-        absent = fields.join(drafts.select(F.col("id").alias("draft_id")), "draft_id", "left_anti").first()
-        if absent:
-            raise ConflictError(f"{absent['draft_id']}: no such draft")
-        self._save(published(drafts, fields))
+
+        def change(version: int) -> DataFrame:
+            drafts = self.drafts(version)
+            absent = fields.join(drafts.select(F.col("id").alias("draft_id")), "draft_id", "left_anti").first()
+            if absent:
+                raise ConflictError(f"{absent['draft_id']}: no such draft")
+            return published(drafts, fields)
+
+        self._save(change)
 
     def edit(self, changes: DataFrame) -> None:
         """Save (id, revision, case_number, document_type, edits) of cases, all or none; record and file stay."""
-        kept = self.cases().select("id", "record", "document_hash")
-        self._save(changes.join(kept, "id", "left").withColumn("draft_id", F.lit(None).cast("string")))
+        self._save(lambda version: changes.join(self.cases(version).select("id", "record", "document_hash"), "id", "left").withColumn("draft_id", F.lit(None).cast("string")))
 
-    def _save(self, changes: DataFrame) -> None:
-        wrong = conflicts(changes, self.cases()).first()
-        if wrong:
-            raise ConflictError(f"{wrong['id']}: {wrong['reason']}")
-        self._append(changes.withColumns({"revision": F.col("revision") + 1, "deleted": F.lit(False)}), "cases", self.CASES)
+    def _save(self, make: Callable[[int], DataFrame]) -> None:
+        def change(version: int) -> dict[str, tuple[DataFrame, str]]:
+            changes = make(version)
+            wrong = conflicts(changes, self.cases(version)).first()
+            if wrong:
+                raise ConflictError(f"{wrong['id']}: {wrong['reason']}")
+            return {"cases": (changes.withColumns({"revision": F.col("revision") + 1, "deleted": F.lit(False)}), self.CASES)}
+
+        self._commit(change)
 
     def discard(self, ids: DataFrame) -> None:
-        """Drafts (draft_id) go, and then the files that neither a draft nor a case refers to."""
-        gone = self.drafts().join(ids.select(F.col("draft_id").alias("id")), "id", "left_semi")
-        self._append(gone.withColumns({"revision": F.col("revision") + 1, "deleted": F.lit(True)}), "drafts", self.DRAFTS)
-        files = latest(self._log("files", self.FILES), ["hash"], "revision").where("not deleted")
-        orphans = orphan_files(files, self.drafts(), self.cases())
-        self._append(orphans.withColumns({"revision": F.col("revision") + 1, "deleted": F.lit(True), "content": F.lit(None).cast("binary")}), "files", self.FILES)
+        """Drafts (draft_id) go, and with them the files that neither another draft nor a case refers to."""
+
+        def change(version: int) -> dict[str, tuple[DataFrame, str]]:
+            drafts = self.drafts(version)
+            named = ids.select(F.col("draft_id").alias("id"))
+            gone = drafts.join(named, "id", "left_semi").withColumns({"revision": F.col("revision") + 1, "deleted": F.lit(True)})
+            orphans = orphan_files(self.files(version), drafts.join(named, "id", "left_anti"), self.cases(version))
+            return {"drafts": (gone, self.DRAFTS), "files": (orphans.withColumns({"revision": F.col("revision") + 1, "deleted": F.lit(True)}), self.FILES)}
+
+        self._commit(change)
 
 
 def with_facts(records: DataFrame, facts: DataFrame, key: str = "file_name") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, reports, validate
-from ..sources import readers, sinks
-from ..streaming import inbox
+from ..functions import text as T
+from ..operators import extract, html, reports, validate
+from ..sources import moves, readers, sinks, snapshots
+from ..streaming import inbox, sync
 
 
 def flat(records: DataFrame) -> DataFrame:
@@ -54,14 +59,64 @@ def run(spark: SparkSession, path: str, out: str, schema: str | None = None) ->
     return report(parsed, routed)
 
 
-def ingest(spark: SparkSession, box: str, out: str, force: bool = False) -> None:
-    """Parse and check what is new in an inbox folder."""
+def _read_as_rulings(files: DataFrame, schema: str | None) -> DataFrame:
+    """Records of (hash, path, text), checked, with ``hash``, ``path`` and the ``status`` that the manifest gets."""
+    texts = files.select(F.col("path").alias("pdf_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), "text")
+    records = extract.parse_documents(texts, schema=schema).withColumn("path", F.col("source.pdf_path"))
+    status = F.when(F.col("validation.needs_manual_review"), "review").otherwise("processed")
+    return records.join(files.select("hash", "path"), "path").withColumn("status", status)
+
+
+def ingest(spark: SparkSession, box: str, out: str, force: bool = False, schema: str | None = None, archive: bool = False) -> None:
+    """Parse and check what is new in an inbox folder.
+
+    With ``force``, all files that lie there are taken again, as a batch of their own name; readers take the latest batch of a content (``inbox.current``). With ``archive``,
+    the files that were taken are moved to ``out``/archive/processed or /failed; copies of known contents stay where they are.
+    """
+
+    def done(name: str) -> None:
+        if archive:
+            taken = inbox.read_manifest(spark, f"{out}/manifest").where(F.col("batch") == name)
+            files = taken.select("hash", F.col("source_path").alias("path"), F.when(F.col("status") == "failed", "failed").otherwise("processed").alias("target"))
+            moves.archive(files, {t: f"{out}/archive/{t}" for t in ("processed", "failed")}, f"{out}/moves", name)
+
+    process = functools.partial(_read_as_rulings, schema=schema)
+    if force:
+        inbox.ingest_forced(spark, box, f"{out}/manifest", f"{out}/records", process, after=done)
+    else:
+        inbox.ingest_inbox(spark, box, f"{out}/manifest", f"{out}/records", f"{out}/state", process, after=done).awaitTermination()
+
+
+def archived(spark: SparkSession, out: str) -> DataFrame:
+    """The manifest of an inbox, the latest entry of each content, with where its file was moved."""
+    manifest = sinks.latest(inbox.read_manifest(spark, f"{out}/manifest"), ["hash"], "updated_at")
+    moved = moves.read_moves(spark, f"{out}/moves").where("state = 'moved'").select("hash", "batch", "archived_path")
+    return manifest.join(moved, ["hash", "batch"], "left").withColumn("source_name", F.element_at(F.split("source_path", "/"), -1))
+
+
+def sync_and_ingest(responses: DataFrame, out: str, key: str, process: Callable[[DataFrame], DataFrame], max_candidates: int = inbox.MAX_CANDIDATES, max_misses: int = inbox.MAX_MISSES, force: bool = False) -> int:
+    """One run of a sync over a stream of responses (key, sequence, outcome, body) whose hits are stored as snapshots and ingested; returns the run's number.
+
+    A hit is stored under ``<key>/<sequence>``. ``process`` maps (hash, path, text) to records as in an inbox; contents that are known aren't ingested again.
+    """
+
+    def take(hits: DataFrame, name: str) -> None:
+        rows = hits.select(F.concat_ws("/", F.col(key).cast("string"), F.col("sequence").cast("string")).alias("path"), F.coalesce("body", F.lit("")).alias("text"))
+        snapshots.insert_absent(rows, f"{out}/snapshots", "path", name, force=force)
+        inbox.record_batch(rows.withColumn("hash", F.sha2("text", 256)), name, f"{out}/manifest", f"{out}/records", process, force)
+
+    return sync.sync(responses, f"{out}/scan", key, take, max_candidates, max_misses)
+
 
-    def process(files: DataFrame) -> DataFrame:
-        texts = files.select("hash", F.col("path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), "text")
-        records = extract.parse_documents(texts.withColumnRenamed("path", "pdf_path"))
-        known = texts.select("hash", "path")
-        status = F.when(F.col("validation.needs_manual_review"), "review").otherwise("processed")
-        return records.withColumn("path", F.col("source.pdf_path")).join(known, "path").withColumn("status", status)
+def ingest_html(spark: SparkSession, folder: str, out: str, labels: dict[str, str], stops: Sequence[str], base: str = "", force: bool = False) -> DataFrame:
+    """Saved pages of cases: their HTML is stored where it is absent (or ``force``), what they say is stored anew as snapshots; returns (file_name, failure) of pages that name no case.
 
-    inbox.ingest_inbox(spark, box, f"{out}/manifest", f"{out}/records", f"{out}/state", process, force=force).awaitTermination()
+    ``base`` is the address that relative links belong to.
+    """
+    pages = readers.read_texts(spark, folder, "*.html").select(F.col("file_name").alias("page"), F.col("text").alias("html"), F.lit(base).alias("url"))
+    cases = html.tracked_case(pages, "page", labels, stops).withColumn("slug", T.slugify_case_number(F.col("case_number")))
+    found, name = cases.join(pages.select("page", "html"), "page").persist(), uuid.uuid4().hex
+    snapshots.insert_absent(found.select("slug", "page", "html"), f"{out}/raw_html", "slug", name, F.col("page"), force)
+    snapshots.insert_absent(found.drop("html"), f"{out}/snapshots", "slug", name, F.col("page"), force=True)
+    found.unpersist()
+    return pages.join(cases.select("page"), "page", "left_anti").select(F.col("page").alias("file_name"), F.lit("tracking HTML did not contain a recognizable case record").alias("failure"))

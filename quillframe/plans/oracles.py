@@ -277,3 +277,36 @@ ORACLES["page_link_table"] = f"""
 WITH a AS ({ORACLES['html_links']}), d AS (SELECT page_id, pos, {NORM.format(_DECODED.format('title'))} AS title, regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || href AS url, href FROM a JOIN pages USING (page_id)),
 f AS (SELECT *, row_number() OVER (PARTITION BY page_id, url, lower(title) ORDER BY pos) AS k FROM d WHERE title <> '')
 SELECT page_id, pos, title, url, 'other' AS category, ltrim(href, '/') AS file_name FROM f WHERE k = 1"""
+
+def _scan_after(run: int) -> str:
+    """The common tables of one more run of the scan: it looks at what comes after the run before."""
+    seen = f"SELECT user_id, max(event_id) AS last FROM s{run - 1} GROUP BY 1" if run > 1 else "SELECT DISTINCT user_id, -1 AS last FROM events"
+    return f"""
+l{run} AS ({seen}),
+h{run} AS (SELECT user_id, event_id, outcome, row_number() OVER w AS n, sum((outcome = 'hit')::INT) OVER w AS hits FROM o JOIN l{run} USING (user_id) WHERE event_id > last WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+m{run} AS (SELECT *, sum((outcome = 'miss')::INT) OVER (PARTITION BY user_id, hits ORDER BY event_id) AS misses FROM h{run}),
+e{run} AS (SELECT user_id, min(n) AS stop FROM m{run} WHERE misses >= 2 OR outcome = 'stop' GROUP BY 1),
+s{run} AS (SELECT user_id, event_id, outcome, misses::BIGINT AS misses FROM m{run} LEFT JOIN e{run} USING (user_id) WHERE n <= least(coalesce(stop, 40), 40))"""
+
+
+ORACLES["sync_and_ingest"] = f"""
+WITH o AS (SELECT user_id, event_id, props, CASE event_type WHEN 'view' THEN 'miss' WHEN 'error' THEN 'stop' ELSE 'hit' END AS outcome FROM events),{_scan_after(1)},{_scan_after(2)},
+s AS (SELECT 1 AS run, * FROM s1 UNION ALL SELECT 2, * FROM s2),
+f AS (SELECT s.*, props FROM s JOIN o USING (user_id, event_id)),
+r AS (SELECT props, arg_min(user_id, run || '/' || user_id || '/' || event_id) AS user_id FROM f WHERE f.outcome = 'hit' GROUP BY 1),
+n AS (SELECT user_id, count(*) AS records FROM r GROUP BY 1)
+SELECT user_id, max(event_id) AS last_checked, max(event_id) + 1 AS next, arg_max(misses, event_id) AS consecutive_misses, count(*) AS looked, count(*) FILTER (outcome = 'hit') AS hits,
+count(*) FILTER (outcome = 'hit') AS snapshots, coalesce(any_value(records), 0) AS records FROM s LEFT JOIN n USING (user_id) GROUP BY 1"""
+
+ORACLES["ingest_forced"] = """
+WITH d AS (SELECT sha256(coalesce(text, '')) AS hash, doc_id::VARCHAR AS path, doc_id IN (SELECT doc_id FROM labels) AS again FROM documents)
+SELECT hash, coalesce(min(path) FILTER (again), min(path)) AS path, CASE WHEN bool_or(again) THEN 'forced-1' ELSE 'a' END AS batch, CASE WHEN bool_or(again) THEN 2 ELSE 1 END::BIGINT AS tries FROM d GROUP BY 1"""
+
+ORACLES["snapshot_sink"] = """
+WITH a AS (SELECT n_nationkey::BIGINT AS number, n_name AS body, 'n' AS batch, 1 AS rank FROM nation UNION ALL SELECT s_suppkey, s_name, 's', 2 FROM supplier UNION ALL SELECT c_custkey, c_name, 'c', 3 FROM customer)
+SELECT number, arg_min(body, rank) AS body, arg_min(batch, rank) AS batch FROM a GROUP BY 1"""
+
+ORACLES["archive_moves"] = """
+WITH f AS (SELECT *, CASE WHEN s_acctbal < 0 THEN 'failed' ELSE 'processed' END AS target FROM supplier),
+n AS (SELECT *, row_number() OVER (PARTITION BY target, s_nationkey ORDER BY s_suppkey) + (target = 'processed')::INT AS k FROM f)
+SELECT s_suppkey, target, 'n' || s_nationkey || CASE WHEN k > 1 THEN '__' || k ELSE '' END || '.txt' AS archived_name, 'moved' AS state, s_name AS content FROM n"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -12,8 +13,9 @@ from ..functions import search_text as S
 from ..functions import text as T
 from ..operators import catalog, extract, html, library, reports, search, sections, stories, validate
 from ..session import shared_folder
-from ..sources import sinks
-from ..streaming import inbox
+from ..sources import moves, sinks, snapshots
+from ..streaming import inbox, sync
+from . import jobs
 
 # Parameters of the queries, shared with their SQL.
 SHORT_LINE = 20
@@ -289,6 +291,66 @@ def ingest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.join(records, "hash").select("hash", "batch", "status", "records")
 
 
+def _fresh_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/quillframe-{what}-{uuid.uuid4().hex}"
+
+
+def ingest_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken as one batch, and those that have labels taken again by force: what the manifest says of each content, and which batch its records are from."""
+    folder = _fresh_folder(spark, "forced")
+    files = table(spark, sf_dir, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.col("doc_id").cast("string").alias("path"), "text", "doc_id")
+    again = files.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    finish = lambda rows: rows.select("hash", "path", F.lit("processed").alias("status"))
+    for name, batch, force in (("a", files, False), ("b", again, False), ("forced-1", again, True)):
+        inbox.record_batch(batch, name, f"{folder}/manifest", f"{folder}/records", finish, force)
+    manifest = inbox.read_manifest(spark, f"{folder}/manifest")
+    rows = inbox.current(spark.read.schema("hash string, path string, status string, batch string").parquet(f"{folder}/records"), manifest)
+    tries = manifest.groupBy("hash").agg(F.count(F.lit(1)).alias("tries"))
+    return rows.join(tries, "hash").select("hash", "path", "batch", "tries")
+
+
+def snapshot_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers, then customers (twice, as after a failure), inserted where their number is absent, and nations by force: what is stored under each number."""
+    path = f"{_fresh_folder(spark, 'snapshots')}/cases"
+    rows = lambda name, key, body: table(spark, sf_dir, name).select(F.col(key).cast("long").alias("number"), F.col(body).alias("body"))
+    suppliers, customers, nations = rows("supplier", "s_suppkey", "s_name"), rows("customer", "c_custkey", "c_name"), rows("nation", "n_nationkey", "n_name")
+    for name, batch, force in (("s", suppliers, False), ("c", customers, False), ("c", customers, False), ("n", nations, True)):
+        snapshots.insert_absent(batch, path, "number", name, force=force)
+    return snapshots.read_snapshots(spark, path, "number long, body string", "number").select("number", "body", F.element_at(F.split("batch", "-"), -1).alias("batch"))
+
+
+def _write_files(rows: DataFrame) -> int:
+    """One file for each row (path, content), written by the tasks; returns how many."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                store, place = pyarrow.fs.FileSystem.from_uri(path)
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(place) as out:
+                    out.write(content.encode("utf-8"))
+            yield batch[["path"]]
+
+    return rows.select("path", "content").mapInPandas(run, "path string").count()
+
+
+def archive_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each supplier, named by its nation, in an inbox of many folders, moved to an archive that holds a file for each nation; then again, as after a failure: where every content lies."""
+    folder = moves.address(_fresh_folder(spark, "archive"))
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".txt"))
+    files = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit(f"{folder}/inbox/"), F.lpad(k.cast("string"), 12, "0"), F.lit("/"), name).alias("path"), F.col("s_name").alias("content"), F.sha2("s_name", 256).alias("hash"), F.when(F.col("s_acctbal") < 0, "failed").otherwise("processed").alias("target")
+    )
+    held = table(spark, sf_dir, "nation").select(F.concat(F.lit(f"{folder}/archive/processed/n"), F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("path"), F.col("n_name").alias("content"))
+    _write_files(held.unionByName(files.select("path", "content")))
+    for _ in range(2):
+        moved = moves.archive(files.select("hash", "path", "target"), {t: f"{folder}/archive/{t}" for t in ("processed", "failed")}, f"{folder}/log", "a")
+    found = spark.read.text(f"{folder}/archive", wholetext=True, recursiveFileLookup=True).select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("archived_path"), F.col("value").alias("content"))
+    rows = moved.join(found, "archived_path")
+    return rows.select(F.regexp_extract("path", r"/(\d{12})/", 1).cast("long").alias("s_suppkey"), "target", F.element_at(F.split("archived_path", "/"), -1).alias("archived_name"), "state", "content")
+
+
 def inbox_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("hash"), F.col("doc_id").alias("path"), "source")
     manifest = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("hash"))
@@ -489,6 +551,22 @@ def inbox_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(seen.schema).parquet(f"{name}/out")
 
 
+def sync_and_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each user as responses to numbered requests, synced in two runs whose hits are stored and ingested: where each user's scan stands, and what came of it."""
+    folder = _fresh_folder(spark, "sync")
+    schema: StructType = table(spark, sf_dir, "events").schema
+    outcome = F.when(F.col("event_type") == "view", "miss").when(F.col("event_type") == "error", "stop").otherwise("hit")
+    for _ in range(2):
+        responses = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", F.col("event_id").alias("sequence"), outcome.alias("outcome"), F.col("props").alias("body"))
+        jobs.sync_and_ingest(responses, folder, "user_id", lambda rows: rows.select("hash", "path", F.lit("processed").alias("status")), SCAN_MOST, SCAN_MISSES)
+    looked = sync.read_looked(spark, f"{folder}/scan", "user_id", "bigint").groupBy("user_id").agg(F.count(F.lit(1)).alias("looked"), F.count_if(F.col("outcome") == "hit").alias("hits"))
+    owner = F.split("path", "/")[0].cast("long").alias("user_id")
+    stored = snapshots.read_snapshots(spark, f"{folder}/snapshots", "path string, text string", "path").select(owner).groupBy("user_id").agg(F.count(F.lit(1)).alias("snapshots"))
+    records = spark.read.parquet(f"{folder}/records").select(owner).groupBy("user_id").agg(F.count(F.lit(1)).alias("records"))
+    rows = sync.read_state(spark, f"{folder}/scan", "user_id", "bigint").join(looked, "user_id").join(stored, "user_id", "left").join(records, "user_id", "left")
+    return rows.select("user_id", "last_checked", "next", "consecutive_misses", "looked", "hits", F.coalesce("snapshots", F.lit(0)).alias("snapshots"), F.coalesce("records", F.lit(0)).alias("records"))
+
+
 #: A ruling as text; the fields in braces are filled from a customer's row.
 RULING = """PUTUSAN
 Nomor {number}

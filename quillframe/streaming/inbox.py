@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..sources.folders import numbered
 from ..sources.readers import path_exists
 
 MAX_CANDIDATES, MAX_MISSES = 50, 20
@@ -42,20 +43,45 @@ def record_batch(files: DataFrame, name: str, manifest: str, records: str, proce
     done.unpersist()
 
 
-def ingest_inbox(spark: SparkSession, inbox: str, manifest: str, records: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], pattern: str = "*.txt", force: bool = False) -> StreamingQuery:
+def _as_files(texts: DataFrame) -> DataFrame:
+    return texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.sha2("value", 256).alias("hash"))
+
+
+def ingest_inbox(spark: SparkSession, inbox: str, manifest: str, records: str, checkpoint: str, process: Callable[[DataFrame], DataFrame], pattern: str = "*.txt", after: Callable[[str], None] | None = None) -> StreamingQuery:
     """Take what is new in an inbox folder and stop: known contents are skipped, and every outcome is recorded, so failures aren't tried again.
 
     ``process`` maps (hash, path, text) to records with hash, ``status`` and whatever the record table holds. A batch that is repeated after a failure
-    replaces what its first try left; batches are named by the stream's own id and their number, so another stream replaces nothing.
+    replaces what its first try left; batches are named by the stream's own id and their number, so another stream replaces nothing. ``after`` gets each
+    batch's name once it is recorded, and gets it again if the batch is repeated.
     """
 
     def batch(files: DataFrame, number: int) -> None:
-        stream = files.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        record_batch(files, f"{stream}-{number}", manifest, records, process, force)
+        name = f"{files.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
+        record_batch(files, name, manifest, records, process)
+        if after:
+            after(name)
 
     source = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", pattern).load(inbox)
-    files = source.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.sha2("value", 256).alias("hash"))
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _as_files(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_forced(spark: SparkSession, inbox: str, manifest: str, records: str, process: Callable[[DataFrame], DataFrame], pattern: str = "*.txt", after: Callable[[str], None] | None = None) -> str:
+    """Take all that lies in an inbox folder again, known or not, as a batch ``forced-<n>``; returns the batch's name.
+
+    The stream of ``ingest_inbox`` lists a file once, so the folder is read as a table here. A run that breaks off before its manifest is written leaves its number to the next.
+    """
+    name = f"forced-{max(numbered(spark, manifest, 'batch=forced-'), default=0) + 1}"
+    texts = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", pattern).load(inbox)
+    record_batch(_as_files(texts), name, manifest, records, process, force=True)
+    if after:
+        after(name)
+    return name
+
+
+def current(rows: DataFrame, manifest: DataFrame, key: str = "hash") -> DataFrame:
+    """Of the rows of a record table (with ``batch``), those of each content's latest batch in the manifest."""
+    last = manifest.groupBy(key).agg(F.max_by("batch", "updated_at").alias("batch"))
+    return rows.join(last, [key, "batch"], "left_semi")
 
 
 def dedupe_stream(events: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
