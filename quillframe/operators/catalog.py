@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.search_text import fold_texts
+from ..session import shared_folder
 from . import validate
 
 # Sources from the strongest on, labels of outcomes, and titles that say nothing.
@@ -153,7 +155,8 @@ def translate(df: DataFrame, column: str, dictionary: DataFrame, out: str) -> Da
 #: Fragments of the interface that only differ in numbers, and their English.
 PHRASES = [
     (r"Halaman (\d+)", "Page $1"), (r"PDF hlm\. (\d+)", "PDF p. $1"), (r"(\d+) hakim", "$1 judges"), (r"Jelajahi (\d+) topik", "Browse $1 topics"), (r"Jelajahi (\d+) perkara →", "Browse $1 cases →"),
-    (r"Bagian (\d+) dari (\d+)", "Part $1 of $2"), (r"Cerita (\d+) · (\d+) perkara", "Story $1 · $2 cases"), (r"Bab (\d+) · (\d+) perkara", "Chapter $1 · $2 cases"), (r"([\d–]+) dari (\d+) perkara", "$1 of $2 cases"),
+    (r"Bagian (\d+) dari (\d+)", "Part $1 of $2"), (r"Cerita (\d+) · (\d+) perkara", "Story $1 · $2 cases"), (r"Bab (\d+) · (\d+) perkara", "Chapter $1 · $2 cases"),
+    (r"Satu pertanyaan · (\d+) putusan", "One question · $1 decisions"), (r"Satu pertanyaan · (\d+) putusan · 3 bab", "One question · $1 decisions · 3 chapters"), (r"([\d–]+) dari (\d+) perkara", "$1 of $2 cases"),
     (r"(\d+) perkara", "$1 cases"), (r"(\d+) topik", "$1 topics"),
 ]
 
@@ -164,3 +167,108 @@ def translate_phrases(c: Column, phrases: Sequence[tuple[str, str]] = PHRASES) -
     for pattern, english in reversed(phrases):
         out = F.when(c.rlike(f"^(?:{pattern})$"), F.regexp_replace(c, f"^(?:{pattern})$", english)).otherwise(out)
     return out
+
+
+#: Texts around parts that are translated in turn; the first that fits counts. ``{t}`` is such a part, ``{list}`` a list of them
+#: parted by commas, ``{label}`` a part that the dictionary must hold, ``{o}`` one that may be absent with what is before it.
+COMPOSITES = [
+    (r"^(.*) · teks asli$", ("{t}", " · Indonesian match")),
+    (r"^(.*) · MKRI$", ("{t}", " · MKRI")),
+    (r"^Disusun dari: (.*?)\.?$", ("Prepared from: ", "{t}", ".")),
+    (r"^Sama-sama membahas (.*)$", ("Also about ", "{list}")),
+    (r"^(.*?): (.*)$", ("{label}", ": ", "{t}")),
+    (r"^Hapus (.*?): (.*)$", ("Remove ", "{t}", ": ", "{t}")),
+    (r"^Hapus (.*)$", ("Remove ", "{t}")),
+]
+#: Marks around a text that is translated without them.
+LEADING, TRAILING = "· ", (" ↗", " →")
+#: What is replaced inside a text that nothing else fits: kinds of decisions at the end, hidden items, dates.
+KINDS = {"Putusan": "Judgment", "Ketetapan": "Order"}
+ENGLISH_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
+
+def _finished(c: Column) -> Column:
+    """The last resort for a text that nothing fits: counts without their number, kinds of decisions, hidden items and dates."""
+    out = F.when(c.rlike(r"^perkara(?: · \d+ topik)?$"), F.regexp_replace(F.regexp_replace(c, r"\bperkara\b", "cases"), r"\btopik\b", "topics")).otherwise(c)
+    for kind, english in KINDS.items():
+        out = F.regexp_replace(out, f" · {kind}$", f" · {english}")
+    out = F.regexp_replace(out, r"\(\+(\d+) item lain disembunyikan\)", r"(+$1 more items hidden)")
+    for month, english in zip(T.MONTHS, ENGLISH_MONTHS, strict=True):
+        out = F.regexp_replace(out, rf"\b(\d{{1,2}}) {month.capitalize()} (\d{{4}})\b", rf"$1 {english} $2")
+    return out
+
+
+def _piece(text: Column, translated: bool) -> Column:
+    return F.struct(text.alias("text"), F.lit(translated).alias("open"))
+
+
+def _decomposed(core: Column, composites: Sequence[tuple[str, tuple[str, ...]]]) -> Column:
+    """array of (rule, label, pieces): the ways in which rules cut a text, in their order; pieces are (text, whether it is translated in turn)."""
+    ways = []
+    for number, (pattern, shape) in enumerate(composites):
+        group, pieces, label = 0, F.array().cast("array<struct<text:string,open:boolean>>"), F.lit(None).cast("string")
+        for part in shape:
+            if not part.startswith("{"):
+                pieces = F.concat(pieces, F.array(_piece(F.lit(part), False)))
+                continue
+            group += 1
+            text = F.regexp_extract(core, pattern, group)
+            if part == "{list}":
+                each = F.transform(F.split(text, ", "), lambda x, i: F.concat(F.when(i > 0, F.array(_piece(F.lit(", "), False))).otherwise(F.array().cast("array<struct<text:string,open:boolean>>")), F.array(_piece(x, True))))
+                pieces = F.concat(pieces, F.flatten(each))
+            else:
+                pieces = F.concat(pieces, F.array(_piece(text, True)))
+                label = text if part == "{label}" else label
+        ways.append(F.when(core.rlike(pattern), F.struct(F.lit(number).alias("rule"), label.alias("label"), pieces.alias("pieces"))))
+    before = F.when(core.startswith(LEADING), LEADING).otherwise("")
+    rest = F.substring(core, F.length(before) + 1, F.length(core))
+    after = F.when(rest.endswith(TRAILING[0]), TRAILING[0]).when(rest.endswith(TRAILING[1]), TRAILING[1]).otherwise("")
+    marked = F.array(_piece(before, False), _piece(F.substring(rest, F.lit(1), F.length(rest) - F.length(after)), True), _piece(after, False))
+    ways.append(F.when((before != "") | (after != ""), F.struct(F.lit(len(composites)).alias("rule"), F.lit(None).cast("string").alias("label"), marked.alias("pieces"))))
+    return F.filter(F.array(*ways), lambda w: w.isNotNull())
+
+
+def translate_composite(df: DataFrame, column: str, dictionary: DataFrame, out: str, phrases: Sequence[tuple[str, str]] = PHRASES, composites: Sequence[tuple[str, tuple[str, ...]]] = COMPOSITES, most: int = 40) -> DataFrame:
+    """Translation by a dictionary (source, target), phrases and texts that are composed of parts, which are translated in turn; the space around a text stays.
+
+    The first that fits counts: dictionary, phrase, composition, and at last the fragments of ``_finished``; what nothing fits stays as it is. The distinct texts are
+    cut level by level: a level's open parts are the texts of the next, joined with the dictionary once for all rows, until none is open. Then parts are put
+    together from the innermost level outwards. ``most`` levels at most are cut; texts nested deeper are an error.
+    """
+    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/quillframe-translate-{uuid.uuid4().hex}"
+    pairs = dictionary.select(F.col("source").alias("_from"), F.col("target").alias("_to")).dropDuplicates(["_from"])
+    trim = lambda c: F.regexp_extract(c, r"(?s)^\s*(.*?)\s*$", 1)
+    kind = "core string, done string, rule int, pieces array<struct<text:string,open:boolean>>"
+    level = df.select(trim(F.col(column)).alias("core")).where("core <> ''").distinct()
+    levels = 0
+    while levels == 0 or not level.isEmpty():
+        if levels == most:
+            raise ValueError(f"texts are nested in more than {most} levels")
+        known = level.join(pairs, F.col("core") == F.col("_from"), "left").drop("_from")
+        phrase = translate_phrases(F.col("core"), phrases)
+        known = known.withColumn("done", F.coalesce("_to", F.when(phrase != F.col("core"), phrase))).drop("_to")
+        cut = known.withColumn("ways", F.when(F.col("done").isNull(), _decomposed(F.col("core"), composites)).otherwise(F.array()))
+        # A label must be in the dictionary: of the ways to cut a text those without one always hold.
+        labels = cut.select("core", F.explode("ways").alias("w")).where("w.label is not null").select("core", F.col("w.label").alias("_label")).join(pairs.select(F.col("_from").alias("_label")), "_label", "left_semi").select("core", F.lit(True).alias("_labelled")).distinct()
+        cut = cut.join(labels, "core", "left").withColumn("way", F.get(F.filter("ways", lambda w: w["label"].isNull() | F.coalesce("_labelled", F.lit(False))), F.lit(0)))
+        cut.select("core", "done", "way.rule", "way.pieces").write.parquet(f"{folder}/{levels}")
+        stored = spark.read.schema(kind).parquet(f"{folder}/{levels}")
+        level = stored.select(F.explode("pieces").alias("p")).where("p.open").select(trim(F.col("p.text")).alias("core")).where("core <> ''").distinct()
+        levels += 1
+    below = spark.createDataFrame([], "core string, done string")
+    for n in reversed(range(levels)):
+        rows = spark.read.schema(kind).parquet(f"{folder}/{n}")
+        parts = rows.where("pieces is not null").select("core", "rule", F.posexplode("pieces").alias("i", "p")).withColumn("_core", F.when(F.col("p.open"), trim(F.col("p.text"))))
+        parts = parts.join(below.toDF("_core", "_done"), "_core", "left").withColumn("_text", F.coalesce(spaced(F.col("p.text"), F.col("_done")), F.col("p.text")))
+        put = parts.groupBy("core", "rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "_text"))), lambda x: x["_text"]), "").alias("_put"))
+        put = put.select("core", F.when(F.col("rule") == len(composites), _finished(F.col("_put"))).otherwise(F.col("_put")).alias("_put"))
+        done = rows.join(put, "core", "left").select("core", F.coalesce("done", "_put", _finished(F.col("core"))).alias("done"))
+        done.write.parquet(f"{folder}/done-{n}")
+        below = spark.read.schema("core string, done string").parquet(f"{folder}/done-{n}")
+    joined = df.withColumn("_core", trim(F.col(column))).join(below.toDF("_core", "_done"), "_core", "left")
+    return joined.withColumn(out, F.coalesce(spaced(F.col(column), F.col("_done")), F.col(column))).drop("_core", "_done")
+
+
+def spaced(text: Column, core: Column) -> Column:
+    """Another core in the space that is around a text."""
+    return F.concat(F.regexp_extract(text, r"(?s)^(\s*)", 1), core, F.regexp_extract(text, r"(?s)(?<=\S)(\s*)$", 1))

@@ -6,12 +6,15 @@ Every extractor maps a text (and, where it needs them, its sections) to a struct
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import shared_folder
 from . import validate
 from .sections import split_sections
 
@@ -273,35 +276,100 @@ def guarded(function: Callable, kind: str) -> Callable[[Column, Column, Column],
     return extractor
 
 
-def parse_documents(docs: DataFrame, text: str = "text", extractors: dict[str, Callable] = EXTRACTORS, schema: str | None = None) -> DataFrame:
-    """One record for each row of (file_name, text[, pdf_path, page_count, engine]): source, facts, checks and status. A null text is an empty one.
-
-    With ``schema``, the text of a JSON Schema, records are checked against it as raw JSON. What a ``guarded`` extractor can't do fails no row but its
-    own: the part is null, and ``parser`` names it.
-    """
+def _facts(docs: DataFrame, text: str, extractors: dict[str, Callable], skip: str | None = None) -> DataFrame:
+    """Source, sections, document and what the extractors find, with ``_skip`` if there is such a column."""
     body = F.coalesce(F.col(text), F.lit(""))
     have = set(docs.columns)
     source = F.struct(
         *[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(name) for c, name, kind in (("pdf_path", "pdf_path", "string"), ("file_name", "file_name", "string"), ("page_count", "page_count", "int"), ("engine", "text_extraction_engine", "string"), ("download_url", "download_url", "string"))]
     )
-    out = docs.select(F.lit(SCHEMA_VERSION).alias("schema_version"), source.alias("source"), body.alias("_text"))
+    skipped = [F.coalesce(F.col(skip), F.array().cast("array<struct<name:string,error:string>>")).alias("_skip")] if skip else []
+    out = docs.select(F.lit(SCHEMA_VERSION).alias("schema_version"), source.alias("source"), body.alias("_text"), *skipped)
     out = out.withColumns({"_lines": T.lines(F.col("_text")), "sections": split_sections(F.col("_text"))})
     t, s = F.col("_text"), F.col("sections")
     out = out.withColumns({"document": document_info(t, F.col("_lines")), "_opening": opening_block(t, F.col("_lines")), "_body": section_body(s), "_whole": _whole(t, s), "_joined": _whole(t, s, "\n")})
     out = out.withColumn("_numbers", T.extract_case_numbers(F.col("_whole")))
     parts = {name: f(t, s, F.col("document")) for name, f in extractors.items()}
-    out = out.withColumns({n: c if getattr(extractors[n], "guarded", False) else _pinned(c) for n, c in parts.items()}).drop("_text", "_lines", "_opening", "_body", "_whole", "_joined", "_numbers")
+    if skip:
+        parts = {name: F.when(~F.array_contains(F.transform("_skip", lambda x: x["name"]), name), part) for name, part in parts.items()}
+    return out.withColumns({n: c if getattr(extractors[n], "guarded", False) else _pinned(c) for n, c in parts.items()}).drop("_text", "_lines", "_opening", "_body", "_whole", "_joined", "_numbers")
+
+
+def parse_documents(docs: DataFrame, text: str = "text", extractors: dict[str, Callable] = EXTRACTORS, schema: str | None = None, skip: str | None = None) -> DataFrame:
+    """One record for each row of (file_name, text[, pdf_path, page_count, engine]): source, facts, checks and status. A null text is an empty one.
+
+    With ``schema``, the text of a JSON Schema, records are checked against it as raw JSON. What a ``guarded`` extractor can't do fails no row but its
+    own: the part is null, and ``parser`` names it. ``skip`` names a column, array<struct<name, error>>, of extractors that aren't run for a row and count as failed.
+    """
+    out = _facts(docs, text, extractors, skip)
     mine = [name for name, f in extractors.items() if getattr(f, "guarded", False)]
     failed = F.filter(F.array(*[F.when(F.col(f"{n}.error").isNotNull(), F.struct(F.lit(n).alias("name"), F.col(f"{n}.error").alias("error"))) for n in mine]), lambda x: x.isNotNull()) if mine else None
     if mine:
         out = out.withColumn("_failed", failed).withColumns({n: F.col(f"{n}.value") for n in mine})
         failed = F.col("_failed")
+    if skip:
+        out = out.withColumn("_failed", F.concat("_skip", failed) if mine else F.col("_skip"))
+        failed = F.col("_failed")
     records = validate.with_parser(validate.with_validation(out), failed)
     if schema is not None:
-        raw = F.to_json(F.struct(*[c for c in records.columns if c != "_failed"]), {"ignoreNullFields": "false"})
-        again = records.withColumn("_errors", validate.schema_errors(raw, schema)).drop("parser")
+        whole = F.struct(*[c for c in records.columns if c not in ("_failed", "_skip")])
+        again = records.withColumn("_errors", validate.record_errors(whole, schema)).drop("parser")
         records = validate.with_parser(validate.with_validation(again, F.col("_errors")), failed).drop("_errors")
-    return records.drop("_failed")
+    return records.drop("_failed", "_skip")
+
+
+def raising_rows(rows: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], most: int = 1000, fan: int = 16) -> list[tuple]:
+    """(key, error) of the rows for which what ``compute`` makes of a table raises; ``most`` at most, more are a fault of the function and raised.
+
+    Tasks fail as a whole, so rows are told apart by trying ever smaller parts of the table, ``fan`` of each part that fails. A part that fails is stored before
+    its own parts are tried, so each try reads a sixteenth of what the one before read.
+    """
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/quillframe-raising-{uuid.uuid4().hex}"
+
+    def error_of(part: DataFrame) -> str | None:
+        try:
+            compute(part).write.format("noop").mode("overwrite").save()
+        except PySparkException as failure:
+            return next((line for line in str(failure).splitlines() if line.startswith("[")), str(failure).strip().splitlines()[0])
+        return None
+
+    found, todo = [], [(rows, 0, error_of(rows))]
+    while todo:
+        part, level, error = todo.pop()
+        if error is None:
+            continue
+        few = part.select(key).distinct().limit(2).collect()
+        if len(few) == 1:
+            found.append((few[0][0], error))
+            if len(found) > most:
+                raise RuntimeError(f"more than {most} rows fail, such as {found[0][0]}: {error}")
+            continue
+        for n in range(fan):
+            chosen = part.where(F.pmod(F.xxhash64(F.col(key), F.lit(level)), F.lit(fan)) == n)
+            if (wrong := error_of(chosen)) is not None:
+                path = f"{folder}/{level}-{uuid.uuid4().hex}"
+                chosen.write.parquet(path)
+                todo.append((spark.read.schema(chosen.schema).parquet(path), level + 1, wrong))
+    return found
+
+
+def parse_isolated(docs: DataFrame, key: str = "file_name", text: str = "text", extractors: dict[str, Callable] = EXTRACTORS, schema: str | None = None, most: int = 1000, fan: int = 16) -> DataFrame:
+    """``parse_documents`` of documents some of which make an extractor raise: such a part is null, ``parser`` tells it as failed, and all else is as it would be.
+
+    First the extractors are run as one, which is all there is to do if none raises. Else each is run alone, and the rows that it fails for are looked for
+    (``raising_rows``). The records that are returned leave those out, for these extractors only.
+    """
+    spark = docs.sparkSession
+    whole = lambda part: _facts(part, text, extractors).select(*extractors)
+    try:
+        whole(docs).write.format("noop").mode("overwrite").save()
+        return parse_documents(docs, text, extractors, schema)
+    except PySparkException:
+        found = [(k, name, error) for name, f in extractors.items() for k, error in raising_rows(docs, key, lambda part, n=name, f=f: _facts(part, text, {n: f}).select(n), most, fan)]
+    kind = docs.schema[key].dataType.simpleString()
+    skip = spark.createDataFrame(found, f"_key {kind}, name string, error string").groupBy("_key").agg(F.collect_list(F.struct("name", "error")).alias("_skipped"))
+    return parse_documents(docs.join(F.broadcast(skip), F.col(key) == F.col("_key"), "left"), text, extractors, schema, "_skipped")  # at most ``most`` rows an extractor
 
 
 def manual_truth_template(records: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ def parse(spark: SparkSession, path: str, out: str, schema: str | None = None) -
 def check(spark: SparkSession, records: DataFrame, out: str, schema: str | None = None) -> DataFrame:
     """Check records again and route each to exactly one partition; the parser's block stays, and without a schema its errors do."""
     if schema is not None:
-        raw = F.to_json(F.struct(*[F.col(c) for c in records.columns if c not in ("case_id", "path")]), {"ignoreNullFields": "false"})
-        records = records.withColumn("_errors", validate.schema_errors(raw, schema))
+        whole = F.struct(*[F.col(c) for c in records.columns if c not in ("case_id", "path")])
+        records = records.withColumn("_errors", validate.record_errors(whole, schema))
         records = validate.with_validation(records, F.col("_errors")).drop("_errors")
     else:
         records = validate.with_validation(records)

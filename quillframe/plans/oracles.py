@@ -310,3 +310,33 @@ ORACLES["archive_moves"] = """
 WITH f AS (SELECT *, CASE WHEN s_acctbal < 0 THEN 'failed' ELSE 'processed' END AS target FROM supplier),
 n AS (SELECT *, row_number() OVER (PARTITION BY target, s_nationkey ORDER BY s_suppkey) + (target = 'processed')::INT AS k FROM f)
 SELECT s_suppkey, target, 'n' || s_nationkey || CASE WHEN k > 1 THEN '__' || k ELSE '' END || '.txt' AS archived_name, 'moved' AS state, s_name AS content FROM n"""
+
+def _holds(number: int, terms: tuple[str, ...]) -> str:
+    tests = " AND ".join(f"(contains(lower(text), '{t}') OR contains(lower(source), '{t}'))" for t in terms)
+    return f"SELECT {number}::BIGINT AS search, doc_id FROM documents WHERE {tests}"
+
+
+ORACLES["indexed_search"] = " UNION ALL ".join(_holds(i, t) for i, t in enumerate((("the", "tion"), ("e", "qu", "b"), ("s", "source", "the"), ("zqxjzq",), ("ation of the", "and"))))
+
+ORACLES["catalog_order"] = """
+WITH d AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS decision_date FROM orders)
+SELECT row_number() OVER (ORDER BY decision_date IS NULL, decision_date DESC, CASE WHEN decision_date IS NOT NULL THEN o_orderkey::VARCHAR END DESC, o_orderkey) - 1 AS position, o_orderkey, decision_date FROM d"""
+
+ORACLES["catalog_refresh"] = """
+WITH d AS (SELECT 'd' || doc_id AS key, coalesce(d.text, '') AS old, b.text AS new FROM documents d LEFT JOIN benchmark b ON item_id = doc_id WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
+e AS (SELECT key, coalesce(new, old) AS text, CASE WHEN new IS NOT NULL AND new <> old THEN 2 ELSE 1 END AS made_by FROM d UNION ALL SELECT 'c' || c_custkey, c_name, 2 FROM customer)
+SELECT key, length(text)::BIGINT AS chars, md5(text) AS text_md5, made_by::BIGINT AS made_by FROM e"""
+
+ORACLES["schema_check"] = """
+WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+m AS (SELECT k, CASE WHEN k % 11 = 0 THEN ['<root>: not JSON'] ELSE list_filter([
+CASE WHEN starts_with(p, '1') THEN 'title: missing required property' END, CASE s WHEN 'F' THEN 'status: value ''failed'' not in enum' WHEN 'O' THEN NULL ELSE 'status: expected string' END,
+CASE WHEN k % 3 = 0 THEN 'number: expected one of [''string'', ''null'']' END, CASE WHEN k % 7 < 2 THEN 'pages: expected integer' END,
+CASE WHEN k % 5 = 0 THEN 'parties: expected array' WHEN k % 5 = 1 THEN 'parties/1/name: missing required property' ELSE 'parties/0/name: expected string' END,
+CASE WHEN k % 5 = 1 THEN 'parties/1/role: expected string' WHEN k % 5 > 1 THEN 'parties/1/role: missing required property' END, CASE WHEN k % 5 = 1 THEN 'parties/2: expected object' END], lambda x: x IS NOT NULL) END AS e FROM o)
+SELECT k AS o_orderkey, array_to_string(e, '; ') AS errors FROM m"""
+
+ORACLES["translate_composite"] = """
+WITH p AS (SELECT p_partkey, 'brand ' || p_brand AS b, lower(p_type) AS t, p_name AS n, p_type AS o, p_size AS z FROM part),
+e AS (SELECT p_partkey, ['Prepared from: ' || t || '.', t || ' · Indonesian match', 'Also about ' || b || ', ' || t || ', ' || n, b || ': ' || t || ' · MKRI', '  Remove ' || b || ': · ' || z || ' cases → ', n || ': ' || o, n || ', 5 May 2020 · Judgment', '· ' || b || ': Page ' || z || ' ↗'] AS e FROM p)
+SELECT p_partkey, unnest(range(0, 8)) AS kind, unnest(e) AS english FROM e"""

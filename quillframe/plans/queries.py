@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import search_text as S
 from ..functions import text as T
-from ..operators import catalog, extract, html, library, reports, search, sections, stories, validate
+from ..operators import catalog, extract, html, library, numbering, reports, search, search_index, sections, stories, validate, views
 from ..session import shared_folder
 from ..sources import moves, sinks, snapshots
 from ..streaming import inbox, sync
@@ -108,6 +108,22 @@ def search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.filter_rows(docs, S.Query(None, TERMS[:2]), {"lang": "en", "source": ""}, texts=("_t",)).select("doc_id", "lang", "source")
 
 
+#: Searches of the index: the filter's own, short terms, a term across the fields, one that nothing holds, and a long one.
+INDEX_TERMS = (TERMS[:2], ("e", "qu", "b"), ("s", "source", "the"), ("zqxjzq",), ("ation of the", "and"))
+
+
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold all terms of each search in their lower-case text or source, from the postings alone."""
+    path = f"{_fresh_folder(spark, 'index')}/postings"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"), F.lower("source").alias("source"))
+    search_index.write_index(docs, "doc_id", ["text", "source"], path)
+    out = None
+    for number, terms in enumerate(INDEX_TERMS):
+        found = search_index.search_index(spark, path, "doc_id", terms).select(F.lit(number).cast("long").alias("search"), "doc_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ranked = search.rank(docs, _searched(docs), TERMS)
@@ -141,6 +157,12 @@ def sort_newest_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dated_orders(spark, sf_dir).orderBy(*search.order_of("newest", F.col("o_orderkey"))).select("o_orderkey", "decision_date")
 
 
+def catalog_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of every order in that order, from 0."""
+    rows = _dated_orders(spark, sf_dir)
+    return numbering.ordered(rows, search.order_of("newest", F.col("o_orderkey"))).select("position", "o_orderkey", "decision_date")
+
+
 def _dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd"))
     return table(spark, sf_dir, "orders").select("o_orderkey", dated.alias("decision_date"), F.col("o_orderkey").cast("string").alias("case_number"), F.lit("x").alias("case_id"), F.lit("ok").alias("status"), F.lit(False).alias("needs_manual_review"), F.array().cast("array<string>").alias("review_flags"), F.lit("").alias("document_type"), F.lit(0).alias("relevance"))
@@ -218,6 +240,24 @@ def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("n"), "first_doc")
 
 
+#: A schema with all that the check knows, and the records that it is tried on, as JSON text.
+SCHEMA = """{"type": "object", "required": ["status", "number", "title", "parties"], "properties": {"status": {"type": "string", "enum": ["ok", "partial"]}, "number": {"type": ["string", "null"]},
+"title": {"type": ["string", "null"]}, "pages": {"type": "integer"}, "parties": {"type": "array", "items": {"$ref": "#/$defs/person"}}},
+"$defs": {"person": {"type": "object", "required": ["name", "role"], "properties": {"name": {"type": "string"}, "role": {"type": "string"}}}}}"""
+
+
+def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON records with many faults: what the schema check tells of each."""
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    raw = F.concat(
+        F.when(key % 11 == 0, "[").otherwise(F.lit("")), F.lit('{"status": '), F.when(F.col("o_orderstatus") == "F", '"failed"').when(F.col("o_orderstatus") == "O", '"ok"').otherwise("null"),
+        F.lit(', "number": '), F.when(key % 3 == 0, text).otherwise(F.concat(F.lit('"'), text, F.lit('"'))), F.when(F.col("o_orderpriority").startswith("1"), "").otherwise(', "title": null'),
+        F.when(key % 7 == 0, ', "pages": 1.5').when(key % 7 == 1, ', "pages": true').otherwise(', "pages": 12'), F.lit(', "parties": '),
+        F.when(key % 5 == 0, '{}').when(key % 5 == 1, '[{"name": "a", "role": "b"}, {"role": 7}, "x"]').otherwise('[{"name": null, "role": "b"}, {"name": "a"}]'), F.lit("}"),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(validate.schema_errors(raw, SCHEMA), "; ").alias("errors"))
+
+
 def route_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = validate.route(_flat(spark, sf_dir).withColumn("validation", F.struct("needs_manual_review")))
     return routed.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
@@ -388,6 +428,33 @@ def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.summarize(records).select("case_id", "title", "law", "year", "description", "status", "needs_manual_review", "applicant_count", "outcome_key", "file_name")
 
 
+def catalog_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view of all documents, refreshed after labelled poor ones went, benchmark passages replaced texts of their number, and customers came: its rows, and the refresh that made each."""
+    path = _fresh_folder(spark, "view")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("passage"))
+    later = docs.join(poor, "doc_id", "left_anti").join(passages, "doc_id", "left").select("key", F.coalesce("passage", "text").alias("text"))
+    later = later.unionByName(table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("text")))
+    for refresh, rows in ((1, docs.select("key", "text")), (2, later), (3, later)):
+        views.refresh(rows, "key", F.sha2("text", 256), path, lambda r, n=refresh: r.select("key", F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.lit(n).cast("long").alias("made_by")))
+    return views.read_view(spark, path, "key string, chars long, text_md5 string, made_by long")
+
+
+def translate_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts composed of the parts' brands and types, translated by a dictionary of these."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name", F.col("p_size").cast("string").alias("p_size"))
+    dictionary = parts.select(F.col("p_brand").alias("source"), F.concat(F.lit("brand "), "p_brand").alias("target")).union(parts.select("p_type", F.lower("p_type"))).distinct()
+    b, t, n, z = (F.col(c) for c in ("p_brand", "p_type", "p_name", "p_size"))
+    lit = F.lit
+    texts = [
+        F.concat(lit("Disusun dari: "), t, lit(".")), F.concat(t, lit(" · teks asli")), F.concat(lit("Sama-sama membahas "), b, lit(", "), t, lit(", "), n), F.concat(b, lit(": "), t, lit(" · MKRI")),
+        F.concat(lit("  Hapus "), b, lit(": · "), z, lit(" perkara → ")), F.concat(n, lit(": "), t), F.concat(n, lit(", 5 Mei 2020 · Putusan")), F.concat(lit("· "), b, lit(": Halaman "), z, lit(" ↗")),
+    ]
+    rows = parts.select("p_partkey", F.posexplode(F.array(*texts)).alias("kind", "text"))
+    return catalog.translate_composite(rows, "text", dictionary, "english").select("p_partkey", _long("kind").alias("kind"), "english")
+
+
 def universal_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("slug"), (F.col("conv_id") * 7 + F.col("turn") * STORY_STEP).alias("case_number"))
     cases = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_number"))
