@@ -278,13 +278,21 @@ def import_counts(manifest: DataFrame, catalog: DataFrame, good: DataFrame | Non
 def import_batch(manifest: DataFrame, files: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, failures) of new entries: the file must be there with the checksum, and the text must name the case.
 
-    ``files`` has (file_name, hash), ``parsed`` (file_name, case_number). The caller overlays facts (``with_facts``), checks and writes (``import_all``).
+    ``files`` has (file_name, hash), ``parsed`` (file_name, case_number). Of several files or texts of one name all must fit, and the entry is accepted or fails
+    once. The caller overlays facts (``with_facts``), checks and writes (``import_all``).
     """
-    f = files.select("file_name", F.col("hash").alias("_hash"))
-    t = parsed.select("file_name", F.col("case_number").alias("_number"))
+    f = files.groupBy("file_name").agg(F.min("hash").alias("_hash"), F.max("hash").alias("_other"))
+    number = F.coalesce("case_number", F.lit(""))
+    t = parsed.groupBy("file_name").agg(F.min(number).alias("_number"), F.max(number).alias("_second"))
     rows = manifest.join(f, "file_name", "left").join(t, "file_name", "left")
-    reason = F.when(F.col("_hash").isNull(), "missing file").when(F.col("_hash") != F.col("sha256"), "checksum").when(~F.col("_number").eqNullSafe(F.col("case_number")), "case number")
-    rows = rows.withColumn("reason", reason).drop("_hash", "_number")
+    differs = lambda *found: functools.reduce(lambda a, b: a | b, found)
+    named = F.coalesce("case_number", F.lit(""))
+    reason = (
+        F.when(F.col("_hash").isNull(), "missing file")
+        .when(differs(F.col("_hash") != F.col("sha256"), F.col("_other") != F.col("sha256")), "checksum")
+        .when(differs(~F.col("_number").eqNullSafe(named), ~F.col("_second").eqNullSafe(named)), "case number")
+    )
+    rows = rows.withColumn("reason", reason).drop("_hash", "_other", "_number", "_second")
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
 
 

@@ -120,7 +120,7 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int = PAGE_S
 
 
 def facets(df: DataFrame) -> DataFrame:
-    """(facet, value, n, first) of a collection: status, type, flags, topics, years, review and total, from one pass over the rows.
+    """(facet, value, n) of a collection: status, type, flags, topics, years, review and total, from one pass over the rows.
 
     A null or empty status or type counts as ``unknown``; an empty year doesn't count.
     """

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import extract, html, reports, validate
+from ..operators import extract, html, library, reports, validate
 from ..sources import moves, readers, sinks, snapshots
 from ..streaming import inbox, sync
 
@@ -120,3 +120,29 @@ def ingest_html(spark: SparkSession, folder: str, out: str, labels: dict[str, st
     snapshots.insert_absent(found.drop("html"), f"{out}/snapshots", "slug", name, F.col("page"), force=True)
     found.unpersist()
     return pages.join(cases.select("page"), "page", "left_anti").select(F.col("page").alias("file_name"), F.lit("tracking HTML did not contain a recognizable case record").alias("failure"))
+
+
+def import_collection(manifest: DataFrame, files: DataFrame, catalog: DataFrame, out: str, hosts: Sequence[str], facts: DataFrame | None = None, schema: str | None = None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Import a batch of a manifest into a new table ``out``, all of it or nothing; returns (counts, failures).
+
+    ``manifest`` has (case_number, document_type, url, file_name, sha256), ``files`` (file_name, hash, text), ``catalog`` the identities that are there. An entry of the manifest that is
+    faulty in itself stops the batch before any file is read. Files that are missing, differ from their checksum or name another case fail, and
+    then nothing is written. ``facts`` (file_name and structs) overlay what the texts say. A dry run counts what would be imported.
+    """
+    faulty = validate.manifest_errors(manifest, hosts).where(F.size("errors") > 0).select("file_name", F.array_join("errors", ", ").alias("reason"))
+    wrong = faulty.first()
+    if wrong:
+        raise library.ConflictError(f"{wrong['file_name']}: {wrong['reason']}")
+    if dry_run:
+        return library.import_counts(manifest, catalog), faulty
+    new = library.new_entries(manifest, catalog)
+    wanted = files.join(new.select("file_name").distinct(), "file_name", "left_semi")
+    records = extract.parse_documents(wanted, schema=schema).withColumn("file_name", F.col("source.file_name"))
+    good, bad = library.import_batch(new, wanted, records.select("file_name", "document.case_number"))
+    good, bad = good.persist(), bad.persist()
+    rows = records.join(good.select("file_name", "url"), "file_name").withColumn("source", F.col("source").withField("download_url", F.col("url"))).drop("url").dropDuplicates(["file_name"])
+    if facts is not None:
+        rows = validate.with_validation(library.with_facts(rows, facts))
+    library.import_all(rows.withColumn("case_id", F.regexp_replace("file_name", r"\.[^.]*$", "")), bad, out)
+    counts = library.import_counts(manifest, catalog, good if bad.isEmpty() else good.limit(0), bad)
+    return counts, bad.select("file_name", "reason")

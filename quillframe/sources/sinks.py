@@ -17,8 +17,7 @@ def write_routed(records: DataFrame, path: str, route: str = "route") -> None:
 
 def write_records(records: DataFrame, path: str) -> None:
     """A table of records; of several with one file stem the last path wins."""
-    w = Window.partitionBy("case_id").orderBy(F.desc("path"))
-    records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").write.mode("overwrite").parquet(path)
+    latest(records, ["case_id"], "path").select(records.columns).write.mode("overwrite").parquet(path)
 
 
 def append_new(rows: DataFrame, path: str, keys: Sequence[str], force: bool = False) -> DataFrame:

@@ -230,3 +230,30 @@ def test_a_torn_commit_is_never_seen(spark, tmp_path, monkeypatch):
     assert shelf.version() == 3 and shelf.cases().count() == 1
     plan = shelf.files()._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan
+
+
+def test_a_collection_is_imported_whole_or_not_at_all(spark, tmp_path):
+    entry = lambda n, sha=None, url="https://h.example/x.pdf": (f"{n}/PUU-XIX/2021", "putusan", url, f"{n}.txt", sha or f"hash{n}")
+    manifest = lambda *rows: spark.createDataFrame(list(rows), "case_number string, document_type string, url string, file_name string, sha256 string")
+    sha = {n: f"{n:064x}" for n in (31, 32, 33)}
+    files = spark.createDataFrame([(f"{n}.txt", sha[n], GOOD.replace("31/", f"{n}/")) for n in (31, 32)] + [("33.txt", sha[33], GOOD)], "file_name string, hash string, text string")
+    catalog = spark.createDataFrame([("31/PUU-XIX/2021", "putusan")], "case_number string, document_type string")
+    out, hosts = f"file://{tmp_path}/out", ["h.example"]
+    with pytest.raises(library.ConflictError, match="url"):
+        jobs.import_collection(manifest(entry(32, sha[32], "http://h.example/x.pdf")), files, catalog, out, hosts)
+    both = manifest(entry(31, sha[31]), entry(32, sha[32]))
+    assert tuple(jobs.import_collection(both, files, catalog, out, hosts, dry_run=True)[0].first()) == (0, 1, 1, 0)
+    counts, bad = jobs.import_collection(manifest(entry(32, sha[32]), entry(33, sha[33])), files, catalog, out, hosts)
+    assert [tuple(r) for r in bad.collect()] == [("33.txt", "case number")] and tuple(counts.first()) == (0, 0, 0, 1) and not (tmp_path / "out").exists()
+    facts = spark.createDataFrame([("32.txt", ("A title",))], "file_name string, document struct<title:string>")
+    counts, bad = jobs.import_collection(both, files, catalog, out, hosts, facts)
+    row = spark.read.parquet(out).first()
+    assert bad.isEmpty() and tuple(counts.first()) == (1, 1, 0, 0) and (row.case_id, row.document.title, row.source.download_url) == ("32", "A title", "https://h.example/x.pdf")
+
+
+def test_two_files_of_one_name_fail_an_entry_once(spark):
+    manifest = spark.createDataFrame([("1/PUU/2020", "a.pdf", "h1"), ("2/PUU/2020", "b.pdf", "h2")], "case_number string, file_name string, sha256 string")
+    files = spark.createDataFrame([("a.pdf", "h1"), ("a.pdf", "other"), ("b.pdf", "h2"), ("b.pdf", "h2")], "file_name string, hash string")
+    parsed = spark.createDataFrame([("a.pdf", "1/PUU/2020"), ("b.pdf", "2/PUU/2020"), ("b.pdf", "2/PUU/2020")], "file_name string, case_number string")
+    good, bad = library.import_batch(manifest, files, parsed)
+    assert [r.file_name for r in good.collect()] == ["b.pdf"] and [(r.file_name, r.reason) for r in bad.collect()] == [("a.pdf", "checksum")]
