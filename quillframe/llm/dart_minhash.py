@@ -12,6 +12,7 @@ links in proportion to its size, and no pair that meets in a bucket is lost. All
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import boxed, drop_scratch, materialize, partitions, release_memory, small_batches, splitmix, table, unboxed
-from .components import connected_components
+from .components import contracted_components, forest
 from .substring import window_hashes, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -254,48 +255,39 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
 def _settled(shared: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
     """(id, component_id) of linked texts, from (key, a, b): text b of bucket ``key``, whose smallest text is a.
 
-    In PIVOTS rounds every bucket's texts are compared with one of them, at first the smallest and then one by chance, unless they are in
-    its component already. What then is left to compare across the components of a bucket is compared in full: pair by pair
-    if they are few for the number of bucket entries, and else in blocks, which give no row for a pair.
+    In up to PIVOTS rounds every bucket's texts are compared with one of them, at first the smallest and then one by chance, unless they are known to be in its
+    component already: a forest of the links so far tells that, if not always. What then is left to compare in a bucket is compared in full: pair by pair
+    if it is little for the number of bucket entries, and else in blocks, which give no row for a pair. All links are contracted to components once.
     """
-    most, found, rest = PAIRS_PER_ENTRY * shared.count(), None, None
+    most, rest, before, links = PAIRS_PER_ENTRY * shared.count(), None, None, []
     pairs = shared.where("a <> b").select("a", "b")
+    every = lambda: functools.reduce(DataFrame.union, links)
     for pivot in range(1, PIVOTS + 1):
-        found = _joined(found, verified(pairs.distinct(), texts, threshold, width))
+        links.append(materialize(verified(pairs.distinct(), texts, threshold, width)))
         if rest is not None:
             drop_scratch(rest)
-        placed = shared.join(found.withColumnRenamed("id", "b"), "b", "left").select("key", F.col("b").alias("id"), F.coalesce("component_id", "b").alias("part"))
+        up = forest(every())
+        placed = shared.join(up.select(F.col("id").alias("b"), "up"), "b", "left").select("key", F.col("b").alias("id"), F.coalesce("up", "b").alias("part"))
         tally = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("open"))
         mixed = materialize(tally.where("open > 0"))
-        left = mixed.agg(F.sum("open")).first()[0]
-        if not left:
-            drop_scratch(mixed)
-            return found
+        left = mixed.agg(F.sum("open")).first()[0] or 0
         rest = materialize(placed.join(mixed.select("key"), "key", "left_semi"))
-        drop_scratch(mixed)
-        if left <= most:
+        for done in (mixed, up):
+            drop_scratch(done)
+        if left <= most or before is not None and 2 * left > before:
             break
+        before = left
         chosen = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(pivot)).alias("h"), F.col("id").alias("a"), F.col("part").alias("pa"))).alias("p")).select("key", "p.a", "p.pa")
         pairs = rest.join(chosen, "key").where("part <> pa").select("a", F.col("id").alias("b"))
-    if left <= most:
+    if left > most:
+        links.append(materialize(linked_in_blocks(rest, texts, threshold, width)))
+    elif left:
         x, y = rest.toDF("key", "a", "pa"), rest.toDF("key", "b", "pb")
-        links = verified(x.join(y, "key").where("a < b and pa <> pb").select("a", "b").distinct(), texts, threshold, width)
-    else:
-        links = linked_in_blocks(rest, texts, threshold, width)
-    out = _joined(found, links)
-    drop_scratch(rest)
-    return out
-
-
-def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The components so far with more links, as a table; the tables it was made from go."""
-    links = materialize(links)
-    known = links if found is None else links.union(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
-    joined = connected_components(known)
+        links.append(materialize(verified(x.join(y, "key").where("a < b and pa <> pb").select("a", "b").distinct(), texts, threshold, width)))
+    joined = contracted_components(every())
     out = materialize(joined)
-    for done in (links, joined, found):
-        if done is not None:
-            drop_scratch(done)
+    for done in (rest, joined, *links):
+        drop_scratch(done)
     return out
 
 

@@ -95,11 +95,16 @@ def test_missed_pairs_do_not_grow_with_the_table(count):
     assert len(apart) / pairs <= 0.005
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("found", [components.connected_components, components.contracted_components])
+def test_components_of_paths_stars_and_loops(spark, found):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200), (None, 3), (300, None)]
-    out = {r.id: r.component_id for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert out == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200}
-    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    draw = np.random.default_rng(2)
+    links += [(int(a), int(b)) for a, b in draw.integers(1000, 1400, (230, 2))]
+    rows = found(spark.createDataFrame(links, "a long, b long")).collect()
+    out = {r.id: r.component_id for r in rows}
+    whole = [(a, b) for a, b in links if a is not None and b is not None and a != b]
+    assert len(rows) == len(out) and out == brute_components({i for pair in whole for i in pair}, whole)
+    assert found(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def brute_nearest(rows, queries, top):
