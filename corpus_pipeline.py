@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import dart_minhash, langid, packing, substring, toxicity
-from quillframe.llm.common import materialize, table
+from quillframe.llm.common import drop_scratch, materialize, table
 
 
 def _beside_text(docs: DataFrame) -> DataFrame:
@@ -70,10 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. Of the tables that stages write in the shared folder, the last stage's input stays, as the result reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        found = stage(spark, docs, sf_dir)
+        docs = materialize(found)
+        drop_scratch(found)  # what the stage before wrote, and tables of its own
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import gapless_rank, materialize, private, small_batches, table
+from .common import gapless_rank, materialize, partitions, private, small_batches, table
 
 WINDOW, END = 2048, 1
-#: Parts that the remainders of one length are numbered in; window x BUCKETS rows of 24 bytes are broadcast at most.
-BUCKETS = 64
+#: Parts that the pieces of one length are numbered in. A length that holds HOT of all pieces, as whole windows do, has as many as there are tasks, SPREAD for each,
+#: if that leaves LEAST_ROWS in a part. So at most window x BUCKETS + SPREAD / HOT x tasks rows of 24 bytes are broadcast.
+BUCKETS, HOT, SPREAD, LEAST_ROWS = 64, 1 / 8, 8, 64
 
 
 @dataclass
@@ -120,9 +121,12 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
     rank, order = private(pieces, "_rank"), [F.col(f"`{c}`") for c in pieces.columns]
-    bucket = F.pmod(F.xxhash64(*order), F.lit(BUCKETS))
-    ranked = gapless_rank(pieces, pieces, ["length"], bucket, order, BUCKETS, rank)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = F.lit(BUCKETS)
+    for x, n in histogram.items():
+        if n >= HOT * sum(histogram.values()):
+            parts = F.when(F.col("length") == x, max(BUCKETS, min(n // LEAST_ROWS, SPREAD * partitions(spark)))).otherwise(parts)
+    ranked = gapless_rank(pieces, pieces, ["length"], F.pmod(F.xxhash64(*order), parts), order, BUCKETS, rank)
     whole = histogram.pop(window, 0)
     plan = plan_windows(histogram, window, first=whole)
     ranges = spark.sparkContext.broadcast({name: np.asarray(getattr(plan, name), np.int64) for name in ("length", "rank", "sequence", "each", "offset")})

@@ -113,6 +113,19 @@ def test_pack_places_every_piece_once(spark):
     assert used <= -(-sum(n for _, n in rows) // 16) + 12
 
 
+def test_one_length_is_numbered_by_all_tasks(spark):
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        out = packing.pack(spark.range(60_000).selectExpr("id as doc_id", "16L as length"), 16)
+        assert out.selectExpr("spark_partition_id() as p").groupBy("p").count().where("count < 3000").count() >= 190
+        assert out.selectExpr("count(distinct sequence_id) as n", "max(sequence_id) as m").first() == (60_000, 59_999)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_pack_documents_cuts_whole_texts(spark, paths):
     from tokenizers import Tokenizer
 
