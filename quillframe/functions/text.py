@@ -186,6 +186,18 @@ def tracking_url(base: str, case_number: Column, page: str) -> Column:
     return F.concat(F.lit(f"{base}?id="), url_component(case_number), F.lit(f"&page={page}"))
 
 
+def case_type_of(case_type: Column, case_number: Column) -> Column:
+    """The type that a case states, else that in its number; null if there is neither."""
+    return F.coalesce(nullif_empty(F.trim(case_type)), nullif_empty(F.regexp_extract(F.trim(case_number), r"/([A-Z]+)(?:-[A-Z0-9]+)?/", 1)))
+
+
+def search_url(base: str, case_type: Column, case_number: Column, number: str = "search", kind: str = "jenis") -> Column:
+    """A form's address that looks for a case by its number and, if one is known, its type; null without a number. Blanks are written as ``+``."""
+    value = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    named, typed = nullif_empty(F.trim(case_number)), case_type_of(case_type, case_number)
+    return F.concat(F.lit(f"{base}?{number}="), value(named), F.coalesce(F.concat(F.lit(f"&{kind}="), value(typed)), F.lit("")))
+
+
 def file_name_of_url(c: Column) -> Column:
     """The last part of a URL's path; null if it has none."""
     path = F.regexp_extract(c, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)

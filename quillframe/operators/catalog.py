@@ -141,6 +141,11 @@ def summarize(records: DataFrame, english: DataFrame | None = None) -> DataFrame
     return out.join(found, "case_id", "left").withColumn("_english_search_text", fold_texts(F.coalesce("_english", F.lit("")))).drop("_english")
 
 
+def case_record(records: DataFrame, case_id: str, source: str = "source_name", payload: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """One case by its id, from its strongest source; no row if no source has it. Only its rows are looked at."""
+    return pick_source(records.where(F.col("case_id") == case_id), "case_id", source, payload, path=path)
+
+
 def public(summaries: DataFrame) -> DataFrame:
     """Without the private columns."""
     return summaries.drop(*[c for c in summaries.columns if c.startswith("_")])

@@ -61,3 +61,30 @@ def split_dictum(dictum: Column, provisional: Column) -> Column:
 def insight_rows(insights: DataFrame, kind: str, number: str = "case_number") -> DataFrame:
     """Rows of one of an insight's tables (``reasoning`` or ``thresholds.rows``), in order."""
     return insights.select(number, F.posexplode(F.col(kind)).alias("pos", "item"))
+
+
+def insight_changes(insights: DataFrame, number: str = "case_number") -> DataFrame:
+    """(number, before, after, pages) of the insights that tell a change; of ``pages`` and ``page`` the first that is there, without empty ones."""
+    change = F.col("change")
+    pages = F.filter(F.coalesce(change["pages"], F.array(change["page"])), lambda p: p.isNotNull() & (p != 0))
+    return insights.where(change.isNotNull()).select(number, change["before"].alias("before"), change["after"].alias("after"), pages.alias("pages"))
+
+
+def insight_thresholds(insights: DataFrame, number: str = "case_number") -> DataFrame:
+    """(number, page, pos, cells): the rows of the insights' tables of thresholds, in order."""
+    return insights.where(F.col("thresholds").isNotNull()).select(number, F.col("thresholds.page").alias("page"), F.posexplode("thresholds.rows").alias("pos", "cells"))
+
+
+def citations(insights: DataFrame, number: str = "case_number", label: str = "PDF hlm. ") -> DataFrame:
+    """(number, part, pos, page, label): every page that an insight cites, by part: its change, reasoning, thresholds, court and the positions of its judges. No or zero pages aren't citations."""
+    pages = lambda part, found: F.transform(F.coalesce(found, F.array().cast("array<int>")), lambda p, i: F.struct(F.lit(part).alias("part"), i.alias("pos"), p.cast("int").alias("page")))
+    change = F.coalesce(F.col("change.pages"), F.array("change.page"))
+    every = F.concat(pages("change", change), pages("reasoning", F.col("reasoning.page")), pages("thresholds", F.array("thresholds.page")), pages("court", F.array("court.page")), pages("positions", F.col("court.positions.page")))
+    rows = insights.select(number, F.explode(F.filter(every, lambda c: c["page"].isNotNull() & (c["page"] != 0))).alias("c"))
+    return rows.select(number, "c.part", "c.pos", "c.page", F.concat(F.lit(label), F.col("c.page").cast("string")).alias("label"))
+
+
+def story_cards(stories: DataFrame, entries: DataFrame, slug: str = "slug") -> DataFrame:
+    """Stories with what their card shows: how many entries and chapters they have; stories without entries show none."""
+    counts = entries.groupBy(slug).agg(F.count(F.lit(1)).alias("n_entries"), F.count_distinct("chapter").alias("n_chapters"))
+    return stories.join(counts, slug, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_entries", "n_chapters")})

@@ -136,7 +136,8 @@ SELECT sha256(text) AS hash, min(doc_id) AS doc_id, arg_min(source, doc_id) AS s
 ORACLES["inbox_antijoin"] = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"
 
 ORACLES["source_priority"] = """
-WITH r AS (SELECT n_chars % 97 AS key, source, doc_id, row_number() OVER (PARTITION BY n_chars % 97 ORDER BY list_position(['src3', 'src0', 'src7'], source), lpad(doc_id::VARCHAR, 8, '0')) AS k FROM documents WHERE source IN ('src3', 'src0', 'src7'))
+WITH f AS (SELECT n_chars, doc_id, 'src' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER), 0) % 3) AS source FROM documents),
+r AS (SELECT n_chars % 97 AS key, source, doc_id, row_number() OVER (PARTITION BY n_chars % 97 ORDER BY list_position(['src2', 'src0', 'src1'], source), lpad(doc_id::VARCHAR, 8, '0')) AS k FROM f)
 SELECT key, source, doc_id FROM r WHERE k = 1"""
 
 ORACLES["overlay_merge"] = """
@@ -162,7 +163,7 @@ SELECT conv_id, turn, (row_number() OVER w)::BIGINT AS number, (count(*) OVER (P
 ORACLES["chapter_counts"] = """
 SELECT c.conv_id, chapter, count(e.role)::BIGINT AS n FROM (SELECT DISTINCT conv_id FROM conversations) c CROSS JOIN (VALUES ('user'), ('assistant'), ('epilogue')) g(chapter) LEFT JOIN conversations e ON e.conv_id = c.conv_id AND e.role = chapter GROUP BY 1, 2"""
 
-ORACLES["vote_tally"] = "SELECT conv_id, CASE WHEN turn < 4 AND role IN ('user', 'assistant') THEN role ELSE 'unverified' END AS position, count(*)::BIGINT AS n FROM conversations GROUP BY 1, 2"
+ORACLES["vote_tally"] = "SELECT c.conv_id, CASE WHEN p.role IN ('user', 'assistant') THEN p.role ELSE 'unverified' END AS position, count(*)::BIGINT AS n FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn + 1 = c.turn GROUP BY 1, 2"
 
 ORACLES["orphan_gc"] = "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.item_id * 2 = d.doc_id)"
 
@@ -184,7 +185,7 @@ SELECT p_partkey, coalesce(CASE WHEN p_partkey % 6 = 0 AND a.s_suppkey IS NOT NU
 CASE WHEN a.s_suppkey IS NOT NULL AND (p_partkey % 6 = 0 OR p_partkey % 4 = 0) THEN 1 ELSE coalesce(o.m, 0) END::BIGINT AS candidates
 FROM part LEFT JOIN supplier a ON a.s_suppkey = p_partkey LEFT JOIN o ON o.n = 'old' || (p_partkey % 40)"""
 
-ORACLES["new_entries"] = "SELECT o_orderkey, o_orderstatus FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = o_orderkey AND l_linestatus = o_orderstatus)"
+ORACLES["new_entries"] = "SELECT o_orderkey, o_orderstatus FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = o_orderstatus)"
 
 ORACLES["import_batch"] = """
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 OR p_partkey // 2 NOT IN (SELECT c_custkey FROM customer) THEN 'missing file' WHEN p_partkey % 7 = 0 THEN 'checksum' WHEN p_partkey % 11 = 0 THEN 'case number' ELSE '' END AS reason FROM part"""
@@ -340,3 +341,9 @@ ORACLES["translate_composite"] = """
 WITH p AS (SELECT p_partkey, 'brand ' || p_brand AS b, lower(p_type) AS t, p_name AS n, p_type AS o, p_size AS z FROM part),
 e AS (SELECT p_partkey, ['Prepared from: ' || t || '.', t || ' · Indonesian match', 'Also about ' || b || ', ' || t || ', ' || n, b || ': ' || t || ' · MKRI', '  Remove ' || b || ': · ' || z || ' cases → ', n || ': ' || o, n || ', 5 May 2020 · Judgment', '· ' || b || ': Page ' || z || ' ↗'] AS e FROM p)
 SELECT p_partkey, unnest(range(0, 8)) AS kind, unnest(e) AS english FROM e"""
+
+ORACLES["insight_citations"] = """
+WITH c AS (SELECT c_custkey AS k, c_name FROM customer),
+p AS (SELECT k, 'change' AS part, unnest(CASE WHEN k % 2 <> 0 THEN [] WHEN k % 4 = 0 THEN [k % 7, k % 5] ELSE [k % 9] END) AS page, unnest(range(CASE WHEN k % 2 <> 0 THEN 0 WHEN k % 4 = 0 THEN 2 ELSE 1 END)) AS pos FROM c
+UNION ALL SELECT k, 'reasoning', 2 * i, i - 1 FROM c, range(1, 6) r(i) WHERE i <= k % 4 + 1 UNION ALL SELECT k, 'thresholds', k % 11, 0 FROM c WHERE k % 5 = 0 UNION ALL SELECT k, 'positions', k % 50, i FROM c, range(2) r(i) WHERE k % 3 = 0)
+SELECT k AS c_custkey, part, pos::BIGINT AS pos, page::BIGINT AS page, 'PDF hlm. ' || page AS label FROM p WHERE page <> 0"""

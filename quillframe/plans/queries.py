@@ -398,9 +398,10 @@ def inbox_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one length as one case, found in three of the sources."""
-    rows = table(spark, sf_dir, "documents").select((F.col("n_chars") % 97).alias("key"), "source", F.col("doc_id").alias("payload"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("path"))
-    best = catalog.pick_source(rows, "key", "source", ["payload"], ["src3", "src0", "src7"], "path")
+    """Documents of one length as one case, found in three folders that their sources are dealt to."""
+    folder = F.concat(F.lit("src"), (F.coalesce(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int"), F.lit(0)) % 3).cast("string")).alias("source")
+    rows = table(spark, sf_dir, "documents").select((F.col("n_chars") % 97).alias("key"), folder, F.col("doc_id").alias("payload"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("path"))
+    best = catalog.pick_source(rows, "key", "source", ["payload"], ["src2", "src0", "src1"], "path")
     return best.select("key", "source", F.col("payload").alias("doc_id"))
 
 
@@ -480,7 +481,7 @@ def chapter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vote_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     judges = table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    positions = table(spark, sf_dir, "conversations").where("turn < 4").select("conv_id", "turn", F.col("role").alias("position"))
+    positions = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("position"))
     return stories.tally(stories.with_positions(judges, positions, ["conv_id", "turn"], ["user", "assistant"]), ["conv_id"])
 
 
@@ -491,6 +492,20 @@ def orphan_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.orphan_files(files, drafts, cases).select(F.col("hash").alias("doc_id"), "source")
 
 
+def insight_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as insights about cases, with changes, reasons, thresholds and positions: every page they cite."""
+    k = F.col("c_custkey").cast("int")
+    person = F.struct(F.col("c_name").alias("name"), F.when(k % 3 == 0, k % 50).alias("page"))
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.when(k % 2 == 0, F.struct(F.lit("a").alias("before"), F.lit("b").alias("after"), (k % 9).alias("page"), F.when(k % 4 == 0, F.array(k % 7, k % 5)).alias("pages"))).alias("change"),
+        F.transform(F.sequence(F.lit(1), k % 4 + 1), lambda i: F.struct(F.lit("x").alias("title"), (i * 2).alias("page"))).alias("reasoning"),
+        F.when(k % 5 == 0, F.struct((k % 11).alias("page"), F.array(F.array(F.lit("1"))).alias("rows"))).alias("thresholds"),
+        F.struct(F.lit(None).cast("int").alias("page"), F.array(person, person).alias("positions")).alias("court"),
+    )
+    return stories.citations(rows, "c_custkey").select("c_custkey", "part", _long("pos").alias("pos"), _long("page").alias("page"), "label")
+
+
 def party_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names of a nation's customers, each once whatever its case, in the order they first come: only distinct names of a nation meet."""
     name = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.initcap("c_mktsegment")).otherwise(F.col("c_mktsegment")), F.lit(" "), (F.col("c_custkey") % 3).cast("string"))
@@ -513,7 +528,7 @@ def save_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def save_conflicts_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as new cases, saved in one batch: those of one brand, size and type would be one case."""
-    state = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(1).alias("revision"), F.col("s_name").alias("case_number"), F.lit("x").alias("document_type")).limit(0)
+    state = table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("id"), F.lit(1).alias("revision"), F.col("s_name").alias("case_number"), F.lit("x").alias("document_type"))
     changes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("revision"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("case_number"), F.col("p_type").alias("document_type"))
     return library.conflicts(changes, state)
 
@@ -543,7 +558,7 @@ def target_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_number"), F.col("o_orderstatus").alias("document_type"))
-    known = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("case_number"), F.col("l_linestatus").alias("document_type"))
+    known = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_number"), F.col("l_linestatus").alias("document_type"))
     return library.new_entries(manifest, known).select(F.col("case_number").alias("o_orderkey"), F.col("document_type").alias("o_orderstatus"))
 
 

@@ -58,8 +58,22 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def input_label(path: str | Sequence[str]) -> str:
+    """What a report calls its input: the folder, or that it was a list."""
+    return path if isinstance(path, str) else "<explicit-list>"
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path is one file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(where) and fs.getFileStatus(where).isFile()
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """(path, file_name, length, hash, content) of binary files, with the SHA-256 of each."""
+    """(path, file_name, length, hash, content) of binary files, with the SHA-256 of each. One file is taken if it has the pattern's suffix, in any case."""
+    if is_file(spark, path):
+        pattern = "*" if path.lower().endswith(pattern.lstrip("*").lower()) else pattern
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", F.sha2("content", 256).alias("hash"), "content")
 
 
