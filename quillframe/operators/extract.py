@@ -6,8 +6,9 @@ Every extractor maps a text (and, where it needs them, its sections) to a struct
 
 from __future__ import annotations
 
+import functools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,18 @@ def _present(c: Column) -> Column:
     return F.filter(c, lambda x: x.isNotNull() & (x != ""))
 
 
+def _if_told(low: Column, marks: Sequence[str], found: Column, otherwise: Column) -> Column:
+    """What is found, looked for only in a text whose lower-case form holds one of the marks, each a part of every match: most texts hold none, and a search costs far more.
+
+    Marks have no ``i`` or ``s``, as patterns take a dotted capital and a long s for these, which lower case doesn't.
+    """
+    return F.when(functools.reduce(lambda a, b: a | b, [low.contains(m) for m in marks]), found).otherwise(otherwise)
+
+
+def _none() -> Column:
+    return F.array().cast(NO_NAMES)
+
+
 def clean_name(c: Column) -> Column:
     return T.normalize_whitespace(T.normalize_party_name(T.cut_representation(c)))
 
@@ -67,7 +80,7 @@ def split_names(c: Column) -> Column:
 
 
 def names_in_blocks(c: Column) -> Column:
-    return _present(F.transform(_matches(c, NAME_BLOCK, 1), clean_name))
+    return _if_told(F.lower(c), ["nama"], _present(F.transform(_matches(c, NAME_BLOCK, 1), clean_name)), _none())
 
 
 def names_in_lists(found: Column, least: int = 1) -> Column:
@@ -75,27 +88,29 @@ def names_in_lists(found: Column, least: int = 1) -> Column:
     return F.filter(F.transform(names, clean_name), lambda x: F.length(x) >= least)
 
 
-def opening_block(text: Column, lines: Column | None = None) -> Column:
+def opening_block(text: Column, lines: Column | None = None, low: Column | None = None) -> Column:
     """The lines before the first heading of a ruling's body."""
     def before(rows: Column) -> Column:
         stops = F.filter(F.transform(rows, lambda x, i: F.when(x.rlike(STOP_HEADING), i)), lambda i: i.isNotNull())
-        return F.array_join(F.slice(rows, F.lit(1), F.coalesce(F.array_min(stops), F.size(rows))), "\n")
+        last = _if_told(F.lower(text) if low is None else low, ["dudu", "mbang", "konklu", "amar", "mengad", "menetap"], F.array_min(stops), F.lit(None).cast("int"))
+        return F.array_join(F.slice(rows, F.lit(1), F.coalesce(last, F.size(rows))), "\n")
 
     return T.let(T.lines(text) if lines is None else lines, before)
 
 
-def blocks_around(text: Column, phrase: str, span: int = PHRASE_LINES, lines: Column | None = None) -> Column:
+def blocks_around(text: Column, phrase: str, span: int = PHRASE_LINES, lines: Column | None = None, low: Column | None = None) -> Column:
     """``span`` lines from each line that holds a phrase."""
     def around(rows: Column) -> Column:
         at = F.filter(F.transform(rows, lambda x, i: F.when(F.lower(x).contains(phrase), i + 1)), lambda i: i.isNotNull())
         return F.transform(at, lambda i: F.array_join(F.slice(rows, i, span), "\n"))
 
-    return T.let(T.lines(text) if lines is None else lines, around)
+    told = (F.lower(text) if low is None else low).contains(phrase)  # lines are told the same way
+    return F.when(told, T.let(T.lines(text) if lines is None else lines, around)).otherwise(_none())
 
 
-def document_info(text: Column, lines: Column | None = None) -> Column:
+def document_info(text: Column, lines: Column | None = None, low: Column | None = None) -> Column:
     def facts(rows: Column) -> Column:
-        return T.let(F.array_join(rows, "\n"), lambda head: T.let(T.normalize_case_number(head), lambda number: T.let(decision_date(text, lines), lambda date: F.struct(
+        return T.let(F.array_join(rows, "\n"), lambda head: T.let(T.normalize_case_number(head), lambda number: T.let(decision_date(text, lines, low), lambda date: F.struct(
             F.when(head.rlike(r"(?iU)\bketetapan\b"), "ketetapan").when(head.rlike(r"(?iU)\bputusan\b"), "putusan").alias("document_type"),
             F.when(head.rlike(r"(?iU)\bpuu\b"), "PUU").alias("case_type"),
             number.alias("case_number"),
@@ -110,10 +125,12 @@ def document_info(text: Column, lines: Column | None = None) -> Column:
     return T.let(F.transform(F.slice(F.filter(rows, lambda x: T.normalize_whitespace(x) != ""), 1, HEAD_LINES), T.normalize_whitespace), facts)
 
 
-def decision_date(text: Column, lines: Column | None = None) -> Column:
+def decision_date(text: Column, lines: Column | None = None, low: Column | None = None) -> Column:
     """struct<raw, iso> of the date a ruling was pronounced: the first valid one soon after an anchor in its closing."""
+    low = F.lower(text) if low is None else low
     closing = F.regexp_extract(text, r"(?ismdU)\A.*^\s*(Demikian\s+(?:diputus\w*|ditetapkan)\b.*)\z", 1)
     fallback = F.array_join(F.filter(T.lines(text) if lines is None else lines, lambda x: x.rlike(r"(?iU)^\s*(?:diucapkan|dibacakan|ditetapkan)\b")), "\n")
+    closing, fallback = _if_told(low, ["putu", "tetap"], closing, F.lit("")), _if_told(low, ["ucapkan", "bacakan", "tetapkan"], fallback, F.lit(""))
     closing = T.normalize_whitespace(F.regexp_replace(T.let(closing, lambda c: F.when(c != "", c).otherwise(fallback)), r"(?mdU)^\s*\d+\s*$", ""))
     return T.let(closing, _first_date)
 
@@ -125,21 +142,24 @@ def _first_date(closing: Column) -> Column:
     return F.get(dated, F.lit(0))
 
 
-def parties(text: Column, sections: Column, lines: Column | None = None, opening: Column | None = None, body: Column | None = None) -> Column:
+def parties(text: Column, sections: Column, lines: Column | None = None, opening: Column | None = None, body: Column | None = None, low: Column | None = None) -> Column:
     """struct of six arrays of people (name, role); each name once, in order of appearance."""
-    opening = opening_block(text, lines) if opening is None else opening
+    low = F.lower(text) if low is None else low
+    opening = opening_block(text, lines, low) if opening is None else opening
     start = T.normalize_whitespace(F.substring(text, 1, OPENING_CHARS))
     named = F.coalesce(
         T.nullif_empty(F.regexp_extract(start, r"(?iU)(?:atas nama|bernama)\s+(.+?)(?=\s*\(|\s*,?\s*yang\b)", 1)),
         T.nullif_empty(F.regexp_extract(start, r"(?iU)permohonan bertanggal\s+.+?\s+dari\s+(.+?)(?=,?\s+yang\b)", 1)),
     )
-    line = T.nullif_empty(F.regexp_extract(text, r"(?imdU)^\s*Pemohon\s*:\s*(.+)$", 1))
+    line = T.nullif_empty(_if_told(low, ["pemohon"], F.regexp_extract(text, r"(?imdU)^\s*Pemohon\s*:\s*(.+)$", 1), F.lit("")))
     told = lambda n: F.when(n.isNotNull(), F.transform(split_names(n), clean_name)).otherwise(F.coalesce(F.array_compact(F.array(clean_name(line))), F.array().cast(NO_NAMES)))
     applicants = T.let(names_in_blocks(opening), lambda names: F.when(F.size(names) > 0, names).otherwise(T.let(named, told)))
     body = section_body(sections) if body is None else body
     respondents = F.filter(F.array(*[F.when(body.rlike(rf"(?iU)\b{i}\b"), i) for i in INSTITUTIONS]), lambda x: x.isNotNull())
-    experts, witnesses = (F.flatten(F.transform(blocks_around(text, phrase, lines=lines), names_in_blocks)) for phrase in ("keterangan ahli", "keterangan saksi"))
-    found = [applicants, names_in_lists(_matches(opening, COUNSEL, 1), 3), respondents, experts, witnesses, names_in_lists(_matches(opening, AMICUS, 1))]
+    experts, witnesses = (F.flatten(F.transform(blocks_around(text, phrase, lines=lines, low=low), names_in_blocks)) for phrase in ("keterangan ahli", "keterangan saksi"))
+    counsels = _if_told(low, ["kua"], names_in_lists(_matches(opening, COUNSEL, 1), 3), _none())
+    amici = _if_told(low, ["cur"], names_in_lists(_matches(opening, AMICUS, 1)), _none())
+    found = [applicants, counsels, respondents, experts, witnesses, amici]
     return F.struct(*[people(T.ordered_distinct(names, F.lower), role).alias(group) for names, (group, role) in zip(found, PERSON_GROUPS.items(), strict=True)])
 
 
@@ -156,17 +176,18 @@ def _whole(text: Column, sections: Column, separator: str = "\n\n") -> Column:
     return F.concat(F.array_join(F.transform(sections, lambda s: s["text"]), separator), F.lit("\n"), text)
 
 
-def legal_basis(text: Column, sections: Column, whole: Column | None = None, numbers: Column | None = None) -> Column:
+def legal_basis(text: Column, sections: Column, whole: Column | None = None, numbers: Column | None = None, low: Column | None = None) -> Column:
     whole = _whole(text, sections) if whole is None else whole
-    rows = F.filter(T.lines(whole), lambda x: F.lower(x).contains("pasal"))
+    low = F.lower(text) if low is None else low  # the sections' texts are parts of the text
+    rows = F.when(low.contains("pasal"), F.filter(T.lines(whole), lambda x: F.lower(x).contains("pasal"))).otherwise(_none())
     constitutional = F.filter(rows, lambda x: F.lower(x).rlike("uud|1945"))
     procedural = F.filter(rows, lambda x: ~F.lower(x).rlike("uud|1945") & F.lower(x).rlike("peraturan mahkamah|acara|registrasi|persidangan"))
     articles = [F.array_distinct(_present(F.transform(a, T.normalize_article))) for a in (constitutional, procedural)]
-    clauses = F.concat(*[_matches(whole, f"(?iU){p}") for p in REVIEWED])
+    clauses = _if_told(low, ["pengu", "objek"], F.concat(*[_matches(whole, f"(?iU){p}") for p in REVIEWED]), _none())
     objects = F.array_distinct(F.transform(clauses, lambda x: F.coalesce(T.normalize_article(x), T.normalize_whitespace(F.rtrim(x, F.lit(".;,"))))))
     start = F.regexp_replace(T.normalize_whitespace(F.substring(text, 1, LAW_CHARS)), r"(?iU)Undang\s*-\s*Undang", "Undang-Undang")
     challenged = T.nullif_empty(F.regexp_extract(start, r"(?iU)Pengujian\s+(Undang-Undang\s+Nomor\s+.+?)\s+terhad\s*ap\s+Undang-Undang\s+Dasar", 1))
-    evidence = F.transform(_matches(whole, r"(?iU)\b(?:bukti|alat bukti)\s*(?:p\s*-?\s*)?\d+[a-z]?\b"), lambda x: T.normalize_whitespace(F.upper(x)))
+    evidence = _if_told(low, ["bukt"], F.transform(_matches(whole, r"(?iU)\b(?:bukti|alat bukti)\s*(?:p\s*-?\s*)?\d+[a-z]?\b"), lambda x: T.normalize_whitespace(F.upper(x))), _none())
     cited = F.transform(T.extract_case_numbers(whole) if numbers is None else numbers, lambda x: F.concat(F.lit("REFERENSI:"), x))
     return F.struct(
         F.when(challenged.isNotNull(), F.array(challenged)).otherwise(objects).alias("object_of_review"),
@@ -176,17 +197,19 @@ def legal_basis(text: Column, sections: Column, whole: Column | None = None, num
     )
 
 
-def proceedings(text: Column, sections: Column, whole: Column | None = None) -> Column:
+def proceedings(text: Column, sections: Column, whole: Column | None = None, low: Column | None = None) -> Column:
     whole = _whole(text, sections, "\n") if whole is None else whole
+    low = F.lower(text) if low is None else low
     labels = F.filter(F.array(*[F.when(whole.rlike(f"(?iU){p}"), label) for p, label in HEARINGS]), lambda x: x.isNotNull())
     rows = F.transform(T.lines(whole), T.normalize_whitespace)
     held = F.filter(rows, lambda x: x.rlike(r"(?iU)\b(hearing|sidang|persidangan|pemeriksaan)\b") & ~F.lower(x).contains("perkara nomor") & (F.length(x) <= 60))
+    labels, held = _if_told(low, ["mendengar", "mener", "dang", "rapat", "pembacaan"], labels, _none()), _if_told(low, ["hear", "dang", "pemer"], held, _none())
     return F.slice(F.array_distinct(F.concat(labels, held)), 1, MAX_PROCEEDINGS)
 
 
-def outcome(text: Column, document_type: Column) -> Column:
+def outcome(text: Column, document_type: Column, low: Column | None = None) -> Column:
     """struct<decision_type, dictum, summary> of the last operative part."""
-    tail = F.coalesce(*[_after_last(text, mark) for mark in OPERATIVE])
+    tail = _if_told(F.lower(text) if low is None else low, ["amar", "menetap", "mengad"], F.coalesce(*[_after_last(text, mark) for mark in OPERATIVE]), F.lit(None).cast("string"))
     return T.let(tail, lambda t: F.when(t.isNull(), _no_outcome(document_type)).otherwise(_outcome_of(t, document_type)))
 
 
@@ -230,9 +253,9 @@ def signature_names(text: Column) -> Column:
     return F.array_distinct(fine)
 
 
-def adjudicators(text: Column) -> Column:
+def adjudicators(text: Column, low: Column | None = None) -> Column:
     """struct<judges, clerks> of the signed panel after the last chair."""
-    signed = F.regexp_extract(text, r"(?ismdU)\A.*^\s*KETUA\s*,?\s*$(.*)\z", 1)
+    signed = _if_told(F.lower(text) if low is None else low, ["ketua"], F.regexp_extract(text, r"(?ismdU)\A.*^\s*KETUA\s*,?\s*$(.*)\z", 1), F.lit(""))
     clerk = r"^\s*PANITERA(?:\s+PENGGANTI)?\s*,?\s*$"
     return F.struct(signature_names(F.regexp_extract(signed, rf"(?ismdU)\A(.*?)(?:{clerk}|\z)", 1)).alias("judges"), signature_names(F.regexp_extract(signed, rf"(?ismdU){clerk}(.*)\z", 1)).alias("clerks"))
 
@@ -245,11 +268,11 @@ def relations(text: Column, sections: Column, numbers: Column | None = None) ->
 #: Parts of a record by name: each gets the columns with the text, the sections and the document's facts. Those here also use the columns that
 #: ``parse_documents`` computes once for all of them.
 EXTRACTORS: dict[str, Callable[[Column, Column, Column], Column]] = {
-    "parties": lambda t, s, d: parties(t, s, F.col("_lines"), F.col("_opening"), F.col("_body")),
-    "legal_basis": lambda t, s, d: legal_basis(t, s, F.col("_whole"), F.col("_numbers")),
-    "proceedings": lambda t, s, d: proceedings(t, s, F.col("_joined")),
-    "outcome": lambda t, s, d: outcome(t, d["document_type"]),
-    "adjudicators": lambda t, s, d: adjudicators(t),
+    "parties": lambda t, s, d: parties(t, s, F.col("_lines"), F.col("_opening"), F.col("_body"), F.col("_low")),
+    "legal_basis": lambda t, s, d: legal_basis(t, s, F.col("_whole"), F.col("_numbers"), F.col("_low")),
+    "proceedings": lambda t, s, d: proceedings(t, s, F.col("_joined"), F.col("_low")),
+    "outcome": lambda t, s, d: outcome(t, d["document_type"], F.col("_low")),
+    "adjudicators": lambda t, s, d: adjudicators(t, F.col("_low")),
     "relations": lambda t, s, d: relations(t, s, F.col("_numbers")),
 }
 
@@ -285,14 +308,14 @@ def _facts(docs: DataFrame, text: str, extractors: dict[str, Callable], skip: st
     )
     skipped = [F.coalesce(F.col(skip), F.array().cast("array<struct<name:string,error:string>>")).alias("_skip")] if skip else []
     out = docs.select(F.lit(SCHEMA_VERSION).alias("schema_version"), source.alias("source"), body.alias("_text"), *skipped)
-    out = out.withColumns({"_lines": T.lines(F.col("_text")), "sections": split_sections(F.col("_text"))})
+    out = out.withColumns({"_low": F.lower("_text"), "_lines": T.lines(F.col("_text")), "sections": split_sections(F.col("_text"))})
     t, s = F.col("_text"), F.col("sections")
-    out = out.withColumns({"document": document_info(t, F.col("_lines")), "_opening": opening_block(t, F.col("_lines")), "_body": section_body(s), "_whole": _whole(t, s), "_joined": _whole(t, s, "\n")})
+    out = out.withColumns({"document": document_info(t, F.col("_lines"), F.col("_low")), "_opening": opening_block(t, F.col("_lines"), F.col("_low")), "_body": section_body(s), "_whole": _whole(t, s), "_joined": _whole(t, s, "\n")})
     out = out.withColumn("_numbers", T.extract_case_numbers(F.col("_whole")))
     parts = {name: f(t, s, F.col("document")) for name, f in extractors.items()}
     if skip:
         parts = {name: F.when(~F.array_contains(F.transform("_skip", lambda x: x["name"]), name), part) for name, part in parts.items()}
-    return out.withColumns({n: c if getattr(extractors[n], "guarded", False) else _pinned(c) for n, c in parts.items()}).drop("_text", "_lines", "_opening", "_body", "_whole", "_joined", "_numbers")
+    return out.withColumns({n: c if getattr(extractors[n], "guarded", False) else _pinned(c) for n, c in parts.items()}).drop("_text", "_low", "_lines", "_opening", "_body", "_whole", "_joined", "_numbers")
 
 
 def parse_documents(docs: DataFrame, text: str = "text", extractors: dict[str, Callable] = EXTRACTORS, schema: str | None = None, skip: str | None = None) -> DataFrame:
