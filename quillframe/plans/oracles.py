@@ -347,3 +347,10 @@ WITH c AS (SELECT c_custkey AS k, c_name FROM customer),
 p AS (SELECT k, 'change' AS part, unnest(CASE WHEN k % 2 <> 0 THEN [] WHEN k % 4 = 0 THEN [k % 7, k % 5] ELSE [k % 9] END) AS page, unnest(range(CASE WHEN k % 2 <> 0 THEN 0 WHEN k % 4 = 0 THEN 2 ELSE 1 END)) AS pos FROM c
 UNION ALL SELECT k, 'reasoning', 2 * i, i - 1 FROM c, range(1, 6) r(i) WHERE i <= k % 4 + 1 UNION ALL SELECT k, 'thresholds', k % 11, 0 FROM c WHERE k % 5 = 0 UNION ALL SELECT k, 'positions', k % 50, i FROM c, range(2) r(i) WHERE k % 3 = 0)
 SELECT k AS c_custkey, part, pos::BIGINT AS pos, page::BIGINT AS page, 'PDF hlm. ' || page AS label FROM p WHERE page <> 0"""
+
+ORACLES["decree_facts"] = """
+WITH c AS (SELECT c_custkey AS k, c_name, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS segment, [1, 2, 3, 4, 5, 6, 7, 10, 11, 12, 20, 21][c_custkey % 12 + 1] AS day, c_custkey % 7 + 1 AS month, [2005, 2021, 2019][c_custkey % 3 + 1] AS year,
+  ['satu', 'dua', 'tiga', 'empat', 'lima', 'enam', 'tujuh', 'sepuluh', 'sebelas', 'dua belas', 'dua puluh', 'dua puluh satu'][c_custkey % 12 + 1] || ', bulan ' || ['januari', 'februari', 'maret', 'april', 'mei', 'juni', 'juli'][c_custkey % 7 + 1] || ', tahun ' || ['dua ribu lima', 'dua ribu dua puluh satu', '2019'][c_custkey % 3 + 1] AS raw,
+  CASE WHEN c_custkey % 2 = 0 THEN 'Hana' ELSE 'Rina Dewi' END AS witness FROM customer)
+SELECT k AS c_custkey, 'ketetapan' AS document_type, printf('%04d-%02d-%02d', year, month, day) AS decision_date, raw AS decision_date_raw, c_name AS applicants, segment || '; ' || witness AS experts, witness AS witnesses, 'Lembaga ' || segment AS amicus_curiae,
+'Pasal ' || (k % 30 + 1) AS objects, 'mendengar keterangan ahli; mendengar keterangan saksi' AS proceedings, 'Menyatakan permohonan ' || segment || ' ditarik kembali;; Memerintahkan pencatatan perkara ini.' AS dictum, 'Andi Wijaya' AS judges FROM c"""

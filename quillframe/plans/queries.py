@@ -708,6 +708,51 @@ def ruling_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: An order as text: applicants in a clause, experts, witnesses, amici, a reviewed clause, an order with a dissent after it, a date in words.
+DECREE = """KETETAPAN
+Nomor {number}
+permohonan bertanggal 3 Maret 2019 dari {name}, yang diajukan melalui {segment}
+amicus curiae dari Lembaga {segment};
+DUDUK PERKARA
+Objek uji: Pasal {law} UUD 1945
+Mendengar keterangan ahli sebagai berikut
+Nama : Ahli {segment}
+Pekerjaan : Dosen
+Mendengar keterangan saksi sebagai berikut
+Nama : Saksi {witness}
+Pekerjaan : Petani
+MENETAPKAN:
+1. Menyatakan permohonan {segment} ditarik kembali;
+2. Memerintahkan pencatatan
+perkara ini.
+PENDAPAT BERBEDA
+Hakim {segment} berpendapat lain.
+Demikian ditetapkan dalam rapat yang diucapkan pada tanggal {day}, bulan {month}, tahun {year}
+KETUA,
+Andi Wijaya
+"""
+DAYS = ["satu", "dua", "tiga", "empat", "lima", "enam", "tujuh", "sepuluh", "sebelas", "dua belas", "dua puluh", "dua puluh satu"]
+YEARS = ["dua ribu lima", "dua ribu dua puluh satu", "2019"]
+
+
+def decree_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written from customers' rows and read back by the extractors: the people of all roles, the reviewed clause, the date in words and the dictum."""
+    k, pick = F.col("c_custkey"), lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), (F.col("c_custkey") % n).cast("int"))
+    values = {
+        "number": T.build_case_number(k % 200 + 1, F.lit("PUU"), k % 20 + 2004), "law": (k % 30 + 1).cast("string"), "name": F.col("c_name"), "segment": F.initcap("c_mktsegment"),
+        "witness": F.when(k % 2 == 0, "Hana").otherwise("Rina Dewi"), "day": pick(DAYS, len(DAYS)), "month": pick(T.MONTHS, 7), "year": pick(YEARS, len(YEARS)),
+    }
+    text = F.lit(DECREE)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    records = extract.parse_documents(table(spark, sf_dir, "customer").select(k.cast("string").alias("file_name"), text.alias("text")))
+    names = lambda c: F.array_join(F.transform(F.col(f"parties.{c}"), lambda p: p["name"]), "; ").alias(c)
+    return records.select(
+        F.col("source.file_name").cast("long").alias("c_custkey"), "document.document_type", "document.decision_date", "document.decision_date_raw", *[names(c) for c in ("applicants", "experts", "witnesses", "amicus_curiae")],
+        F.array_join("legal_basis.object_of_review", "; ").alias("objects"), F.array_join("proceedings", "; ").alias("proceedings"), F.array_join("outcome.dictum", "; ").alias("dictum"), F.array_join("adjudicators.judges", "; ").alias("judges"),
+    )
+
+
 def parse_rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document read as a ruling: the extractors run over whole texts, and the checks tell what they lack."""
     records = extract.parse_documents(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_name"), "text"))
