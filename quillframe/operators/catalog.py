@@ -175,10 +175,10 @@ def translate_phrases(c: Column, phrases: Sequence[tuple[str, str]] = PHRASES) -
 
 
 #: Texts around parts that are translated in turn; the first that fits counts. ``{t}`` is such a part, ``{list}`` a list of them
-#: parted by commas, ``{label}`` a part that the dictionary must hold, ``{o}`` one that may be absent with what is before it.
+#: parted by commas, ``{label}`` a part that the dictionary must hold, ``{o}`` one that stays as it is, such as the short name of a source.
 COMPOSITES = [
     (r"^(.*) · teks asli$", ("{t}", " · Indonesian match")),
-    (r"^(.*) · MKRI$", ("{t}", " · MKRI")),
+    (r"^(.*) · ([A-Z]{3,5})$", ("{t}", " · ", "{o}")),
     (r"^Disusun dari: (.*?)\.?$", ("Prepared from: ", "{t}", ".")),
     (r"^Sama-sama membahas (.*)$", ("Also about ", "{list}")),
     (r"^(.*?): (.*)$", ("{label}", ": ", "{t}")),
@@ -222,7 +222,7 @@ def _decomposed(core: Column, composites: Sequence[tuple[str, tuple[str, ...]]])
                 each = F.transform(F.split(text, ", "), lambda x, i: F.concat(F.when(i > 0, F.array(_piece(F.lit(", "), False))).otherwise(F.array().cast("array<struct<text:string,open:boolean>>")), F.array(_piece(x, True))))
                 pieces = F.concat(pieces, F.flatten(each))
             else:
-                pieces = F.concat(pieces, F.array(_piece(text, True)))
+                pieces = F.concat(pieces, F.array(_piece(text, part != "{o}")))
                 label = text if part == "{label}" else label
         ways.append(F.when(core.rlike(pattern), F.struct(F.lit(number).alias("rule"), label.alias("label"), pieces.alias("pieces"))))
     before = F.when(core.startswith(LEADING), LEADING).otherwise("")

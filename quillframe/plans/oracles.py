@@ -339,7 +339,7 @@ SELECT k AS o_orderkey, array_to_string(e, '; ') AS errors FROM m"""
 
 ORACLES["translate_composite"] = """
 WITH p AS (SELECT p_partkey, 'brand ' || p_brand AS b, lower(p_type) AS t, p_name AS n, p_type AS o, p_size AS z FROM part),
-e AS (SELECT p_partkey, ['Prepared from: ' || t || '.', t || ' · Indonesian match', 'Also about ' || b || ', ' || t || ', ' || n, b || ': ' || t || ' · MKRI', '  Remove ' || b || ': · ' || z || ' cases → ', n || ': ' || o, n || ', 5 May 2020 · Judgment', '· ' || b || ': Page ' || z || ' ↗'] AS e FROM p)
+e AS (SELECT p_partkey, ['Prepared from: ' || t || '.', t || ' · Indonesian match', 'Also about ' || b || ', ' || t || ', ' || n, b || ': ' || t || ' · ABCD', '  Remove ' || b || ': · ' || z || ' cases → ', n || ': ' || o, n || ', 5 May 2020 · Judgment', '· ' || b || ': Page ' || z || ' ↗'] AS e FROM p)
 SELECT p_partkey, unnest(range(0, 8)) AS kind, unnest(e) AS english FROM e"""
 
 ORACLES["insight_citations"] = """

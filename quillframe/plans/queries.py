@@ -449,7 +449,7 @@ def translate_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, t, n, z = (F.col(c) for c in ("p_brand", "p_type", "p_name", "p_size"))
     lit = F.lit
     texts = [
-        F.concat(lit("Disusun dari: "), t, lit(".")), F.concat(t, lit(" · teks asli")), F.concat(lit("Sama-sama membahas "), b, lit(", "), t, lit(", "), n), F.concat(b, lit(": "), t, lit(" · MKRI")),
+        F.concat(lit("Disusun dari: "), t, lit(".")), F.concat(t, lit(" · teks asli")), F.concat(lit("Sama-sama membahas "), b, lit(", "), t, lit(", "), n), F.concat(b, lit(": "), t, lit(" · ABCD")),
         F.concat(lit("  Hapus "), b, lit(": · "), z, lit(" perkara → ")), F.concat(n, lit(": "), t), F.concat(n, lit(", 5 Mei 2020 · Putusan")), F.concat(lit("· "), b, lit(": Halaman "), z, lit(" ↗")),
     ]
     rows = parts.select("p_partkey", F.posexplode(F.array(*texts)).alias("kind", "text"))

@@ -138,7 +138,7 @@ def test_composed_texts_are_translated_part_by_part(spark):
         "Pendidikan": "Education", " Pendidikan\n": " Education\n", "Halaman 3": "Page 3", "Sama-sama membahas Pendidikan, Hutan adat, lain": "Also about Education, Customary forest, lain",
         "Disusun dari: Hutan adat · teks asli.": "Prepared from: Customary forest · Indonesian match.", "Topik: Pendidikan": "Topic: Education", "Tak ada: Pendidikan": "Tak ada: Pendidikan", "Hapus Topik: Hutan adat": "Remove Topic: Customary forest",
         "Hapus Pendidikan": "Remove Education", "· 12 perkara ↗": "· 12 cases ↗", "Topik: Topik: · Pendidikan →": "Topic: Topic: · Education →", "31 Desember 2020 dan 1 Mei 2019 · Ketetapan": "31 December 2020 and".replace("and", "dan") + " 1 May 2019 · Order",
-        "perkara · 4 topik": "cases · 4 topics", "x (+2 item lain disembunyikan)": "x (+2 more items hidden)", "Satu pertanyaan · 3 putusan · 3 bab": "One question · 3 decisions · 3 chapters", "": "", "  ": "  ", "perkara lain": "perkara lain", "Pendidikan · MKRI": "Education · MKRI",
+        "perkara · 4 topik": "cases · 4 topics", "x (+2 item lain disembunyikan)": "x (+2 more items hidden)", "Satu pertanyaan · 3 putusan · 3 bab": "One question · 3 decisions · 3 chapters", "": "", "  ": "  ", "perkara lain": "perkara lain", "Pendidikan · ABCD": "Education · ABCD",
     }
     df = spark.createDataFrame([(t,) for t in [*want, *want]] + [(None,)], "t string")
     got = catalog.translate_composite(df, "t", dictionary, "e").collect()
