@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, matrix, release_memory, small_batches, table
+from .common import drop_scratch, materialize, matrix, partitions, release_memory, small_batches, table
 
 #: Cells of a dimension (a byte numbers them), vectors of a block, anchors of a block.
 CELLS, BLOCK, ANCHORS = 64, 4096, 512
 #: Anchors whose bounds are held at once.
 ROWS = 128
+#: Bytes of anchors that meet a part of the blocks at once.
+ANCHOR_BYTES = 32_000_000
 
 _BLOCKS = "dim int, ids binary, labels binary, borders binary, codes binary, exact binary"
 _ANCHORS = "dim int, ids binary, labels binary, exact binary, positives binary, scores binary"
@@ -159,7 +161,7 @@ def _met(solve: Callable[[dict, dict], Iterator[tuple]], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                raw = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c not in ("dim", "part")}
+                raw = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c not in ("dim", "part", "ward")}
                 dim = batch.column("dim")[k].as_py()
                 block = {"ids": np.frombuffer(raw["ids"], np.int64), "labels": np.frombuffer(raw["labels"], np.int64), "borders": np.frombuffer(raw["borders"]).reshape(dim, -1), "codes": np.frombuffer(raw["codes"], np.uint8).reshape(-1, dim), "exact": np.frombuffer(raw["exact"]).reshape(-1, dim)}
                 n = len(raw["a_ids"]) // 8
@@ -172,10 +174,15 @@ def _met(solve: Callable[[dict, dict], Iterator[tuple]], names: list[str]):
     return run
 
 
-def _meetings(blocks: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
-    """Every block of vectors beside every block of anchors of its length: anchors, of which there are few, go to each part of the blocks."""
-    sent = anchors.select("dim", *[F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "exact", "positives", "scores")], F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    return blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).join(sent, ["part", "dim"])
+def _meetings(blocks: DataFrame, anchors: DataFrame, parts: int, wards: int) -> DataFrame:
+    """Every block of vectors beside every block of anchors of its length: a ward of the anchors goes to each part of the blocks, a part of the blocks to each ward.
+
+    Spark guesses the size of the copies from that of one, and would broadcast them all; so the join is a sort-merge join, which holds a ward's anchors of a part.
+    """
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda ids, n: F.pmod(F.xxhash64(ids), F.lit(n)).cast("int")
+    sent = anchors.select("dim", *[F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "exact", "positives", "scores")], dealt("ids", wards).alias("ward"), every(parts).alias("part"))
+    return blocks.select("*", dealt("ids", parts).alias("part"), every(wards).alias("ward")).join(sent.hint("merge"), ["part", "ward", "dim"])
 
 
 def _ranked(found: DataFrame, keys: list[str], number: str, score: str, most: int) -> DataFrame:
@@ -211,7 +218,8 @@ def hard_negatives(df: DataFrame, anchor: Column, key: str = "vec_id", label: st
     one = _one_for_each_key(rows.select("id", "label", "vec"))
     blocks = materialize(one.mapInArrow(_packed_blocks, _BLOCKS))
     asked = materialize(one.join(asking, "id", "left_semi"))
-    parts, tasks = max(1, blocks.count()), max(1, -(-asked.count() // ANCHORS))
+    n, size = asked.agg(F.count(F.lit(1)), F.sum(8 * F.size("vec").cast("long"))).first()
+    parts, tasks, wards = max(1, min(blocks.count(), 4 * partitions(spark))), max(1, -(-n // ANCHORS)), max(1, -(-(size or 0) // ANCHOR_BYTES))
 
     def packed(rows: DataFrame) -> DataFrame:
         return rows.repartition(tasks).mapInArrow(_packed_anchors(positives), _ANCHORS)
@@ -225,12 +233,12 @@ def hard_negatives(df: DataFrame, anchor: Column, key: str = "vec_id", label: st
             yield a["ids"][i], a["positives"][i, place], a["scores"][i, place], b["ids"][j], score
 
     first = packed(asked.withColumn("found", F.lit(None).cast("array<struct<id:long,score:double>>")))
-    near = _meetings(blocks, first, parts).mapInArrow(_met(alike, ["anchor_id", "id", "score"]), "anchor_id long, id long, score double")
+    near = _meetings(blocks, first, parts, wards).mapInArrow(_met(alike, ["anchor_id", "id", "score"]), "anchor_id long, id long, score double")
     best = _ranked(near, ["anchor_id"], "id", "score", positives).groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("found"))
-    known = materialize(asked.join(best.select(F.col("anchor_id").alias("id"), F.transform("found", lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"))).alias("found")), "id"))
+    known = materialize(asked.hint("merge").join(best.select(F.col("anchor_id").alias("id"), F.transform("found", lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"))).alias("found")), "id"))
     drop_scratch(asked)
     fields = ["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"]
-    met = _meetings(blocks, packed(known), parts).mapInArrow(_met(windows, fields), "anchor_id long, positive_id long, positive_score double, negative_id long, negative_score double")
+    met = _meetings(blocks, packed(known), parts, wards).mapInArrow(_met(windows, fields), "anchor_id long, positive_id long, positive_score double, negative_id long, negative_score double")
     return _ranked(met, ["anchor_id", "positive_id"], "negative_id", "negative_score", negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 

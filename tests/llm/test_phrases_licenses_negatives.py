@@ -223,3 +223,16 @@ def test_bounds_hold_and_prune():
     assert (lower <= exact).all() and (exact <= upper).all() and (upper - lower).mean() < 0.1 * np.ptp(exact)
     able = np.ones(exact.shape, bool)
     assert hard_negatives._may_enter(able, able, lower, upper, 5).mean() < 0.03
+
+
+def test_copies_of_anchors_are_never_broadcast(spark, monkeypatch):
+    """Wards and parts keep every meeting, and none of the joins sends the anchors, copied for each part, through the driver."""
+    for name, value in {"BLOCK": 8, "ANCHORS": 4, "ANCHOR_BYTES": 400}.items():
+        monkeypatch.setattr(hard_negatives, name, value)
+    met, plans = hard_negatives._meetings, []
+    monkeypatch.setattr(hard_negatives, "_meetings", lambda *a: [plans.append(m._jdf.queryExecution().executedPlan().toString()) or m for m in [met(*a)]][0])
+    x = np.floor(np.random.default_rng(7).standard_normal((200, 6)) * 9)
+    rows = [(i, i % 3, [float(e) for e in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    assert sorted(map(tuple, hard_negatives.hard_negatives(df, df.vec_id % 10 == 0).collect())) == brute_negatives(rows)
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
