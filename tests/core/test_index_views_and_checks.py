@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,17 @@ def test_rows_that_raise_are_found_among_many(spark):
     with pytest.raises(RuntimeError, match="more than 2"):
         extract.raising_rows(spark.range(300), "id", compute, most=2)
     assert extract.raising_rows(spark.range(300), "id", lambda part: part) == []
+
+
+def test_postings_hold_few_texts_at_once(spark, monkeypatch):
+    """Grams are made chunk by chunk, however many rows a batch has, and each is there once with all of its places."""
+    texts = [None, "", "a", "ab", "aaaa", "née\U0001f600\U0001f600 née", "abcabcabc" * 3]
+    keys = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([keys, pa.array(texts)], ["key", "text"])
+    monkeypatch.setattr(search_index, "CHUNK_CHARS", 4)
+    got = [r for b in search_index._grams(5)([batch]) for r in b.to_pylist()]
+    assert max(len({r["key"] for r in b.to_pylist()}) for b in search_index._grams(5)([batch])) <= 3
+    expected = [(i, t[p : p + k]) for i, t in enumerate(texts) for k in (1, 2, 3) for p in range(len(t or "") - k + 1)]
+    assert sorted((r["key"], r["gram"]) for r in got) == sorted(set(expected)) and {r["field"] for r in got} == {5}
+    assert all(r["positions"] == (None if len(r["gram"]) < 3 else [p for p in range(len(texts[r["key"]])) if texts[r["key"]].startswith(r["gram"], p)]) for r in got)
+    assert {tuple(r) for r in search_index.postings(spark.createDataFrame([(7, "abc")], "id long, t string"), "id", ["t"]).where("positions is not null").select("id", "gram", "field").collect()} == {(7, "abc", 0)}
