@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import search_text as S
 from quillframe.functions import text as T
 from quillframe.operators import extract, sections, validate
+from quillframe.plans import queries
 
 
 def one(spark, column, **values):
@@ -244,3 +245,9 @@ def test_matching_and_highlighting(spark):
     match = lambda n, **r: of(spark, lambda c: S.matches_reference(c, r), n)
     assert match("007/PUU-XXI/2023", number="7", year="2023") and not match("17/PUU-XXI/2023", number="7") and not match("x", number="7")
     assert of(spark, lambda c: S.highlight(c, "ite a"), "<ITE> kita") == "&lt;<mark>ITE</mark>&gt; k<mark>ita</mark>".replace("k<mark>ita</mark>", "kit<mark>a</mark>")
+
+
+@pytest.mark.parametrize("name", ["decree_facts"])
+def test_records_are_extracted_by_all_tasks(spark, name):
+    """A file that one task reads isn't parsed by that task alone."""
+    assert "RepartitionByExpression" in getattr(queries, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
