@@ -247,7 +247,7 @@ def test_matching_and_highlighting(spark):
     assert of(spark, lambda c: S.highlight(c, "ite a"), "<ITE> kita") == "&lt;<mark>ITE</mark>&gt; k<mark>ita</mark>".replace("k<mark>ita</mark>", "kit<mark>a</mark>")
 
 
-@pytest.mark.parametrize("name", ["decree_facts"])
+@pytest.mark.parametrize("name", ["ruling_facts", "decree_facts"])
 def test_records_are_extracted_by_all_tasks(spark, name):
     """A file that one task reads isn't parsed by that task alone."""
     assert "RepartitionByExpression" in getattr(queries, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
