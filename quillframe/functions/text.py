@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # White space and line ends as Unicode-aware text tools see them, and the vocabulary of Indonesian dates and rulings.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+ODD_LINE_END = "[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: Runs of white space but single blanks, which stay as they are.
+NOT_ONE_BLANK = r"(?U)(?:[\s\x1c-\x1f&&[^ ]]| (?=[\s\x1c-\x1f]))[\s\x1c-\x1f]*"
 MONTHS = ["januari", "februari", "maret", "april", "mei", "juni", "juli", "agustus", "september", "oktober", "november", "desember"]
 SMALL_NUMBERS = ["nol", "satu", "dua", "tiga", "empat", "lima", "enam", "tujuh", "delapan", "sembilan", "sepuluh", "sebelas"]
 NUMBER_WORD = "(?:" + "|".join([*SMALL_NUMBERS, "belas", "puluh", "ratus", "ribu"]) + ")"
@@ -36,7 +39,7 @@ def nullif_empty(c: Column) -> Column:
 
 def normalize_whitespace(c: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, NOT_ONE_BLANK, " "))
 
 
 def strip(c: Column) -> Column:
@@ -45,7 +48,8 @@ def strip(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """The lines of a text; an ending line end starts no line, an empty text has none. Null is an empty text."""
-    parts = F.split(F.coalesce(c, F.lit("")), LINE_END, -1)
+    # A split at one plain character needs no regular expression.
+    parts = let(F.coalesce(c, F.lit("")), lambda t: F.when(t.rlike(ODD_LINE_END), F.split(t, LINE_END, -1)).otherwise(F.split(t, "\n", -1)))
     return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
@@ -65,12 +69,12 @@ def ordered_distinct(c: Column, key: Callable[[Column], Column] | None = None) -
 
 def normalize_case_number(c: Column, pattern: str = CASE_NUMBER) -> Column:
     """The first identifier in a text without white space; null if there is none."""
-    return nullif_empty(F.regexp_replace(F.regexp_extract(F.translate(c, "\n", " "), pattern, 0), f"{SPACE}+", ""))
+    return nullif_empty(F.regexp_replace(F.regexp_extract(F.replace(c, F.lit("\n"), F.lit(" ")), pattern, 0), f"{SPACE}+", ""))
 
 
 def extract_case_numbers(c: Column, pattern: str = CASE_NUMBER) -> Column:
     """All identifiers in a text without white space, each once, in order."""
-    found = F.regexp_extract_all(F.translate(c, "\n", " "), F.lit(pattern), 0)
+    found = F.regexp_extract_all(F.replace(c, F.lit("\n"), F.lit(" ")), F.lit(pattern), 0)
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, f"{SPACE}+", "")))
 
 
@@ -119,7 +123,7 @@ def normalize_party_name(c: Column) -> Column:
 
 def normalize_article(c: Column) -> Column:
     """The first article reference; null if there is none."""
-    found = normalize_whitespace(F.regexp_extract(F.translate(c, "\n", " "), ARTICLE, 0))
+    found = normalize_whitespace(F.regexp_extract(F.replace(c, F.lit("\n"), F.lit(" ")), ARTICLE, 0))
     return nullif_empty(F.replace(F.replace(found, F.lit("h. u. f."), F.lit("huruf")), F.lit("h u f"), F.lit("huruf")))
 
 

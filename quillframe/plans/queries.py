@@ -760,7 +760,7 @@ def decree_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document read as a ruling: the extractors run over whole texts, and the checks tell what they lack."""
-    records = extract.parse_documents(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_name"), "text"))
+    records = extract.parse_documents(_spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").cast("string").alias("file_name"), "text"))
     return records.select(
         F.col("source.file_name").alias("file_name"), "parser.status", F.size("sections").cast("long").alias("sections"), F.array_join("validation.review_flags", ",").alias("flags"), F.array_join("validation.business_rule_errors", ",").alias("errors"),
         F.col("outcome.summary").alias("summary"), F.size("parties.applicants").cast("long").alias("applicants"), F.size("relations.referenced_cases").cast("long").alias("cases"),

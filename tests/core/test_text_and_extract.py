@@ -247,7 +247,14 @@ def test_matching_and_highlighting(spark):
     assert of(spark, lambda c: S.highlight(c, "ite a"), "<ITE> kita") == "&lt;<mark>ITE</mark>&gt; k<mark>ita</mark>".replace("k<mark>ita</mark>", "kit<mark>a</mark>")
 
 
-@pytest.mark.parametrize("name", ["ruling_facts", "decree_facts"])
+@pytest.mark.parametrize("name", ["ruling_facts", "decree_facts", "parse_rulings"])
 def test_records_are_extracted_by_all_tasks(spark, name):
     """A file that one task reads isn't parsed by that task alone."""
     assert "RepartitionByExpression" in getattr(queries, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+
+
+def test_lines_and_blanks_of_all_kinds(spark):
+    texts = ["", " ", "a\nb\n", "\n", "a\r\nb\rc\x0bd\x0ce\x1cf\x1dg\x1eh\x85i\u2028j\u2029k\n\n", " a  b \t c\xa0d \xa0e\u3000", "\x1fa \x1f b", "a b", "x\n y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(T.lines(F.col("t")).alias("lines"), T.normalize_whitespace(F.col("t")).alias("plain")).collect()
+    assert [(r.lines, r.plain) for r in got] == [(t.splitlines(), " ".join(t.split())) for t in texts]
