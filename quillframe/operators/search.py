@@ -137,10 +137,11 @@ def related(rows: DataFrame, key: str, topics: str, order: str, top: int = RELAT
     """(key, rank, other, common): the newest ``top`` other rows that share a topic, with the shared topics in order.
 
     A row's newest others are among the newest ``top`` + 1 of one of its topics, so only these meet the rows of a topic: the work grows with
-    rows x topics x ``top``, also for a topic that all rows share.
+    rows x topics x ``top``, also for a topic that all rows share. Rows are dealt by key first, so the pairs of a key are sorted where they are made.
     """
     newest = F.coalesce(F.col(order), F.lit(""))
-    x = rows.select(key, newest.alias("_order"), F.array_distinct(topics).alias("_topics")).withColumn("_topic", F.explode("_topics"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small file has one task, which would sort all pairs
+    x = rows.select(key, newest.alias("_order"), F.array_distinct(topics).alias("_topics")).repartition(tasks, key).withColumn("_topic", F.explode("_topics"))
     first = x.withColumn("_n", F.row_number().over(Window.partitionBy("_topic").orderBy(F.desc("_order"), key))).where(F.col("_n") <= top + 1)
     first = first.select("_topic", F.col(key).alias("other"), "_order", F.col("_topics").alias("_theirs"))
     met = x.drop("_order").join(first, "_topic").where(F.col(key) != F.col("other"))

@@ -279,3 +279,11 @@ def test_the_rest_works_without_the_training_data_package(monkeypatch):
     assert "section_split" in entry.queries() and not [n for n in entry.queries() if n.startswith("op") and n[2:3].isdigit()] and "pipeline" not in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_related_rows_are_paired_by_all_tasks(spark):
+    """Rows that one task reads are dealt by key before they meet, so that no task sorts the pairs of all."""
+    rows = spark.range(8).coalesce(1).select("id", F.array(F.lit("a")).alias("topics"), F.col("id").cast("string").alias("dated"))
+    found = search.related(rows, "id", "topics", "dated", 2)
+    assert "RepartitionByExpression" in found._jdf.queryExecution().analyzed().toString()
+    assert sorted((r["id"], r["rank"], r["other"]) for r in found.collect() if r["id"] in (0, 7)) == [(0, 1, 7), (0, 2, 6), (7, 1, 6), (7, 2, 5)]
