@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +37,6 @@ BYTES, DIGEST = 4, 12
 BLOCK = 1 << 18
 #: Fixed values of the hash: odd multipliers for bytes, words and word lengths.
 BYTE_BASE, WORD_BASE, LENGTH_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x94D049BB133111EB
-WHITE = np.zeros(256, bool)
-WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -54,10 +53,40 @@ _WORD_INVERSE = _powers(pow(WORD_BASE, -1, 1 << 64), BLOCK + 1)
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last byte of every word of UTF-8 bytes; white space is 0x20 and 0x09 to 0x0D."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~WHITE[data]
-    edges = np.diff(inside)
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = (data != 0x20) & (data - np.uint8(0x09) > 4)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def words_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts one after the other, first and past-the-last byte of every word (white space follows each), and the number of words of each text."""
+    data = np.frombuffer(b"".join(x for raw in raws for x in (raw, b"\n")), np.uint8)
+    starts, ends = word_bounds(data)
+    texts = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+    return data, starts, ends, np.diff(np.searchsorted(starts, texts), prepend=0)
+
+
+def _before(count: np.ndarray) -> np.ndarray:
+    """What comes before each group, of groups one after the other."""
+    return np.cumsum(count) - count
+
+
+def _windows(count: np.ndarray, width: int) -> np.ndarray:
+    """How many windows texts of so many words have."""
+    return np.maximum(0, count - (width - 1))
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, each with a blank behind it, and where each begins."""
+    change = np.zeros(len(data) + 2, np.int8)
+    change[starts] = 1
+    change[ends + 1] -= 1
+    out = data[np.cumsum(change[: len(data)], dtype=np.int8).view(bool)]
+    length = ends - starts + 1
+    at = _before(length)
+    out[at + length - 1] = 0x20
+    return out, at
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -93,8 +122,14 @@ def window_hashes(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return splitmix(out)
 
 
-def _raw(text: pa.Scalar) -> bytes:
-    return (text.as_py() or "").encode("utf-8", "surrogatepass")
+def _raws(texts: pa.Array) -> list[bytes]:
+    return [raw or b"" for raw in texts.cast(pa.large_binary()).to_pylist()]
+
+
+def _joined(bodies: pa.Array) -> list[bytes | None]:
+    """The bodies of each list as one."""
+    kind = bodies.type.value_type
+    return pc.binary_join(bodies.cast(pa.list_(kind)), pa.scalar(b"", kind)).to_pylist()  # the cast: Spark's lists say that they hold no nulls, which no kernel takes
 
 
 def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
@@ -110,31 +145,51 @@ def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield chunk
 
 
-def _packed(positions: np.ndarray) -> bytes:
-    """Sorted positions as runs of neighbours: first places, then lengths."""
-    cut = np.flatnonzero(np.diff(positions) > 1) + 1
-    first = np.concatenate([[0], cut])
-    return positions[first].astype("<u4").tobytes() + np.diff(np.concatenate([first, [len(positions)]])).astype("<u4").tobytes()
+def _runs(bodies: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, past the last) of the runs of windows in the packed positions of each text; what lies behind a text's end is not there."""
+    pairs = np.frombuffer(b"".join(bodies), "<u4").astype(np.int64).reshape(-1, 2)
+    text = np.repeat(np.arange(len(bodies)), np.fromiter(map(len, bodies), np.int64, len(bodies)) // 8)
+    first, past = pairs[:, 0], np.minimum(pairs.sum(1), sizes[text])
+    there = first < past
+    return text[there], first[there], past[there]
 
 
-def marked(bodies: list[bytes], size: int) -> np.ndarray:
-    """Which of ``size`` places the packed positions name; what lies behind the end is not there."""
-    hit = np.zeros(size, bool)
-    for body in bodies:
-        first, count = np.frombuffer(body, "<u4").astype(np.int64).reshape(2, -1)
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        hit[at[at < size]] = True
-    return hit
+def _inside(first: np.ndarray, past: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in one of the ranges."""
+    return np.cumsum(np.bincount(first, minlength=size + 1) - np.bincount(past, minlength=size + 1))[:size] > 0
 
 
-def _answers(doc: np.ndarray, which: np.ndarray, position: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(doc_id, which, packed positions) for each text; ``which`` tells the texts of one doc_id apart."""
-    order = np.lexsort((position, which, doc))
-    doc, which, position = doc[order], which[order], position[order]
-    cuts = np.flatnonzero((np.diff(doc) != 0) | (which[1:] != which[:-1])) + 1
-    for lo, hi in zip(np.concatenate([[0], cuts]).astype(int), np.concatenate([cuts, [len(doc)]]).astype(int), strict=True):
-        if lo < hi:
-            yield int(doc[lo]), int(which[lo]), _packed(np.unique(position[lo:hi]))
+def marked(bodies: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Which windows the packed positions of each text name, over the windows of all texts."""
+    text, first, past = _runs(bodies, sizes)
+    base = _before(sizes)[text]
+    return _inside(base + first, base + past, int(sizes.sum()))
+
+
+def covered(bodies: list[bytes], count: np.ndarray, width: int) -> np.ndarray:
+    """Which words the windows cover that the packed positions of each text name, over the words of all texts."""
+    text, first, past = _runs(bodies, _windows(count, width))
+    base = _before(count)[text]
+    return _inside(base + first, base + past + (width - 1), int(count.sum()))
+
+
+def _answers(taken: np.ndarray, doc: np.ndarray, which: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(doc_id, which, packed positions) of the taken entries. Entries come by text and position; ``which`` tells the texts of one doc_id apart.
+
+    Positions are packed as runs of neighbours, each its first place and its length, so packed positions of one text may be joined.
+    """
+    chosen = np.zeros(len(doc), bool)
+    chosen[taken] = True
+    at = np.flatnonzero(chosen)
+    doc, which, position = doc[at], which[at], position[at].astype(np.int64)
+    text = np.ones(len(at), bool)
+    text[1:] = (doc[1:] != doc[:-1]) | (which[1:] != which[:-1])
+    run = text.copy()
+    run[1:] |= np.diff(position) != 1
+    first, texts = np.flatnonzero(run), np.flatnonzero(text)
+    pairs = np.stack([position[first], np.diff(first, append=len(at))], 1).astype("<u4")
+    ends = 8 * np.append(np.searchsorted(first, texts), len(first)).astype(np.int32)
+    return doc[texts], which[texts], pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(pairs)])
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,6 +205,7 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _SENT = "bucket int, answer boolean, doc_id long, which long, body binary"
+_NAMES = ["bucket", "answer", "doc_id", "which", "body"]
 _ANSWERS = "doc_id long, which long, body binary"
 
 
@@ -158,20 +214,33 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[n]) for i, n in enumerate(names)], names)
 
 
+def _sent(buckets: int, answers: tuple, entries: tuple) -> Iterator[pa.RecordBatch]:
+    """Rows of _SENT: answers go by their document, packed entries by their bucket."""
+    doc, which, body = answers
+    yield pa.RecordBatch.from_arrays([pa.array((doc % buckets).astype(np.int32)), pa.array(np.ones(len(doc), bool)), pa.array(doc), pa.array(which), body], _NAMES)
+    yield _batch(list(_pack(*entries)), _NAMES)
+
+
 def _pack(bucket: np.ndarray, key: np.ndarray, doc: np.ndarray, which: np.ndarray, position: np.ndarray) -> Iterator[tuple]:
     """Rows of _SENT with the entries of each bucket: ``key`` is a row of bytes for each; entries come by document."""
     order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
-    bucket, key, doc, which, position = (x[order] for x in (bucket, key, doc, which, position))
+    bucket, key, doc, which, position = (np.take(x, order, axis=0) for x in (bucket, key, doc, which, position))
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        new = np.concatenate([[True], (doc[lo + 1 : hi] != doc[lo : hi - 1]) | (which[lo + 1 : hi] != which[lo : hi - 1])])
-        at = np.flatnonzero(new)
-        count = np.diff(np.concatenate([at, [hi - lo]])).astype("<u4")
-        step = np.diff(position[lo:hi].astype(np.int64), prepend=0)
-        step[at] = position[lo:hi][at]
-        texts = np.diff(doc[lo:hi][at], prepend=0).astype("<i8").tobytes() + which[lo:hi][at].astype("<i8").tobytes()
-        small = zlib.compress(texts + count.tobytes() + step.astype("<i8").astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-        yield int(bucket[lo]), False, int(hi - lo), 0, len(at).to_bytes(4, "little") + len(small).to_bytes(4, "little") + small + key[lo:hi].tobytes()
+    new = np.ones(len(bucket), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (which[1:] != which[:-1])
+    new[cuts[:-1]] = True
+    at = np.flatnonzero(new)
+    count = np.diff(at, append=len(bucket)).astype("<u4")
+    step = np.diff(position.astype(np.int64), prepend=0)
+    step[at] = position[at]
+    step = step.astype("<i4").view(np.uint8).reshape(-1, 4)
+    texts = np.searchsorted(at, cuts)
+    gaps = np.diff(doc[at], prepend=0).astype("<i8")
+    gaps[texts[:-1]] = doc[cuts[:-1]]
+    which = which[at].astype("<i8")
+    for lo, hi, a, b, n in zip(cuts[:-1].tolist(), cuts[1:].tolist(), texts[:-1].tolist(), texts[1:].tolist(), bucket[cuts[:-1]].tolist(), strict=True):
+        small = zlib.compress(gaps[a:b].tobytes() + which[a:b].tobytes() + count[a:b].tobytes() + step[lo:hi].T.tobytes(), 1)
+        yield n, False, hi - lo, 0, (b - a).to_bytes(4, "little") + len(small).to_bytes(4, "little") + small + key[lo:hi].tobytes()
 
 
 def _open(n: int, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,31 +261,26 @@ def _send_hashes(width: int, buckets: int):
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            for key, raw in zip(batch.column("id").to_pylist(), _raws(batch.column("text")), strict=True):
                 if key is not None:
-                    yield key, _raw(text)
+                    yield key, raw
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(texts(batches)):
-            hashes, docs, places = [], [], []
-            for key, raw in chunk:
-                data = np.frombuffer(raw, np.uint8)
-                found = window_hashes(word_hashes(data, *word_bounds(data)), width)
-                if len(found):
-                    hashes.append(found)
-                    docs.append(np.full(len(found), key, np.int64))
-                    places.append(np.arange(len(found), dtype=np.uint32))
-            if not hashes:
+            data, starts, ends, count = words_of([raw for _, raw in chunk])
+            sizes = _windows(count, width)
+            if not sizes.any():
                 continue
-            h, d, p = map(np.concatenate, (hashes, docs, places))
+            d = np.repeat(np.fromiter((key for key, _ in chunk), np.int64, len(chunk)), sizes)
+            p = np.arange(len(d)) - np.repeat(_before(sizes), sizes)
+            h = window_hashes(word_hashes(data, starts, ends), width)[p + np.repeat(_before(count), sizes)]
+            w = np.zeros(len(d), np.int64)
             order, begin, n = _groups(h)
-            known = order[np.repeat(n > 1, n)]
-            rows = [(int(doc % buckets), True, doc, 0, body) for doc, _, body in _answers(d[known], np.zeros(len(known), np.int64), p[known])]
+            answers = _answers(order[np.repeat(n > 1, n)], d, w, p)
             first = np.sort(order[begin])
-            h, d, p = h[first], d[first], p[first]
+            h, d, w, p = h[first], d[first], w[: len(first)], p[first]
             key = (h // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
-            rows += _pack((h % np.uint64(buckets)).astype(np.int64), key, d, np.zeros(len(d), np.int64), p)
-            yield _batch(rows, ["bucket", "answer", "doc_id", "which", "body"])
+            yield from _sent(buckets, answers, ((h % np.uint64(buckets)).astype(np.int64), key, d, w, p))
         release_memory()
 
     return run
@@ -227,34 +291,29 @@ def _send_digests(width: int, buckets: int):
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for key, which, bodies, text in zip(batch.column("id").to_pylist(), batch.column("which").to_pylist(), batch.column("bodies"), batch.column("text"), strict=True):
-                if key is not None and bodies.is_valid:
-                    yield key, which, bodies.as_py(), _raw(text)
+            for row in zip(batch.column("id").to_pylist(), batch.column("which").to_pylist(), _joined(batch.column("bodies")), _raws(batch.column("text")), strict=True):
+                if row[0] is not None and row[2]:
+                    yield row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(texts(batches)):
-            digests, docs, whiches, places = [], [], [], []
-            for key, which, bodies, raw in chunk:
-                words = raw.split()
-                at = np.flatnonzero(marked(bodies, max(0, len(words) - width + 1)))
-                if not len(at):
-                    continue
-                clean = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                starts = np.concatenate([[0], ends[:-1] + 1])
-                digests += [hashlib.blake2b(clean[s:e], digest_size=DIGEST).digest() for s, e in zip(starts[at].tolist(), ends[at + width - 1].tolist(), strict=True)]
-                docs.append(np.full(len(at), key, np.int64))
-                whiches.append(np.full(len(at), which, np.int64))
-                places.append(at)
-            if not docs:
+            keys, whiches, bodies, raws = zip(*chunk, strict=True)
+            data, starts, ends, count = words_of(raws)
+            sizes = _windows(count, width)
+            at = np.flatnonzero(marked(bodies, sizes))
+            if not len(at):
                 continue
+            text = np.repeat(np.arange(len(chunk)), sizes)[at]
+            d, w, p = np.array(keys, np.int64)[text], np.array(whiches, np.int64)[text], at - _before(sizes)[text]
+            words, begin = joined_words(data, starts, ends)
+            clean, first = words.tobytes(), p + _before(count)[text]
+            past = np.append(begin, len(clean))[first + width] - 1
+            digests = [hashlib.blake2b(clean[s:e], digest_size=DIGEST).digest() for s, e in zip(begin[first].tolist(), past.tolist(), strict=True)]
             key = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, DIGEST)
-            d, w, p = map(np.concatenate, (docs, whiches, places))
             order, other = _later(key, d)
-            rows = [(int(doc % buckets), True, doc, which, body) for doc, which, body in _answers(d[order[other]], w[order[other]], p[order[other]])]
+            answers = _answers(order[other], d, w, p)
             least = np.sort(order[~other])
-            rows += _pack((_halves(key[least])[0] % np.uint64(buckets)).astype(np.int64), key[least], d[least], w[least], p[least])
-            yield _batch(rows, ["bucket", "answer", "doc_id", "which", "body"])
+            yield from _sent(buckets, answers, ((_halves(key[least])[0] % np.uint64(buckets)).astype(np.int64), key[least], d[least], w[least], p[least]))
         release_memory()
 
     return run
@@ -293,7 +352,8 @@ def _answer(choose: Callable[[np.ndarray, np.ndarray], np.ndarray]):
         key, doc, which, position = map(np.concatenate, zip(*(_open(*x) for x in parts), strict=True))
         taken = choose(key, doc)
         if len(taken):
-            yield _batch(list(_answers(doc[taken], which[taken], position[taken])), ["doc_id", "which", "body"])
+            doc, which, body = _answers(taken, doc, which, position)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(which), body], ["doc_id", "which", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, at = [], None
@@ -316,32 +376,31 @@ def _answer(choose: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     return run
 
 
-def _covered(raw: bytes, bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First bytes of the words of a text, and whether a repeated window covers each."""
-    starts, _ = word_bounds(np.frombuffer(raw, np.uint8))
-    at = np.flatnonzero(marked(bodies, max(0, len(starts) - width + 1)))
-    change = np.zeros(len(starts) + 1, np.int32)
-    np.add.at(change, at, 1)
-    np.subtract.at(change, at + width, 1)
-    return starts, np.cumsum(change)[:-1] > 0
+def kept_texts(raws: list[bytes], bodies: list[bytes], width: int = WIDTH) -> Iterator[tuple[int, int, memoryview]]:
+    """Of each text: number of words, of removed words, and the kept words joined by one blank."""
+    data, starts, ends, count = words_of(raws)
+    kept = np.flatnonzero(~covered(bodies, count, width))
+    words, begin = joined_words(data, starts[kept], ends[kept])
+    last = np.searchsorted(kept, np.cumsum(count))
+    left, bound = np.diff(last, prepend=0), np.append(begin, len(words))[last]
+    view, at = memoryview(words), 0
+    for n, k, to in zip(count.tolist(), left.tolist(), bound.tolist(), strict=True):
+        yield n, n - k, view[at : max(at, to - 1)]
+        at = to
 
 
 def kept_words(raw: bytes, bodies: list[bytes], width: int = WIDTH) -> tuple[int, int, bytes]:
     """Number of words, of removed words, and the kept words joined by one blank."""
-    words = raw.split()  # of bytes: the same six white-space bytes
-    if not bodies:
-        return len(words), 0, b" ".join(words)
-    _, gone = _covered(raw, bodies, width)
-    kept = [words[i] for i in np.flatnonzero(~gone)]
-    return len(words), len(words) - len(kept), b" ".join(kept)
+    words, gone, kept = next(kept_texts([raw], [b"".join(bodies)], width))
+    return words, gone, bytes(kept)
 
 
-def cut_text(raw: bytes, bodies: list[bytes], width: int = WIDTH) -> bytes:
+def cut_text(raw: bytes, body: bytes, width: int = WIDTH) -> bytes:
     """The text without its removed words; each maximal interval goes with the white space after it."""
-    if not bodies:
+    if not body:
         return raw
-    starts, gone = _covered(raw, bodies, width)
-    edges = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
+    _, starts, _, count = words_of([raw])
+    edges = np.diff(np.concatenate([[False], covered([body], count, width), [False]]).astype(np.int8))
     out, at = [], 0
     for lo, hi in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
         out.append(raw[at : starts[lo]])
@@ -374,8 +433,13 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     return rows.join(found, F.col("id") == F.col("found_id"), "left").select("id", "which", "text", "rest", "repeats")
 
 
-def _own(which: int, repeats: list[dict] | None) -> list[bytes]:
-    return [r["body"] for r in repeats or () if r["which"] == which]
+def _own(which: pa.Array, repeats: pa.Array) -> list[bytes]:
+    """The packed positions of each row's own text."""
+    rows = np.repeat(np.arange(len(repeats)), pc.fill_null(pc.list_value_length(repeats), 0).to_numpy(zero_copy_only=False))
+    values = repeats.flatten()
+    mine = values.field("which").to_numpy() == which.to_numpy()[rows]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(rows[mine], minlength=len(repeats)))]).astype(np.int32)
+    return _joined(pa.ListArray.from_arrays(pa.array(ends), values.field("body").filter(pa.array(mine))))
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, key: str = "doc_id") -> DataFrame:
@@ -391,9 +455,8 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, key: str = "doc_id") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = []
-            for text, which, repeats in zip(batch.column("text"), batch.column("which").to_pylist(), batch.column("repeats").to_pylist(), strict=True):
-                bodies = _own(which, repeats)
-                new.append(cut_text(_raw(text), bodies, width).decode("utf-8", "surrogatepass") if bodies else text.as_py())
+            for text, body in zip(batch.column("text").to_pylist(), _own(batch.column("which"), batch.column("repeats")), strict=True):
+                new.append(cut_text(text.encode("utf-8", "surrogatepass"), body, width).decode("utf-8", "surrogatepass") if body else text)
             texts = pa.array(new, batch.column("text").type)
             yield pa.RecordBatch.from_arrays([texts, pa.array([None if t is None else len(t) for t in new], pa.int64()), batch.column("rest")], ["text", "n", "rest"])
 
@@ -409,8 +472,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kept_words(_raw(t), _own(w, r)) for t, w, r in zip(batch.column("text"), batch.column("which").to_pylist(), batch.column("repeats").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("rest").field("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in kept_texts(_raws(batch.column("text")), _own(batch.column("which"), batch.column("repeats")))]
+            yield pa.RecordBatch.from_arrays([batch.column("rest").field("doc_id"), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeated_windows(docs).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -238,6 +238,31 @@ def test_rolling_window_hashes(monkeypatch):
     assert (substring.window_hashes(words[100:107], 7) == whole[100]).all() and len(substring.window_hashes(words[:6], 7)) == 0
 
 
+def test_substring_rounds_look_at_a_chunk_at_once(monkeypatch):
+    """Words are found once for a chunk of documents, not once for each; texts beside each other keep their own words, windows and answers."""
+    whole, calls = substring.word_bounds, []
+    monkeypatch.setattr(substring, "word_bounds", lambda data: calls.append(len(data)) or whole(data))
+    rows = hard_rows()
+    words, kept = brute_removed(rows, 13)
+    found, _ = by_hand([(k, -k, t) for k, t in rows], 13, 3)
+    assert len(calls) == 2
+    calls.clear()
+    out = list(substring.kept_texts([(t or "").encode() for _, t in rows], [b"".join(found.get((k, -k), [])) for k, _ in rows]))
+    assert len(calls) == 1 and any(gone for _, gone, _ in out)
+    assert [(n, gone, bytes(left)) for n, gone, left in out] == [(len(words[k]), len(words[k]) - len(kept[k]), b" ".join(kept[k])) for k, _ in rows]
+    assert list(substring.kept_texts([], [])) == []
+
+
+def test_packed_positions_hold_for_their_text_only():
+    which, doc, position = np.array([7, 7, 7, 8, 8, 7]), np.array([1, 1, 1, 1, 1, 2]), np.array([0, 1, 5, 6, 7, 8])
+    docs, whiches, bodies = substring._answers(np.array([5, 0, 2, 1, 4, 3]), doc, which, position)
+    assert (docs.tolist(), whiches.tolist()) == ([1, 1, 2], [7, 8, 7])
+    sizes = np.array([6, 7, 8])
+    hit = substring.marked(bodies.to_pylist(), sizes)  # what lies behind the end of a text isn't there, and isn't the next one's
+    assert np.flatnonzero(hit).tolist() == [0, 1, 5, 6 + 6]
+    assert np.flatnonzero(substring.covered(bodies.to_pylist(), sizes + 2, 3)).tolist() == [0, 1, 2, 3, 5, 6, 7, 8 + 6, 8 + 7, 8 + 8]
+
+
 def test_words_longer_than_a_block(monkeypatch):
     monkeypatch.setattr(substring, "BLOCK", 8)
     data = np.frombuffer(b"aaaaaaaaaaaaaaaaaaaaaaaa bb cc aaaaaaaaaaaaaaaaaaaaaaaa bb", np.uint8)
