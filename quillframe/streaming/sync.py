@@ -1,62 +1,43 @@
 """Sync of numbered cases: each run looks at the next responses of every key, remembers where it stopped, and hands its hits on.
 
-A run is one streaming query over the responses. Its state for a key begins with where the run before stopped, read from the state table as
-initial state. What a run looks at is logged by batch, and so are the hits that are stored and ingested; all of it is named by run and
-batch, so a run that broke off goes on with the same names and repeats nothing. The state table gets its new rows last, which ends the run.
+A run is one streaming query over the responses. Each of its batches is scanned with window functions, from where the scan of a key stands: that is read from
+the state table of the run before and from what the earlier batches of this run have logged. What a run looks at is logged by batch, and so are the hits that are
+stored and ingested; all of it is named by run and batch, so a run that broke off goes on with the same names and repeats nothing. The state table gets its new
+rows last, which ends the run.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.folders import numbered, rename
 from .inbox import MAX_CANDIDATES, MAX_MISSES, checkpoint
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RUN = "run="
 
 
-class Scan(StatefulProcessor):
+def scan(responses: DataFrame, state: DataFrame, key: str, max_candidates: int, max_misses: int) -> DataFrame:
     """Looks at a key's responses in order of their sequence, from the next one on, until ``max_misses`` come in a row, one says stop, or ``max_candidates`` are through.
 
-    Of a batch, only as many rows are held as the scan may still look at. Misses in a row are counted anew by each run, as are candidates.
+    ``state`` has (key, _next, _misses, _seen, _ended): where the scans stand; a key that isn't there begins at 0. Of a key only as many rows are sorted whole as a scan
+    may look at. Returns (key, sequence, outcome, misses, body), ``misses`` as they come in a row, ``body`` of hits.
     """
-
-    def __init__(self, key: str, max_candidates: int, max_misses: int) -> None:
-        self.key, self.max_candidates, self.max_misses = key, max_candidates, max_misses
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("scan", "next long, misses long, seen long, ended boolean")
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803 - Spark's names
-        self.state.update((int(initialState["next"].max()), 0, 0, False))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        start, misses, seen, ended = self.state.get() if self.state.exists() else (0, 0, 0, False)
-        left, held = 0 if ended else self.max_candidates - seen, []
-        for part in rows:
-            part = part[part["sequence"] >= start]
-            held = heapq.nsmallest(left, [*held, *part[["sequence", "outcome", "body"]].itertuples(index=False, name=None)], key=lambda r: r[0])
-        looked = []
-        for sequence, outcome, body in held:
-            misses = misses + 1 if outcome == "miss" else 0 if outcome == "hit" else misses
-            start, seen = int(sequence) + 1, seen + 1
-            looked.append((key[0], int(sequence), outcome, misses, body if outcome == "hit" else None))
-            ended = outcome == "stop" or misses >= self.max_misses or seen >= self.max_candidates
-            if ended:
-                break
-        self.state.update((start, misses, seen, ended))
-        yield pd.DataFrame(looked, columns=[self.key, "sequence", "outcome", "misses", "body"])
-
-    def close(self) -> None:
-        pass
+    order = ["sequence", "outcome", "body"]
+    sorted_rows = Window.partitionBy(key).orderBy(*order)
+    so_far = sorted_rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = responses.join(state, key, "left").where(~F.coalesce("_ended", F.lit(False)) & (F.col("sequence") >= F.coalesce("_next", F.lit(0))))
+    rows = rows.withColumn("_n", F.row_number().over(sorted_rows)).where(F.col("_n") <= max_candidates)
+    rows = rows.withColumn("_hits", F.count_if(F.coalesce(F.col("outcome") == "hit", F.lit(False))).over(so_far))
+    run = Window.partitionBy(key, "_hits").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    handed_on = F.when(F.col("_hits") == 0, F.coalesce("_misses", F.lit(0))).otherwise(0)
+    rows = rows.withColumn("misses", (F.count_if(F.coalesce(F.col("outcome") == "miss", F.lit(False))).over(run) + handed_on).cast("long"))
+    ends = F.coalesce((F.col("misses") >= max_misses) | (F.col("outcome") == "stop"), F.lit(False))
+    rows = rows.withColumn("_ends", F.count_if(ends).over(sorted_rows.rowsBetween(Window.unboundedPreceding, -1)))
+    looked = rows.where((F.col("_ends") == 0) & (F.col("_n") + F.coalesce("_seen", F.lit(0)) <= max_candidates))
+    return looked.select(key, "sequence", "outcome", "misses", F.when(F.col("outcome") == "hit", F.col("body")).alias("body"))
 
 
 def _looked_schema(key: str, kind: str) -> str:
@@ -75,6 +56,18 @@ def read_looked(spark: SparkSession, out: str, key: str, kind: str) -> DataFrame
     return spark.read.schema(f"{_looked_schema(key, kind)}, run long, batch long").option("basePath", f"{out}/looked").parquet(f"{out}/looked/{RUN}*")
 
 
+def _standing(spark: SparkSession, out: str, key: str, kind: str, run: int, number: int, max_candidates: int, max_misses: int) -> DataFrame:
+    """The ``state`` of ``scan`` before a run's batch of this number."""
+    before = read_state(spark, out, key, kind).select(key, F.col("next").alias("_next"), F.lit(0).cast("long").alias("_misses"), F.lit(0).cast("long").alias("_seen"), F.lit(False).alias("_ended"))
+    if not number:
+        return before
+    looked = read_looked(spark, out, key, kind).where((F.col("run") == run) & (F.col("batch") < number))
+    seen, misses = F.count(F.lit(1)), F.max_by("misses", F.struct("sequence", "outcome", "misses"))
+    ended = (seen >= max_candidates) | (F.max("misses") >= max_misses) | F.bool_or(F.coalesce(F.col("outcome") == "stop", F.lit(False)))
+    after = looked.groupBy(key).agg((F.max("sequence") + 1).alias("_next"), misses.alias("_misses"), seen.alias("_seen"), ended.alias("_ended"))
+    return after.union(before.join(after.select(key), key, "left_anti"))
+
+
 def sync(responses: DataFrame, out: str, key: str, on_hits: Callable[[DataFrame, str], None], max_candidates: int = MAX_CANDIDATES, max_misses: int = MAX_MISSES, start: int = 0) -> int:
     """One run over a stream of responses (key, sequence, outcome, body), to its end; returns the run's number.
 
@@ -86,20 +79,15 @@ def sync(responses: DataFrame, out: str, key: str, on_hits: Callable[[DataFrame,
     run = max(numbered(spark, f"{out}/state", RUN), default=0) + 1
     before = read_state(spark, out, key, kind)
     rows = responses.select(key, F.col("sequence").cast("long").alias("sequence"), "outcome", F.col("body").cast("string").alias("body")).where(F.col(key).isNotNull() & (F.col("sequence") >= start))
-    looked = rows.groupBy(key).transformWithStateInPandas(Scan(key, max_candidates, max_misses), _looked_schema(key, kind), "append", "none", before.select(key, "next").groupBy(key))
 
     def batch(found: DataFrame, number: int) -> None:
         place = f"{out}/looked/{RUN}{run}/batch={number}"
-        found.write.mode("overwrite").parquet(place)  # read from here on: the state moves once
+        standing = _standing(found.sparkSession, out, key, kind, run, number, max_candidates, max_misses)
+        scan(found, standing, key, max_candidates, max_misses).write.mode("overwrite").parquet(place)  # read from here on: the batch is scanned once
         kept = found.sparkSession.read.schema(_looked_schema(key, kind)).parquet(place)
         on_hits(kept.where("outcome = 'hit'").select(key, "sequence", "body"), f"{run}-{number}")
 
-    had = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        query = looked.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/streams/{RUN}{run}").trigger(availableNow=True).start()
-    finally:
-        spark.conf.unset(PROVIDER) if had is None else spark.conf.set(PROVIDER, had)
+    query = rows.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/streams/{RUN}{run}").trigger(availableNow=True).start()
     query.awaitTermination()
     after = checkpoint(read_looked(spark, out, key, kind).where(F.col("run") == run), [key], "sequence") if numbered(spark, f"{out}/looked", RUN) and run in numbered(spark, f"{out}/looked", RUN) else before.limit(0)
     state = after.select(before.columns).union(before.join(after.select(key), key, "left_anti"))

@@ -60,6 +60,46 @@ def test_sync_equals_brute_force_and_goes_on_after_a_failure(spark, tmp_path):
         assert [found for name, found in hits if name.startswith(f"{run}-") and found] == ([want] if want else [])
 
 
+def test_a_run_of_several_batches_goes_on_where_the_batch_before_stood(spark, tmp_path):
+    """One file a batch: misses in a row, what was seen and where a scan ended are handed from batch to batch, also when one breaks off."""
+    kinds = {"a": ["miss", "miss", "hit"], "bb": ["hit", "miss"], "ccc": ["hit", "miss", "miss", "miss"], "late": ["hit", None, "miss"], "stops": ["hit", "miss", "stop", "hit"]}
+    rows = [(k, i, of[i % len(of)], f"{k}{i}") for k, of in kinds.items() for i in range(1, 41) if k != "late" or i > 20]
+    place, out = f"file://{tmp_path}/responses", f"file://{tmp_path}/out"
+    for lo in range(1, 41, 5):
+        spark.createDataFrame([r for r in rows if lo <= r[1] < lo + 5], RESPONSES).coalesce(1).write.mode("append").parquet(place)
+    responses = lambda: spark.readStream.schema(RESPONSES).option("maxFilesPerTrigger", 1).parquet(place)
+    hits, broken = {}, [True]
+
+    def take(found, name):
+        if broken and name == "1-2":
+            broken.clear()
+            raise RuntimeError("lost")
+        hits[name] = [(r.key, r.sequence, r.body) for r in found.collect()]
+
+    with pytest.raises(Exception, match="lost"):
+        sync.sync(responses(), out, "key", take, 12, 3)
+    for run in (1, 2):
+        assert sync.sync(responses(), out, "key", take, 12, 3) == run
+    state, looked = brute_sync(rows, 2, 12, 3)
+    assert {r.key: (r.last_checked, r.next, r.consecutive_misses) for r in sync.read_state(spark, out, "key", "string").collect()} == state
+    log = sync.read_looked(spark, out, "key", "string").collect()
+    assert sorted((r.run, r.key, r.sequence) for r in log) == sorted(looked) and len({r.batch for r in log if r.run == 1}) > 2
+    of = {(r[0], r[1]): r for r in rows}
+    for run in (1, 2):
+        assert sorted(h for name, found in hits.items() if name.startswith(f"{run}-") for h in found) == sorted((k, s, of[k, s][3]) for r, k, s in looked if r == run and of[k, s][2] == "hit")
+
+
+def test_a_scan_calls_no_python_for_its_keys(spark):
+    """Keys are scanned by window functions: a call of Python for each key made a sync take 5 ms a key and more."""
+    rows = spark.createDataFrame([("a", s, o, "x") for s, o in ((3, "miss"), (1, "hit"), (2, "miss"), (2, "miss"), (4, "hit"), (0, "hit"))] + [("b", 7, "miss", None), ("b", 8, "hit", "y")], RESPONSES)
+    state = spark.createDataFrame([("a", 1, 1, 3, False), ("b", 7, 2, 2, False)], "key string, _next long, _misses long, _seen long, _ended boolean")
+    found = sync.scan(rows, state, "key", 9, 3)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 1, "hit", 0, "x"), ("a", 2, "miss", 1, None), ("a", 2, "miss", 2, None), ("a", 3, "miss", 3, None), ("b", 7, "miss", 3, None)]
+    assert [r.sequence for r in sync.scan(rows, state, "key", 5, 3).where("key = 'a'").orderBy("sequence").collect()] == [1, 2]  # three of five were seen before
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Python" not in plan and "Pandas" not in plan
+
+
 def test_a_sync_without_responses(spark, tmp_path):
     spark.createDataFrame([], RESPONSES).write.parquet(f"file://{tmp_path}/r")
     responses = spark.readStream.schema(RESPONSES).parquet(f"file://{tmp_path}/r")
